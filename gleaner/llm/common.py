@@ -22,11 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, fixes row ids."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_stage_path"] = path
     return out
@@ -41,11 +41,6 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def column(df: DataFrame, name: str):
-    """The first column of this name, also where an input repeats a name in another case."""
-    return df[name] if df.columns.count(name) == 1 else df[df.columns.index(name)]
-
-
 def texts_of(col: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in col.cast(pa.large_binary()).to_pylist()]
