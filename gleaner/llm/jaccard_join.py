@@ -134,11 +134,14 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
     p = _p("n", t)
     order = order.withColumn("head", F.expr(f"slice(o, 1, greatest(0, {p} + 1 - u))"))
     singly = f"n <= {LOW} * 100 / {t} or n > {HIGH} * {t} / 100"
-    single = f"transform(filter(head, (e, i) -> e.df <= {RARE} or (({singly}) and i < {p} - u)), e -> struct(e.tok as key, e.df > {RARE} as hot))"
-    often = f"transform(filter(head, e -> e.df > {RARE}), e -> e.tok)"
-    double = f"if(n between {LOW} and {HIGH} and size(f) > 1, flatten(transform(sequence(1, size(f) - 1), i -> transform(slice(f, i + 1, size(f)), b -> struct(xxhash64(f[i - 1], b) as key, true as hot)))), array())"
-    order = order.withColumn("f", F.expr(often)).withColumn("keys", F.expr(f"concat({single}, {double})"))
-    keyed = materialize(order.select("rid", "n", "u", F.explode("keys").alias("e")).select("rid", "n", "u", "e.key", "e.hot"), "jaccard-keys")
+    # skip and prev let a pair be made at its first common key only, with a bound from the keys before it.
+    order = order.withColumn("f", F.expr(f"transform(filter(head, e -> e.df > {RARE}), e -> e.tok)")).withColumn("h", F.expr("transform(head, e -> e.tok)"))
+    none = "cast(array() as array<bigint>)"
+    single = f"filter(transform(head, (e, i) -> struct(e.tok as key, e.df > {RARE} as hot, e.df <= {RARE} or (({singly}) and i < {p} - u) as keep, if(n <= {HIGH}, u + i, u) as skip, if(n <= {HIGH} and e.df > {RARE}, slice(h, 1, i), {none}) as prev)), e -> e.keep)"
+    two = "struct(xxhash64(f[i - 1], f[j - 1]) as key, true as hot, true as keep, u + size(h) - size(f) + j - 2 as skip, array_remove(slice(h, 1, size(h) - size(f) + j - 1), f[i - 1]) as prev)"
+    double = f"if(n between {LOW} and {HIGH} and size(f) > 1, flatten(transform(sequence(1, size(f) - 1), i -> transform(sequence(i + 1, size(f)), j -> {two}))), array())"
+    order = order.withColumn("keys", F.expr(f"concat({single}, {double})"))
+    keyed = materialize(order.select("rid", "n", "u", F.explode("keys").alias("e")).select("rid", "n", "u", "e.key", "e.hot", "e.skip", "e.prev"), "jaccard-keys")
     cold = keyed.where("not hot").groupBy("key").agg(F.sort_array(F.collect_list("rid")).alias("m")).where("size(m) > 1")
     cold = cold.select(F.explode(F.expr("flatten(transform(sequence(1, size(m) - 1), i -> transform(slice(m, i + 1, size(m)), y -> struct(m[i - 1] as x, y as y))))")).alias("p")).select("p.x", "p.y")
     hot = keyed.where("hot")
@@ -152,8 +155,9 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
     named = hot.join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
     mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
     named = materialize(named.join(mixed, "key", "left_semi"), "jaccard-mixed")
-    a, b = (named.select("key", *[F.col(c).alias(c + s) for c in ("rid", "n", "u", "label")]) for s in "xy")
+    a, b = (named.select("key", *[F.col(c).alias(c + s) for c in ("rid", "n", "u", "label", "skip", "prev")]) for s in "xy")
     cross = a.join(b, "key").where("ridx < ridy and labelx <> labely").where(_enough("least(nx, ny)", "nx", "ny", t)).where(allowed("nx", "ux", "ny", "uy"))
+    cross = cross.where(f"greatest(nx, ny) > {HIGH} or (not arrays_overlap(prevx, prevy) and {allowed('nx', 'skipx', 'ny', 'skipy')})")
     late = materialize(_verify(cross.select(F.col("ridx").alias("x"), F.col("ridy").alias("y")).distinct(), sets, t), "jaccard-late")
     discard(shared, keyed, found)
 
