@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+from gleaner.llm.byte_bpe import op8_byte_level_bpe
 from gleaner.llm.jaccard_join import op10_ngram_jaccard_join
+from gleaner.llm.line_dedup import OP1_SQL, op1_line_dedup
+from gleaner.llm.ordinal_quality import op6_quality_classifier
+from gleaner.llm.packing import op4_packing
+from gleaner.llm.suffix_dedup import op9_suffix_array_dedup
 
-QUERIES = {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op4_packing": op4_packing,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op8_byte_level_bpe": op8_byte_level_bpe,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL}
