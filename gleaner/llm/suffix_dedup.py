@@ -34,7 +34,7 @@ from gleaner.llm.shingles import U, mix
 
 GRAM, HOT = 32, 256
 #: Bytes handled at once, and starts put in order at once.
-PIECE, BLOCK = 1 << 18, 120_000
+PIECE, BLOCK, BLOCK_BYTES = 1 << 18, 120_000, 1 << 22
 
 _RNG = np.random.default_rng(77003)
 _BYTE = _RNG.integers(0, 2**63 - 1, 256, dtype=np.int64).astype(U) * U(2) + _RNG.integers(0, 2, 256).astype(U)
@@ -51,10 +51,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 class _Rolling:
     """Hashes of any substring of data in constant time each."""
 
-    power = _powers(_B, 2 * PIECE)
-    inverse = _powers(pow(_B, -1, 2**64), 2 * PIECE)
+    power = inverse = np.zeros(0, U)
 
     def __init__(self, data: np.ndarray):
+        if len(self.power) <= len(data):
+            size = max(2 * PIECE, 2 * len(data))
+            _Rolling.power, _Rolling.inverse = _powers(_B, size), _powers(pow(_B, -1, 2**64), size)
         self.sums = np.zeros(len(data) + 1, U)
         np.cumsum(_BYTE[data] * self.power[: len(data)], out=self.sums[1:])
 
@@ -218,14 +220,15 @@ def _suffix_blocks(window: int, keep: str):
     """Contexts sorted by anchor to the marked starts; blocks hold whole groups, of at most HOT contexts each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, starts, last = [], 0, None
+        held, starts, size, last = [], 0, 0, None
         for batch in batches:
             for r in batch.to_pylist():
-                if r["kh"] != last and starts >= BLOCK:
+                if r["kh"] != last and (starts >= BLOCK or size >= BLOCK_BYTES):
                     if (out := _block(held, window, keep)) is not None:
                         yield out
-                    held, starts = [], 0
+                    held, starts, size = [], 0, 0
                 held.append(r)
+                size += len(r["bytes"])
                 starts += len(r["bytes"]) - window + 1
                 last = r["kh"]
         if held and (out := _block(held, window, keep)) is not None:
