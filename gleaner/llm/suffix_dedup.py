@@ -12,8 +12,10 @@ have nothing in common, so windows are first dealt into blocks by content:
   order, suffixes are cut at ``window`` bytes and equal ones lie side by side in the order of their positions: the
   neighbour before is then the previous smaller position, and its match length is the longest-previous-factor value,
   capped at ``window``. A start with that value has an earlier copy; one whose next neighbour matches has a later one.
-* An anchor with more than HOT distinct contexts (a passage in very many documents) isn't gathered in one task: each
-  window's 128-bit digest is counted instead, with partial sums before the shuffle.
+* An anchor with more than HOT distinct contexts (a passage in very many documents) isn't gathered in one task. Its
+  contexts are split in two by the windows' offset to the anchor, each half under a longer anchor: the bytes that all
+  windows of that range of offsets share. Inside a passage halves become equal and count as one, at its ends they
+  become unique; what is still too large is split again, down to single windows. Each round at most doubles its rows.
 
 keep="first" removes what the LPF array marks (later copies), keep="none" every copy.
 """
@@ -65,7 +67,7 @@ class _Rolling:
 
 
 def _segments(data: np.ndarray, owner_start: np.ndarray, owner_end: np.ndarray, window: int, gram: int):
-    """(owner, first start, last start, anchor hash, context hash) of all segments of the owners' ranges of data."""
+    """(owner, first start, last start, anchor from there, anchor hash, context hash) of all segments of the owners' ranges of data."""
     w = window - gram + 1
     n = len(data) - gram + 1
     if n < w:
@@ -91,7 +93,7 @@ def _segments(data: np.ndarray, owner_start: np.ndarray, owner_end: np.ndarray,
     hi = at[np.concatenate((turn[1:], [len(at)])) - 1]
     p = a[turn]
     ctx = mix(roll.of(lo, hi + window) + (p - lo).astype(U) * U(0x9FB21C651E98DF25) + (hi - lo).astype(U) * U(0xA0761D6478BD642F))
-    return owner, lo - owner_start[owner], hi - owner_start[owner], h[p].view(np.int64), ctx.view(np.int64)
+    return owner, lo - owner_start[owner], hi - owner_start[owner], p - lo, h[p].view(np.int64), ctx.view(np.int64)
 
 
 def _pieces(texts: list[bytes], window: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -121,15 +123,15 @@ def _cut(window: int, gram: int):
                     found = _segments(np.frombuffer(b"".join(x for _, _, x in group), np.uint8), start, start + size, window, gram)
                     if found is None:
                         continue
-                    owner, lo, hi, kh, ch = found
+                    owner, lo, hi, at, kh, ch = found
                     off = np.array([x for _, x, _ in group])[owner]
                     row = pa.array(np.array([x for x, _, _ in group])[owner])
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("k1").take(row), pa.array(lo + off), pa.array((hi - lo).astype(np.int32)), pa.array(kh), pa.array(ch)], ["doc_id", "k1", "lo", "more", "kh", "ch"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("k1").take(row), pa.array(lo + off), pa.array((hi - lo).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(kh), pa.array(ch)], ["doc_id", "k1", "lo", "more", "at", "kh", "ch"])
 
     return run
 
 
-_CONTEXT = "kh long, ch long, n long, m long, doc_id long, k1 long, lo long, bytes binary"
+_CONTEXT = "kh long, ch long, n long, m long, doc_id long, k1 long, lo long, at int, bytes binary"
 
 
 def _contexts(window: int):
@@ -145,7 +147,7 @@ def _contexts(window: int):
                     same = lambda name: pa.array([batch.column(name)[i].as_py()] * len(part), pa.int64())  # noqa: E731, B023
                     cols = {c: pa.array([x[c] for x in part], pa.int64()) for c in ("kh", "ch", "n", "m", "lo")}
                     data = pa.array([texts[i][x["lo"] : x["lo"] + x["more"] + window] for x in part], pa.binary())
-                    yield pa.RecordBatch.from_arrays([cols["kh"], cols["ch"], cols["n"], cols["m"], same("doc_id"), same("k1"), cols["lo"], data], ["kh", "ch", "n", "m", "doc_id", "k1", "lo", "bytes"])
+                    yield pa.RecordBatch.from_arrays([cols["kh"], cols["ch"], cols["n"], cols["m"], same("doc_id"), same("k1"), cols["lo"], pa.array([x["at"] for x in part], pa.int32()), data], ["kh", "ch", "n", "m", "doc_id", "k1", "lo", "at", "bytes"])
 
     return run
 
@@ -165,25 +167,28 @@ def marked_starts(contexts: list[bytes], group: np.ndarray, place: np.ndarray, w
         at = begin[ctx] + off
         roll = _Rolling(data)
         print_ = mix(roll.of(at, at + window) + group[ctx].astype(U))
-    # Only starts whose fingerprint repeats can match; the order of the rest isn't needed.
+    # Only starts whose fingerprint repeats can match; they are put in order in parts that no fingerprint straddles.
     order = np.argsort(print_, kind="stable")
     same = print_[order][1:] == print_[order][:-1]
     twice = np.zeros(len(at), dtype=bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    ctx, off, at = ctx[twice], off[twice], at[twice]
-    if not len(at):
-        return ctx, off, np.zeros(0, bool), np.zeros(0, bool)
-    by_place = np.lexsort((place[ctx], group[ctx]))
-    ctx, off, at = ctx[by_place], off[by_place], at[by_place]
-    suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, window)[at])
-    order = np.argsort(suffix.view(f"S{window}").ravel(), kind="stable")
-    ordered = suffix[order]
-    lcp_full = (ordered[1:] == ordered[:-1]).all(axis=1) & (group[ctx[order]][1:] == group[ctx[order]][:-1])
+    order = order[twice[order]]
     earlier, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    earlier[order[1:]] = lcp_full
-    later[order[:-1]] = lcp_full
-    return ctx, off, earlier, later
+    turn = np.flatnonzero(np.concatenate(([True], print_[order][1:] != print_[order][:-1], [True]))) if len(order) else np.zeros(0, np.int64)
+    begin_ = 0
+    while begin_ < len(order):
+        end = int(turn[max(np.searchsorted(turn, begin_ + BLOCK, side="right") - 1, np.searchsorted(turn, begin_, side="right"))])
+        part = order[begin_:end]
+        begin_ = end
+        part = part[np.lexsort((place[ctx[part]], group[ctx[part]]))]
+        suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, window)[at[part]])
+        by = np.argsort(suffix.view(f"S{window}").ravel(), kind="stable")
+        suffix, part = suffix[by], part[by]
+        match = (suffix[1:] == suffix[:-1]).all(axis=1) & (group[ctx[part]][1:] == group[ctx[part]][:-1])
+        earlier[part[1:]] = match
+        later[part[:-1]] = match
+    return ctx[twice], off[twice], earlier[twice], later[twice]
 
 
 def _ranges(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,63 +242,84 @@ def _suffix_blocks(window: int, keep: str):
     return run
 
 
-def _digests(window: int):
+_ROW = "doc_id long, k1 long, lo long, more int, at int, kh long, ch long, w long, bytes binary"
+
+
+def _halves(window: int, shift: int):
+    """Contexts to their parts by the offset to the anchor, in steps of 2 ** shift, each under the bytes its windows share."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, batch.num_rows, 512):
-                rows = batch.slice(part, 512).to_pylist()
-                which, off, digest = [], [], []
-                for i, r in enumerate(rows):
-                    x = r["bytes"]
-                    k = len(x) - window + 1
-                    which += [i] * k
-                    off += range(k)
-                    digest += [xxhash.xxh3_128_digest(x[j : j + window]) for j in range(k)]
-                if not which:
-                    continue
-                d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-                take = lambda c: pa.array([rows[i][c] for i in which], pa.int64())  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), take("n"), take("doc_id"), take("k1"), pa.array(np.array([rows[i]["lo"] for i in which]) + np.array(off))], ["w1", "w2", "n", "doc_id", "k1", "a"])
+            for part in range(0, batch.num_rows, 1024):
+                out = []
+                for r in batch.slice(part, 1024).to_pylist():
+                    x, at = r["bytes"], r["at"]
+                    least = at - (len(x) - window)
+                    for g in range(least >> shift, (at >> shift) + 1):
+                        a0, a1 = g << shift, ((g + 1) << shift) - 1
+                        high, low = min(a1, at), max(a0, least)
+                        own = x[at - high : at - low + window]
+                        out.append((r["doc_id"], r["k1"], r["lo"] + at - high, high - low, high, _hash(x[at - a0 : at - a1 + window], a0), _hash(own, high << 20 | low), r["n"], own))
+                if out:
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "k1", "lo", "more", "at", "kh", "ch", "w", "bytes"])
 
     return run
 
 
+def _hash(data: bytes, seed: int) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest(data, seed=seed), "little", signed=True)
+
+
+def _fetch(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+    """The contexts' bytes, from their documents."""
+    wanted = wanted.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("kh", "ch", "n", "m", "lo", "more", "at")).alias("wanted"))
+    wanted = wanted.select(F.col("doc_id").alias("d"), F.col("k1").alias("k"), "wanted")
+    fetched = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("k"))).select("doc_id", "k1", "text", "wanted")
+    return fetched.mapInArrow(_contexts(window), _CONTEXT).dropDuplicates(["kh", "ch"])
+
+
 def repeated_starts(docs: DataFrame, window: int = 200, keep: str = "none", gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, k1, a, b): ranges of starts whose window also starts elsewhere (keep="none") or earlier (keep="first").
 
     docs: doc_id, k1 (row_key of the text), text. Positions are ordered by doc_id (null last), k1 and offset.
     """
-    segments = materialize(docs.select("doc_id", "k1", "text").mapInArrow(_cut(window, gram), "doc_id long, k1 long, lo long, more int, kh long, ch long"), "suffix-segments")
-    twice = segments.groupBy("kh").agg(F.count("*").alias("all")).where("all > 1").select("kh")
-    again = materialize(segments.join(twice, "kh"), "suffix-again")
-    discard(segments)
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "lo")
-    context = again.groupBy("kh", "ch").agg(F.count("*").alias("n"), F.min(F.struct(*[F.col("doc_id").isNull().alias("z"), "doc_id", "k1", "lo", "more"])).alias("f"))
-    context = materialize(context, "suffix-contexts")
-    several = context.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1")
-
-    whole = again.join(context.where("n > 1").select("kh", "ch", "f"), ["kh", "ch"])
-    if keep == "first":
-        whole = whole.where(~place.eqNullSafe(F.struct("f.z", "f.doc_id", "f.k1", "f.lo")))
-    whole = whole.select("doc_id", "k1", F.col("lo").alias("a"), (F.col("lo") + F.col("more")).alias("b"))
-
-    wanted = context.join(several, "kh").select("kh", "ch", "n", "m", "f.doc_id", "f.k1", "f.lo", "f.more")
-    wanted = wanted.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("kh", "ch", "n", "m", "lo", "more")).alias("wanted"))
-    wanted = wanted.select(F.col("doc_id").alias("d"), F.col("k1").alias("k"), "wanted")
-    fetched = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("k"))).select("doc_id", "k1", "text", "wanted")
-    contexts = materialize(fetched.mapInArrow(_contexts(window), _CONTEXT), "suffix-bytes")
-
-    few = contexts.where(f"m <= {hot}").dropDuplicates(["kh", "ch"]).repartition("kh").sortWithinPartitions("kh")
-    some = few.mapInArrow(_suffix_blocks(window, keep), _STARTS)
-
-    many = contexts.where(f"m > {hot}").dropDuplicates(["kh", "ch"]).mapInArrow(_digests(window), "w1 long, w2 long, n long, doc_id long, k1 long, a long")
-    many = materialize(many, "suffix-digests")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k1", "a")).alias("f")
-    counted = many.groupBy("w1", "w2").agg(F.count("*").alias("all"), first).where("all > 1")
-    rest = many.join(counted, ["w1", "w2"])
-    rest = rest.where("n = 1") if keep == "none" else rest.where(~F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "a").eqNullSafe(F.struct("f.z", "f.doc_id", "f.k1", "f.a")))
-    rest = rest.select("doc_id", "k1", "a", F.col("a").alias("b"))
-    return whole.unionByName(some).unionByName(rest)
+    rows = materialize(docs.select("doc_id", "k1", "text").mapInArrow(_cut(window, gram), "doc_id long, k1 long, lo long, more int, at int, kh long, ch long"), "suffix-segments")
+    marks, bits, level = [], (window - gram + 1).bit_length(), 0
+    while True:
+        # w: how often the row's text occurs. In the first round rows are all segments, then distinct contexts.
+        w = F.lit(1).cast("long") if level == 0 else F.col("w")
+        twice = materialize(rows.groupBy("kh").agg(F.count("*").alias("all")).where("all > 1").select("kh"), "suffix-twice")
+        again = materialize(rows.join(twice, "kh"), "suffix-again")
+        discard(rows, twice)
+        first = [F.col("doc_id").isNull().alias("z"), "doc_id", "k1", "lo", "more", "at", *(["bytes"] if level else [])]
+        context = again.groupBy("kh", "ch").agg(F.count("*").alias("c"), F.sum(w).alias("n"), F.min(F.struct(*first)).alias("f"))
+        context = materialize(context, "suffix-contexts")
+        whole = again.join(context.where("c > 1").select("kh", "ch", "f"), ["kh", "ch"])
+        if keep == "first":
+            whole = whole.where(~F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "lo").eqNullSafe(F.struct("f.z", "f.doc_id", "f.k1", "f.lo")))
+        elif level:
+            whole = whole.where("w = 1")
+        marks.append(whole.select("doc_id", "k1", F.col("lo").alias("a"), (F.col("lo") + F.col("more")).alias("b")))
+
+        several = materialize(context.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1"), "suffix-several")
+        wanted = context.join(several, "kh")
+        if level == 0:
+            wanted = _fetch(wanted.select("kh", "ch", "n", "m", "f.doc_id", "f.k1", "f.lo", "f.more", "f.at"), docs, window)
+        else:
+            wanted = wanted.select("kh", "ch", "n", "m", "f.doc_id", "f.k1", "f.lo", "f.at", "f.bytes")
+        contexts = materialize(wanted, "suffix-bytes")
+        few = contexts.where(f"m <= {hot}").repartition("kh").sortWithinPartitions("kh")
+        marks.append(few.mapInArrow(_suffix_blocks(window, keep), _STARTS))
+        level += 1
+        many = contexts.where(f"m > {hot}")
+        if level > bits or many.isEmpty():
+            break
+        rows = materialize(many.mapInArrow(_halves(window, bits - level), _ROW), "suffix-halves")
+    out = marks[0]
+    for m in marks[1:]:
+        out = out.unionByName(m)
+    return out
 
 
 def _apply(window: int, text: bool):
