@@ -144,7 +144,7 @@ def _in_blocks(rows: DataFrame, d: int, every: int, shape: str, search, block: i
     """search(data ids, data, query ids, queries) for each block of rows and of queries."""
     n = rows.count()
     blocks = max(1, -(-n // block))
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "v"])
     parts = max(1, -(-n // every // QUERIES))
     place = F.monotonically_increasing_id()
     dealt = lambda df, k: (df.withColumn("_p", place), F.xxhash64("_p"), k)
@@ -205,8 +205,7 @@ def nearest_by_cosine(df: DataFrame, every: int = 50, k: int = 5, bits: int = 64
                     o.extend(v)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "_q": pa.array(np.array(out[1], dtype=np.int64)), "vec_id": pa.array(out[2], pa.int64()), "score": pa.array(out[3], pa.float64())})
 
-    asked_once = rows.select("vec_id", "v")
-    found = _in_blocks(asked_once, d, every, "query_id long, _q long, vec_id long, score double", search, block)
+    found = _in_blocks(rows, d, every, "query_id long, _q long, vec_id long, score double", search, block)
     return _best(found, [F.desc("score")], k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -245,8 +244,8 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.b, c.b), z -> abs(z[1] - z[2])))::BIGINT AS distance
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.b, c.b), lambda z: abs(z[1] - z[2])))::BIGINT AS distance
       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM p)
 SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10

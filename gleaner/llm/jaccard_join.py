@@ -88,8 +88,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(_enough("shared", "nx", "ny", percent)).select("x", "y")
 
 
-def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: (doc_id, n_shingles, component_id, row_id, keeps).
+def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: (doc_id, n_shingles, component_id, keeps) and carried columns.
 
     component_id is the smallest doc_id reachable by links, itself included; null only where all ids there are null.
     keeps is true for one row of each component: the one with the smallest doc_id (nulls last), among equal ids the
@@ -98,6 +98,12 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
     """
     t = percent
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(text)).alias("k1"), F.col(text).alias("text"))
+    if carry:
+        # A table of its own: each row keeps its number, so that carried columns find their row among equal ones.
+        held = ["text" if c == text else f"_c{i}" for i, c in enumerate(carry)]
+        extra = [F.col(c).alias(h) for c, h in zip(carry, held, strict=True) if h != "text"]
+        table = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(text)).alias("k1"), F.col(text).alias("text"), *extra), "jaccard-rows", compression="zstd")
+        rows = table.select("rid", "doc_id", "k1", "text")
     found = materialize(rows.mapInArrow(_sizes(True, width, t), _SETS), "jaccard-sets")
 
     nodes = found.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("rep"))
@@ -106,7 +112,7 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
 
     # Round 1: rare tokens of extended prefixes.
     tokens = heads.select("rid", F.explode("prefix").alias("tok"))
-    common = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    common = materialize(tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "jaccard-common")
     shared = materialize(tokens.join(common, "tok"), "jaccard-tokens")
     lists = shared.where(f"df <= {RARE}").groupBy("tok").agg(F.sort_array(F.collect_list("rid")).alias("m"))
     seen = lists.select(F.explode(F.expr("flatten(transform(sequence(1, size(m) - 1), i -> transform(slice(m, i + 1, size(m)), y -> struct(m[i - 1] as x, y as y))))")).alias("p")).select("p.x", "p.y")
@@ -165,7 +171,12 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
     named = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep", "rid"))
     named = named.withColumn("label", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("rid")))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
-    return named.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rid").alias("row_id"), (F.col("rid") == F.col("first.rid")).alias("keeps"))
+    least = materialize(least, "jaccard-least")
+    out = named.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rid").alias("_rid"), (F.col("rid") == F.col("first.rid")).alias("keeps"))
+    if not carry:
+        return out.drop("_rid")
+    beside = table.select(F.col("rid").alias("_rid"), *[F.col(h).alias(c) for c, h in zip(carry, held, strict=True)])
+    return beside.join(out, "_rid").drop("_rid")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,10 +123,10 @@ def fit_on(docs: DataFrame, graded: DataFrame, levels: int, sample: int = SAMPLE
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(few), "doc_id").select("grade", "text")
     got = rows.mapInArrow(_sparse, "grade int, bucket array<int>, value array<float>").toPandas()
     order = sorted(range(len(got)), key=lambda i: (got.grade[i], len(got.bucket[i]), list(got.bucket[i][:5])))
-    return fit([dict(zip(got.bucket[i].tolist(), got.value[i].tolist(), strict=True)) for i in order], np.array([int(got.grade[i]) for i in order], dtype=np.int64), levels)
+    return fit([dict(zip(map(int, got.bucket[i]), map(float, got.value[i]), strict=True)) for i in order], np.array([int(got.grade[i]) for i in order], dtype=np.int64), levels)
 
 
-def _score(model: OrdinalModel, carry: tuple[str, ...]):
+def _score(model: OrdinalModel, carry: tuple[str, ...], held: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, known = model.weights, {}
         for batch in batches:
@@ -146,7 +146,7 @@ def _score(model: OrdinalModel, carry: tuple[str, ...]):
                     s += f[1] * n / total
                 scores.append(s + sum(weights[w] for w in sorted(seen)))
             tails = model.tails(np.array(scores, dtype=float).reshape(-1))
-            cols = [batch.column(c) for c in ("doc_id", *[f"_c{i}" for i in range(len(carry))])]
+            cols = [batch.column(c) for c in ("doc_id", *held)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], ["doc_id", *carry, "expected_grade", "top_probability"])
 
     return run
@@ -158,10 +158,11 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, least: float = 0.5, ca
     keep: the probability of the top grade is at least ``least``. Null and empty texts have no features: they get the
     thresholds' own probabilities. Null and repeated ids are kept as they are; an empty table gives no rows.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text).alias("text"))
+    held = ["text" if c == text else f"_c{i}" for i, c in enumerate(carry)]
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *[F.col(c).alias(h) for c, h in zip(carry, held, strict=True) if h != "text"], F.col(text).alias("text"))
     kinds = dict(own.dtypes)
-    shape_ = "doc_id long, " + "".join(f"`{c}` {kinds[f'_c{i}']}, " for i, c in enumerate(carry)) + "expected_grade double, top_probability double"
-    return own.mapInArrow(_score(model, carry), shape_).withColumn("keep", F.col("top_probability") >= least)
+    shape_ = "doc_id long, " + "".join(f"`{c}` {kinds[h]}, " for c, h in zip(carry, held, strict=True)) + "expected_grade double, top_probability double"
+    return own.mapInArrow(_score(model, carry, held), shape_).withColumn("keep", F.col("top_probability") >= least)
 
 
 def label_grades(labels: DataFrame) -> DataFrame:

@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from gleaner.llm.byte_bpe import op8_byte_level_bpe
+from gleaner.llm.hamming import OP3_SQL, op2_approximate_nearest_neighbours, op3_exact_top_k
 from gleaner.llm.jaccard_join import op10_ngram_jaccard_join
+from gleaner.llm.license_scan import op7_license_scan
 from gleaner.llm.line_dedup import OP1_SQL, op1_line_dedup
 from gleaner.llm.ordinal_quality import op6_quality_classifier
 from gleaner.llm.packing import op4_packing
+from gleaner.llm.preference_format import OP5_SQL, op5_chat_formatting
 from gleaner.llm.suffix_dedup import op9_suffix_array_dedup
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_approximate_nearest_neighbours": op2_approximate_nearest_neighbours,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_packing": op4_packing,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_license_scan": op7_license_scan,
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_exact_top_k": OP3_SQL, "op5_chat_formatting": OP5_SQL}
