@@ -1,0 +1,194 @@
+"""Small literal inputs for operators whose kind of data the driver's tables don't hold, for both engines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+_DUCK = {"string": "VARCHAR", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "array<string>": "VARCHAR[]"}
+
+
+class Fixture:
+    """Rows with a schema 'name type, ...'; timestamps are given as text."""
+
+    def __init__(self, schema: str, rows: list[tuple]):
+        self.columns = [tuple(c.strip().split(" ", 1)) for c in schema.split(", ")]
+        self.rows = rows
+
+    def df(self, spark: SparkSession) -> DataFrame:
+        given = ", ".join(f"{n} {'string' if t == 'timestamp' else t}" for n, t in self.columns)
+        out = spark.createDataFrame(self.rows, given)
+        return out.select(*[out[n].cast(t).alias(n) for n, t in self.columns])
+
+    def sql(self) -> str:
+        def lit(v) -> str:
+            if v is None:
+                return "NULL"
+            if isinstance(v, bool):
+                return str(v).lower()
+            if isinstance(v, (int, float)):
+                return repr(v)
+            if isinstance(v, (list, tuple)):
+                return "[" + ", ".join(map(lit, v)) + "]"
+            return "'" + v.replace("'", "''") + "'"
+
+        rows = ", ".join("(" + ", ".join(f"CAST({lit(v)} AS {_DUCK[t]})" for v, (_, t) in zip(r, self.columns, strict=True)) + ")" for r in self.rows)
+        return f"(SELECT * FROM (VALUES {rows}) AS t({', '.join(n for n, _ in self.columns)}))"
+
+
+PATHS = Fixture(
+    "path string, head string",
+    [(p, "") for p in ("src/app/main.ts", "src/latest.ts", "tests/test_api.py", "src/app/button.test.tsx", "pkg/store/store_test.go", "ios/AppTests/LoginTests.swift", "spec/models/user_spec.rb", "e2e/login.ts", "src/fixtures/data.json", "docs/guide.md", "README.md", "CHANGELOG.md", "node_modules/x/index.js", "vendor/lib/a.c", "proto/api_pb2.py", "web/app.min.js", "build/out.js", ".env.local", "config/.env.example", "keys/id_rsa", "deploy/service-account.json", "package.json", "yarn.lock", "go.mod", "examples/demo.py", "android/AndroidManifest.xml", "Cargo.toml", "deep/a/b/c/file.rs", "third_party/zlib/LICENSE", "LICENSE", "LICENSE.md", "NOTICE.txt", "COPYING.LESSER", "licence.py", "LICENSING.md", "PATENTS")]
+    + [("src/gen/model.ts", "// @generated by a tool\nexport const a = 1"), ("src/gen/client.go", "// Code generated by oapi. DO NOT EDIT.")],
+)
+
+ASSETS = Fixture(
+    "tag string, published_at timestamp, name string, downloads long",
+    [
+        ("v1.0.0", "2024-01-01 00:00:00", "latest.yml", 100),
+        ("v1.0.0", "2024-01-01 00:00:00", "latest-mac.yml", 400),
+        ("v1.0.0", "2024-01-01 00:00:00", "Tool-Setup.exe", 30),
+        ("v1.0.0", "2024-01-01 00:00:00", "Tool-1.0.0.dmg", 20),
+        ("v1.0.0", "2024-01-01 00:00:00", "Tool-1.0.0.dmg.blockmap", 9),
+        ("v1.1.0", "2024-01-15 12:00:00", "latest.yml", 300),
+        ("v1.1.0", "2024-01-16 12:00:00", "latest-linux.yml", 50),
+        ("v1.1.0", "2024-01-15 12:00:00", "tool_1.1.0_amd64.deb", 40),
+        ("v1.1.0", "2024-01-15 12:00:00", "SHA256SUMS.txt", 3),
+        ("v1.2.0-mobile", "2024-01-20 00:00:00", "tool.apk", 70),
+        ("v1.2.0", "2024-02-01 00:00:00", "appcast.xml", 900),
+        ("v1.2.0", "2024-02-01 00:00:00", "Tool.dmg", 60),
+        ("v1.2.0", "2024-02-01 00:00:00", "tool-mac.zip", 8),
+        ("v1.2.0", "2024-02-01 00:00:00", "tool-linux.tar.gz", 7),
+        ("v1.2.0", "2024-02-01 00:00:00", "tool-1.2.0.whl", 5),
+        ("v1.2.0", "2024-02-01 00:00:00", "readme.html", 1),
+    ],
+)
+
+STARS = Fixture("star long, starred_at timestamp", [(1, "2024-01-01 00:00:00"), (101, "2024-01-11 00:00:00"), (201, "2024-01-21 12:00:00"), (201, "2024-01-22 00:00:00"), (250, "2024-01-26 00:00:00")])
+
+VERSIONS = Fixture("resolved string, latest string", [("1.2.3", "2.0.0"), ("1.2.3", "1.3.0"), ("1.2.3", "1.2.9"), ("v1.2.3", "1.2.3"), ("3.0", "2.9.9"), ("workspace", "1.0.0"), (None, "1.0.0"), ("1.0.0-beta.2", "1.0")])
+
+MONEY = Fixture("text string", [(t,) for t in ("0", "12", "1,234", "1.234", "1,234.50", "4,99", "169.00", "1.234,5", "12.5")])
+
+PRICING = Fixture(
+    "page string, line long, text string",
+    [("a", i, t) for i, t in enumerate(["Simple pricing", "Free", "$0 forever", "Get started", "Pro: $12 per month, up to 5 seats", "Team US$ 169 a year, billed yearly", "€4.99 / month", "4,99 € per user", "1,200 credits included", "Custom", "Contact sales", "+ $5 each extra workspace", "Cancel any time, plus tax"], 1)]
+    + [("b", i, t) for i, t in enumerate(["Open source", "USD 29 per seat", "29 GBP per agent", "No prices here, only 30 requests", "Start free trial and a very long line that is over sixty characters, so no call"], 1)],
+)
+
+COPY = Fixture(
+    "doc string, line long, text string",
+    [
+        ("x", 1, "# Rival compared"),
+        ("x", 2, "Unlike Rival we are the best choice."),
+        ("x", 3, "```"),
+        ("x", 4, "Rival has 500 users"),
+        ("x", 5, "```"),
+        ("x", 6, "Rival has 500 users."),
+        ("x", 7, "Rival had 500 users on 2024-05-01."),
+        ("x", 8, "> " + "word " * 41),
+        ("x", 9, "> short answer"),
+        ("x", 10, "<!-- claims-lint: off -->"),
+        ("x", 11, "Rival is slow, always."),
+        ("x", 12, "<!-- claims-lint: on -->"),
+        ("x", 13, "A game changer, faster than Rival <!-- claims-lint: ignore -->"),
+        ("x", 14, "A game changer, faster than Rival, 100% safe"),
+        ("x", 15, "See Rival v1.2.3 and [Rival 2](http://a.b/2) `5`"),
+        ("y", 1, "Never the cheapest, first-ever tool"),
+        ("y", 2, "1. Rival"),
+    ],
+)
+FORBIDDEN = Fixture("line string", [("# words we do not use",), ("",), ("game changer",), ("re:revolution\\w*",)])
+DENIED = Fixture("line string", [("# private",), ("secretname @allow=docs/a.md,/README.md",), ("re:code ?word",)])
+
+COMMITS = Fixture(
+    "sha string, name string, email string, date string, merge boolean, subject string, body string",
+    [
+        ("a1", "Dana Roe", "dana@corp.test", "2024-01-01T09:00:00+05:30", False, "Add parser", ""),
+        ("a2", "Dana Roe", "dana@corp.test", "2024-01-02T09:00:00+05:30", False, "fix: crash", "Co-authored-by: Copilot <x@y.test>"),
+        ("a3", "dana-roe", "123+danaroe@users.noreply.github.com", "2024-01-07T23:30:00-03:00", False, "Fixes bug", ""),
+        ("a4", "Lee", "lee@corp.test", "2024-01-08T01:00:00+00:00", True, "Merge branch 'codex/x'", ""),
+        ("a5", "Lee", "lee@corp.test", "2024-01-09T10:00:00+00:00", False, "Docs", "Co-Authored-By: Cursor Agent <c@d.test>\nCo-authored-by: Gemini <g@h.test>"),
+        ("a6", "dependabot[bot]", "bot@users.noreply.github.com", "2024-12-30T10:00:00+00:00", False, "Bump x", ""),
+        ("a7", "Nomail", "", "2027-01-01T10:00:00+00:00", False, "hotfix release", ""),
+    ],
+)
+COMMIT_PATHS = Fixture("sha string, path string", [("a1", "src/a.py"), ("a1", "src/a.py"), ("a2", "src/a.py"), ("a3", "src/a.py"), ("a3", "docs/x.md"), ("a5", "docs/x.md"), ("a6", "go.sum")])
+TAGS = Fixture("tag string, date timestamp", [("v0.1.0", "2024-01-01 00:00:00"), ("v0.2.0", "2024-01-01 20:00:00"), ("nightly", "2024-01-02 00:00:00"), ("app-v1.0.0-rc.1", "2024-01-05 08:00:00"), ("1.0", "2024-02-01 00:00:00")])
+
+TREE_OLD = Fixture("path string", [("src/a.py",), ("src/b.py",), ("old/one.py",), ("old/two.py",), ("old/deep/three.py",), ("gone/x.py",), ("gone/y.md",), ("docs/guide.md",), ("README.md",), ("tests/test_a.py",), ("top.txt",)])
+TREE_NEW = Fixture("path string", [("src/a.py",), ("src/b.py",), ("new/one.py",), ("new/two.py",), ("docs/manual.md",), ("README.md",), ("src/c.py",)])
+TREE_CHANGES = Fixture("status string, old string, new string", [("R", "old/one.py", "new/one.py"), ("R", "old/two.py", "new/two.py"), ("R", "docs/guide.md", "docs/manual.md"), ("D", "old/deep/three.py", None), ("D", "gone/x.py", None), ("D", "gone/y.md", None), ("D", "tests/test_a.py", None), ("D", "top.txt", None), ("M", "README.md", "README.md")])
+DOC_VERSIONS = Fixture(
+    "file string, side string, line long, text string",
+    [("docs/manual.md", "old", i, t) for i, t in enumerate(["# Guide", "## 1. Install", "```", "## not a heading", "```", "## Old *part*", "### [Link](x) here ##", "## Use C#"], 1)]
+    + [("docs/manual.md", "new", i, t) for i, t in enumerate(["# Guide", "## 2. Install", "## Use C#", "## Fresh"], 1)],
+)
+
+MANIFEST_LINES = Fixture(
+    "manifest string, line long, text string",
+    [("svc/go.mod", i, t) for i, t in enumerate(["module x", "require github.com/a/b v1.2.3", "require (", "\tgithub.com/c/d v0.1.0 // indirect", "\tgithub.com/e/f v2.0.0+incompatible", ")", "github.com/no/t v9"], 1)]
+    + [("api/requirements.txt", i, t) for i, t in enumerate(["flask==2.0 ; python_version > '3'", "# comment", "-r other.txt", "requests[socks]>=2", "git+https://x/y", "Django # web"], 1)]
+    + [("api/requirements-dev.txt", i, t) for i, t in enumerate(["pytest", "./local"], 1)]
+    + [("crate/Cargo.toml", i, t) for i, t in enumerate(["[package]", 'name = "x"', "[dependencies]", 'serde = "1.0"', 'tokio = { version = "1.2", features = ["full"] }', "local = { path = \"../l\" }", "ws.workspace = true", "[dev-dependencies]", 'criterion = "0.5" # bench'], 1)]
+    + [("ios/Podfile.lock", i, t) for i, t in enumerate(["PODS:", "  - Alamofire (5.6.1)", "    - Inner (1.0)", "  - Moya (15.0.0):"], 1)],
+)
+LOCK_LINES = Fixture("lockfile string, line long, text string", [("crate/Cargo.lock", i, t) for i, t in enumerate(["[[package]]", 'name = "serde"', 'version = "1.0.188"', "", "[[package]]", 'name = "serde"', 'version = "0.9.0"', "[[package]]", 'name = "criterion"', 'version = "0.5.1"'], 1)] + [("poetry.lock", i, t) for i, t in enumerate(["[[package]]", 'name = "flask"', 'version = "2.0.3"'], 1)])
+YARN_LINES = Fixture("lockfile string, line long, text string", [("web/yarn.lock", i, t) for i, t in enumerate(["# yarn lockfile v1", '"@scope/a@^1.0.0", "@scope/a@^1.1.0":', '  version "1.1.4"', "left-pad@npm:^1.3.0:", "  version: 1.3.0"], 1)])
+PACKAGE_JSON = Fixture("manifest string, content string", [("web/package.json", '{"dependencies": {"@scope/a": "^1.0.0", "left-pad": "^1.3.0", "odd": {"x": 1}}, "devDependencies": {"jest": "29"}, "license": "MIT"}'), ("package.json", '{"peerDependencies": {"react": ">=18"}, "optionalDependencies": {"fs": "1"}}'), ("bad/package.json", "{nope")])
+PACKAGE_LOCK = Fixture("lockfile string, content string", [("package-lock.json", '{"packages": {"": {"version": "1"}, "node_modules/react": {"version": "18.2.0"}, "web/node_modules/jest": {"version": "29.7.0"}, "node_modules/x/node_modules/react": {"version": "16.0.0"}}}')])
+NPM_NEEDS = Fixture("folder string, name string, declared string", [("web", "jest", "29"), ("web", "react", ">=18"), ("web/deep/er", "react", ">=18"), ("other", "jest", "29"), ("other", "none", "1")])
+LOCK_FOLDERS = Fixture("lock_folder string, ecosystem string", [("", "npm"), ("web", "npm"), ("crate", "crates"), ("", "pypi")])
+NEED_FOLDERS = Fixture("folder string, ecosystem string", [("web", "npm"), ("web/deep/er", "npm"), ("webby", "npm"), ("crate/sub", "crates"), ("other", "crates"), ("api", "pypi"), ("", "npm")])
+COMPONENT_ROWS = Fixture(
+    "ecosystem string, name string, kind string, declared string, resolved string, source string, manifest string",
+    [("npm", "react", "peer", ">=18", "18.2.0", None, "package.json"), ("npm", "react", "prod", "^18", "18.2.0", "u", "web/package.json"), ("npm", "Axios", "dev", "1", None, None, "web/package.json"), ("crates", "serde", "prod", "1.0", "0.9.0, 1.0.188", None, "crate/Cargo.toml"), ("go", "a/b", "indirect", "v1", "v1", None, "go.mod")],
+)
+REGISTRY = Fixture(
+    "ecosystem string, name string, body string",
+    [
+        ("npm", "react", '{"dist-tags": {"latest": "19.0.0"}}'),
+        ("pypi", "flask", '{"info": {"version": "3.0.0"}}'),
+        ("crates", "serde", '{"crate": {"max_stable_version": null, "newest_version": "1.0.200"}}'),
+        ("go", "a/b", '{"Version": "v2.0.0", "Time": "2024-01-01T00:00:00Z"}'),
+        ("maven", "g:a", '{"response": {"docs": [{"latestVersion": "2.1", "timestamp": 1700000000000}]}}'),
+        ("swift", "pkg", '{"tag_name": "v5.0.1"}'),
+    ],
+)
+RELEASE_DATES = Fixture("version string, published timestamp", [("1.0.0", "2024-01-01 00:00:00"), ("1.1.0-rc.1", "2024-01-05 00:00:00"), ("1.1.0", "2024-01-10 00:00:00"), ("1.2.0", "2024-01-18 06:00:00"), ("2.0.0", "2024-03-01 00:00:00")])
+COUNTS = Fixture(
+    "source string, name string, body string",
+    [
+        ("npm_day", "a", '{"downloads": 10}'),
+        ("pypi", "b", '{"data": {"last_day": 1, "last_week": 7, "last_month": 30}}'),
+        ("crate", "c", '{"crate": {"downloads": 99, "recent_downloads": 9, "max_stable_version": "1.0"}}'),
+        ("docker", "d/e", '{"pull_count": 5, "star_count": 2}'),
+        ("open_vsx", "f/g", '{"downloadCount": 3, "averageRating": 4.5, "reviewCount": 1}'),
+        ("discord", "h", '{"guild": {"name": "H"}, "approximate_member_count": 50, "approximate_presence_count": 5}'),
+        ("brew", "i", '{"analytics": {"install": {"30d": {"i": 4, "i --head": 2}, "90d": {"other": 3, "more": 4}, "365d": {}}}}'),
+        ("crate", "bad name", "{}"),
+        ("docker", "x/y", '{"_error": "HTTP 404"}'),
+    ],
+)
+CAPTURES = Fixture("query string, body string", [("a", '[["timestamp", "original", "statuscode"], ["20240102030405", "http://x.test/", "200"], ["20240203040506", "http://x.test/p", "301"]]'), ("b", "[]")])
+LINKS = Fixture("header string", [('<https://a.test/r?page=2>; rel="next", <https://a.test/r?per_page=1&page=34>; rel="last"',), ('<https://a.test/r?page=1>; rel="prev"',), ("",), (None,)])
+SIGNAL_LINES = Fixture(
+    "file string, line long, text string",
+    [
+        ("src/main.ts", 1, "import posthog from 'posthog-js'"),
+        ("src/main.ts", 2, "posthog.init(key)"),
+        ("src/list.ts", 1, "  'sentry.io',"),
+        ("src/list.ts", 2, "fetch('https://o1.sentry.io/api')"),
+        ("src/list.ts", 3, "const telemetry = optOut"),
+        ("src/list.ts", 4, "@OptIn(Experimental::class)"),
+        ("web/pay.ts", 1, 'import { loadStripe } from "@stripe/stripe-js"'),
+        ("web/pay.ts", 2, 'if (plan === "pro") checkLicense(key)'),
+        ("web/pay.ts", 3, 'const price = "$12.00" // Upgrade now'),
+        (".github/workflows/ci.yml", 1, "STRIPE_LICENSE_KEY: x"),
+        ("electron/main.js", 1, "webPreferences: { nodeIntegration: true, sandbox: false }"),
+        ("electron-builder.yml", 1, "publisherName: X"),
+        ("src/other.ts", 1, "publisherName: X"),
+        ("server/app.py", 1, "app.run(host='0.0.0.0')"),
+    ],
+)
+MARKDOWN = Fixture("doc string, text string", [("m", "# T\nintro\n## A\n" + "a" * 30 + "\n## B\n<table>\n## no cut\n</table>\n### C\n" + "c" * 25 + "\n```\n## no\n```\n## D\nend\n"), ("n", "short"), ("o", "## X\n" + "x" * 100)])
+PAGE_PAIR = Fixture("pair string, side string, line long, text string", [("p", s, i, t) for s, ts in (("old", ["Welcome to the shop", "The plan costs 10 dollars a month", "SUPPORT by phone", "ok", "This sentence goes away entirely", "Welcome to the shop"]), ("new", ["Welcome  to the shop", "The plan costs 12 dollars a month", "support by phone", "A completely fresh line of text"])) for i, t in enumerate(ts, 1)])

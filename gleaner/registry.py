@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from gleaner.queries import components, copy_checks, files, gone, history_queries, page_queries, rule_queries, traction_queries  # noqa: F401
+from gleaner.queries.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
