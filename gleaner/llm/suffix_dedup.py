@@ -36,7 +36,7 @@ from gleaner.llm.shingles import U, mix
 
 GRAM, HOT = 32, 256
 #: Bytes handled at once, and starts put in order at once.
-PIECE, BLOCK, BLOCK_BYTES = 1 << 18, 120_000, 1 << 22
+PIECE, BLOCK, BLOCK_BYTES = 1 << 18, 60_000, 1 << 20
 
 _RNG = np.random.default_rng(77003)
 _BYTE = _RNG.integers(0, 2**63 - 1, 256, dtype=np.int64).astype(U) * U(2) + _RNG.integers(0, 2, 256).astype(U)
@@ -47,7 +47,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=U)
     out[0] = 1
     with np.errstate(over="ignore"):
-        return np.multiply.accumulate(out)
+        return np.multiply.accumulate(out, out=out)
 
 
 class _Rolling:
@@ -57,7 +57,7 @@ class _Rolling:
 
     def __init__(self, data: np.ndarray):
         if len(self.power) <= len(data):
-            size = max(2 * PIECE, 2 * len(data))
+            size = max(PIECE + PIECE // 4, len(data) + len(data) // 4)
             _Rolling.power, _Rolling.inverse = _powers(_B, size), _powers(pow(_B, -1, 2**64), size)
         self.sums = np.zeros(len(data) + 1, U)
         np.cumsum(_BYTE[data] * self.power[: len(data)], out=self.sums[1:])
@@ -113,10 +113,17 @@ def _pieces(texts: list[bytes], window: int) -> Iterator[list[tuple[int, int, by
         yield group
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that only a slice is held as Python objects."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _cut(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in _slices(batches, 1000):
                 for group in _pieces(texts_of(batch.column("text")), window):
                     size = np.array([len(x) for _, _, x in group])
                     start = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -138,7 +145,7 @@ def _contexts(window: int):
     """Rows (text, wanted: array of segments) to the segments' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 500):
             texts = texts_of(batch.column("text"))
             for i, wanted in enumerate(batch.column("wanted")):
                 wanted = wanted.as_py()
@@ -226,7 +233,7 @@ def _suffix_blocks(window: int, keep: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, starts, size, last = [], 0, 0, None
-        for batch in batches:
+        for batch in _slices(batches, 1000):
             for r in batch.to_pylist():
                 if r["kh"] != last and (starts >= BLOCK or size >= BLOCK_BYTES):
                     if (out := _block(held, window, keep)) is not None:
@@ -251,7 +258,7 @@ def _halves(window: int, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, 1024):
-                out = []
+                out: list[tuple] = []
                 for r in batch.slice(part, 1024).to_pylist():
                     x, at = r["bytes"], r["at"]
                     least = at - (len(x) - window)
@@ -326,7 +333,7 @@ def _apply(window: int, text: bool):
     """Rows (doc_id, text, marks) to the result columns, with the kept text or without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1000):
             out = []
             for t, marks in zip(texts_of(batch.column("text")), batch.column("marks"), strict=True):
                 spans: list[list[int]] = []
