@@ -35,6 +35,8 @@ from gleaner.llm.shingles import shingle_sets
 RARE = 16
 #: Sizes of sets whose frequent tokens are indexed in combinations of two.
 LOW, HIGH = 18, 100
+#: Up to this size a node's keys carry the tokens before them, so that a pair is made at its first common key only.
+LISTED = 512
 
 _SETS = "rid long, doc_id long, k1 long, n long, s1 long, s2 long, prefix array<long>"
 
@@ -143,7 +145,7 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
     # skip and prev let a pair be made at its first common key only, with a bound from the keys before it.
     order = order.withColumn("f", F.expr(f"transform(filter(head, e -> e.df > {RARE}), e -> e.tok)")).withColumn("h", F.expr("transform(head, e -> e.tok)"))
     none = "cast(array() as array<bigint>)"
-    single = f"filter(transform(head, (e, i) -> struct(e.tok as key, e.df > {RARE} as hot, e.df <= {RARE} or (({singly}) and i < {p} - u) as keep, if(n <= {HIGH}, u + i, u) as skip, if(n <= {HIGH} and e.df > {RARE}, slice(h, 1, i), {none}) as prev)), e -> e.keep)"
+    single = f"filter(transform(head, (e, i) -> struct(e.tok as key, e.df > {RARE} as hot, e.df <= {RARE} or (({singly}) and i < {p} - u) as keep, if(n <= {LISTED}, u + i, u) as skip, if(n <= {LISTED} and e.df > {RARE}, slice(h, 1, i), {none}) as prev)), e -> e.keep)"
     two = "struct(xxhash64(f[i - 1], f[j - 1]) as key, true as hot, true as keep, u + size(h) - size(f) + j - 2 as skip, array_remove(slice(h, 1, size(h) - size(f) + j - 1), f[i - 1]) as prev)"
     double = f"if(n between {LOW} and {HIGH} and size(f) > 1, flatten(transform(sequence(1, size(f) - 1), i -> transform(sequence(i + 1, size(f)), j -> {two}))), array())"
     order = order.withColumn("keys", F.expr(f"concat({single}, {double})"))
@@ -163,7 +165,7 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
     named = materialize(named.join(mixed, "key", "left_semi"), "jaccard-mixed")
     a, b = (named.select("key", *[F.col(c).alias(c + s) for c in ("rid", "n", "u", "label", "skip", "prev")]) for s in "xy")
     cross = a.join(b, "key").where("ridx < ridy and labelx <> labely").where(_enough("least(nx, ny)", "nx", "ny", t)).where(allowed("nx", "ux", "ny", "uy"))
-    cross = cross.where(f"greatest(nx, ny) > {HIGH} or (not arrays_overlap(prevx, prevy) and {allowed('nx', 'skipx', 'ny', 'skipy')})")
+    cross = cross.where(f"greatest(nx, ny) > {LISTED} or (not arrays_overlap(prevx, prevy) and {allowed('nx', 'skipx', 'ny', 'skipy')})")
     late = materialize(_verify(cross.select(F.col("ridx").alias("x"), F.col("ridy").alias("y")).distinct(), sets, t), "jaccard-late")
     discard(shared, keyed, found)
 
