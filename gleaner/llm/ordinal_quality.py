@@ -1,12 +1,12 @@
 """Quality grades by ordinal cumulative-link regression over hashed text.
 
 P(grade >= k) is the logistic function of s(text) - threshold k; all thresholds share the score s. Features are hashed
-words (present or not) and hashed word shapes (share of all words). The score is a sum over the text's distinct words
+words and word beginnings (present or not), hashed word shapes (share of all words) and how much repeats. The score is a sum over the text's distinct words
 and shapes, so documents are scored in one pass without a shuffle.
 
 The model is fitted on at most ``sample`` labelled documents, those with the smallest hash of their id; that bound is
-the only limit, everything is scored. Of the words only those whose presence moves the mean grade by at least MOVES
-standard errors get weights, so that rare words do not add up to noise in long texts.
+the only limit, everything is scored. Of the words only those whose presence moves the share of grades at or above some
+threshold by at least MOVES standard errors get weights, so that rare words do not add up to noise in long texts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import texts_of
 
-SAMPLE, BITS, MOVES, STEPS = 4000, 18, 4.0, 400
+SAMPLE, BITS, MOVES, STEPS = 6000, 18, 6.0, 800
 _SHAPES = 1 << BITS
 _CLASS = str.maketrans({**{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "0" for c in range(48, 58)}})
 
@@ -38,20 +38,26 @@ def shape(word: str) -> str:
     return "".join(out[:8])
 
 
-def word_features(word: str) -> tuple[int, int]:
-    """Buckets of a word's letters and of its shape; the second kind has numbers of its own."""
+def word_features(word: str) -> tuple[int, int, int]:
+    """Buckets of a word's letters, of how they begin and of the word's shape; the last kind has numbers of its own."""
     letters = "".join(c for c in word.lower() if c.isalpha())
-    return xxhash.xxh32_intdigest(letters) & (_SHAPES - 1), _SHAPES + (xxhash.xxh32_intdigest(shape(word), 7) & 4095)
+    begin = xxhash.xxh32_intdigest(letters[:4], 3) & (_SHAPES - 1) if len(letters) >= 4 else xxhash.xxh32_intdigest(letters) & (_SHAPES - 1)
+    return xxhash.xxh32_intdigest(letters) & (_SHAPES - 1), begin, _SHAPES + (xxhash.xxh32_intdigest(shape(word), 7) & 4095)
+
+
+def repetition(distinct: int, total: int) -> int:
+    """Bucket of the share of words that occurred before, in tenths, apart for texts of a few words and of many."""
+    return 2 * _SHAPES + 10 * min(3, total.bit_length() // 3) + min(9, 10 * (total - distinct) // max(total, 1))
 
 
 def features(text: str) -> dict[int, float]:
-    """Sparse features of a text."""
+    """Sparse features of a text: words and their beginnings (1 if present), shapes (share of words), repetition."""
     counts = Counter(text.split())
     total = sum(counts.values())
-    out: dict[int, float] = {}
+    out: dict[int, float] = {repetition(len(counts), total): 1.0}
     for word, n in counts.items():
-        w, s = word_features(word)
-        out[w] = 1.0
+        w, begin, s = word_features(word)
+        out[w] = out[begin] = 1.0
         out[s] = out.get(s, 0.0) + n / total
     return out
 
@@ -68,22 +74,26 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - np.array(self.thresholds)[None, :], -35, 35)))
 
 
-def fit(rows: list[dict[int, float]], grades: np.ndarray, levels: int, l2: float = 1e-3, steps: int = STEPS) -> OrdinalModel:
-    """Maximum likelihood of the cumulative-link model with a ridge penalty, by Adam over all rows."""
+def fit(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels: int, l2: float = 1e-4, steps: int = STEPS) -> OrdinalModel:
+    """Maximum likelihood of the cumulative-link model with a ridge penalty, by Adam over all rows.
+
+    bucket, value: the rows' features one after the other; sizes: how many each row has.
+    """
     if not len(grades):
         return OrdinalModel({}, [-30.0] * (levels - 1))
-    mean, spread = grades.mean(), max(grades.std(), 1e-9)
-    bucket = np.concatenate([np.fromiter(r, np.int64, len(r)) for r in rows]) if rows else np.zeros(0, np.int64)
-    value = np.concatenate([np.fromiter(r.values(), float, len(r)) for r in rows]) if rows else np.zeros(0)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     known, at = np.unique(bucket, return_inverse=True)
     df = np.bincount(at, minlength=len(known))
-    moved = np.abs(np.bincount(at, grades[owner] - mean, minlength=len(known))) / (spread * np.sqrt(df))
+    moved = np.zeros(len(known))
+    for k in range(1, levels):
+        above = (grades >= k).astype(float)
+        spread = max(above.std(), 1e-9)
+        moved = np.maximum(moved, np.abs(np.bincount(at, (above - above.mean())[owner], minlength=len(known))) / (spread * np.sqrt(df)))
     chosen = np.where(known < _SHAPES, (df >= 3) & (moved >= MOVES), df >= 5)
     new = np.cumsum(chosen) - 1
     use = chosen[at]
     at, value, owner = new[at[use]], value[use], owner[use]
-    m, n = int(chosen.sum()), len(rows)
+    m, n = int(chosen.sum()), len(sizes)
     # theta: the first threshold and the logarithms of the steps to the next ones.
     share = [np.clip((grades >= k).mean(), 1e-3, 1 - 1e-3) for k in range(1, levels)]
     first = [-np.log(s / (1 - s)) for s in share]
@@ -122,8 +132,9 @@ def fit_on(docs: DataFrame, graded: DataFrame, levels: int, sample: int = SAMPLE
     few = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(few), "doc_id").select("grade", "text")
     got = rows.mapInArrow(_sparse, "grade int, bucket array<int>, value array<float>").toPandas()
-    order = sorted(range(len(got)), key=lambda i: (got.grade[i], len(got.bucket[i]), list(got.bucket[i][:5])))
-    return fit([dict(zip(map(int, got.bucket[i]), map(float, got.value[i]), strict=True)) for i in order], np.array([int(got.grade[i]) for i in order], dtype=np.int64), levels)
+    got = got.assign(size=got.bucket.map(len), head=got.bucket.map(lambda b: tuple(b[:5]))).sort_values(["grade", "size", "head"])  # one order, however rows came
+    join = lambda c, kind: np.concatenate([np.asarray(x, dtype=kind) for x in got[c]]) if len(got) else np.zeros(0, kind)
+    return fit(join("bucket", np.int32), join("value", np.float32).astype(float), got["size"].to_numpy(dtype=np.int64), got["grade"].to_numpy(dtype=np.int64), levels)
 
 
 def _score(model: OrdinalModel, carry: tuple[str, ...], held: list[str]):
@@ -133,16 +144,17 @@ def _score(model: OrdinalModel, carry: tuple[str, ...], held: list[str]):
             scores = []
             for t in texts_of(batch.column("text")):
                 counts = Counter(t.decode("utf-8", "replace").split())
-                total, s, seen = sum(counts.values()), 0.0, set()
+                total, seen = sum(counts.values()), set()
+                s = weights.get(repetition(len(counts), total), 0.0)
                 for word, n in counts.items():
                     f = known.get(word)
                     if f is None:
-                        w, sh = word_features(word)
+                        w, begin, sh = word_features(word)
                         if len(known) > 500_000:
                             known.clear()
-                        f = known[word] = (w if w in weights else -1, weights.get(sh, 0.0))
-                    if f[0] >= 0:
-                        seen.add(f[0])
+                        f = known[word] = (tuple({w, begin} & weights.keys()), weights.get(sh, 0.0))
+                    if f[0]:
+                        seen.update(f[0])
                     s += f[1] * n / total
                 scores.append(s + sum(weights[w] for w in sorted(seen)))
             tails = model.tails(np.array(scores, dtype=float).reshape(-1))
