@@ -21,12 +21,6 @@ def commits_per_author(commits: DataFrame) -> DataFrame:
     return names.groupBy("author_key").agg(F.min_by("name", F.struct(-F.col("n"), F.col("name"))).alias("author"), F.sum("n").alias("commits"))
 
 
-def ranked(counts: DataFrame, key: str, value: str) -> DataFrame:
-    """Rank, running sum and total over one row per key, largest first, ties by key."""
-    w = Window.orderBy(F.desc(value), key)
-    return counts.withColumns({"rank": F.row_number().over(w), "running": F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum(value).over(Window.partitionBy())})
-
-
 def bus_factor(counts: DataFrame, key: str, value: str) -> DataFrame:
     """One row: the fewest keys, largest first, that hold half of all; 0 for none.
 
