@@ -167,9 +167,9 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
     cross = a.join(b, "key").where("ridx < ridy and labelx <> labely").where(_enough("least(nx, ny)", "nx", "ny", t)).where(allowed("nx", "ux", "ny", "uy"))
     cross = cross.where(f"greatest(nx, ny) > {LISTED} or (not arrays_overlap(prevx, prevy) and {allowed('nx', 'skipx', 'ny', 'skipy')})")
     late = materialize(_verify(cross.select(F.col("ridx").alias("x"), F.col("ridy").alias("y")).distinct(), sets, t), "jaccard-late")
-    discard(shared, keyed, found)
 
     label = connected_components(links.unionByName(late), "jaccard-components")
+    discard(common, shared, facts, pairs, sets, keyed, named, links, late, found)
     named = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep", "rid"))
     named = named.withColumn("label", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("rid")))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
