@@ -78,3 +78,8 @@ def units(lines: DataFrame, *keep: str) -> DataFrame:
     """Distinct units of a price line, in order, in lower case."""
     found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(UNIT), 1), lambda x: F.lower(x))))
     return lines.where(F.col("text").rlike(PRICE)).select(*keep, F.array_join(found, ",").alias("units"))
+
+
+def on_domains(host, domains: list[str]):
+    """The host is one of the domains or below one."""
+    return F.exists(F.array(*[F.lit(d) for d in domains]), lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d)))

@@ -1,4 +1,4 @@
-"""Line rules from the fixed tables, each with a gate of substrings that any match must contain."""
+"""Line rules from the fixed tables (S20), each with a gate of substrings that any match must contain."""
 
 from __future__ import annotations
 

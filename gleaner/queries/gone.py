@@ -81,7 +81,7 @@ def benchmark_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES ('p', 2, 'reworded', 'The plan costs 10 dollars a month', 'The plan costs 12 dollars a month', 0.97), ('p', 5, 'removed', 'This sentence goes away entirely', NULL, NULL)) t(pair, line, fate, before, after, ratio)")
 def reworded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old lines that are gone or reworded; the SQL states the rows."""
+    """Old lines that are gone or reworded; the SQL states the rows."""
     return R.reworded(X.PAGE_PAIR.df(spark))
 
 

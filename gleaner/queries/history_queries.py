@@ -42,7 +42,7 @@ def bus_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT strftime(ts, '%G') || '-W' || strftime(ts, '%V') AS week, count(*)::BIGINT AS commits, count(*) FILTER (WHERE event_type <> 'refund')::BIGINT AS non_merge FROM events GROUP BY 1")
 def weekly_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A10: rows per ISO week; 'refund' stands for merges."""
+    """Rows per ISO week; 'refund' stands for merges."""
     return H.weekly(table(spark, sf_dir, "events"), F.col("ts"), F.col("event_type") == "refund")
 
 

@@ -152,3 +152,30 @@ def saved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names of saved answers and pages."""
     u = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", T.slug(u).alias("answer_file"), T.page_slug(u).alias("page_file"), (u.contains("://") | u.startswith("git@")).alias("is_url"))
+
+
+@query("SELECT doc_id, CASE WHEN length(trim(text)) <= 160 THEN trim(text) ELSE substr(trim(text), 1, 157) || '...' END AS snippet FROM documents")
+def document_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text, cut to 160 characters."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
+
+
+_OFFERS = X.Fixture("file string, text string", [("a.ts", "see https://shop.corp.test/pricing now"), ("a.ts", "https://corp.test/upgrade?x=1"), ("b.ts", "https://notcorp.test/pricing"), ("b.ts", "https://other.test/buy "), ("c.ts", "no offer")])
+_OFFER_HOST = "lower(regexp_extract(text, 'https?://([A-Za-z0-9.-]+\\.[A-Za-z]{2,})', 1))"
+
+
+@query(f"SELECT file, {_OFFER_HOST} AS host FROM {_OFFERS.sql()} WHERE {_OFFER_HOST} = 'corp.test' OR ends_with({_OFFER_HOST}, '.corp.test')")
+def own_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers that link to an own domain or a subdomain of one."""
+    host = T.host_of(F.col("text"))
+    return _OFFERS.df(spark).select("file", host.alias("host")).where(P.on_domains(F.col("host"), ["corp.test"]))
+
+
+_RELEASES = X.Fixture("tag string, body string", [("v1", '[{"name": "a.dmg", "download_count": 3}, {"name": "b.exe", "download_count": 4}]'), ("v2", "[]")])
+
+
+@query(f"SELECT tag, json_extract_string(a, '$.name') AS name, json_extract_string(a, '$.download_count')::BIGINT AS downloads FROM (SELECT tag, unnest(CAST(body AS JSON[])) AS a FROM {_RELEASES.sql()})")
+def release_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested assets of releases as rows."""
+    rows = _RELEASES.df(spark).select("tag", F.explode(F.from_json("body", "array<struct<name: string, download_count: long>>")).alias("a"))
+    return rows.select("tag", "a.name", F.col("a.download_count").alias("downloads"))

@@ -13,7 +13,7 @@ TREE_SCHEMA = "path string, length long, content binary"
 
 
 def tree(spark: SparkSession, root: str, names: str | None = None, most_bytes: int | None = None, with_skipped: bool = False) -> DataFrame:
-    """(rel_path, length, content) of files below root; names is a glob of file names.
+    """(rel_path, length, content) of files below root; names is a glob of file names.
 
     The size limit is a filter on the source's own column, so larger files are not read.
     """
