@@ -14,12 +14,18 @@ CHUNK_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or the one this session set; a local one only where both are unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if at:
-        return at.rstrip("/")
-    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    return "file:///tmp/checkpoints"
+    """The folder that all executors share: spark.checkpoint.dir, or the one this session set.
+
+    Where neither is set, a folder of the default file system; on a cluster that must not be a machine's own disk.
+    """
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        sc.setCheckpointDir("/tmp/checkpoints")
+        at = sc.getCheckpointDir()
+        if at.startswith("file:") and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return at.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
