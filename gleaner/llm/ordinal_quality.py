@@ -17,13 +17,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import texts_of
 
-SAMPLE, BITS, MOVES, STEPS = 6000, 18, 6.0, 800
+SAMPLE, BITS, MOVES, STEPS = 4000, 18, 6.0, 800
 _SHAPES = 1 << BITS
 _CLASS = str.maketrans({**{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "0" for c in range(48, 58)}})
 
@@ -82,6 +83,7 @@ def fit(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades: np.nda
     if not len(grades):
         return OrdinalModel({}, [-30.0] * (levels - 1))
     owner = np.repeat(np.arange(len(sizes)), sizes)
+    value = value.astype(np.float32)
     known, at = np.unique(bucket, return_inverse=True)
     df = np.bincount(at, minlength=len(known))
     moved = np.zeros(len(known))
@@ -123,18 +125,17 @@ def fit(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades: np.nda
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(t.decode("utf-8", "replace")) for t in texts_of(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.float32()))], ["grade", "bucket", "value"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.float32()))], ["doc_id", "grade", "bucket", "value"])
 
 
 def fit_on(docs: DataFrame, graded: DataFrame, levels: int, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> OrdinalModel:
     """Fit on at most sample rows of graded (doc_id, grade in 0 .. levels - 1). Null ids or grades don't count; of several grades of one id the lowest does."""
     graded = graded.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     few = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(few), "doc_id").select("grade", "text")
-    got = rows.mapInArrow(_sparse, "grade int, bucket array<int>, value array<float>").toPandas()
-    got = got.assign(size=got.bucket.map(len), head=got.bucket.map(lambda b: tuple(b[:5]))).sort_values(["grade", "size", "head"])  # one order, however rows came
-    join = lambda c, kind: np.concatenate([np.asarray(x, dtype=kind) for x in got[c]]) if len(got) else np.zeros(0, kind)
-    return fit(join("bucket", np.int32), join("value", np.float32).astype(float), got["size"].to_numpy(dtype=np.int64), got["grade"].to_numpy(dtype=np.int64), levels)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "grade", "text")
+    got = rows.mapInArrow(_sparse, "doc_id long, grade int, bucket array<int>, value array<float>").toArrow().sort_by("doc_id")  # one order, however rows came
+    flat = lambda c: got[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return fit(flat("bucket"), flat("value"), pc.list_value_length(got["bucket"]).to_numpy(), got["grade"].to_numpy().astype(np.int64), levels)
 
 
 def _score(model: OrdinalModel, carry: tuple[str, ...], held: list[str]):
