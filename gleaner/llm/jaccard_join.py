@@ -108,7 +108,7 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
         rows = table.select("rid", "doc_id", "k1", "text")
     found = materialize(rows.mapInArrow(_sizes(True, width, t), _SETS), "jaccard-sets")
 
-    nodes = found.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("rep"))
+    nodes = materialize(found.where("n > 0").groupBy("s1", "s2").agg(F.min("rid").alias("rep")), "jaccard-nodes")
     member = materialize(found.select("rid", "doc_id", "n", "s1", "s2").join(nodes, ["s1", "s2"], "left").select("rid", "doc_id", "n", "rep"), "jaccard-members")
     heads = found.join(member.where("rid = rep").select("rid"), "rid", "left_semi")
 
@@ -169,7 +169,7 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
     late = materialize(_verify(cross.select(F.col("ridx").alias("x"), F.col("ridy").alias("y")).distinct(), sets, t), "jaccard-late")
 
     label = connected_components(links.unionByName(late), "jaccard-components")
-    discard(common, shared, facts, pairs, sets, keyed, named, links, late, found)
+    discard(nodes, common, shared, facts, pairs, sets, keyed, named, links, late, found)
     named = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep", "rid"))
     named = named.withColumn("label", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("rid")))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
