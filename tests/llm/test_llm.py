@@ -359,20 +359,62 @@ def test_search_leaves_out_unusable_vectors(spark):
 # Pipeline ------------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline_stages_take_effect(spark):
+def test_pipeline_stages_against_plain_versions(spark):
     import corpus_pipeline as P
+    from tokenizers import Tokenizer
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    count, columns = docs.count(), docs.columns
-    for name, stage in P.STAGES[:-1]:
-        docs = P.materialize(stage(spark, docs, sf), f"test-{name}")
-        now = docs.count()
-        assert docs.columns == columns and 0 < now <= count
-        count = now
-    pieces = P.STAGES[-1][1](spark, docs, sf)
-    assert pieces.where("start = 0").count() == count
-    assert P.run(spark, sf).count() == pieces.count()
+    stages, tables = dict(P.STAGES), {"documents": [tuple(r) for r in docs.select(*P.COLUMNS).collect()]}
+    before = "documents"
+    for name in list(stages)[:-1]:
+        docs = P.materialize(stages[name](spark, docs, sf), f"test-{name}")
+        assert sorted(docs.columns) == sorted(P.COLUMNS)
+        tables[name] = [tuple(r) for r in docs.select(*P.COLUMNS).collect()]
+        assert 0 < len(tables[name]) <= len(tables[before])
+        before = name
+
+    # Rejected documents go, the others stay as they are.
+    model = ordinal_quality.fit_on(spark.read.parquet(f"{sf}/documents.parquet"), ordinal_quality.label_grades(spark.read.parquet(f"{sf}/labels.parquet")), 3)
+    score = np.array([sum(model.weights.get(k, 0.0) * v for k, v in ordinal_quality.features(r[1]).items()) for r in tables["documents"]])
+    stay = model.tails(score)[:, -1]
+    sure = [r for r, p in zip(tables["documents"], stay, strict=True) if p >= 0.5 + 1e-6]
+    unsure = [r for r, p in zip(tables["documents"], stay, strict=True) if abs(p - 0.5) < 1e-6]
+    assert set(sure) <= set(tables["quality"]) <= set(sure) | set(unsure)
+
+    # Lines over a tenth of a source's documents, and five, go.
+    pages, held = collections.Counter(r[3] for r in tables["quality"]), collections.Counter()
+    for r in tables["quality"]:
+        held.update({(r[3], x.strip(" ")) for x in r[1].split("\n") if x.strip(" ")})
+    cut = lambda r: "\n".join(x for x in r[1].split("\n") if not x.strip(" ") or held[r[3], x.strip(" ")] < 5 or held[r[3], x.strip(" ")] <= 0.1 * pages[r[3]])
+    assert sorted(tables["lines"]) == sorted((r[0], t := cut(r), r[2], r[3], len(t)) for r in tables["quality"])
+
+    # Of each group of near duplicates the smallest id stays.
+    groups = plain_components([(r[0], r[1]) for r in tables["lines"]], 5, 80)
+    least = {d for d, n, c in groups if n == 0 or d == c}
+    assert sorted(tables["near_duplicates"]) == sorted(r for r in tables["lines"] if r[0] in least)
+
+    # Later copies of 200 bytes go; what is left of cut characters too.
+    seen, want = set(), []
+    for r in sorted(tables["near_duplicates"]):
+        b = r[1].encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            x = b[i : i + 200]
+            if x in seen:
+                gone[i : i + 200] = b"\1" * 200
+            seen.add(x)
+        t = bytes(c for c, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+        want.append((r[0], t, r[2], r[3], len(t)))
+    assert sorted(tables["repeats"]) == sorted(want)
+
+    pieces = stages["packing"](spark, docs, sf).collect()
+    t = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    sizes = collections.Counter()
+    for p in pieces:
+        sizes[p["doc_id"]] += p["length"]
+    assert sizes == {r[0]: len(t.encode(r[1], add_special_tokens=False).ids) + 1 for r in tables["repeats"]}
+    assert P.run(spark, sf).count() == len(pieces)
 
 
 def test_registered_queries_equal_their_sql(spark):
