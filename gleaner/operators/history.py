@@ -93,9 +93,11 @@ def release_gaps(tags: DataFrame) -> DataFrame:
     The neighbours are found over one row per tag; the gaps' median is exact.
     """
     w = Window.orderBy("date", "tag")
-    rows = tags.where(F.col("tag").rlike(VERSION_TAG)).withColumn("gap", (F.unix_micros("date") - F.unix_micros(F.lag("date").over(w))) / F.lit(3_600_000_000.0))
-    at = F.struct("date", "tag")
-    return rows.agg(F.count("*").alias("version_tags"), F.min_by("tag", at).alias("first_tag"), F.max_by("tag", at).alias("last_tag"), F.avg("gap").alias("mean_gap_hours"), F.median("gap").alias("median_gap_hours"), F.count_if(F.col("gap") < 24).alias("gaps_under_24h"))
+    rows = tags.where(F.col("tag").rlike(VERSION_TAG)).withColumn("gap", F.unix_micros("date") - F.unix_micros(F.lag("date").over(w)))
+    at, hour = F.struct("date", "tag"), 3_600_000_000
+    # Whole microseconds are summed, so that the mean does not depend on the order of rows.
+    mean = F.sum("gap").cast("double") / (F.count("gap") * hour).cast("double")
+    return rows.agg(F.count("*").alias("version_tags"), F.min_by("tag", at).alias("first_tag"), F.max_by("tag", at).alias("last_tag"), F.when(F.count("gap") > 0, mean).alias("mean_gap_hours"), (F.median("gap") / F.lit(float(hour))).alias("median_gap_hours"), F.count_if(F.col("gap") < 24 * hour).alias("gaps_under_24h"))
 
 
 def recent_tags(tags: DataFrame, top: int = 10) -> DataFrame:

@@ -18,7 +18,7 @@ def _found(spark: SparkSession) -> DataFrame:
     return L.findings(X.COPY.df(spark), "doc", [r[0] for r in X.FORBIDDEN.rows], ["Rival"])
 
 
-@query(f"SELECT * FROM {_FINDINGS}")
+@query(f"SELECT doc, line::BIGINT AS line, rule, detail FROM {_FINDINGS}")
 def claims_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all rules outside code and muted parts; the SQL states the rows."""
     return _found(spark)
@@ -57,7 +57,7 @@ def denied_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(hit).select("file", "term")
 
 
-@query("SELECT * FROM (VALUES ('m', 0, 0, 78, NULL), ('m', 1, 78, 55, NULL), ('n', 0, 0, 5, NULL), ('o', 0, 0, 105, 'a section is longer than 80 characters')) t(doc, part, start, chars, error)")
+@query("SELECT doc, part::BIGINT AS part, start::BIGINT AS start, chars::BIGINT AS chars, error FROM (VALUES ('m', 0, 0, 78, NULL), ('m', 1, 78, 55, NULL), ('n', 0, 0, 5, NULL), ('o', 0, 0, 105, 'a section is longer than 80 characters')) t(doc, part, start, chars, error)")
 def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fewest parts of at most 80 characters, evenly; the SQL states the rows."""
     return DOC.split_documents(X.MARKDOWN.df(spark), "doc", "text", 80)

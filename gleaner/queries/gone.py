@@ -28,7 +28,7 @@ def outermost_gone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.outermost_gone(X.TREE_OLD.df(spark), X.TREE_NEW.df(spark))
 
 
-@query("SELECT * FROM (VALUES ('old', 3, 2, 'moved', 'new', NULL), ('gone', 2, 0, 'removed', NULL, 'source_and_other'), ('tests', 1, 0, 'removed', NULL, 'tests')) t(folder, files, renamed, fate, destination, kind)")
+@query("SELECT folder, files::BIGINT AS files, renamed::BIGINT AS renamed, fate, destination, kind FROM (VALUES ('old', 3, 2, 'moved', 'new', NULL), ('gone', 2, 0, 'removed', NULL, 'source_and_other'), ('tests', 1, 0, 'removed', NULL, 'tests')) t(folder, files, renamed, fate, destination, kind)")
 def vanished_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moved or removed; the SQL states the rows."""
     return R.vanished_folders(X.TREE_OLD.df(spark), X.TREE_NEW.df(spark), X.TREE_CHANGES.df(spark))
@@ -52,7 +52,7 @@ def deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(C.removed_kind(F.col("old")).alias("kind"), C.top_folder(F.col("old")).alias("top")).agg(F.count("*").alias("files"))
 
 
-@query("SELECT * FROM (VALUES ('docs/manual.md', 6, 2, 'Old *part*'), ('docs/manual.md', 7, 3, '[Link](x) here')) t(file, line, level, title)")
+@query("SELECT file, line::BIGINT AS line, level, title FROM (VALUES ('docs/manual.md', 6, 2, 'Old *part*'), ('docs/manual.md', 7, 3, '[Link](x) here')) t(file, line, level, title)")
 def removed_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings the new version lacks; renumbered ones are none. The SQL states the rows."""
     return R.removed_headings(X.DOC_VERSIONS.df(spark))
@@ -79,7 +79,7 @@ def benchmark_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(known, "key", "left").groupBy("source").agg(F.count("*").alias("keys"), F.count("hit").alias("in_benchmark"))
 
 
-@query("SELECT * FROM (VALUES ('p', 2, 'reworded', 'The plan costs 10 dollars a month', 'The plan costs 12 dollars a month', 0.97), ('p', 5, 'removed', 'This sentence goes away entirely', NULL, NULL)) t(pair, line, fate, before, after, ratio)")
+@query("SELECT pair, line::BIGINT AS line, fate, before, after, ratio::DOUBLE AS ratio FROM (VALUES ('p', 2, 'reworded', 'The plan costs 10 dollars a month', 'The plan costs 12 dollars a month', 0.97), ('p', 5, 'removed', 'This sentence goes away entirely', NULL, NULL)) t(pair, line, fate, before, after, ratio)")
 def reworded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old lines that are gone or reworded; the SQL states the rows."""
     return R.reworded(X.PAGE_PAIR.df(spark))

@@ -53,7 +53,7 @@ def event_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, min(ts) AS first FROM events GROUP BY 1), g AS (SELECT first, epoch_us(first) - epoch_us(lag(first) OVER (ORDER BY first)) AS gap FROM d)
-SELECT count(*)::BIGINT AS days, avg(gap) / 3600000000.0 AS mean_gap_hours, median(gap) / 3600000000.0 AS median_gap_hours, count(*) FILTER (WHERE gap < 86400000000)::BIGINT AS gaps_under_24h FROM g""")
+SELECT count(*)::BIGINT AS days, sum(gap)::DOUBLE / (count(gap) * 3600000000)::DOUBLE AS mean_gap_hours, median(gap) / 3600000000::DOUBLE AS median_gap_hours, count(*) FILTER (WHERE gap < 86400000000)::BIGINT AS gaps_under_24h FROM g""")
 def first_event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps between the first events of days."""
     firsts = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.min("ts").cast("timestamp").alias("date")).select(F.concat(F.lit("v1."), F.date_format("day", "yyyyMMdd")).alias("tag"), "date")
@@ -113,8 +113,8 @@ def fix_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TAGS = f"(SELECT * FROM {X.TAGS.sql()} WHERE regexp_matches(tag, {quote(C.VERSION_TAG)}))"
 
 
-@query(f"""WITH g AS (SELECT tag, date, (epoch_us(date) - epoch_us(lag(date) OVER (ORDER BY date, tag))) / 3600000000.0 AS gap FROM {_TAGS})
-SELECT count(*)::BIGINT AS version_tags, first(tag ORDER BY date, tag) AS first_tag, last(tag ORDER BY date, tag) AS last_tag, avg(gap) AS mean_gap_hours, median(gap) AS median_gap_hours, count(*) FILTER (WHERE gap < 24)::BIGINT AS gaps_under_24h FROM g""")
+@query(f"""WITH g AS (SELECT tag, date, epoch_us(date) - epoch_us(lag(date) OVER (ORDER BY date, tag)) AS gap FROM {_TAGS})
+SELECT count(*)::BIGINT AS version_tags, first(tag ORDER BY date, tag) AS first_tag, last(tag ORDER BY date, tag) AS last_tag, sum(gap)::DOUBLE / (count(gap) * 3600000000)::DOUBLE AS mean_gap_hours, median(gap) / 3600000000::DOUBLE AS median_gap_hours, count(*) FILTER (WHERE gap < 86400000000)::BIGINT AS gaps_under_24h FROM g""")
 def release_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version tags and the gaps between them."""
     return H.release_gaps(X.TAGS.df(spark))

@@ -103,7 +103,7 @@ def manifest_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOCKS = X.Fixture("name string, content string", [("package-lock.json", '{"packages": {"": {}, "node_modules/a": {}, "node_modules/b": {}}}'), ("Cargo.lock", "[[package]]\nname = 1\n[[package]]\n"), ("go.sum", "a v1 h1:x\na v1/go.mod h1:y\nb v2 h1:z\n"), ("Podfile.lock", "PODS:\n  - A (1)\n  - B (2):\n    - A\n\nDEPENDENCIES:\n  - A\n"), ("yarn.lock", 'a@^1:\n  version "1"\n"@b/c@^2", "@b/c@^3":\n  version "2"\n'), ("other.lock", "x")])
 
 
-@query("SELECT * FROM (VALUES ('package-lock.json', 2), ('Cargo.lock', 2), ('go.sum', 2), ('Podfile.lock', 2), ('yarn.lock', 2), ('other.lock', 0)) t(name, entries)")
+@query("SELECT name, entries::BIGINT AS entries FROM (VALUES ('package-lock.json', 2), ('Cargo.lock', 2), ('go.sum', 2), ('Podfile.lock', 2), ('yarn.lock', 2), ('other.lock', 0)) t(name, entries)")
 def lock_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages in lock files."""
     return _LOCKS.df(spark).select("name", M.lock_entries(F.col("name"), F.col("content")).alias("entries"))
