@@ -5,8 +5,10 @@ words and word beginnings (present or not), hashed word shapes (share of all wor
 and shapes, so documents are scored in one pass without a shuffle.
 
 The model is fitted on at most ``sample`` labelled documents, those with the smallest hash of their id; that bound is
-the only limit, everything is scored. Of the words only those whose presence moves the share of grades at or above some
-threshold by at least MOVES standard errors get weights, so that rare words do not add up to noise in long texts.
+the only limit, everything is scored. A word's ridge penalty grows as fewer standard errors part the share of some one
+grade among the documents that hold it from that grade's share of all: from MOVES on it is the plain one, below it is
+(MOVES / errors) ** 24 times that. So rare words do not add up to noise in long texts, and words that only documents of
+a rare grade hold get weights from a few documents on. Words of one document and below FAINT errors have none.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import texts_of
 
-SAMPLE, BITS, MOVES, STEPS = 4000, 18, 6.0, 800
+SAMPLE, BITS, MOVES, FAINT, STEPS = 4000, 18, 6.0, 2.0, 800
 _SHAPES = 1 << BITS
 _CLASS = str.maketrans({**{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "0" for c in range(48, 58)}})
 
@@ -75,8 +77,8 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - np.array(self.thresholds)[None, :], -35, 35)))
 
 
-def fit(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels: int, l2: float = 1e-4, steps: int = STEPS) -> OrdinalModel:
-    """Maximum likelihood of the cumulative-link model with a ridge penalty, by Adam over all rows.
+def fit(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels: int, l2: float = 3e-5, steps: int = STEPS) -> OrdinalModel:
+    """Maximum likelihood of the cumulative-link model with a ridge penalty, by Adam over all rows, its step falling to zero.
 
     bucket, value: the rows' features one after the other; sizes: how many each row has.
     """
@@ -87,14 +89,15 @@ def fit(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades: np.nda
     known, at = np.unique(bucket, return_inverse=True)
     df = np.bincount(at, minlength=len(known))
     moved = np.zeros(len(known))
-    for k in range(1, levels):
-        above = (grades >= k).astype(float)
-        spread = max(above.std(), 1e-9)
-        moved = np.maximum(moved, np.abs(np.bincount(at, (above - above.mean())[owner], minlength=len(known))) / (spread * np.sqrt(df)))
-    chosen = np.where(known < _SHAPES, (df >= 3) & (moved >= MOVES), df >= 5)
+    for k in range(levels):
+        of = (grades == k).astype(float)
+        spread = max(of.std(), 1e-9)
+        moved = np.maximum(moved, np.abs(np.bincount(at, (of - of.mean())[owner], minlength=len(known))) / (spread * np.sqrt(df)))
+    chosen = np.where(known < _SHAPES, (df >= 2) & (moved >= FAINT), df >= 5)
+    scale = np.where(known < _SHAPES, np.minimum(moved / MOVES, 1.0) ** 12, 1.0)  # the penalty is the weight's over the scale
     new = np.cumsum(chosen) - 1
     use = chosen[at]
-    at, value, owner = new[at[use]], value[use], owner[use]
+    at, value, owner = new[at[use]], (value * scale[at])[use], owner[use]
     m, n = int(chosen.sum()), len(sizes)
     # theta: the first threshold and the logarithms of the steps to the next ones.
     share = [np.clip((grades >= k).mean(), 1e-3, 1 - 1e-3) for k in range(1, levels)]
@@ -117,9 +120,9 @@ def fit(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades: np.nda
         np.add.at(d_theta, np.minimum(grades, levels - 2), np.where(grades < levels - 1, -down, 0) / n)
         g = np.concatenate((np.bincount(at, d_score[owner] * value, minlength=m) + l2 * p[:m], [d_theta.sum()], np.cumsum(d_theta[::-1])[::-1][1:] * gaps))
         mom, var = 0.9 * mom + 0.1 * g, 0.999 * var + 0.001 * g * g
-        p = p - 0.1 * (mom / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.999**t)) + 1e-8)
+        p = p - 0.1 * (1 - (t - 1) / steps) * (mom / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.999**t)) + 1e-8)
     theta = p[m] + np.concatenate(([0], np.cumsum(np.exp(p[m + 1 :]))))
-    return OrdinalModel(dict(zip(known[chosen].tolist(), p[:m].tolist(), strict=True)), theta.tolist())
+    return OrdinalModel(dict(zip(known[chosen].tolist(), (p[:m] * scale[chosen]).tolist(), strict=True)), theta.tolist())
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -284,6 +284,29 @@ def test_quality_on_held_out_documents(spark):
     assert ordinal_quality.grade_documents(docs.limit(5), ordinal_quality.fit_on(docs, labels.limit(0), 3)).where("keep").count() == 5
 
 
+def test_quality_weighs_rare_words_of_a_rare_grade():
+    rng = random.Random(3)
+    plain = lambda: [f"w{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}{rng.choice('abcdefgh')}" for _ in range(40)]
+    texts, grades = [], []
+    for i in range(1000):
+        grades.append(1 if i < 100 else 0 if i < 200 else 2)
+        texts.append(" ".join(plain() + (["zuvile"] if i < 8 else ["common"] * 3 if i < 100 else [])))
+    rows = [ordinal_quality.features(t) for t in texts]
+    model = ordinal_quality.fit(np.array([k for r in rows for k in r]), np.array([v for r in rows for v in r.values()]), np.array([len(r) for r in rows]), np.array(grades), 3)
+    # Eight toxic documents of a thousand hold the word, no other does.
+    assert model.weights.get(ordinal_quality.word_features("zuvile")[0], 0.0) < -0.3
+
+
+def test_quality_fit_converges_on_many_features():
+    rng = np.random.default_rng(5)
+    grades = np.repeat([0, 1, 2, 2], 250)
+    sizes = np.full(1000, 60)
+    bucket = np.concatenate([np.concatenate((rng.choice(400, 30, replace=False) + 500 * g, rng.choice(4000, 30, replace=False) + 5000)) for g in grades])
+    model = ordinal_quality.fit(bucket, np.ones(len(bucket)), sizes, grades, 3)
+    score = np.array([sum(model.weights.get(int(k), 0.0) for k in row) for row in bucket.reshape(-1, 60)])
+    assert np.array_equal((model.tails(score) >= 0.5).sum(axis=1), grades)
+
+
 def test_license_scan_and_inheritance(spark):
     rows = [("LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/x.py", "print(1)"), ("a/b/LICENSE.txt", "Released under the MIT License.\n"), ("a/b/c/y.py", "code"), ("a/b/z.py", "# All rights reserved.\ncode"), (None, "none"), ("q/empty", None), ("a/x.py", "print(1)")]
     rows += [(f"noise/{i}.txt", f"the and of in to {i} words that mean nothing") for i in range(30)]
