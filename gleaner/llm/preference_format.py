@@ -54,12 +54,15 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def swapped_endings(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs from a table without preferences: chosen is each conversation, rejected the same with the last turn's text of its neighbour (ids 2 i and 2 i + 1)."""
+    """Pairs from a table without preferences: chosen is each conversation, rejected the same with the last turn's text of its neighbour (ids 2 i and 2 i + 1).
+
+    A conversation without a neighbour keeps its own ending: both sides are equal.
+    """
     rows = conversations.select(F.col("conv_id").alias("pair_id"), F.col("turn"), F.col("role"), F.col("text"))
     last = rows.groupBy("pair_id").agg(F.max(F.struct("turn", "role", "text")).alias("l"))
-    other = last.select(F.expr("pair_id ^ 1").alias("pair_id"), F.col("l.text").alias("other"))
-    ends = last.join(other, "pair_id").select("pair_id", F.col("l.turn").alias("at"), "other")
-    made = rows.join(ends, "pair_id").select("pair_id", "turn", "role", F.when(F.col("turn") == F.col("at"), F.col("other")).otherwise(F.col("text")).alias("text"))
+    other = last.select(F.expr("pair_id ^ 1").alias("pair_id"), F.col("l.text").alias("other"), F.lit(True).alias("paired"))
+    ends = last.join(other, "pair_id", "left").select("pair_id", F.col("l.turn").alias("at"), "other", "paired")
+    made = rows.join(ends, "pair_id").select("pair_id", "turn", "role", F.when((F.col("turn") == F.col("at")) & F.col("paired"), F.col("other")).otherwise(F.col("text")).alias("text"))
     return rows, made
 
 

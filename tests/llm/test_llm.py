@@ -253,6 +253,15 @@ def test_preferences(spark):
     assert preference_format.format_preferences(chosen.limit(0), rejected).count() == 0
 
 
+def test_conversations_without_neighbour_stay(spark):
+    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (1, 0, "user", "q"), (1, 1, "assistant", None), (4, 0, "user", "hi"), (4, 1, "assistant", "yes")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["pair_id"]: r for r in preference_format.format_preferences(*preference_format.swapped_endings(df)).collect()}
+    assert set(got) == {0, 1, 4}
+    assert got[4]["prompt_turns"] == 2 and got[4]["chosen"] == got[4]["rejected"] == ""
+    assert got[0]["rejected"] == "<|assistant|>\n<|end|>\n" and got[1]["rejected"] == "<|assistant|>\na<|end|>\n"
+
+
 # Quality, licenses ---------------------------------------------------------------------------------------------------
 
 
