@@ -140,11 +140,11 @@ class Substrings:
 # Blocks --------------------------------------------------------------------------------------------------------------
 
 
-def _in_blocks(rows: DataFrame, d: int, every: int, shape: str, search, block: int) -> DataFrame:
-    """search(data ids, data, query ids, queries) for each block of rows and of queries."""
+def _in_blocks(rows: DataFrame, d: int, every: int, shape: str, search, block: int, same: str = "v") -> DataFrame:
+    """search(data ids, data, query ids, queries) for each block of rows and of queries; queries of one id that agree in same are one."""
     n = rows.count()
     blocks = max(1, -(-n // block))
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "v"])
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("_s", F.expr(same)).dropDuplicates(["vec_id", "_s"]).drop("_s")
     parts = max(1, -(-n // every // QUERIES))
     place = F.monotonically_increasing_id()
     dealt = lambda df, k: (df.withColumn("_p", place), F.xxhash64("_p"), k)
@@ -213,8 +213,8 @@ def nearest_codes(df: DataFrame, every: int = 100, k: int = 10, vec_id: str = "v
     """(query_id, rank, vec_id, distance): the exact k nearest by Hamming distance of the signs of the components.
 
     Component i gives bit i: 1 if it is above zero. Ties go to the smaller id. Rows of the query's own id are no
-    candidates; where fewer than k are left, all are returned. Repeated rows are candidates each; valid_vectors tells
-    which vectors take no part; an empty table gives no rows.
+    candidates; where fewer than k are left, all are returned. Repeated rows are candidates each; queries of one id
+    and code give one answer; valid_vectors tells which vectors take no part; an empty table gives no rows.
     """
     rows, d = valid_vectors(df, vec_id, vector)
 
@@ -229,7 +229,7 @@ def nearest_codes(df: DataFrame, every: int = 100, k: int = 10, vec_id: str = "v
                     o.extend(v)
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "_q": pa.array(np.array(out[1], dtype=np.int64)), "vec_id": pa.array(out[2], pa.int64()), "distance": pa.array(out[3], pa.int64())})
 
-    found = _in_blocks(rows, d, every, "query_id long, _q long, vec_id long, distance long", search, block)
+    found = _in_blocks(rows, d, every, "query_id long, _q long, vec_id long, distance long", search, block, same="transform(v, x -> x > 0)")
     return _best(found, [F.col("distance")], k).select("query_id", "rank", "vec_id", "distance")
 
 

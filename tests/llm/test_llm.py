@@ -388,6 +388,15 @@ def test_search_leaves_out_unusable_vectors(spark):
     assert hamming.nearest_by_cosine(df.limit(0)).count() == 0 and hamming.nearest_codes(df.limit(0)).count() == 0
 
 
+def test_queries_of_one_id_and_code_answer_once(spark):
+    rows = [(0, [1.0, -1.0, 2.0]), (0, [3.0, -0.5, 1.0]), (0, [-1.0, -1.0, -1.0])] + [(i, [1.0, -1.0 if i % 2 else 1.0, 1.0]) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["distance"]) for r in hamming.nearest_codes(df, every=100, k=4).collect()]
+    one = [(1, 1, 0), (2, 3, 0), (3, 5, 0), (4, 7, 0)]
+    other = [(1, 1, 2), (2, 3, 2), (3, 5, 2), (4, 7, 2)]
+    assert sorted(got) == sorted(one + other)
+
+
 # Pipeline ------------------------------------------------------------------------------------------------------------
 
 
