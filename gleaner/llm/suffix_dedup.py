@@ -5,13 +5,18 @@ have nothing in common, so windows are first dealt into blocks by content:
 
 * Of the ``gram``-byte strings inside a window the one with the smallest hash (leftmost of equals) is its anchor. Equal
   windows have equal anchors at equal offsets. Consecutive starts with one anchor form a segment, so a document is cut
-  into about two segments for every window - gram bytes, and only a hash of the anchor and of the segment's context
-  (all bytes of its windows) is shuffled.
-* An anchor that occurs once has no repeated window. A context that occurs more than once repeats as a whole.
-* The other anchors' distinct contexts, one of each, are fetched, dealt by anchor and put in suffix order. In that
-  order, suffixes are cut at ``window`` bytes and equal ones lie side by side in the order of their positions: the
-  neighbour before is then the previous smaller position, and its match length is the longest-previous-factor value,
-  capped at ``window``. A start with that value has an earlier copy; one whose next neighbour matches has a later one.
+  into about two segments for every window - gram bytes, and only the anchor's hash and a 128-bit BLAKE2b digest of the
+  segment's context (all bytes of its windows) are shuffled.
+* Segments are put in one order by anchor, context and position, by range: a context in very many documents lies in as
+  many partitions as its rows need, and no row is joined to another. Looking at its neighbours, each row learns whether
+  its anchor and its context occur again and whether it is the context's first; for the ends of partitions the driver
+  compares one key of each with the next. Anchors that occur once go. A context that occurs more than once repeats as a
+  whole.
+* The first rows of the other anchors' contexts are fetched and dealt by anchor into blocks. Each block is one text; its
+  suffixes (at starts of windows, compared up to ``window`` bytes) are put in order by ranks of three times longer
+  strings in each round. From that order and its LCP array follow the previous and next smaller positions, and from
+  these the longest previous factor of each start: at ``window`` it has an earlier copy. A start whose neighbour in the
+  order agrees with it in ``window`` bytes has a copy somewhere.
 * An anchor with more than HOT distinct contexts (a passage in very many documents) isn't gathered in one task. Its
   contexts are split in two by the windows' offset to the anchor, each half under a longer anchor: the bytes that all
   windows of that range of offsets share. Inside a passage halves become equal and count as one, at its ends they
@@ -28,14 +33,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import discard, materialize, row_key, texts_of
 from gleaner.llm.shingles import U, mix
 
-GRAM, HOT = 32, 256
-#: Bytes handled at once, and starts put in order at once.
+GRAM, HOT = 64, 256
+#: Bytes handled at once, and starts and bytes of a block.
 PIECE, BLOCK, BLOCK_BYTES = 1 << 18, 60_000, 1 << 20
 
 _RNG = np.random.default_rng(77003)
@@ -43,6 +49,9 @@ _BYTE = _RNG.integers(0, 2**63 - 1, 256, dtype=np.int64).astype(U) * U(2) + _RNG
 _B = 0xD1342543DE82EF95
 
 
+# Segments ------------------------------------------------------------------------------------------------------------
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=U)
     out[0] = 1
@@ -62,12 +71,9 @@ class _Rolling:
         self.sums = np.zeros(len(data) + 1, U)
         np.cumsum(_BYTE[data] * self.power[: len(data)], out=self.sums[1:])
 
-    def of(self, start, end):
-        return (self.sums[end] - self.sums[start]) * self.inverse[start]
-
 
 def _segments(data: np.ndarray, owner_start: np.ndarray, owner_end: np.ndarray, window: int, gram: int):
-    """(owner, first start, last start, anchor from there, anchor hash, context hash) of all segments of the owners' ranges of data."""
+    """(owner, first start, last start, anchor from there, anchor hash) of all segments of the owners' ranges of data."""
     w = window - gram + 1
     n = len(data) - gram + 1
     if n < w:
@@ -87,13 +93,16 @@ def _segments(data: np.ndarray, owner_start: np.ndarray, owner_end: np.ndarray,
     if not len(at):
         return None
     a = anchor[at]
-    turn = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]))))
-    owner = np.repeat(np.arange(len(count)), count)[turn]
+    owner = np.repeat(np.arange(len(count)), count)
+    turn = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (owner[1:] != owner[:-1]))))
     lo = at[turn]
     hi = at[np.concatenate((turn[1:], [len(at)])) - 1]
-    p = a[turn]
-    ctx = mix(roll.of(lo, hi + window) + (p - lo).astype(U) * U(0x9FB21C651E98DF25) + (hi - lo).astype(U) * U(0xA0761D6478BD642F))
-    return owner, lo - owner_start[owner], hi - owner_start[owner], p - lo, h[p].view(np.int64), ctx.view(np.int64)
+    return owner[turn], lo, hi, a[turn] - lo, h[a[turn]].view(np.int64)
+
+
+def _digests(parts: Iterator[bytes]) -> np.ndarray:
+    """128-bit digests as two columns of int64."""
+    return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), "<i8").reshape(-1, 2)
 
 
 def _pieces(texts: list[bytes], window: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -120,25 +129,201 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
             yield batch.slice(a, rows)
 
 
+_ROW = "doc_id long, k1 long, lo int, more int, at int, kh long, c1 long, c2 long"
+_NAMES = ["doc_id", "k1", "lo", "more", "at", "kh", "c1", "c2"]
+
+
 def _cut(window: int, gram: int):
+    """Texts to rows of _ROW: each segment's first start, further starts, place of the anchor, anchor's hash and context's digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in _slices(batches, 1000):
                 for group in _pieces(texts_of(batch.column("text")), window):
                     size = np.array([len(x) for _, _, x in group])
                     start = np.concatenate(([0], np.cumsum(size)[:-1]))
-                    found = _segments(np.frombuffer(b"".join(x for _, _, x in group), np.uint8), start, start + size, window, gram)
+                    data = b"".join(x for _, _, x in group)
+                    found = _segments(np.frombuffer(data, np.uint8), start, start + size, window, gram)
                     if found is None:
                         continue
-                    owner, lo, hi, at, kh, ch = found
-                    off = np.array([x for _, x, _ in group])[owner]
+                    owner, lo, hi, at, kh = found
+                    c = _digests(data[a:b] for a, b in zip(lo.tolist(), (hi + window).tolist(), strict=True))
+                    place = lo - start[owner] + np.array([x for _, x, _ in group])[owner]
                     row = pa.array(np.array([x for x, _, _ in group])[owner])
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("k1").take(row), pa.array(lo + off), pa.array((hi - lo).astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(kh), pa.array(ch)], ["doc_id", "k1", "lo", "more", "at", "kh", "ch"])
+                    small = [pa.array(x.astype(np.int32)) for x in (place, hi - lo, at)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("k1").take(row), *small, pa.array(kh), pa.array(c[:, 0]), pa.array(c[:, 1])], _NAMES)
 
     return run
 
 
-_CONTEXT = "kh long, ch long, n long, m long, doc_id long, k1 long, lo long, at int, bytes binary"
+# Order of all segments -----------------------------------------------------------------------------------------------
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with part, first (of their context) and twice (their context occurs again), without anchors that occur once.
+
+    The ends of a part are kept and taken as ends of their contexts; what lies beyond them is added later.
+    """
+    part = TaskContext.get().partitionId()
+    held, before = None, None
+
+    def flagged(rows: pa.RecordBatch, prior, end: bool):
+        keys = [rows.column(c).to_numpy() for c in ("kh", "c1", "c2")]
+        n = rows.num_rows
+        kh, ctx = np.zeros(n + 1, bool), np.zeros(n + 1, bool)  # the row agrees with the one before it
+        kh[1:n] = keys[0][1:] == keys[0][:-1]
+        ctx[1:n] = kh[1:n] & (keys[1][1:] == keys[1][:-1]) & (keys[2][1:] == keys[2][:-1])
+        if prior is not None:
+            kh[0] = prior[0] == keys[0][0]
+            ctx[0] = prior == tuple(k[0] for k in keys)
+        stay = kh[:-1] | kh[1:]
+        stay[0] |= prior is None
+        m = n if end else n - 1
+        stay[-1] |= end
+        out = [*rows.columns, pa.array(np.full(n, part, np.int32)), pa.array(~ctx[:-1]), pa.array(ctx[:-1] | ctx[1:])]
+        out = pa.RecordBatch.from_arrays(out, [*rows.schema.names, "part", "first", "twice"]).slice(0, m).filter(pa.array(stay[:m]))
+        return out, tuple(k[m - 1] for k in keys) if m else prior
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        out, before = flagged(batch, before, end=False)
+        if out.num_rows:
+            yield out
+        held = batch.slice(batch.num_rows - 1)
+    if held is not None:
+        yield flagged(held, before, end=True)[0]
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """rows of anchors that occur more than once, with first and twice; positions are ordered by doc_id (null last), k1 and lo."""
+    order = ["kh", "c1", "c2", F.col("doc_id").asc_nulls_last(), "k1", "lo"]
+    shape = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", part int, first boolean, twice boolean"
+    made = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, shape), "suffix-order")
+    key = F.struct("kh", "c1", "c2")
+    ends = sorted(map(tuple, made.groupBy("part").agg(F.min(key).alias("a"), F.max(key).alias("b")).collect()))  # one row a partition
+    across = [(p, *tuple(b)) for (p, _, b), (_, a, _) in zip(ends, ends[1:], strict=False) if a == b]
+    onward = [(q, *tuple(a)) for (_, _, b), (q, a, _) in zip(ends, ends[1:], strict=False) if a == b]
+    if not across:
+        return made
+    marks = {k: (k in set(onward)) for k in across + onward}
+    spark = rows.sparkSession
+    known = spark.createDataFrame([(*k, late) for k, late in marks.items()], "part int, kh long, c1 long, c2 long, late boolean")
+    out = made.join(F.broadcast(known), ["part", "kh", "c1", "c2"], "left")
+    out = out.withColumns({"first": F.col("first") & ~F.coalesce("late", F.lit(False)), "twice": F.col("twice") | F.col("late").isNotNull()}).drop("late")
+    out.__dict__["_stage_path"] = made.__dict__["_stage_path"]
+    return out
+
+
+# Suffix order, LCP and LPF -------------------------------------------------------------------------------------------
+
+
+def suffix_order(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of the given ascending starts, and its LCP array, both cut at window bytes; every start has that many.
+
+    Equal suffixes lie in the order of their starts. lcp[r] is that of the suffixes at r - 1 and r; lcp[0] is 0.
+    """
+    n = len(data)
+    if not len(starts):
+        return starts, np.zeros(0, np.int64)
+    fold = 3 if n < 1 << 21 else 2
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    word = np.zeros(n + 1, U)
+    for i in range(8):
+        word[:n] |= padded[i : i + n].astype(U) << U(8 * (7 - i))
+    if window < 8:
+        word = word >> U(8 * (8 - window)) << U(8 * (8 - window))
+    levels, size = [], min(8, window)
+    key = word
+    while True:
+        # Ranks of the strings of this size at all places; the last place stands for all beyond the end.
+        order = np.argsort(key[:n])
+        turn = np.concatenate(([1], (key[order][1:] != key[order][:-1]).astype(np.int64)))
+        rank = np.zeros(n + 1, np.int64)
+        rank[order] = np.cumsum(turn)
+        levels.append((size, rank))
+        if size * fold >= window:
+            break
+        bits = 63 // fold
+        key = rank.copy()
+        for i in range(1, fold):
+            key = key << bits | rank[np.minimum(np.arange(n + 1) + i * size, n)]
+        size *= fold
+    bits = 63 // fold
+    rank, key = levels[-1][1], np.zeros(len(starts), np.int64)
+    for off in ([0, min(size, window - size), window - size] if fold == 3 else [0, window - size]):
+        key = key << bits | rank[starts + off]
+    order = np.argsort(key, kind="stable")
+    sa, key = starts[order], key[order]
+    # The LCP: as many of the longest strings as agree, then of the shorter ones, then bytes.
+    lcp = np.zeros(len(sa), np.int64)
+    differ = np.flatnonzero(key[1:] != key[:-1]) + 1
+    lcp[1:] = window
+    a, b, l = sa[differ - 1], sa[differ], np.zeros(len(differ), np.int64)  # noqa: E741
+    for size, rank in reversed(levels):
+        for _ in range(fold - 1):
+            l += np.where(rank[np.minimum(a + l, n)] == rank[np.minimum(b + l, n)], size, 0)  # noqa: E741
+    x = word[np.minimum(a + l, n)] ^ word[np.minimum(b + l, n)]
+    for i in range(1, 8):
+        l += x >> U(64 - 8 * i) == 0  # noqa: E741
+    lcp[differ] = np.minimum(l, window)
+    return sa, lcp
+
+
+def _towards_smaller(sa: np.ndarray, lcp: np.ndarray, reach: int) -> np.ndarray:
+    """For each rank the LCP with the nearest rank before it, at most 2 ** reach - 1 away, that has a smaller position; 0 without one."""
+    least, common = [sa], [lcp]
+    for k in range(reach - 1):
+        # The minimum over the 2 ** (k + 1) ranks that end here; at the beginning over those there are.
+        step = 1 << k
+        least.append(np.concatenate((np.full(min(step, len(sa)), -1), np.minimum(least[-1][step:], least[-1][:-step]))))
+        common.append(np.concatenate((np.zeros(min(step, len(sa)), np.int64), np.minimum(common[-1][step:], common[-1][:-step]))))
+    rank, out = np.arange(len(sa)) - 1, lcp.copy()
+    for k in reversed(range(len(least))):
+        at = np.maximum(rank, 0)
+        jump = (rank - (1 << k) >= -1) & (least[k][at] > sa)
+        out = np.where(jump, np.minimum(out, common[k][at]), out)
+        rank = np.where(jump, rank - (1 << k), rank)
+    return np.where((rank >= 0) & (sa[np.maximum(rank, 0)] < sa), out, 0)
+
+
+def longest_previous_factors(sa: np.ndarray, lcp: np.ndarray, reach: int | None = None) -> np.ndarray:
+    """For each rank of a suffix array how much of its suffix also starts at a smaller position.
+
+    The best earlier match of a suffix is the nearest one in suffix order, before or after it, with a smaller position:
+    LPF is the larger of the two LCPs. reach: no run of suffixes that matters is longer than 2 ** reach - 1.
+    """
+    if not len(sa):
+        return lcp
+    reach = reach or len(sa).bit_length()
+    back = np.concatenate(([0], lcp[1:][::-1]))
+    return np.maximum(_towards_smaller(sa, lcp, reach), _towards_smaller(sa[::-1], back, reach)[::-1])
+
+
+def marked_starts(contexts: list[bytes], window: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
+    """(context, start) of all starts with a copy elsewhere in the contexts (keep="none") or before them (keep="first").
+
+    The contexts one after the other are the text: positions are ordered by context, then start.
+    """
+    size = np.array([len(x) for x in contexts])
+    count = size - window + 1
+    ctx = np.repeat(np.arange(len(size)), count)
+    off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    begin = np.cumsum(size) - size
+    sa, lcp = suffix_order(np.frombuffer(b"".join(contexts), np.uint8), begin[ctx] + off, window)
+    whole = lcp >= window
+    some = whole | np.concatenate((whole[1:], [False]))  # ranks beside an equal window; the others' LPF is below window
+    sa, lcp, whole = sa[some], np.where(whole, lcp, 0)[some], whole[some]
+    if keep == "first" and len(sa):
+        longest = int(np.diff(np.flatnonzero(np.concatenate((~whole, [True])))).max())
+        sa = sa[longest_previous_factors(sa, lcp, longest.bit_length()) >= window]
+    at = np.searchsorted(begin, sa, side="right") - 1
+    return at, sa - begin[at]
+
+
+# Blocks --------------------------------------------------------------------------------------------------------------
 
 
 def _contexts(window: int):
@@ -151,53 +336,14 @@ def _contexts(window: int):
                 wanted = wanted.as_py()
                 for a in range(0, len(wanted), 4096):
                     part = wanted[a : a + 4096]
-                    same = lambda name: pa.array([batch.column(name)[i].as_py()] * len(part), pa.int64())  # noqa: E731, B023
-                    cols = {c: pa.array([x[c] for x in part], pa.int64()) for c in ("kh", "ch", "n", "m", "lo")}
+                    same = [pa.array([batch.column(c)[i].as_py()] * len(part), pa.int64()) for c in ("doc_id", "k1")]
+                    own = [pa.array([x[c] for x in part], t) for c, t in (("lo", pa.int32()), ("more", pa.int32()), ("at", pa.int32()), ("kh", pa.int64()), ("m", pa.int64()))]
                     data = pa.array([texts[i][x["lo"] : x["lo"] + x["more"] + window] for x in part], pa.binary())
-                    yield pa.RecordBatch.from_arrays([cols["kh"], cols["ch"], cols["n"], cols["m"], same("doc_id"), same("k1"), cols["lo"], pa.array([x["at"] for x in part], pa.int32()), data], ["kh", "ch", "n", "m", "doc_id", "k1", "lo", "at", "bytes"])
+                    yield pa.RecordBatch.from_arrays([*same, *own, data], ["doc_id", "k1", "lo", "more", "at", "kh", "m", "bytes"])
 
     return run
 
 
-def marked_starts(contexts: list[bytes], group: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix order of all starts of all contexts: (context, start, has an earlier copy, has a later copy) of each start that has a copy in another context of its group.
-
-    place: the contexts' order; a copy is earlier if its context's place is.
-    """
-    with np.errstate(over="ignore"):
-        data = np.frombuffer(b"".join(contexts), np.uint8)
-        size = np.array([len(x) for x in contexts])
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        count = size - window + 1
-        ctx = np.repeat(np.arange(len(size)), count)
-        off = np.arange(count.sum()) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
-        at = begin[ctx] + off
-        roll = _Rolling(data)
-        print_ = mix(roll.of(at, at + window) + group[ctx].astype(U))
-    # Only starts whose fingerprint repeats can match; they are put in order in parts that no fingerprint straddles.
-    order = np.argsort(print_, kind="stable")
-    same = print_[order][1:] == print_[order][:-1]
-    twice = np.zeros(len(at), dtype=bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    order = order[twice[order]]
-    earlier, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    turn = np.flatnonzero(np.concatenate(([True], print_[order][1:] != print_[order][:-1], [True]))) if len(order) else np.zeros(0, np.int64)
-    begin_ = 0
-    while begin_ < len(order):
-        end = int(turn[max(np.searchsorted(turn, begin_ + BLOCK, side="right") - 1, np.searchsorted(turn, begin_, side="right"))])
-        part = order[begin_:end]
-        begin_ = end
-        part = part[np.lexsort((place[ctx[part]], group[ctx[part]]))]
-        suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, window)[at[part]])
-        by = np.argsort(suffix.view(f"S{window}").ravel(), kind="stable")
-        suffix, part = suffix[by], part[by]
-        match = (suffix[1:] == suffix[:-1]).all(axis=1) & (group[ctx[part]][1:] == group[ctx[part]][:-1])
-        earlier[part[1:]] = match
-        later[part[:-1]] = match
-    return ctx[twice], off[twice], earlier[twice], later[twice]
-
-
 def _ranges(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive starts of one owner: (owner, first, last)."""
     o = np.lexsort((start, owner))
@@ -209,25 +355,17 @@ def _ranges(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
 _STARTS = "doc_id long, k1 long, a long, b long"
 
 
-def _starts(rows: list[dict], owner: np.ndarray, off: np.ndarray) -> pa.RecordBatch | None:
+def _block(rows: list[dict], window: int, keep: str) -> pa.RecordBatch | None:
+    rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["k1"], r["lo"]))
+    owner, start = marked_starts([r["bytes"] for r in rows], window, keep)
     if not len(owner):
         return None
-    owner, a, b = _ranges(owner, off)
+    owner, a, b = _ranges(owner, start)
     lo = np.array([r["lo"] for r in rows])
     take = lambda c: pa.array([rows[i][c] for i in owner], pa.int64())
     return pa.RecordBatch.from_arrays([take("doc_id"), take("k1"), pa.array(lo[owner] + a), pa.array(lo[owner] + b)], ["doc_id", "k1", "a", "b"])
 
 
-def _block(rows: list[dict], window: int, keep: str) -> pa.RecordBatch | None:
-    group = np.unique(np.array([r["kh"] for r in rows]), return_inverse=True)[1]
-    order = sorted(range(len(rows)), key=lambda i: (rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0, rows[i]["k1"], rows[i]["lo"]))
-    place = np.empty(len(rows), np.int64)
-    place[order] = np.arange(len(rows))
-    ctx, off, earlier, later = marked_starts([r["bytes"] for r in rows], group, place, window)
-    out = earlier if keep == "first" else (earlier | later) & (np.array([r["n"] for r in rows])[ctx] == 1)
-    return _starts(rows, ctx[out], off[out])
-
-
 def _suffix_blocks(window: int, keep: str):
     """Contexts sorted by anchor to the marked starts; blocks hold whole groups, of at most HOT contexts each."""
 
@@ -249,86 +387,79 @@ def _suffix_blocks(window: int, keep: str):
     return run
 
 
-_ROW = "doc_id long, k1 long, lo long, more int, at int, kh long, ch long, w long, bytes binary"
-
-
 def _halves(window: int, shift: int):
     """Contexts to their parts by the offset to the anchor, in steps of 2 ** shift, each under the bytes its windows share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in range(0, batch.num_rows, 1024):
-                out: list[tuple] = []
-                for r in batch.slice(part, 1024).to_pylist():
-                    x, at = r["bytes"], r["at"]
-                    least = at - (len(x) - window)
-                    for g in range(least >> shift, (at >> shift) + 1):
-                        a0, a1 = g << shift, ((g + 1) << shift) - 1
-                        high, low = min(a1, at), max(a0, least)
-                        own = x[at - high : at - low + window]
-                        out.append((r["doc_id"], r["k1"], r["lo"] + at - high, high - low, high, _hash(x[at - a0 : at - a1 + window], a0), _hash(own, high << 20 | low), r["n"], own))
-                if out:
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "k1", "lo", "more", "at", "kh", "ch", "w", "bytes"])
+        for batch in _slices(batches, 1024):
+            out: list[tuple] = []
+            own: list[bytes] = []
+            for r in batch.to_pylist():
+                x, at = r["bytes"], r["at"]
+                least = at - (len(x) - window)
+                for g in range(least >> shift, (at >> shift) + 1):
+                    a0, a1 = g << shift, ((g + 1) << shift) - 1
+                    high, low = min(a1, at), max(a0, least)
+                    own.append(x[at - high : at - low + window])
+                    shared = xxhash.xxh3_64_intdigest(x[at - a0 : at - a1 + window], seed=a0 & 0xFFFFFFFF)
+                    out.append((r["doc_id"], r["k1"], r["lo"] + at - high, high - low, high, shared - (shared >> 63 << 64)))
+            if out:
+                c = _digests(x + b"%d,%d" % (r[4], r[3]) for x, r in zip(own, out, strict=True))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+                cols = [pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(own, pa.binary())], [*_NAMES, "bytes"])
 
     return run
 
 
-def _hash(data: bytes, seed: int) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(data, seed=seed), "little", signed=True)
-
-
 def _fetch(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """The contexts' bytes, from their documents."""
-    wanted = wanted.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("kh", "ch", "n", "m", "lo", "more", "at")).alias("wanted"))
+    wanted = wanted.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("kh", "m", "lo", "more", "at")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("d"), F.col("k1").alias("k"), "wanted")
     fetched = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("k"))).select("doc_id", "k1", "text", "wanted")
-    return fetched.mapInArrow(_contexts(window), _CONTEXT).dropDuplicates(["kh", "ch"])
+    return fetched.mapInArrow(_contexts(window), "doc_id long, k1 long, lo int, more int, at int, kh long, m long, bytes binary")
 
 
 def repeated_starts(docs: DataFrame, window: int = 200, keep: str = "none", gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, k1, a, b): ranges of starts whose window also starts elsewhere (keep="none") or earlier (keep="first").
 
-    docs: doc_id, k1 (row_key of the text), text. Positions are ordered by doc_id (null last), k1 and offset.
+    docs: doc_id, k1 (row_key of the text), text; no two rows agree in doc_id and k1. Positions are ordered by doc_id
+    (null last), k1 and offset.
     """
-    rows = materialize(docs.select("doc_id", "k1", "text").mapInArrow(_cut(window, gram), "doc_id long, k1 long, lo long, more int, at int, kh long, ch long"), "suffix-segments")
-    marks, bits, level = [], (window - gram + 1).bit_length(), 0
+    docs = docs.select("doc_id", "k1", "text")
+    rows = materialize(docs.mapInArrow(_cut(window, gram), _ROW), "suffix-segments")
+    marks, bits, level, done = [], (window - gram + 1).bit_length(), 0, []
     while True:
-        # w: how often the row's text occurs. In the first round rows are all segments, then distinct contexts.
-        w = F.lit(1).cast("long") if level == 0 else F.col("w")
-        twice = materialize(rows.groupBy("kh").agg(F.count("*").alias("all")).where("all > 1").select("kh"), "suffix-twice")
-        again = materialize(rows.join(twice, "kh"), "suffix-again")
-        discard(rows, twice)
-        first = [F.col("doc_id").isNull().alias("z"), "doc_id", "k1", "lo", "more", "at", *(["bytes"] if level else [])]
-        context = again.groupBy("kh", "ch").agg(F.count("*").alias("c"), F.sum(w).alias("n"), F.min(F.struct(*first)).alias("f"))
-        context = materialize(context, "suffix-contexts")
-        whole = again.join(context.where("c > 1").select("kh", "ch", "f"), ["kh", "ch"])
-        if keep == "first":
-            whole = whole.where(~F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "lo").eqNullSafe(F.struct("f.z", "f.doc_id", "f.k1", "f.lo")))
-        elif level:
-            whole = whole.where("w = 1")
-        marks.append(whole.select("doc_id", "k1", F.col("lo").alias("a"), (F.col("lo") + F.col("more")).alias("b")))
-
-        several = materialize(context.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1"), "suffix-several")
-        wanted = context.join(several, "kh")
+        again = _ordered(rows)
+        discard(rows)
+        marks.append(again.where("not first" if keep == "first" else "twice").select("doc_id", "k1", F.col("lo").cast("long").alias("a"), (F.col("lo") + F.col("more")).cast("long").alias("b")))
+        contexts = again.where("first")
+        several = contexts.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1")
+        wanted = contexts.join(several, "kh")
         if level == 0:
-            wanted = _fetch(wanted.select("kh", "ch", "n", "m", "f.doc_id", "f.k1", "f.lo", "f.more", "f.at"), docs, window)
+            wanted = _fetch(wanted, docs, window)
         else:
-            wanted = wanted.select("kh", "ch", "n", "m", "f.doc_id", "f.k1", "f.lo", "f.at", "f.bytes")
+            wanted = wanted.select("doc_id", "k1", "lo", "more", "at", "kh", "m", "bytes")
         contexts = materialize(wanted, "suffix-bytes")
+        done += [again, contexts]
         few = contexts.where(f"m <= {hot}").repartition("kh").sortWithinPartitions("kh")
         marks.append(few.mapInArrow(_suffix_blocks(window, keep), _STARTS))
         level += 1
         many = contexts.where(f"m > {hot}")
         if level > bits or many.isEmpty():
             break
-        rows = materialize(many.mapInArrow(_halves(window, bits - level), _ROW), "suffix-halves")
+        rows = materialize(many.mapInArrow(_halves(window, bits - level), _ROW + ", bytes binary"), "suffix-halves")
     out = marks[0]
     for m in marks[1:]:
         out = out.unionByName(m)
+    out = materialize(out, "suffix-marks")
+    discard(*done)
     return out
 
 
+# Documents -----------------------------------------------------------------------------------------------------------
+
+
 def _apply(window: int, text: bool):
     """Rows (doc_id, text, marks) to the result columns, with the kept text or without."""
 
@@ -356,15 +487,25 @@ def remove_repeats(docs: DataFrame, window: int = 200, keep: str = "first", with
 
     Bytes covered by a marked window go. Null and short texts have no window and are kept whole. Rows that agree in
     doc_id and text share one result: with keep="none" all repeat each other, with keep="first" a copy within such rows
-    is the first in each. Other columns of docs, whatever their names, play no part.
+    is the first in each. Other columns of docs, whatever their names, play no part; carried ones may have any name but
+    those of the result. An empty table gives an empty result.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(text)).alias("k1"), *[F.col(c) for c in carry], F.col(text).alias("text"))
-    marks = repeated_starts(own, window, keep, gram, hot).groupBy("doc_id", "k1").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+    held = [f"_c{i}" for i in range(len(carry))]
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(text)).alias("k1"), *[F.col(c).alias(h) for c, h in zip(carry, held, strict=True)], F.col(text).alias("text"))
+    # Rows that agree in id and text are one here; they repeat as a whole, if they have a window at all.
+    alike = materialize(own.groupBy("doc_id", "k1").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size")).where("n > 1"), "suffix-alike")
+    single = own.select("doc_id", "k1", "text")
+    some = not alike.isEmpty()
+    marks = repeated_starts(single.dropDuplicates(["doc_id", "k1"]) if some else single, window, keep, gram, hot)
+    if some and keep == "none":
+        marks = marks.unionByName(alike.where(f"size >= {window}").select("doc_id", "k1", F.lit(0).cast("long").alias("a"), (F.col("size") - window).cast("long").alias("b")))
+    marks = marks.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
     marks = marks.select(F.col("doc_id").alias("_d"), F.col("k1").alias("_k"), "marks")
-    rows = own.join(marks, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k1") == F.col("_k")), "left").select("doc_id", *carry, "text", "marks")
+    rows = own.join(marks, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("k1") == F.col("_k")), "left").select("doc_id", *held, "text", "marks")
     kinds = dict(rows.dtypes)
-    shape = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, spans array<struct<start: long, end: long>>" if with_text else "")
-    return rows.mapInArrow(_apply(window, with_text), shape)
+    shape = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *held)) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string, spans array<struct<start: long, end: long>>" if with_text else "")
+    out = rows.mapInArrow(_apply(window, with_text), shape)
+    return out.select("doc_id", *[F.col(h).alias(c) for c, h in zip(carry, held, strict=True)], *out.columns[1 + len(held) :])
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

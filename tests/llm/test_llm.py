@@ -139,6 +139,42 @@ def test_suffix_dedup_against_all_windows(spark, keep, hot):
     assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 50, keep)
 
 
+def test_longest_previous_factors_against_every_pair():
+    rng = random.Random(1)
+    for trial in range(150):
+        n, window = rng.randint(1, 90), rng.choice([1, 3, 8, 9, 20, 24, 25, 50, 73])
+        data = bytes(rng.choice(b"ab\0" if trial % 2 else b"a") for _ in range(n + window - 1))
+        starts = np.arange(n) if trial % 3 else np.array(sorted(rng.sample(range(n), rng.randint(1, n))))
+
+        def common(a, b):
+            return next((k for k in range(window) if data[a + k] != data[b + k]), window)  # noqa: B023
+
+        sa, lcp = S.suffix_order(np.frombuffer(data, np.uint8), starts, window)
+        want = sorted(starts.tolist(), key=lambda i: (data[i : i + window], i))  # noqa: B023
+        assert sa.tolist() == want and lcp.tolist() == [0] + [common(a, b) for a, b in zip(want, want[1:], strict=False)]
+        assert S.longest_previous_factors(sa, lcp).tolist() == [max((common(i, j) for j in want if j < i), default=0) for i in want]
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_suffix_dedup_at_registered_parameters(spark, keep):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common, rare = word(900), [word(rng.randint(195, 420)) for _ in range(8)]
+    rows = [(i, word(rng.randint(0, 300)) + (common[i % 7 :] if i % 3 == 0 else rng.choice(rare)) + word(rng.randint(0, 300))) for i in range(400)]
+    rows += [(1000 + i, rows[5][1]) for i in range(30)] + [(2000, common * 2), (2001, "x" * 700), (None, rows[5][1]), (None, rows[5][1]), (7, rows[7][1])]
+    got = S.remove_repeats(documents(spark, rows).repartition(7), 200, keep, with_text=False).collect()
+    if keep == "first":  # equal rows share one result
+        assert set(map(tuple, got)) == set(plain_repeats(set(rows), 200, keep))
+    else:
+        assert collections.Counter(map(tuple, got)) == plain_repeats(rows, 200, keep)
+
+
+def test_suffix_dedup_carries_columns_of_any_name(spark):
+    rows = documents(spark, [(1, "a" * 60), (2, "b" + "a" * 60)]).select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(("k1", "marks", "_d", "kh", "first"))])
+    got = S.remove_repeats(rows, window=50, gram=16, carry=("k1", "marks", "_d", "kh", "first")).orderBy("doc_id").collect()
+    assert [(r["kept"], r["k1"], r["marks"], r["_d"], r["kh"], r["first"]) for r in got] == [("a", 0, 1, 2, 3, 4), ("b", 0, 1, 2, 3, 4)]
+
+
 def test_suffix_dedup_texts_and_repeated_rows(spark):
     rng = random.Random(8)
     text = "".join(rng.choice("abcdefghij klmnop") for _ in range(S.PIECE + 4000))  # more than one piece
