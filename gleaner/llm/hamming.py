@@ -3,44 +3,59 @@
 A binary code is split into substrings, each with an index from its value to rows. Codes within Hamming distance r
 differ in at most r // m bits in one of m substrings, so probing all values that near to the query's finds them all.
 
-Rows are dealt into blocks of bounded size by their place, not by a key; queries meet every block. Each block builds
-its own indices and returns at most k rows a query, so neither candidates nor pairs are shuffled. Blocks of queries
-are bounded too.
+The index is cut into shards of bounded bytes. Rows are dealt to shards by a number that is written down first, not by
+a key, so neither a common vector nor a repeated id makes one large, and a task that runs again deals alike. Every row
+moves once, to its shard; queries go to all shards and stream past the index there, a batch at a time, each taking at
+most k rows from it. For a given number of queries the rows moved grow in proportion to the table; neither candidates
+nor pairs are shuffled.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute  # noqa: F401  pa.compute
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, queries of a block, vectors that codes and radius are fitted on.
-BLOCK, QUERIES, SAMPLE = 20_000, 4_000, 10_000
+from gleaner.llm.common import materialize
 
+#: Bytes of a shard's vectors or codes, rows below which a shard isn't cut for the sake of more tasks, vectors that codes and radius are fitted on.
+SHARD_BYTES, SHARD_LEAST, SAMPLE = 32_000_000, 10_000, 10_000
+#: Of each sort a search answers with: query's row number, its id, found id, and the measure.
+_FOUND = "_q long, query_id long, vec_id long"
 
-def valid_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, int]:
-    """(vec_id, v) of usable rows and their dimension.
 
-    Null ids and vectors that are null, all zero or hold a null or non-finite component go; so do those of another
-    length than most have (the longer on a tie).
+def valid_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(vec_id, v, d) of usable rows, d their length.
+
+    Null ids go, and vectors that are null, all zero or hold a null or non-finite component. Vectors of several lengths
+    may stand in one table; only those of one length are compared. Floats stay floats, other kinds become doubles.
     """
-    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
+    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("v"))
     fine = rows.where("vec_id IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)")
-    sizes = fine.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).head()
-    d = sizes["d"] if sizes else 0
-    return fine.where(F.size("v") == d), d
+    return fine.withColumn("d", F.size("v"))
 
 
-def _matrix(col: pa.ChunkedArray, d: int) -> np.ndarray:
-    flat = [x.flatten().to_numpy(zero_copy_only=False) for x in col.chunks]
+def _matrix(col: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
+    chunks = col.chunks if isinstance(col, pa.ChunkedArray) else [col]
+    flat = [x.flatten().to_numpy(zero_copy_only=False) for x in chunks]
     return np.concatenate(flat).reshape(-1, d) if flat else np.zeros((0, d))
 
 
+def _doubles(x: np.ndarray) -> np.ndarray:
+    """Vectors in double precision; those whose squares would leave its range are scaled, which changes no cosine."""
+    x = x.astype(np.float64)
+    most = np.abs(x).max(axis=1, initial=0.0)
+    far = (most > 1e150) | (most < 1e-150)
+    return np.where(far[:, None], x / np.where(far, most, 1.0)[:, None], x) if far.any() else x
+
+
 # Codes ---------------------------------------------------------------------------------------------------------------
 
 
@@ -57,7 +72,8 @@ def learn_rotation(sample: np.ndarray, bits: int = 64, rounds: int = 40, seed: i
 
     Vectors shorter than bits get further random rotations beside it.
     """
-    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    x = _doubles(sample)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
     d, rng = x.shape[1], np.random.default_rng(seed)
     axes = np.linalg.svd(x, full_matrices=False)[2][: min(bits, d)].T if len(x) >= d else np.eye(d)[:, : min(bits, d)]
     y = x @ axes
@@ -75,12 +91,13 @@ def learn_radius(sample: np.ndarray, rotation: np.ndarray, k: int, recall: float
     """The radius that holds this share of the true k nearest of some sample vectors; in all rows neighbours are nearer."""
     if len(sample) <= k + 1:
         return rotation.shape[1]
-    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    x = _doubles(sample)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
     q = np.arange(0, len(x), max(1, len(x) // queries))
     s = x[q] @ x.T
     s[np.arange(len(q)), q] = -2
     near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    codes = pack_bits(sample @ rotation >= 0)
+    codes = pack_bits(x @ rotation >= 0)
     apart = np.bitwise_count(codes[q][:, None, :] ^ codes[near]).sum(axis=2)
     return int(math.ceil(np.quantile(apart, recall)))
 
@@ -91,7 +108,7 @@ class Substrings:
     def __init__(self, codes: np.ndarray, width: int):
         self.codes, self.width, self.values = codes, width, codes.view(np.uint8 if width == 8 else np.uint16)
         self.m = self.values.shape[1]
-        self.order = [np.argsort(self.values[:, j], kind="stable") for j in range(self.m)]
+        self.order = [np.argsort(self.values[:, j], kind="stable").astype(np.int32) for j in range(self.m)]
         self.start = [np.concatenate(([0], np.cumsum(np.bincount(self.values[:, j], minlength=1 << width)))) for j in range(self.m)]
         self.masks = [np.array([sum(1 << b for b in c) for c in combinations(range(width), r)], dtype=np.int64) for r in range(width + 1)]
 
@@ -116,7 +133,7 @@ class Substrings:
         return rows[self.distance(rows, code) <= radius]
 
     def nearest(self, code: np.ndarray, k: int, ids: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest rows but those of id own, by (distance, id), exactly.
+        """The k nearest rows but row own, by (distance, id), exactly.
 
         Search radii grow by one bit in one substring at a time. When substrings up to j are done to r bits and the
         others to r - 1, every code within m * r + j is found; the search ends when the kth distance is not above that.
@@ -128,7 +145,7 @@ class Substrings:
                 new = self.probe(j, int(value[j]), r)
                 new = new[~seen[new]]
                 seen[new] = True
-                new = new[ids[new] != own]
+                new = new[new != own]
                 rows, apart = np.concatenate((rows, new)), np.concatenate((apart, self.distance(new, code)))
                 if len(rows) >= k and np.partition(apart, k - 1)[k - 1] <= self.m * r + j:
                     best = np.lexsort((ids[rows], apart))[:k]
@@ -137,100 +154,176 @@ class Substrings:
         return rows[best], apart[best]
 
 
-# Blocks --------------------------------------------------------------------------------------------------------------
-
-
-def _in_blocks(rows: DataFrame, d: int, every: int, shape: str, search, block: int, same: str = "v") -> DataFrame:
-    """search(data ids, data, query ids, queries) for each block of rows and of queries; queries of one id that agree in same are one."""
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("_s", F.expr(same)).dropDuplicates(["vec_id", "_s"]).drop("_s")
-    parts = max(1, -(-n // every // QUERIES))
-    place = F.monotonically_increasing_id()
-    dealt = lambda df, k: (df.withColumn("_p", place), F.xxhash64("_p"), k)
-    data, h, _ = dealt(rows, blocks)
-    data = data.withColumn("b", F.pmod(h, F.lit(blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("b", F.col("q").cast("long").alias("q"), "vec_id", "v")
-    ask, h, _ = dealt(asked, parts)
-    ask = ask.withColumn("q", F.pmod(h, F.lit(parts))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("b").cast("long").alias("b"), "q", "vec_id", "v")
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, x = left["vec_id"].to_numpy(), _matrix(left["v"], d)
-        asked_ids, y = right["vec_id"].to_numpy(), _matrix(right["v"], d)
-        return search(ids, x, asked_ids, y)
-
-    return data.groupBy("b", "q").cogroup(ask.groupBy("b", "q")).applyInArrow(run, shape)
-
-
-def _best(found: DataFrame, order: list, k: int) -> DataFrame:
-    """The k first of each query over its blocks, at most k from each."""
-    w = Window.partitionBy("query_id", "_q").orderBy(*order, "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def nearest_by_cosine(df: DataFrame, every: int = 50, k: int = 5, bits: int = 64, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+# Shards --------------------------------------------------------------------------------------------------------------
+
+
+class _Shard:
+    """Search in one shard: find(row numbers, vectors or codes of queries) gives (query's place, found ids, measures)."""
+
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, d: int):
+        self.ids, self.d = ids, d
+        self.by_number = np.argsort(numbers)
+        self.numbers = numbers[self.by_number]
+
+    def own(self, number: int) -> int:
+        """The place of the query's own row in this shard, or -1."""
+        i = int(np.searchsorted(self.numbers, number))
+        return int(self.by_number[i]) if i < len(self.numbers) and self.numbers[i] == number else -1
+
+
+class _Cosines(_Shard):
+    def __init__(self, numbers, ids, data: pa.ChunkedArray, d: int, k: int, rotation: np.ndarray, radius: int):
+        super().__init__(numbers, ids, d)
+        self.x, self.k, self.rotation, self.radius, self.bits = _matrix(data, d), k, rotation, radius, rotation.shape[1]
+        self.unit, codes = np.empty(self.x.shape, np.float32), []
+        for a in range(0, len(ids), 1 << 14):
+            x = _doubles(self.x[a : a + (1 << 14)])
+            self.unit[a : a + (1 << 14)] = x / np.sqrt((x * x).sum(axis=1))[:, None]
+            codes.append(pack_bits(x @ rotation >= 0))
+        self.index = Substrings(np.concatenate(codes), 8)
+
+    def find(self, numbers: np.ndarray, data: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        y = _doubles(_matrix(data, self.d))
+        codes, length = pack_bits(y @ self.rotation >= 0), np.sqrt((y * y).sum(axis=1))
+        slack = 4e-7 * (self.d + 4)  # of a single-precision cosine
+        for i, number in enumerate(numbers.tolist()):
+            own, r = self.own(number), self.radius
+            possible = len(self.ids) - (own >= 0)
+            while True:
+                near = self.index.within(codes[i], r)
+                near = near[near != own]
+                if len(near) >= min(self.k, possible):
+                    break
+                r = min(r + 4, self.bits)
+            if len(near) > self.k:
+                rough = self.unit[near] @ (y[i] / length[i]).astype(np.float32)
+                near = near[rough >= np.partition(rough, len(rough) - self.k)[len(rough) - self.k] - slack]
+            x = _doubles(self.x[near])
+            score = (x * y[i]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * length[i])
+            best = np.lexsort((self.ids[near], -score))[: self.k]
+            yield i, self.ids[near][best], score[best]
+
+
+class _Signs(_Shard):
+    def __init__(self, numbers, ids, data: pa.ChunkedArray, d: int, k: int):
+        super().__init__(numbers, ids, d)
+        self.k, self.index = k, Substrings(self.codes(data), 16)
+
+    def codes(self, data: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(data.to_pylist()), np.uint64).reshape(-1, -(-self.d // 64))
+
+    def find(self, numbers: np.ndarray, data: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        codes = self.codes(data)
+        for i, number in enumerate(numbers.tolist()):
+            rows, apart = self.index.nearest(codes[i], self.k, self.ids, self.own(number))
+            yield i, self.ids[rows], apart
+
+
+def _searched(build: Callable, kind: pa.DataType):
+    """An Arrow mapper over rows sorted by (d, shard, asks): each shard's rows, then all queries past their index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, shard = None, [], None
+        for whole in batches:
+            keys = np.stack([whole.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in ("d", "shard", "asks")], axis=1)
+            turn = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True]))) if len(keys) else [0]
+            for a, b in zip(turn[:-1], turn[1:], strict=True):
+                d, number, asks = keys[a].tolist()
+                if now != (d, number):
+                    now, held, shard = (d, number), [], None
+                part = whole.slice(a, b - a)
+                if not asks:
+                    held.append(part)
+                    continue
+                if shard is None and held:
+                    rows = pa.Table.from_batches(held)
+                    shard = build(rows["uid"].to_numpy(), rows["vec_id"].to_numpy(), rows["v"], d)
+                    held = []
+                if shard is None:
+                    continue
+                for c in range(0, part.num_rows, 1024):
+                    some = part.slice(c, 1024)
+                    uid, asked = some.column("uid").to_numpy(), some.column("vec_id").to_numpy()
+                    place, ids, measures = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+                    for i, found, measure in shard.find(uid, some.column("v")):
+                        place += [i] * len(found)
+                        ids.append(found)
+                        measures.append(measure)
+                    at = np.array(place, dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[at]), pa.array(asked[at]), pa.array(np.concatenate(ids)), pa.array(np.concatenate(measures)).cast(kind)], ["_q", "query_id", "vec_id", "measure"])
+
+    return run
+
+
+def _in_shards(rows: DataFrame, width: Column, every: int, build: Callable, kind: pa.DataType, shard_bytes: int, least: int) -> DataFrame:
+    """All queries of rows (uid, vec_id, v, d) against all rows of their length; width: a row's bytes."""
+    spark = rows.sparkSession
+    sizes = {r["d"]: (r["n"], r["w"]) for r in rows.groupBy("d").agg(F.count("*").alias("n"), F.max(width).alias("w")).collect()}  # one row a length
+    tasks = spark.sparkContext.defaultParallelism
+    shards = {d: max(-(-n * w // shard_bytes), min(tasks, -(-n // least))) for d, (n, w) in sizes.items()}
+    if not shards:
+        shards = {0: 1}
+    count = F.element_at(F.create_map(*[F.lit(x).cast("int") for p in shards.items() for x in p]), F.col("d"))
+    data = rows.select("d", F.pmod(F.xxhash64("uid"), count).cast("int").alias("shard"), F.lit(0).alias("asks"), "uid", "vec_id", "v")
+    asks = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("d", F.explode(F.sequence(F.lit(0), count - 1)).alias("shard"), F.lit(1).alias("asks"), "uid", "vec_id", "v")
+    dealt = data.unionByName(asks).repartition(sum(shards.values()), "d", "shard").sortWithinPartitions("d", "shard", "asks")
+    return dealt.mapInArrow(_searched(build, kind), f"{_FOUND}, measure {'double' if kind == pa.float64() else 'long'}")
+
+
+def _best(found: DataFrame, order: Column, k: int, name: str) -> DataFrame:
+    """The k first of each query over its shards, at most k from each."""
+    w = Window.partitionBy("_q").orderBy(order, "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("measure").alias(name))
+
+
+def nearest_by_cosine(df: DataFrame, every: int = 50, k: int = 5, bits: int = 64, vec_id: str = "vec_id", vector: str = "embedding", shard_bytes: int = SHARD_BYTES, least: int = SHARD_LEAST) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by every, the k nearest found by cosine.
 
-    Codes and radius are learned on at most SAMPLE vectors; every row is indexed and searched, and found rows are
-    ranked by the cosine of the original vectors in double precision, ties to the smaller id. Where fewer than k rows
-    are within the radius, it grows. Rows of the query's own id are no candidates. Repeated rows are candidates each;
-    equal queries give one answer. valid_vectors tells which vectors take no part; an empty table gives no rows.
+    Codes and radius are learned on at most SAMPLE vectors, by length; every row is indexed and searched, and found rows
+    are ranked by the cosine of the original vectors in double precision, ties to the smaller id. Where fewer than k
+    rows of a shard are within the radius, it grows; a length that the sample lacks is searched in full. Only the
+    query's own row is no candidate: rows that repeat it, or its id, are, and each such row asks for itself.
+    valid_vectors tells which vectors take no part; an empty table gives no rows.
     """
-    rows, d = valid_vectors(df, vec_id, vector)
-    few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
-    sample = _matrix(few["v"], d) if d else np.zeros((0, 1))
-    rotation = learn_rotation(sample, bits) if d else np.zeros((1, bits))
-    radius = learn_radius(sample, rotation, k) if d else 0
-
-    def search(ids, x, asked, y) -> pa.Table:
-        out: list[list] = [[], [], [], []]
-        if len(x) and len(y):
-            index = Substrings(pack_bits(x @ rotation >= 0), 8)
-            norm, codes = np.sqrt((x * x).sum(axis=1)), pack_bits(y @ rotation >= 0)
-            for i in range(len(y)):
-                length, r = math.sqrt((y[i] * y[i]).sum()), radius
-                possible = int((ids != asked[i]).sum())
-                while True:
-                    near = index.within(codes[i], r)
-                    near = near[ids[near] != asked[i]]
-                    if len(near) >= min(k, possible):
-                        break
-                    r = min(r + 4, bits) if r < bits else bits
-                rough = (x[near] @ y[i]) / (norm[near] * length)
-                if len(near) > k:
-                    near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
-                score = (x[near] * y[i]).sum(axis=1) / (norm[near] * length)
-                best = np.lexsort((ids[near], -score))[:k]
-                tag = xxhash.xxh3_64_intdigest(y[i].tobytes()) >> 1
-                for o, v in zip(out, ([asked[i]] * len(best), [tag] * len(best), ids[near][best], score[best]), strict=True):
-                    o.extend(v)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "_q": pa.array(np.array(out[1], dtype=np.int64)), "vec_id": pa.array(out[2], pa.int64()), "score": pa.array(out[3], pa.float64())})
-
-    found = _in_blocks(rows, d, every, "query_id long, _q long, vec_id long, score double", search, block)
-    return _best(found, [F.desc("score")], k).select("query_id", "rank", "vec_id", "score")
-
-
-def nearest_codes(df: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    rows = materialize(valid_vectors(df, vec_id, vector).withColumn("uid", F.monotonically_increasing_id()), "nearest-rows")
+    few = rows.orderBy(F.xxhash64("vec_id"), "uid").limit(SAMPLE).select("d", "v").toArrow()
+    models = {}
+    for d in sorted(set(few["d"].to_pylist())):
+        sample = _matrix(few.filter(pa.compute.equal(few["d"], d))["v"], d)
+        rotation = learn_rotation(sample, bits)
+        models[d] = rotation, learn_radius(sample, rotation, k)
+
+    def build(uid, ids, data, d) -> _Shard:
+        rotation, radius = models.get(d) or (learn_rotation(np.ones((1, d)), bits), bits)
+        return _Cosines(uid, ids, data, d, k, rotation, radius)
+
+    found = _in_shards(rows, F.col("d") * 8, every, build, pa.float64(), shard_bytes, least)
+    return _best(found, F.desc("measure"), k, "score")
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        size = batch.column("d").to_numpy()
+        codes = np.empty(len(size), object)
+        for d in np.unique(size).tolist():
+            at = np.flatnonzero(size == d)
+            words = pack_bits(_matrix(batch.column("v").take(pa.array(at)), d) > 0)
+            codes[at] = [x.tobytes() for x in words]
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(codes.tolist(), pa.binary()), batch.column("d")], ["vec_id", "v", "d"])
+
+
+def nearest_codes(df: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", shard_bytes: int = SHARD_BYTES, least: int = SHARD_LEAST) -> DataFrame:
     """(query_id, rank, vec_id, distance): the exact k nearest by Hamming distance of the signs of the components.
 
-    Component i gives bit i: 1 if it is above zero. Ties go to the smaller id. Rows of the query's own id are no
-    candidates; where fewer than k are left, all are returned. Repeated rows are candidates each; queries of one id
-    and code give one answer; valid_vectors tells which vectors take no part; an empty table gives no rows.
+    Component i gives bit i: 1 if it is above zero. Codes of one length are compared. Ties go to the smaller id. Only
+    the query's own row is no candidate: rows that repeat it, or its id, are, and each such row asks for itself; where
+    fewer than k are left, all are returned. valid_vectors tells which vectors take no part; an empty table gives no
+    rows.
     """
-    rows, d = valid_vectors(df, vec_id, vector)
-
-    def search(ids, x, asked, y) -> pa.Table:
-        out: list[list] = [[], [], [], []]
-        if len(x) and len(y):
-            index, codes = Substrings(pack_bits(x > 0), 16), pack_bits(y > 0)
-            for i in range(len(y)):
-                near, apart = index.nearest(codes[i], k, ids, asked[i])
-                tag = xxhash.xxh3_64_intdigest(codes[i].tobytes()) >> 1
-                for o, v in zip(out, ([asked[i]] * len(near), [tag] * len(near), ids[near], apart), strict=True):
-                    o.extend(v)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "_q": pa.array(np.array(out[1], dtype=np.int64)), "vec_id": pa.array(out[2], pa.int64()), "distance": pa.array(out[3], pa.int64())})
-
-    found = _in_blocks(rows, d, every, "query_id long, _q long, vec_id long, distance long", search, block, same="transform(v, x -> x > 0)")
-    return _best(found, [F.col("distance")], k).select("query_id", "rank", "vec_id", "distance")
+    coded = valid_vectors(df, vec_id, vector).mapInArrow(_coded, "vec_id long, v binary, d int")
+    rows = materialize(coded.withColumn("uid", F.monotonically_increasing_id()), "codes-rows")
+    found = _in_shards(rows, F.octet_length("v") + 8, every, lambda uid, ids, data, d: _Signs(uid, ids, data, d, k), pa.int64(), shard_bytes, least)
+    return _best(found, F.col("measure"), k, "distance")
 
 
 def op2_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,9 +337,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.b, c.b), lambda z: abs(z[1] - z[2])))::BIGINT AS distance
-      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM p)
-SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS b FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.b, c.b), lambda z: abs(z[1] - z[2])))::BIGINT AS distance
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r AND len(q.b) = len(c.b)),
+n AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY distance, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, distance FROM n WHERE rank <= 10
 """

@@ -390,7 +390,7 @@ def test_nearest_codes_are_exact(spark):
     x = vectors(700, 64, 1)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").withColumn("b", F.lit(1))
     got = collections.defaultdict(list)
-    for r in hamming.nearest_codes(df, every=100, k=10, block=200).orderBy("query_id", "rank").collect():
+    for r in hamming.nearest_codes(df, every=100, k=10, shard_bytes=4000).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["distance"], r["vec_id"]))
     for q in range(0, 700, 100):
         want = sorted((int(((x[i] > 0) != (x[q] > 0)).sum()), i) for i in range(700) if i != q)[:10]
@@ -401,7 +401,7 @@ def test_nearest_by_cosine_recall_and_ties(spark):
     x = vectors(1500, 32, 2)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = collections.defaultdict(list)
-    for r in hamming.nearest_by_cosine(df, every=50, k=5, block=400).orderBy("query_id", "rank").collect():
+    for r in hamming.nearest_by_cosine(df, every=50, k=5, shard_bytes=100_000).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     y = x.astype(np.float64)
     norm, hits = np.sqrt((y * y).sum(1)), 0
@@ -417,20 +417,43 @@ def test_nearest_by_cosine_recall_and_ties(spark):
 
 def test_search_leaves_out_unusable_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0]), (7, [0.5, 0.5]), (8, [None, 1.0]), (None, [1.0, 1.0]), (9, [float("inf"), 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = [(r["query_id"], r["vec_id"]) for r in hamming.nearest_by_cosine(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 50), (0, 50), (0, 7), (50, 0), (50, 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in ("uid", "d", "v", "shard", "rank", "_q")})
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in hamming.nearest_by_cosine(df).orderBy("query_id", "rank", "vec_id").collect()]
+    assert got == [(0, 1, 50), (0, 2, 50), (0, 3, 7), (50, 1, 0), (50, 1, 0), (50, 2, 50), (50, 2, 50), (50, 3, 7), (50, 3, 7)]
     assert [(r["query_id"], r["vec_id"]) for r in hamming.nearest_codes(df).orderBy("query_id", "rank").collect()] == [(0, 50), (0, 50), (0, 7)]
     assert hamming.nearest_by_cosine(df.limit(0)).count() == 0 and hamming.nearest_codes(df.limit(0)).count() == 0
 
 
-def test_queries_of_one_id_and_code_answer_once(spark):
-    rows = [(0, [1.0, -1.0, 2.0]), (0, [3.0, -0.5, 1.0]), (0, [-1.0, -1.0, -1.0])] + [(i, [1.0, -1.0 if i % 2 else 1.0, 1.0]) for i in range(1, 9)]
+def test_vectors_of_several_lengths_and_sizes(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.standard_normal(3 if i % 3 else 70) * 10.0 ** (rng.integers(-170, 170) if i % 2 else 0)).tolist()) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [(r["rank"], r["vec_id"], r["distance"]) for r in hamming.nearest_codes(df, every=100, k=4).collect()]
-    one = [(1, 1, 0), (2, 3, 0), (3, 5, 0), (4, 7, 0)]
-    other = [(1, 1, 2), (2, 3, 2), (3, 5, 2), (4, 7, 2)]
-    assert sorted(got) == sorted(one + other)
+    by_cosine, by_sign = collections.defaultdict(list), collections.defaultdict(list)
+    for r in hamming.nearest_by_cosine(df, every=10, k=4, bits=128, shard_bytes=20_000).orderBy("query_id", "rank").collect():
+        by_cosine[r["query_id"]].append((r["vec_id"], r["score"]))
+    for r in hamming.nearest_codes(df, every=10, k=4, least=20).orderBy("query_id", "rank").collect():
+        by_sign[r["query_id"]].append((r["distance"], r["vec_id"]))
+    x = [np.array(v) / np.abs(v).max() for _, v in rows]
+    hits = 0
+    for q in range(0, 300, 10):
+        others = [i for i in range(300) if i != q and len(x[i]) == len(x[q])]
+        score = {i: x[i] @ x[q] / np.sqrt((x[i] @ x[i]) * (x[q] @ x[q])) for i in others}
+        want = sorted(others, key=lambda i: -score[i])[:4]  # noqa: B023
+        assert len(by_cosine[q]) == 4 and all(abs(score[i] - s) < 1e-12 for i, s in by_cosine[q])
+        hits += len(set(want) & {i for i, _ in by_cosine[q]})
+        assert by_sign[q] == sorted((int(((x[i] > 0) != (x[q] > 0)).sum()), i) for i in others)[:4]
+    assert hits >= 0.9 * 4 * 30
+
+
+def test_rows_moved_grow_with_the_table(spark):
+    rows = spark.range(4000).select(F.col("id").alias("uid"), F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("v"), F.lit(1).alias("d"))
+    seen = []
+    build = lambda uid, ids, data, d: hamming._Cosines(uid, ids, data, d, 1, np.ones((1, 8)), 8)
+    for n, every in ((1000, 500), (4000, 2000)):
+        found = hamming._in_shards(rows.where(f"uid < {n}"), F.lit(8), every, build, __import__("pyarrow").float64(), 800, 10**9)
+        seen.append(found.count())
+    # One answer of each of two queries from each shard of a hundred rows.
+    assert seen == [20, 80]
 
 
 # Pipeline ------------------------------------------------------------------------------------------------------------
