@@ -2,10 +2,11 @@
 
 A pair is two conversations: chosen and rejected. Their longest common prefix of turns is rendered once, as the prompt;
 the turns after it are rendered as the two completions. A completion's mask tells which of its characters count for the
-loss: those of assistant turns' texts and end marks, not the headers and not the turns of others.
+loss: those of assistant turns' texts and end marks, not the headers and not the turns of others. It is written as run
+lengths, two for each turn: characters that don't count, then characters that do.
 
-Each side is gathered by pair once, turns in order: one row is one training example. Pairs are independent, so a
-conversation that many pairs share is no hot key.
+Each side is gathered by pair once, turns in order: one row is one training example, and everything after that is one
+pass over its turns. Pairs are independent, so a conversation or first turn that many pairs share is no hot key.
 """
 
 from __future__ import annotations
@@ -25,62 +26,64 @@ def _render(turns):
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(AFTER_ROLE), t["text"], F.lit(CLOSE))), "")
 
 
-def _spans(turns):
-    """'start-end' of the trained characters of each assistant turn in the rendered completion, comma separated."""
+def _mask(turns):
     head = lambda t: F.length(t["role"]) + len(OPEN) + len(AFTER_ROLE)
     body = lambda t: F.length(t["text"]) + len(CLOSE)
-    step = lambda acc, t: F.struct(
-        (acc["at"] + head(t) + body(t)).cast("int").alias("at"),
-        F.when(t["role"] == "assistant", F.concat(acc["out"], F.array(F.concat((acc["at"] + head(t)).cast("string"), F.lit("-"), (acc["at"] + head(t) + body(t)).cast("string"))))).otherwise(acc["out"]).alias("out"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    return F.aggregate(turns, start, step, lambda acc: F.array_join(acc["out"], ","))
+    runs = lambda t: F.when(t["role"] == "assistant", F.concat_ws(",", head(t), body(t))).otherwise(F.concat_ws(",", head(t) + body(t), F.lit(0)))
+    return F.array_join(F.transform(turns, runs), ",")
+
+
+def _formatted(both: DataFrame) -> DataFrame:
+    """Pairs (pair_id, c, r) of ordered turns to the result."""
+    differs = F.filter(F.sequence(F.lit(0), F.greatest(F.size("c"), F.size("r"))), lambda i: ~F.get("c", i)["role"].eqNullSafe(F.get("r", i)["role"]) | ~F.get("c", i)["text"].eqNullSafe(F.get("r", i)["text"]) | (i >= F.least(F.size("c"), F.size("r"))))
+    both = both.withColumn("k", F.array_min(differs))
+    rest = lambda name: F.slice(name, F.col("k") + 1, F.greatest(F.size(name) - F.col("k"), F.lit(0)))
+    both = both.withColumns({"p": F.slice("c", F.lit(1), F.col("k")), "cc": rest("c"), "rr": rest("r")})
+    return both.select("pair_id", F.col("k").cast("long").alias("prompt_turns"), _render(F.col("p")).alias("prompt"), _render(F.col("cc")).alias("chosen"), _mask(F.col("cc")).alias("chosen_mask"), _render(F.col("rr")).alias("rejected"), _mask(F.col("rr")).alias("rejected_mask"))
 
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """(pair_id, prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask) of each pair_id on both sides.
 
     Both inputs: pair_id, turn, role, text; other columns are ignored. Turns go by turn, then role, then text; repeated
-    rows are turns of their own. Null roles and texts are empty, null turn numbers come first, rows with a null pair_id
-    are left out, as are pairs with one side only. Equal sides give a prompt and two empty completions; with no common
-    turn the prompt is empty. Empty tables give no rows.
+    rows are turns of their own. Null roles and texts are empty, null turn numbers are -1, rows with a null pair_id are
+    left out, as are pairs with one side only. Equal sides give a prompt and two empty completions; with no common turn
+    the prompt is empty. Empty tables give no rows.
     """
-    both = _turns(chosen, "c").join(_turns(rejected, "r"), "pair_id")
-    differs = F.filter(F.sequence(F.lit(0), F.greatest(F.size("c"), F.size("r"))), lambda i: ~F.get("c", i)["role"].eqNullSafe(F.get("r", i)["role"]) | ~F.get("c", i)["text"].eqNullSafe(F.get("r", i)["text"]) | (i >= F.least(F.size("c"), F.size("r"))))
-    both = both.withColumn("k", F.array_min(differs))
-    rest = lambda name: F.slice(name, F.col("k") + 1, F.greatest(F.size(name) - F.col("k"), F.lit(0)))
-    both = both.withColumns({"p": F.slice("c", F.lit(1), F.col("k")), "cc": rest("c"), "rr": rest("r")})
-    return both.select("pair_id", F.col("k").cast("long").alias("prompt_turns"), _render(F.col("p")).alias("prompt"), _render(F.col("cc")).alias("chosen"), _spans(F.col("cc")).alias("chosen_mask"), _render(F.col("rr")).alias("rejected"), _spans(F.col("rr")).alias("rejected_mask"))
+    return _formatted(_turns(chosen, "c").join(_turns(rejected, "r"), "pair_id"))
 
 
-def swapped_endings(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs from a table without preferences: chosen is each conversation, rejected the same with the last turn's text of its neighbour (ids 2 i and 2 i + 1).
+def format_branches(conversations: DataFrame) -> DataFrame:
+    """format_preferences' columns for pairs made from a table without preferences: (conv_id, turn, role, text).
 
-    A conversation without a neighbour keeps its own ending: both sides are equal.
+    Chosen is each conversation; rejected is the same up to turn conv_id modulo its turns, then its neighbour's turns
+    from that place on (ids 2 i and 2 i + 1 are neighbours). A conversation without a neighbour is paired with itself:
+    all of it is prompt. Every conversation gives one row but those with a null id; nulls and ties as there.
     """
-    rows = conversations.select(F.col("conv_id").alias("pair_id"), F.col("turn"), F.col("role"), F.col("text"))
-    last = rows.groupBy("pair_id").agg(F.max(F.struct("turn", "role", "text")).alias("l"))
-    other = last.select(F.expr("pair_id ^ 1").alias("pair_id"), F.col("l.text").alias("other"), F.lit(True).alias("paired"))
-    ends = last.join(other, "pair_id", "left").select("pair_id", F.col("l.turn").alias("at"), "other", "paired")
-    made = rows.join(ends, "pair_id").select("pair_id", "turn", "role", F.when((F.col("turn") == F.col("at")) & F.col("paired"), F.col("other")).otherwise(F.col("text")).alias("text"))
-    return rows, made
+    turns = _turns(conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text"), "c")
+    other = turns.select(F.expr("pair_id ^ 1").alias("pair_id"), F.col("c").alias("o"))
+    both = turns.join(other, "pair_id", "left").withColumn("at", F.pmod("pair_id", F.size("c")).cast("int"))
+    branch = F.concat(F.slice("c", F.lit(1), F.col("at")), F.slice("o", F.col("at") + 1, F.greatest(F.size("o") - F.col("at"), F.lit(0))))
+    return _formatted(both.select("pair_id", "c", F.coalesce(branch, "c").alias("r")))
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation against itself with its neighbour's ending."""
-    return format_preferences(*swapped_endings(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    """Every conversation against the one that goes on as its neighbour from some turn."""
+    return format_branches(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 OP5_SQL = f"""
 WITH c AS (SELECT conv_id AS pair_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-e AS (SELECT pair_id, max(turn) AS pos, arg_max(text, turn) AS ending FROM c GROUP BY pair_id),
-r AS (SELECT c.pair_id, c.turn, c.role, CASE WHEN c.turn = e.pos THEN o.ending ELSE c.text END AS text FROM c JOIN e ON e.pair_id = c.pair_id JOIN e o ON o.pair_id = xor(c.pair_id, 1)),
-n AS (SELECT 'c' AS side, *, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) AS i FROM c UNION ALL SELECT 'r', *, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) FROM r),
+o AS (SELECT pair_id, role, text, row_number() OVER (PARTITION BY pair_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY pair_id) AS n FROM c),
+z AS (SELECT DISTINCT pair_id, (pair_id % n + n) % n AS pos FROM o),
+r AS (SELECT o.pair_id, o.role, o.text, o.i FROM o JOIN z USING (pair_id) LEFT JOIN z y ON y.pair_id = xor(z.pair_id, 1) WHERE o.i <= z.pos OR y.pair_id IS NULL
+      UNION ALL SELECT z.pair_id, o.role, o.text, o.i FROM z JOIN o ON o.pair_id = xor(z.pair_id, 1) WHERE o.i > z.pos),
+n AS (SELECT 'c' AS side, pair_id, role, text, i FROM o UNION ALL SELECT 'r', * FROM r),
 k AS (SELECT a.pair_id, count(*) AS turns, min(CASE WHEN b.i IS NULL OR a.role <> b.role OR a.text <> b.text THEN a.i END) AS first
       FROM n a LEFT JOIN n b ON b.side = 'r' AND b.pair_id = a.pair_id AND b.i = a.i WHERE a.side = 'c' GROUP BY a.pair_id),
 t AS (SELECT n.*, coalesce(k.first, k.turns + 1) - 1 AS k, '{OPEN}' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body FROM n JOIN k USING (pair_id)),
-s AS (SELECT *, coalesce(sum(length(head) + length(body)) FILTER (WHERE i > k) OVER (PARTITION BY side, pair_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM t),
 g AS (SELECT pair_id, side, max(k) AS k, coalesce(string_agg(head || body, '' ORDER BY i) FILTER (WHERE i <= k), '') AS prompt, coalesce(string_agg(head || body, '' ORDER BY i) FILTER (WHERE i > k), '') AS rest,
-      coalesce(string_agg((pos + length(head))::VARCHAR || '-' || (pos + length(head) + length(body))::VARCHAR, ',' ORDER BY i) FILTER (WHERE i > k AND role = 'assistant'), '') AS mask FROM s GROUP BY pair_id, side)
-SELECT a.pair_id, a.k::BIGINT AS prompt_turns, a.prompt, a.rest AS chosen, a.mask AS chosen_mask, b.rest AS rejected, b.mask AS rejected_mask FROM g a JOIN g b ON a.side = 'c' AND b.side = 'r' AND a.pair_id = b.pair_id
+      coalesce(string_agg(CASE WHEN role = 'assistant' THEN length(head) || ',' || length(body) ELSE (length(head) + length(body)) || ',0' END, ',' ORDER BY i) FILTER (WHERE i > k), '') AS mask FROM t GROUP BY pair_id, side)
+SELECT a.pair_id, a.k::BIGINT AS prompt_turns, a.prompt, a.rest AS chosen, a.mask AS chosen_mask, coalesce(b.rest, '') AS rejected, coalesce(b.mask, '') AS rejected_mask
+FROM g a LEFT JOIN g b ON b.side = 'r' AND a.pair_id = b.pair_id WHERE a.side = 'c'
 """

@@ -273,6 +273,16 @@ def test_line_dedup(spark):
     assert line_dedup.drop_boilerplate(documents(spark, rows).limit(0)).count() == 0
 
 
+def trained(text, mask):
+    """The characters that a mask counts, turn by turn."""
+    runs, at, out = [int(x) for x in mask.split(",")] if mask else [], 0, []
+    for skip, take in zip(runs[::2], runs[1::2], strict=True):
+        out.append(text[at + skip : at + skip + take])
+        at += skip + take
+    assert at == len(text)
+    return [x for x in out if x]
+
+
 def test_preferences(spark):
     shape = "pair_id long, turn long, role string, text string, c string"
     chosen = spark.createDataFrame([(1, 0, "user", "q", ""), (1, 1, "assistant", "good", ""), (2, 0, "user", "same", ""), (3, 0, "user", "only", ""), (None, 0, "user", "x", ""), (4, 0, None, None, ""), (4, 1, "assistant", "é", "")], shape)
@@ -281,21 +291,39 @@ def test_preferences(spark):
     assert set(got) == {1, 2, 4}
     r = got[1]
     assert r["prompt"] == "<|user|>\nq<|end|>\n" and r["prompt_turns"] == 1
-    a, b = map(int, r["chosen_mask"].split("-"))
-    assert r["chosen"][a:b] == "good<|end|>\n" and r["rejected"].endswith("<|user|>\nmore<|end|>\n")
-    a, b = map(int, r["rejected_mask"].split("-"))
-    assert r["rejected"][a:b] == "bad<|end|>\n"
+    assert trained(r["chosen"], r["chosen_mask"]) == ["good<|end|>\n"] and r["rejected"].endswith("<|user|>\nmore<|end|>\n")
+    assert trained(r["rejected"], r["rejected_mask"]) == ["bad<|end|>\n"]
     assert got[2]["chosen"] == got[2]["rejected"] == "" and got[4]["prompt"] == ""
     assert preference_format.format_preferences(chosen.limit(0), rejected).count() == 0
 
 
-def test_conversations_without_neighbour_stay(spark):
-    rows = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (1, 0, "user", "q"), (1, 1, "assistant", None), (4, 0, "user", "hi"), (4, 1, "assistant", "yes")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r["pair_id"]: r for r in preference_format.format_preferences(*preference_format.swapped_endings(df)).collect()}
-    assert set(got) == {0, 1, 4}
-    assert got[4]["prompt_turns"] == 2 and got[4]["chosen"] == got[4]["rejected"] == ""
-    assert got[0]["rejected"] == "<|assistant|>\n<|end|>\n" and got[1]["rejected"] == "<|assistant|>\na<|end|>\n"
+def conversations(spark, rows):
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("pair_id", "c", "o", "at", "k", "p")})
+
+
+def test_branches_diverge_anywhere_and_lonely_conversations_stay(spark):
+    say = lambda c, n: [(c, t, ["user", "assistant"][t % 2], f"{c} says {t}") for t in range(n)]
+    rows = say(6, 5) + say(7, 4) + say(10, 3) + say(11, 9) + say(-3, 4) + say(-4, 6) + say(20, 2) + [(None, 0, "user", "x")]
+    got = {r["pair_id"]: r for r in preference_format.format_branches(conversations(spark, rows)).collect()}
+    assert {i: r["prompt_turns"] for i, r in got.items()} == {6: 1, 7: 3, 10: 1, 11: 2, -3: 1, -4: 2, 20: 2}
+    assert got[20]["chosen"] == got[20]["rejected"] == got[20]["chosen_mask"] == ""
+    assert "7 says 1<" in got[6]["rejected"] and "7 says 0" not in got[6]["rejected"] and got[6]["prompt"].endswith("6 says 0<|end|>\n")
+    assert trained(got[11]["chosen"], got[11]["chosen_mask"]) == [f"11 says {t}<|end|>\n" for t in (3, 5, 7)]
+
+
+def test_branches_of_long_odd_and_repeated_turns_equal_their_sql(spark):
+    import duckdb
+
+    rows = [(1, t, ["user", "assistant"][t % 2], "é🙂" * (t % 5)) for t in range(3000)] + [(0, t, "user" if t % 3 else "assistant", "x" * t) for t in range(2500)]
+    rows += [(2, None, "user", "a"), (2, None, "assistant", None), (2, 0, None, "b"), (3, 0, "user", "a"), (3, 0, "user", "a"), (3, 0, "assistant", "z"), (5, 1, "user", ""), (None, 1, "user", "no id"), (8, 0, "user", "y" * 300_000), (9, 0, "user", "y" * 300_000)]
+    df = conversations(spark, rows)
+    got = preference_format.format_branches(df)
+    con = duckdb.connect()
+    con.register("conversations", df.select("conv_id", "turn", "role", "text").toArrow())
+    cur = con.execute(preference_format.OP5_SQL)
+    names = [d[0] for d in cur.description]
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(cur.fetchall())
+    assert preference_format.format_branches(df.limit(0)).count() == 0
 
 
 # Quality, licenses ---------------------------------------------------------------------------------------------------
