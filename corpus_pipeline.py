@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import discard, materialize
+from gleaner.llm.common import discard, materialize, only_result
 from gleaner.llm.jaccard_join import link_documents
 from gleaner.llm.line_dedup import drop_boilerplate
 from gleaner.llm.ordinal_quality import fit_on, grade_documents, label_grades
@@ -61,7 +61,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to documents."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with only_result(spark) as keep:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep(docs)
         if before is not None:
             discard(before)
         before = docs

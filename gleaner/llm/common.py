@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,18 +34,44 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
+    for made in _SCOPES:
+        made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_stage_path"] = path
     return out
 
 
+_SCOPES: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stage tables that no later plan reads."""
     for df in tables:
         if path := df.__dict__.get("_stage_path"):
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def only_result(spark: SparkSession):
+    """Within it every stage table is noted; keep(df) on what it yields names those that stay, the others go at its end.
+
+    For callers that write an operator's result themselves: the tables that result was read from are no longer needed.
+    """
+    made: list[str] = []
+    stay: set[str] = set()
+    _SCOPES.append(made)
+    try:
+        yield lambda df: stay.add(df.__dict__["_stage_path"])
+    finally:
+        _SCOPES.remove(made)
+    for path in made:
+        if path not in stay:
+            _delete(spark, path)
 
 
 def texts_of(col: pa.Array) -> list[bytes]:
@@ -73,7 +100,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """(node, label): the smallest node that links reach, for every node of edges (x, y) of long ids.
 
     Alternates large-star and small-star steps; each is one aggregation and one join, so that a node with very many
-    neighbours never has them in one task's memory. Self links and repeated links are harmless; no edges, no rows.
+    neighbours never has them in one task's memory. Self links and repeated links are harmless; no edges, no rows. The
+    result reads a stage table, which discard() deletes.
     """
     now = materialize(edges.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct(), name)
 
@@ -95,4 +123,6 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         now = then
         if before == seen:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out.__dict__["_stage_path"] = now.__dict__["_stage_path"]
+    return out

@@ -12,7 +12,9 @@ least k tokens among the first p(n) + k - 1 of each, p(n) = n - ceil(n * percent
    singly; frequent tokens in combinations of two from prefixes extended by one for sets of 18 to 100 tokens (smaller
    and larger sets singly, as their combinations would be too few or too many; sizes near a border are in both). In a
    bucket of frequent tokens all nodes are first compared with the most central one, that is with the fewest tokens of
-   its own; after that only pairs that are still in different components and that the bound allows.
+   its own. After that only pairs that are still in different components are made, and only of sizes that can link: a
+   bucket is joined by classes of size, and a large one is cut into squares of at most SQUARE nodes a side, so that its
+   pairs are shared out among tasks.
 
 All remaining pairs are verified exactly on whole sets. No bucket of unbounded size is ever collected, and no pair of
 two nodes that are known to be connected is made.
@@ -20,6 +22,7 @@ two nodes that are known to be connected is made.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,8 @@ RARE = 16
 LOW, HIGH = 18, 100
 #: Up to this size a node's keys carry the tokens before them, so that a pair is made at its first common key only.
 LISTED = 512
+#: Nodes of one side of a square of a hot bucket.
+SQUARE = 512
 
 _SETS = "rid long, doc_id long, k1 long, n long, s1 long, s2 long, prefix array<long>"
 
@@ -131,7 +136,10 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
     dense = facts.where(f"nf >= {_k(_ceil_share('n', t), t)}").select("rid")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("rid")).unionByName(dense).distinct()
     wanted = facts.join(wanted, "rid", "left_semi").select("rid", F.col("doc_id").alias("d"), F.col("k1").alias("k"))
-    again = rows.drop("rid").join(wanted, (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("k1") == F.col("k"))).select("rid", "text")
+    again = rows.drop("rid")
+    if not found.groupBy("doc_id", "k1").count().where("count > 1").isEmpty():
+        again = again.dropDuplicates(["doc_id", "k1"])  # of rows alike one does, and many under one key aren't sent there
+    again = again.join(wanted, (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("k1") == F.col("k"))).select("rid", "text")
     sets = materialize(again.mapInArrow(_sizes(False, width, t), "rid long, n long, tokens array<long>").dropDuplicates(["rid"]), "jaccard-whole")
 
     # Round 2: frequent tokens, rarest first, among the dense nodes.
@@ -161,15 +169,24 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
     # What the centres left: pairs of different components in one bucket.
     label = connected_components(links, "jaccard-star")
     named = hot.join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    named = materialize(named.join(mixed, "key", "left_semi"), "jaccard-mixed")
-    a, b = (named.select("key", *[F.col(c).alias(c + s) for c in ("rid", "n", "u", "label", "skip", "prev")]) for s in "xy")
-    cross = a.join(b, "key").where("ridx < ridy and labelx <> labely").where(_enough("least(nx, ny)", "nx", "ny", t)).where(allowed("nx", "ux", "ny", "uy"))
-    cross = cross.where(f"greatest(nx, ny) > {LISTED} or (not arrays_overlap(prevx, prevy) and {allowed('nx', 'skipx', 'ny', 'skipy')})")
+    mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m")).where("a <> b").select("key", "m")
+    named = materialize(named.join(mixed, "key"), "jaccard-mixed")
+    # Linked sizes lie in one class or in two that follow each other: a class is as wide as the widest ratio of linked sizes.
+    named = named.withColumn("class", F.floor(F.log("n") / F.lit(math.log(100 / t) * (1 + 1e-9) if t < 100 else 1e-9)).cast("long")).withColumn("squares", F.ceil(F.col("m") / SQUARE).cast("int"))
+    side = lambda df, s: df.select("key", "class", "square", *[F.col(c).alias(c + s) for c in ("rid", "n", "u", "label", "skip", "prev")])
+    a = side(named.withColumn("square", F.explode(F.sequence(F.lit(0), F.col("squares") - 1))), "x")
+    b = side(named.withColumn("square", F.pmod(F.xxhash64("rid"), F.col("squares")).cast("int")).withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1))), "y")
+    cross = a.join(b, ["key", "class", "square"]).where("(nx < ny or (nx = ny and ridx < ridy)) and labelx <> labely").where(_enough("nx", "nx", "ny", t)).where(allowed("nx", "ux", "ny", "uy"))
+    cross = cross.where(f"ny > {LISTED} or (not arrays_overlap(prevx, prevy) and {allowed('nx', 'skipx', 'ny', 'skipy')})")
     late = materialize(_verify(cross.select(F.col("ridx").alias("x"), F.col("ridy").alias("y")).distinct(), sets, t), "jaccard-late")
-
-    label = connected_components(links.unionByName(late), "jaccard-components")
-    discard(nodes, common, shared, facts, pairs, sets, keyed, named, links, late, found)
+    # The late links join whole components: only their labels are linked again.
+    known = label
+    name = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(c + "l"))
+    ends = late.join(name("x"), "x", "left").join(name("y"), "y", "left").select(F.coalesce("xl", "x").alias("x"), F.coalesce("yl", "y").alias("y"))
+    further = connected_components(ends, "jaccard-components")
+    joined = known.unionByName(further.join(known.select("node"), "node", "left_anti")).join(further.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left")
+    label = materialize(joined.select("node", F.coalesce("least", "label").alias("label")), "jaccard-labels")
+    discard(nodes, common, shared, facts, pairs, sets, keyed, named, links, late, found, known, further)
     named = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep", "rid"))
     named = named.withColumn("label", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("rid")))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))

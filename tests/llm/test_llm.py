@@ -86,6 +86,31 @@ def test_jaccard_join_against_all_pairs(spark, monkeypatch, rare, low, high, lis
     assert collections.Counter(map(tuple, got)) == plain_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("square", [512, 7])
+def test_jaccard_join_of_hot_buckets_that_do_not_link(spark, monkeypatch, square):
+    monkeypatch.setattr(J, "SQUARE", square)
+    rng = random.Random(square)
+    pool = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(46)]
+    # Single words as shingles: every token is in most documents, few of which are alike enough; sizes differ.
+    rows = [(i, " ".join(rng.sample(pool, rng.choice([20, 30, 38, 39, 40, 42])))) for i in range(260)]
+    got = J.link_documents(documents(spark, rows, extra=False), 1, 85).select("doc_id", "n_shingles", "component_id").collect()
+    assert collections.Counter(map(tuple, got)) == plain_components(rows, 1, 85)
+
+
+def test_jaccard_join_of_many_nodes_with_frequent_shingles(spark):
+    rng = random.Random(2)
+    shared = " ".join(f"s{i}" for i in range(23))
+    rows = [(i, shared + " " + " ".join(f"q{i}_{j}" for j in range(rng.randint(12, 40)))) for i in range(5000)]
+    got = J.link_documents(documents(spark, rows, extra=False), 4, 85).collect()
+    assert len(got) == 5000 and all(r["component_id"] == r["doc_id"] for r in got)
+
+
+def test_jaccard_join_of_many_rows_alike(spark):
+    rows = [(None, "a b c d e f g")] * 40 + [(3, "a b c d e f h")] * 3 + [(i, "p q r s t u v w") for i in range(4, 9)]
+    got = J.link_documents(documents(spark, rows), 2, 50).select("doc_id", "n_shingles", "component_id").collect()
+    assert collections.Counter(map(tuple, got)) == plain_components(rows, 2, 50)
+
+
 def test_jaccard_join_keeps_one_row_of_each_group(spark):
     rows = odd_rows() + [(20, "a b c d e f"), (3, "a b c d e f")]
     got = J.link_documents(documents(spark, rows), 5, 80, carry=("text", "source")).where("keeps").collect()
