@@ -170,6 +170,11 @@ def license_family(text: Column) -> Column:
     low = F.regexp_replace(F.lower(text), r"\s+", " ")
     first = F.coalesce(F.get(F.filter(F.split(text, r"\r\n|\n|\r", -1), lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != ""), 0), F.lit(""))
     title = F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.trim(first), "^#+", ""))), "^the ", "")
+    # As a variable of a lambda, low and title are made once a text, not once an arm.
+    return F.get(F.transform(F.array(F.struct(low.alias("low"), title.alias("title"))), lambda s: _family(s["low"], s["title"])), 0)
+
+
+def _family(low: Column, title: Column) -> Column:
     out = None
     for family, _, phrases in S.LICENSES:
         if family in ("Proprietary or custom", "BSD-2-Clause", "BSD-3-Clause"):

@@ -1,7 +1,8 @@
 """Rule engine: texts to lines to signals.
 
-Each rule is a literal pattern behind a gate of plain substrings, all in one array expression of the scan's own stage:
-no rule table is joined, and a text without any gate's word is never cut into lines.
+Gates are plain substrings, asked of whole texts first: one pattern, a tree of all words, finds which of them a text
+holds, and so which rules may fire. Only texts with such a rule go on, once for each, and are cut into lines there; each
+line then meets one gate and one pattern. No rule table is joined, and everything is one stage of the scan.
 """
 
 from __future__ import annotations
@@ -11,9 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.plans.rules import Rule
-
-_SIGNAL = "struct<rule_id: string, strength: string>"
+from gleaner.plans.rules import Rule, words_pattern
 
 
 def fires(rule: Rule, line: Column, low: Column, gated: bool = True, path: Column | None = None) -> Column:
@@ -27,38 +26,57 @@ def fires(rule: Rule, line: Column, low: Column, gated: bool = True, path: Colum
     return cond
 
 
-def _may_hold(rules: list[Rule], low: Column) -> Column:
-    words = sorted({k for r in rules for k in r.keywords})
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w))
+def candidates(rules: list[Rule], text: Column) -> Column:
+    """Numbers of the rules that may fire somewhere in the text, ascending: those without a gate, and those with a word in it."""
+    of_word: dict[str, list[int]] = {}
+    for i, r in enumerate(rules):
+        for k in r.keywords:
+            of_word.setdefault(k, []).append(i)
+    always = [i for i, r in enumerate(rules) if not r.keywords]
+    fixed = F.array(*[F.lit(i) for i in always]) if always else F.expr("cast(array() as array<int>)")
+    if not of_word:
+        return fixed
+    # The longest word at a place tells of the words that it begins with; those inside it are found at their own places.
+    table = F.create_map(*[x for w in of_word for x in (F.lit(w), F.array(*[F.lit(i) for k in of_word if w.startswith(k) for i in of_word[k]]))])
+    held = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(words_pattern(of_word)), 1))
+    return F.array_sort(F.array_union(fixed, F.flatten(F.transform(held, lambda w: F.element_at(table, w)))))
 
 
 def signals(df: DataFrame, rules: list[Rule], text: Column, keep: list[str], max_line: int = 0, gated: bool = True, path: Column | None = None, first_of_group: bool = False) -> DataFrame:
     """One row per line and rule that fires: keep columns, line (from 1), rule_id, strength, text (the line).
 
-    max_line: longer lines are passed over (0: none). first_of_group: of the rules of one group only the first that
-    fires counts on a line.
+    max_line: longer lines are passed over (0: only where a rule says so). first_of_group: of the rules of one group
+    only the first that fires counts on a line. gated=False asks no gate, not even one that is part of a rule. A null
+    text has no lines.
     """
-    rows = df.select(*keep, text.alias("_t"), *([path.alias("_path")] if path is not None else []))
-    if gated and all(r.keywords for r in rules):
-        rows = rows.where(_may_hold(rules, F.lower("_t")))
-    rows = rows.select("*", F.posexplode(F.split("_t", "\n", -1)).alias("_pos", "_line")).drop("_t")
-    if max_line:
-        rows = rows.where(F.length("_line") <= max_line)
-    rows = rows.withColumn("_low", F.lower("_line"))
-    at = F.col("_path") if path is not None else None
-    hit = lambda r: fires(r, F.col("_line"), F.col("_low"), gated, at)
-    one = lambda r: F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.strength).alias("strength"))
+    rows = df.select(*keep, text.alias("_t"), *([path.alias("_path")] if path is not None else [])).where("_t IS NOT NULL")
+    may = candidates(rules, F.col("_t")) if gated else F.array(*[F.lit(i) for i in range(len(rules))])
+    lines = F.posexplode_outer(F.split("_t", "\n", -1)).alias("_pos", "_line")  # outer: no filter is made of it that would split twice
+    limit = F.length("_line") <= max_line if max_line else F.lit(True)
     if first_of_group:
-        found = []
+        # One candidate row a text is enough: every line meets all rules.
+        rows = rows.select("*", F.explode_outer(F.slice(may, 1, 1)).alias("_i")).where("_i IS NOT NULL").drop("_i")
+        rows = rows.select("*", lines).drop("_t").where(limit).withColumn("_low", F.lower("_line"))
+        at, found = F.col("_path") if path is not None else None, []
         for g in dict.fromkeys(r.group for r in rules):
             chain = None
-            for r in (r for r in rules if r.group == g):
-                chain = F.when(hit(r), one(r)) if chain is None else chain.when(hit(r), one(r))
+            for i, r in ((i, r) for i, r in enumerate(rules) if r.group == g):
+                hit = fires(r, F.col("_line"), F.col("_low"), gated, at)
+                chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
             found.append(chain)
+        rows = rows.select("*", F.explode_outer(F.array_compact(F.array(*found))).alias("_i")).where("_i IS NOT NULL")
     else:
-        found = [F.when(hit(r), one(r)) for r in rules]
-    rows = rows.select(*keep, (F.col("_pos") + 1).cast("long").alias("line"), F.explode(F.array_compact(F.array(*found))).alias("_s"), F.col("_line").alias("text"))
-    return rows.select(*keep, "line", F.col("_s.rule_id").alias("rule_id"), F.col("_s.strength").alias("strength"), "text")
+        of = lambda values: F.element_at(F.array(*values), F.col("_i") + 1)
+        rows = rows.select("*", F.explode_outer(may).alias("_i")).where("_i IS NOT NULL")
+        if path is not None and any(r.path_pattern for r in rules):
+            rows = rows.where(F.rlike("_path", of(F.lit(r.path_pattern) for r in rules)))
+        here = F.length("_line") <= of(F.lit(r.max_line or 2**31 - 1) for r in rules)
+        if gated:
+            words = of(F.array(*[F.lit(k) for k in r.keywords or ("",)]) for r in rules)
+            here = here & F.exists(words, lambda k: F.lower("_line").contains(k))
+        rows = rows.select("*", lines).drop("_t").where(limit & here & F.rlike("_line", of(F.lit(r.pattern) for r in rules)))
+    rule = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_i") + 1)
+    return rows.select(*keep, (F.col("_pos") + 1).cast("long").alias("line"), rule(r.rule_id for r in rules).alias("rule_id"), rule(r.strength for r in rules).alias("strength"), F.col("_line").alias("text"))
 
 
 def summary(found: DataFrame, rules: list[Rule], unit: str) -> DataFrame:

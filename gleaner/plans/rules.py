@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import re._constants as C
 import re._parser as parser
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from gleaner.plans import signatures as S
 
@@ -23,28 +23,48 @@ class Rule:
     max_line: int = 0
 
 
+#: Signs that may stand alone as a gate.
+_SIGNS = frozenset("$€£#%+@")
+
+
 def gate(pattern: str) -> tuple[str, ...]:
     """Lower-case substrings of which every match holds one; empty if the pattern tells none."""
-    flags = 0
-    found = _gate(parser.parse(pattern, flags))
+    found = _gate(parser.parse(pattern, 0))
     return tuple(dict.fromkeys(found)) if found else ()
 
 
+def _plain(code: int) -> bool:
+    """Characters that lower() leaves as any engine would."""
+    return code < 128 or chr(code).lower() == chr(code).upper()
+
+
+def _choices(op, arg) -> list[str] | None:
+    """The strings of a literal or of a small class of characters."""
+    if op is C.LITERAL and _plain(arg):
+        return [chr(arg).lower()]
+    if op is C.IN and len(arg) <= 8 and all(o is C.LITERAL and _plain(x) for o, x in arg):
+        return list(dict.fromkeys(chr(x).lower() for _, x in arg))
+    return None
+
+
 def _gate(parsed) -> list[str] | None:
     best: list[str] | None = None
-    run = ""
+    runs = [""]
+
+    def weight(words: list[str]) -> int:
+        return min(1 if w in _SIGNS else 0 if len(w) < 2 or w.isspace() else len(w) for w in words)
 
     def offer(words: list[str] | None) -> None:
         nonlocal best
-        if words and all(len(w) >= 2 for w in words) and (best is None or min(map(len, words)) > min(map(len, best))):
+        if words and weight(words) and (best is None or weight(words) > weight(best)):
             best = words
 
     for op, arg in parsed:
-        if op is C.LITERAL and arg < 128:
-            run += chr(arg).lower()
+        if (more := _choices(op, arg)) and len(runs) * len(more) <= 16:
+            runs = [r + m for r in runs for m in more]
             continue
-        offer([run] if run else None)
-        run = ""
+        offer(runs)
+        runs = [""]
         if op is C.SUBPATTERN:
             offer(_gate(arg[-1]))
         elif op is C.BRANCH:
@@ -52,10 +72,38 @@ def _gate(parsed) -> list[str] | None:
             offer([w for e in each for w in e] if all(each) else None)
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] >= 1:
             offer(_gate(arg[2]))
-    offer([run] if run else None)
+        elif more:
+            runs = more
+    offer(runs)
     return best
 
 
+def words_pattern(words) -> str:
+    """A pattern that finds, at every place of a text, the longest of these words that starts there (group 1)."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def branches(node: dict) -> str:
+        arms = [re.escape(c) + rest(sub) for c, sub in sorted(node.items()) if c]
+        if len(arms) > 8:
+            # A guard of first characters in front of each few arms.
+            firsts = sorted(c for c in node if c)
+            arms = ["(?=[" + "".join(map(re.escape, firsts[i : i + 5])) + "])(?:" + "|".join(arms[i : i + 5]) + ")" for i in range(0, len(arms), 5)]
+        return "|".join(arms)
+
+    def rest(node: dict) -> str:
+        if set(node) == {""}:
+            return ""
+        arms = branches(node)
+        return f"(?:{arms})?" if "" in node else f"(?:{arms})"
+
+    return f"(?=({branches(tree)}))"
+
+
 def _rule(group: str, n: int, label: str, pattern: str, **more) -> Rule:
     return Rule(f"{group}.{n:02d}", group, label, pattern, **({"keywords": gate(pattern)} | more))
 
@@ -71,6 +119,10 @@ SUPERLATIVES = r"(?:(?:the|our|its|their) (?:first|only)|first[- ]ever|best|fast
 SUPERLATIVE_LINE = r"(?i)(?:^|[^\p{L}\p{N}_])" + SUPERLATIVES + r"(?:[^\p{L}\p{N}_]|$)"
 
 
+#: Lines longer than this are passed over, by group; other groups read lines of any length.
+LINE_LIMIT = {"telemetry": 2000, "control": 2000, "billing": 2000, "license_gate": 2000, "plan_gate": 2000, "offer": 2000, "lead_capture": 2000, "scan_secret": 3000, "hardening": 3000}
+
+
 def rules(*groups: str) -> list[Rule]:
     """All rules of these groups (all groups without a name), in their fixed order."""
     out: list[Rule] = []
@@ -92,6 +144,7 @@ def rules(*groups: str) -> list[Rule]:
     for group, table in (("license_gate", S.LICENSE_GATES), ("plan_gate", S.PLAN_GATES), ("offer", S.OFFERS), ("lead_capture", S.LEAD_CAPTURE)):
         out += [_rule(group, i, group, PORTABLE.get(p, p), strength=s) for i, (p, s) in enumerate(table)]
     out += [_rule("page", i, k, PORTABLE.get(p, p), max_line=60 if k == "ctas" else 0) for i, (k, p) in enumerate(S.PAGE_RULES.items())]
-    out.append(Rule("superlative.00", "superlative", "superlative", SUPERLATIVE_LINE))
+    out.append(Rule("superlative.00", "superlative", "superlative", SUPERLATIVE_LINE, keywords=gate("(?i)" + SUPERLATIVES)))
     out.append(_rule("email", 0, "email address", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", keywords=("@",)))
+    out = [replace(r, max_line=LINE_LIMIT.get(r.group, 0)) if not r.max_line else r for r in out]
     return [r for r in out if not groups or r.group in groups]

@@ -13,7 +13,7 @@ from gleaner.operators import manifests as M
 from gleaner.operators import pages as P
 from gleaner.operators import removals as R
 from gleaner.operators import traction as K
-from gleaner.operators.match import signals
+from gleaner.operators.match import candidates, signals
 from gleaner.plans.rules import gate, rules
 from gleaner.queries import fixtures as X
 
@@ -27,10 +27,28 @@ def test_gates_lose_no_hits(spark):
 
 def test_gate_words():
     assert gate(r"\bAKIA[0-9A-Z]{16}\b") == ("akia",)
-    assert gate(r"(?i)foo|b[ar]z") == ()
+    assert gate(r"(?i)foo|b[ar]z") == ("foo", "baz", "brz") and gate(r"\d+|x") == ()
     assert set(gate(r"(listen|bind)\w*\(")) == {"listen", "bind"}
 
 
+def test_word_tree_finds_every_word_of_a_gate(spark):
+    import random
+
+    words = [k for r in rules() for k in r.keywords]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(words)[: rng.randint(1, 12)] + rng.choice(["", " ", "x"]) for _ in range(rng.randint(0, 12))) for _ in range(200)] + ["", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", candidates(rules(), F.col("t")).alias("c")).collect()
+    for r in got:
+        assert r["c"] == (None if r["t"] is None else [i for i, x in enumerate(rules()) if any(k in r["t"].lower() for k in x.keywords)])
+
+
+def test_lines_over_the_limit_are_passed_over(spark):
+    line = "posthog.init(key) "
+    df = spark.createDataFrame([("a", line), ("b", line + "x" * 2000), ("c", "short\n" + line), ("d", None), ("e", "")], "f string, t string")
+    got = signals(df, rules("telemetry"), F.col("t"), ["f"]).select("f", "line").distinct().collect()
+    assert sorted(map(tuple, got)) == [("a", 1), ("c", 2)]
+
+
 def test_html_text_and_title(spark):
     html = "<title>A &amp; B</title><style>x</style><p>Pro</p><script>1</script><b>$49</b> a&nbsp;month<br>"
     row = spark.createDataFrame([(html,)], "h string").select(T.html_to_text(F.col("h")).alias("t"), T.html_title(F.col("h")).alias("n")).head()
