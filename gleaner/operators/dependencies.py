@@ -35,16 +35,17 @@ def cargo_rows(lines: DataFrame) -> DataFrame:
     return rows.withColumn("section", section).where("section <> ''").where(F.col("body").rlike(line)).select("manifest", F.lit("crates").alias("ecosystem"), F.regexp_extract("body", line, 1).alias("name"), declared.alias("declared"), kind.alias("kind"), F.lit(None).cast("string").alias("resolved"))
 
 
-_REQUIREMENT = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)(\[[^\]]*\])?\s*(.*)$"
+# Fixed value: a requirement: name, extras, the rest.
+REQUIREMENT = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)(\[[^\]]*\])?\s*(.*)$"
 
 
 def requirement_rows(lines: DataFrame) -> DataFrame:
     name = F.substring_index("manifest", "/", -1)
     rows = lines.where(name.rlike(r"(?i)^requirements[\w.-]*\.txt$")).withColumn("body", F.trim(F.substring_index("text", "#", 1)))
-    rows = rows.where("body <> ''").where(~F.col("body").rlike(r"^(-|git\+|http:|https:|file:|\.)")).where(F.col("body").rlike(_REQUIREMENT))
-    declared = F.trim(F.substring_index(F.regexp_extract("body", _REQUIREMENT, 3), ";", 1))
+    rows = rows.where("body <> ''").where(~F.col("body").rlike(r"^(-|git\+|http:|https:|file:|\.)")).where(F.col("body").rlike(REQUIREMENT))
+    declared = F.trim(F.substring_index(F.regexp_extract("body", REQUIREMENT, 3), ";", 1))
     kind = F.when(name.rlike("(?i)dev|test|lint|doc"), "dev").otherwise("prod")
-    return rows.select("manifest", F.lit("pypi").alias("ecosystem"), F.regexp_extract("body", _REQUIREMENT, 1).alias("name"), F.when(declared == "", "*").otherwise(declared).alias("declared"), kind.alias("kind"), F.lit(None).cast("string").alias("resolved"))
+    return rows.select("manifest", F.lit("pypi").alias("ecosystem"), F.regexp_extract("body", REQUIREMENT, 1).alias("name"), F.when(declared == "", "*").otherwise(declared).alias("declared"), kind.alias("kind"), F.lit(None).cast("string").alias("resolved"))
 
 
 def go_rows(lines: DataFrame) -> DataFrame:

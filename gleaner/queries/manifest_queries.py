@@ -100,10 +100,10 @@ def manifest_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _LICENSED.df(spark).select("path", M.manifest_license(F.col("path"), F.col("content")).alias("license"))
 
 
-_LOCKS = X.Fixture("name string, content string", [("package-lock.json", '{"packages": {"": {}, "node_modules/a": {}, "node_modules/b": {}}}'), ("Cargo.lock", "[[package]]\nname = 1\n[[package]]\n"), ("go.sum", "a v1 h1:x\na v1/go.mod h1:y\nb v2 h1:z\n"), ("Podfile.lock", "PODS:\n  - A (1)\n  - B (2):\n    - A\n\nDEPENDENCIES:\n  - A\n"), ("yarn.lock", 'a@^1:\n  version "1"\n"@b/c@^2", "@b/c@^3":\n  version "2"\n'), ("other.lock", "x")])
+_LOCKS = X.Fixture("name string, content string", [("package-lock.json", '{"packages": {"": {}, "node_modules/a": {}, "node_modules/b": {}}}'), ("Cargo.lock", "[[package]]\nname = 1\n[[package]]\n"), ("go.sum", "a v1 h1:x\na v1/go.mod h1:y\nb v2 h1:z\n"), ("Podfile.lock", "PODS:\n  - A (1)\n  - B (2):\n    - A\n\nDEPENDENCIES:\n  - A\n"), ("yarn.lock", 'a@^1:\n  version "1"\n"@b/c@^2", "@b/c@^3":\n  version "2"\n'), ("other.lock", "x"), ("pnpm-lock.yaml", "lockfileVersion: 9\npackages:\n\n  '@a/b@1.0.0':\n    resolution: x\n  /c@2.0.0:\n    dev: true\nsnapshots:\n  d@1: {}\n"), ("Package.resolved", '{"identity": "a", "package": "b"}'), ("composer.lock", '{"packages": [{"name": "a/b"}, {"name":  "c/d"}]}'), ("gradle.lockfile", "# head\na:b:1=x\n"), ("Gemfile.lock", "GEM\n  specs:\n    rake (13)\n    rack (3)\n      x (1)\n")])
 
 
-@query("SELECT name, entries::BIGINT AS entries FROM (VALUES ('package-lock.json', 2), ('Cargo.lock', 2), ('go.sum', 2), ('Podfile.lock', 2), ('yarn.lock', 2), ('other.lock', 0)) t(name, entries)")
+@query("SELECT name, entries::BIGINT AS entries FROM (VALUES ('package-lock.json', 2), ('Cargo.lock', 2), ('go.sum', 2), ('Podfile.lock', 2), ('yarn.lock', 2), ('other.lock', 0), ('pnpm-lock.yaml', 2), ('Package.resolved', 1), ('composer.lock', 2), ('gradle.lockfile', 2), ('Gemfile.lock', 2)) t(name, entries)")
 def lock_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages in lock files."""
     return _LOCKS.df(spark).select("name", M.lock_entries(F.col("name"), F.col("content")).alias("entries"))

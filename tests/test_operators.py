@@ -115,8 +115,22 @@ def test_license_titles_win_over_phrases(spark):
     assert all(r["f"] == r["w"] for r in got)
 
 
-def test_call_arguments_keep_inner_parentheses():
-    assert M.call_arguments(".package(a(b)c) .package(d)", ".package") == ["a(b)c", "d"]
+def test_call_arguments_keep_inner_parentheses(spark):
+    texts = [".package(a(b)c) .package(d)", "none", ".package(never ends", ".package(x((y)(z)))) tail"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(M.call_arguments(F.col("t"), ".package")).collect()]
+    assert got == [["a(b)c", "d"], [], ["never ends"], ["x((y)(z))"]]
+
+
+def test_python_projects(spark):
+    text = "[project]\nname = 'x'\nclassifiers = [\n 'no',\n]\ndependencies = [ 'a>=1', \"b[c]==2 ; x\",\n  'd', # 'no'\n]\n[dependency-groups]\nDocs = ['e']\nweb = [\n 'f~=1',\n 'g']\n[tool.poetry.group.web.dependencies]\nh = '1'\ni = { git = \"" + "y" * 80 + "\" }\n[tool.other]\nj = ['k']\n"
+    rows = M.pyproject(spark.createDataFrame([("pyproject.toml", text), ("x/pyproject.toml", None), ("y/pyproject.toml", "")], "manifest string, content string")).collect()
+    got = {(r["name"], r["declared"], r["kind"]) for r in rows}
+    assert got == {("a", ">=1", "prod"), ("b", "==2", "prod"), ("d", "*", "prod"), ("e", "*", "dev"), ("f", "~=1", "optional"), ("g", "*", "optional"), ("h", "'1'", "dev"), ("i", ('{ git = "' + "y" * 80)[:60], "dev")}
+
+
+def test_broken_documents_have_no_rows(spark):
+    files = spark.createDataFrame([("Package.resolved", "{"), ("sbom.json", "[1"), ("project.yml", "packages:\n  A:\n"), ("Package.swift", None), ("a/project.pbxproj", "")], "manifest string, content string")
+    assert M.parsed_files(files).count() == 0 and M.pnpm_rows(files).count() == 0
 
 
 def test_results_do_not_depend_on_row_order(spark):
