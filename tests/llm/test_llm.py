@@ -417,16 +417,112 @@ def test_license_scan_and_inheritance(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def plain_scan(templates, df, n, text, licence_file, least):
+    """Dense TF-IDF cosines of every window, without any bound."""
+    vocabulary = sorted({w for ts in templates.values() for t in ts for w in license_scan.words(t)})
+    idf = {w: np.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
+    mean = sum(idf.values()) / len(idf)
+
+    def vector(bag, extra):
+        own = sorted(extra)
+        return np.array([bag[w] * idf[w] for w in vocabulary] + [bag[w] * mean for w in own])
+
+    strong = license_scan.Templates(templates, df, n, least).strong
+    lines = text.split("\n")
+    parts = [(0, text)] if licence_file else []
+    parts += [(i + 1, "\n".join(lines[i : i + k])) for i in range(len(lines)) if strong & set(license_scan.words(lines[i])) for k in license_scan.WINDOWS]
+    best = (0.0, "", 0)
+    for at, part in parts:
+        bag = collections.Counter(license_scan.words(part))
+        extra = set(bag) - set(vocabulary)
+        x = vector(bag, extra)
+        for name in sorted(templates):
+            for t in templates[name]:
+                y = vector(collections.Counter(license_scan.words(t)), extra)
+                score = float(x @ y / np.sqrt((x @ x) * (y @ y))) if x.any() else 0.0
+                if score > best[0] + 1e-9:
+                    best = (score, name, at)
+    return best if best[0] >= least else (0.0, "", 0)
+
+
+def test_license_scores_against_dense_cosines():
+    rng = random.Random(4)
+    df = {"the": 90, "of": 80, "and": 80, "in": 70, "to": 70, "is": 60, "license": 9}
+    few = {k: license_scan.TEMPLATES[k] for k in ("MIT", "ISC", "GPL-3.0", "CC-BY-NC-4.0", "CC-BY-4.0", "Apache-2.0", "Proprietary")}
+    t = license_scan.Templates(few, df, 100, 0.6)
+    texts = [x for ts in few.values() for x in ts]
+    for _ in range(60):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(texts).split()
+            cut = w[rng.randrange(len(w)) :][: rng.randint(1, 30)] if rng.random() < 0.5 else w
+            out += [" ".join(cut[i : i + 7]) for i in range(0, len(cut), 7)] + ["noise here and there"] * rng.randint(0, 2)
+        text, of_file = "\n".join(out), rng.random() < 0.5
+        a, b = t.scan(text, of_file), plain_scan(few, df, 100, text, of_file, 0.6)
+        assert abs(a[0] - b[0]) < 1e-9 and (a[1:] == b[1:] or a[0] == pytest.approx(b[0], abs=1e-9))
+
+
 def test_license_bound_skips_nothing():
-    t = license_scan.Templates(license_scan.TEMPLATES, {"the": 90, "of": 80, "and": 80, "in": 70, "to": 70, "is": 60}, 100, 0.6)
-    everything = license_scan.Templates(license_scan.TEMPLATES, {"the": 90, "of": 80, "and": 80, "in": 70, "to": 70, "is": 60}, 100, 0.6)
+    df = {"the": 90, "of": 80, "and": 80, "in": 70, "to": 70, "is": 60}
+    t = license_scan.Templates(license_scan.TEMPLATES, df, 100, 0.6)
+    weak = sorted(set(t.idf) - t.strong)
+    everything = license_scan.Templates(license_scan.TEMPLATES, df, 100, 0.6)
     everything.strong = frozenset(everything.idf)
     rng = random.Random(4)
-    vocabulary = sorted(t.idf) + ["noise", "other"]
     for _ in range(400):
-        line = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 14)))
-        a, b = t.scan(line, False), everything.scan(line, False)
-        assert a == b
+        bag = collections.Counter(rng.choice(weak) for _ in range(rng.randint(1, 14)))
+        assert t.best(bag) == (0.0, "") and everything.best(bag)[0] < 0.6
+
+
+def wrapped(text, n=8):
+    w = text.split()
+    return "\n".join(" * " + " ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+
+def test_licenses_by_whole_texts_headers_and_spdx(spark):
+    rows = [(name, f"{name}/x{i}.c", "code before\n" + wrapped(t) + "\nint main() {}\n") for name, ts in license_scan.TEMPLATES.items() for i, t in enumerate(ts)]
+    rows += [("ISC", "isc/LICENSE", "ISC License\n\nCopyright (c) 2020 Some One\n\n" + wrapped(license_scan.TEMPLATES["ISC"][2])), ("MIT", "m/a.py", "# SPDX-License-Identifier: MIT\nx = 1")]
+    plain = [(None, f"plain/{i}.txt", f"the {i} of all words and in that is free to use as it was with no fee " * 3) for i in range(300)]
+    df = spark.createDataFrame(rows + plain, "want string, path string, text string").withColumns({c: F.lit("clash") for c in ("own", "dir", "score", "license", "l")})
+    got = license_scan.scan_licenses(df, carry=("want", "own", "dir")).collect()
+    assert len(got) == len(rows) + len(plain) and {(r["own"], r["dir"]) for r in got} == {("clash", "clash")}
+    wrong = [(r["want"], r["license"], r["path"], r["score"]) for r in got if r["want"] != r["license"]]
+    assert license_scan.scan_licenses(spark.createDataFrame([(f"{i}", "Mit.\nder und mit") for i in range(50)], "path string, text string")).where("license IS NOT NULL").count() == 0
+    assert not wrong
+
+
+def plain_inheritance(rows, least_score):
+    """rows (path, own, score of licence files) to the nearest ancestor's licence, by walking up."""
+    held = {}
+    for path, own, score in rows:
+        name = path.rpartition("/")[2]
+        if own and license_scan._FILE.search(name):
+            folder = path.rpartition("/")[0]
+            held[folder] = min(held.get(folder, (1, "", "")), (-score, path, own))
+    out = {}
+    for path, own, _ in rows:
+        folder = path.rpartition("/")[0]
+        while own is None and folder not in held and folder:
+            folder = folder.rpartition("/")[0]
+        out[path] = own or held.get(folder, (0, "", None))[2]
+    return out
+
+
+def test_inheritance_against_walking_up(spark):
+    rng = random.Random(12)
+    folders = [""] + ["/".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    notes = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Released under the ISC License.", "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License."]
+    rows = {}
+    for i in range(400):
+        folder = rng.choice(folders)
+        name = f"LICENSE.{rng.randrange(3)}" if rng.random() < 0.15 else f"f{i}.txt"
+        rows[(folder + "/" if folder else "") + name] = rng.choice(notes) if rng.random() < (0.8 if "LICENSE" in name else 0.05) else "x = 1"
+    df = spark.createDataFrame(list(rows.items()), "path string, text string")
+    got = license_scan.scan_licenses(df).collect()
+    want = plain_inheritance([(r["path"], r["license"] if r["via"] == "own" else None, r["score"]) for r in got], 0.6)
+    assert {r["path"]: r["license"] for r in got} == want and sum(r["via"] == "inherited" for r in got) > 100
+    long = spark.createDataFrame([("d/a.txt", "word " * 400_000 + "\nReleased under the MIT License."), ("d/b.txt", "\n" * 100_000 + "x")], "path string, text string")
+    assert {r["path"]: r["via"] for r in license_scan.scan_licenses(long).collect()} == {"d/a.txt": "own", "d/b.txt": "none"}
 
 
 # Search --------------------------------------------------------------------------------------------------------------
