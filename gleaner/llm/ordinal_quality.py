@@ -77,6 +77,33 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - np.array(self.thresholds)[None, :], -35, 35)))
 
 
+def thresholds(p: np.ndarray, m: int) -> np.ndarray:
+    """Ordered thresholds from the parameters after m weights: the first, then logarithms of the steps to the next ones."""
+    return p[m] + np.concatenate(([0], np.cumsum(np.exp(p[m + 1 :]))))
+
+
+def loss_and_gradient(p: np.ndarray, at: np.ndarray, value: np.ndarray, owner: np.ndarray, grades: np.ndarray, levels: int, l2: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the grades plus l2 / 2 times the squared weights, and its gradient.
+
+    p: a weight of each feature, then the thresholds' parameters. at, value, owner: feature, value and row of each entry.
+    """
+    n, m = len(grades), len(p) - levels + 1
+    gaps, theta = np.exp(p[m + 1 :]), thresholds(p, m)
+    score = np.bincount(owner, p[at] * value, minlength=n)
+    z = 1 / (1 + np.exp(-np.clip(score[:, None] - theta[None, :], -35, 35)))
+    tail = np.concatenate((np.ones((n, 1)), z, np.zeros((n, 1))), axis=1)
+    slope = tail * (1 - tail)
+    i = np.arange(n)
+    prob = np.maximum(tail[i, grades] - tail[i, grades + 1], 1e-9)
+    up, down = slope[i, grades] / prob, slope[i, grades + 1] / prob
+    d_score = -(up - down) / n
+    d_theta = np.zeros(levels - 1)
+    np.add.at(d_theta, np.maximum(grades - 1, 0), np.where(grades > 0, up, 0) / n)
+    np.add.at(d_theta, np.minimum(grades, levels - 2), np.where(grades < levels - 1, -down, 0) / n)
+    gradient = np.concatenate((np.bincount(at, d_score[owner] * value, minlength=m) + l2 * p[:m], [d_theta.sum()], np.cumsum(d_theta[::-1])[::-1][1:] * gaps))
+    return float(-np.log(prob).mean() + l2 / 2 * (p[:m] ** 2).sum()), gradient
+
+
 def fit(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades: np.ndarray, levels: int, l2: float = 3e-5, steps: int = STEPS) -> OrdinalModel:
     """Maximum likelihood of the cumulative-link model with a ridge penalty, by Adam over all rows, its step falling to zero.
 
@@ -98,31 +125,16 @@ def fit(bucket: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades: np.nda
     new = np.cumsum(chosen) - 1
     use = chosen[at]
     at, value, owner = new[at[use]], (value * scale[at])[use], owner[use]
-    m, n = int(chosen.sum()), len(sizes)
-    # theta: the first threshold and the logarithms of the steps to the next ones.
+    m = int(chosen.sum())
     share = [np.clip((grades >= k).mean(), 1e-3, 1 - 1e-3) for k in range(1, levels)]
     first = [-np.log(s / (1 - s)) for s in share]
     p = np.concatenate((np.zeros(m), [first[0]], np.log(np.maximum(np.diff(first), 0.1))))
     mom, var = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, steps + 1):
-        gaps = np.exp(p[m + 1 :])
-        theta = p[m] + np.concatenate(([0], np.cumsum(gaps)))
-        score = np.bincount(owner, p[at] * value, minlength=n)
-        z = 1 / (1 + np.exp(-np.clip(score[:, None] - theta[None, :], -35, 35)))
-        tail = np.concatenate((np.ones((n, 1)), z, np.zeros((n, 1))), axis=1)
-        slope = tail * (1 - tail)
-        i = np.arange(n)
-        prob = np.maximum(tail[i, grades] - tail[i, grades + 1], 1e-9)
-        up, down = slope[i, grades] / prob, slope[i, grades + 1] / prob
-        d_score = -(up - down) / n
-        d_theta = np.zeros(levels - 1)
-        np.add.at(d_theta, np.maximum(grades - 1, 0), np.where(grades > 0, up, 0) / n)
-        np.add.at(d_theta, np.minimum(grades, levels - 2), np.where(grades < levels - 1, -down, 0) / n)
-        g = np.concatenate((np.bincount(at, d_score[owner] * value, minlength=m) + l2 * p[:m], [d_theta.sum()], np.cumsum(d_theta[::-1])[::-1][1:] * gaps))
+        g = loss_and_gradient(p, at, value, owner, grades, levels, l2)[1]
         mom, var = 0.9 * mom + 0.1 * g, 0.999 * var + 0.001 * g * g
         p = p - 0.1 * (1 - (t - 1) / steps) * (mom / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.999**t)) + 1e-8)
-    theta = p[m] + np.concatenate(([0], np.cumsum(np.exp(p[m + 1 :]))))
-    return OrdinalModel(dict(zip(known[chosen].tolist(), (p[:m] * scale[chosen]).tolist(), strict=True)), theta.tolist())
+    return OrdinalModel(dict(zip(known[chosen].tolist(), (p[:m] * scale[chosen]).tolist(), strict=True)), thresholds(p, m).tolist())
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +144,11 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_on(docs: DataFrame, graded: DataFrame, levels: int, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> OrdinalModel:
-    """Fit on at most sample rows of graded (doc_id, grade in 0 .. levels - 1). Null ids or grades don't count; of several grades of one id the lowest does."""
+    """Fit on at most sample rows of graded (doc_id, grade in 0 .. levels - 1).
+
+    Null ids or grades don't count; of several grades of one id the lowest does. The driver gets the rows' features, not
+    their texts: one number for each bucket that a text has, at most 2 ** 18 + 4137 a row however long it is.
+    """
     graded = graded.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     few = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "grade", "text")

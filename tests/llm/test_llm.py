@@ -417,6 +417,75 @@ def test_license_scan_and_inheritance(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def plain_loss(p, rows, grades, levels, l2):
+    """The model's definition, row by row."""
+    m = len(p) - levels + 1
+    theta = [p[m]]
+    for x in p[m + 1 :]:
+        theta.append(theta[-1] + np.exp(x))
+    total = 0.0
+    for row, g in zip(rows, grades, strict=True):
+        s = sum(p[k] * v for k, v in row.items())
+        tails = [1.0, *(1 / (1 + np.exp(t - s)) for t in theta), 0.0]
+        total -= np.log(tails[g] - tails[g + 1])
+    return total / len(rows) + l2 / 2 * sum(x * x for x in p[:m])
+
+
+@pytest.mark.parametrize("levels", [2, 3, 5])
+def test_quality_gradient_against_finite_differences(levels):
+    rng = np.random.default_rng(levels)
+    rows = [{int(k): float(rng.uniform(0.2, 2)) for k in rng.choice(6, rng.integers(0, 5), replace=False)} for _ in range(40)]
+    grades = rng.integers(0, levels, 40)
+    at = np.array([k for r in rows for k in r])
+    value = np.array([v for r in rows for v in r.values()])
+    owner = np.repeat(np.arange(40), [len(r) for r in rows])
+    p = rng.standard_normal(6 + levels - 1) * 0.5
+    loss, gradient = ordinal_quality.loss_and_gradient(p, at, value, owner, grades, levels, 0.01)
+    assert loss == pytest.approx(plain_loss(p, rows, grades, levels, 0.01), rel=1e-12)
+    for i in range(len(p)):
+        step = np.zeros(len(p))
+        step[i] = 1e-5
+        slope = (plain_loss(p + step, rows, grades, levels, 0.01) - plain_loss(p - step, rows, grades, levels, 0.01)) / 2e-5
+        assert gradient[i] == pytest.approx(slope, abs=1e-7)
+
+
+def test_quality_fit_reaches_the_optimum():
+    rng = np.random.default_rng(8)
+    first = 2**18  # shapes: features without a graded penalty
+    rows = [{first + int(k): 1.0 for k in rng.choice(4, rng.integers(1, 4), replace=False)} for _ in range(400)]
+    grades = np.array([min(2, max(0, int(round(sum((k - first) % 2 for k in r) + rng.normal(0, 0.8))))) for r in rows])
+    flat = [np.array([k for r in rows for k in r]), np.array([v for r in rows for v in r.values()]), np.array([len(r) for r in rows])]
+    model = ordinal_quality.fit(*flat, grades, 3, l2=1e-3)
+    p = np.array([model.weights[first + k] for k in range(4)] + [model.thresholds[0], np.log(model.thresholds[1] - model.thresholds[0])])
+    own = [{k - first: v for k, v in r.items()} for r in rows]
+    least = plain_loss(p, own, grades, 3, 1e-3)
+    for i in range(len(p)):
+        for d in (-0.02, 0.02):
+            q = p.copy()
+            q[i] += d
+            assert plain_loss(q, own, grades, 3, 1e-3) >= least - 1e-7
+    # Without features the thresholds are the log-odds of the grades' shares.
+    none = ordinal_quality.fit(np.zeros(0, int), np.zeros(0), np.zeros(400, int), grades, 3)
+    assert none.tails(np.zeros(1))[0] == pytest.approx([(grades >= 1).mean(), (grades >= 2).mean()], abs=1e-4)
+
+
+def test_quality_scores_equal_the_models_definition_on_odd_and_long_texts(spark):
+    words = [f"w{i}" for i in range(300)]
+    weights = {k: 0.01 * (k % 7 - 3) for w in words for k in ordinal_quality.word_features(w)}
+    model = ordinal_quality.OrdinalModel(weights, [-0.3, 0.4])
+    rows = odd_rows() + [(50, " ".join(words * 2000)), (51, "x" * 1_500_000), (52, "w1 " * 300_000)]
+    docs = documents(spark, rows).withColumns({c: F.lit("clash") for c in ("keep", "grade", "_c0", "expected_grade")})
+    got = ordinal_quality.grade_documents(docs, model, carry=("grade", "_c0")).collect()
+    assert {(r["grade"], r["_c0"]) for r in got} == {("clash", "clash")}
+    want = []
+    for d, t in rows:
+        s = sum(weights.get(k, 0.0) * v for k, v in ordinal_quality.features(t or "").items())
+        want.append((d, *(1 / (1 + np.exp(x - s)) for x in model.thresholds)))
+    key = lambda r: (r[0] is None, r[0] or 0, round(r[1], 9))
+    for a, b in zip(sorted(((r["doc_id"], r["expected_grade"] - r["top_probability"], r["top_probability"]) for r in got), key=key), sorted(want, key=key), strict=True):
+        assert a == pytest.approx(b, abs=1e-9) if a[0] is not None else a[1:] == pytest.approx(b[1:], abs=1e-9)
+
+
 def plain_scan(templates, df, n, text, licence_file, least):
     """Dense TF-IDF cosines of every window, without any bound."""
     vocabulary = sorted({w for ts in templates.values() for t in ts for w in license_scan.words(t)})
