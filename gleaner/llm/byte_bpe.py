@@ -4,7 +4,7 @@ A piece of text (one match of the pattern) is a row of bytes. A segment tree ove
 rank of the pair that starts there, in one number with the position, so the root is the leftmost pair of lowest rank.
 A merge drops the right token from the list of live neighbours and updates three leaves, each in as many steps as the
 tree is high. Short pieces are encoded many at a time, one merge of each per step; long ones by themselves. Pieces
-repeat, so their ids are kept in a bounded table per worker.
+repeat, so the ids of short ones are kept in a bounded table per worker.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import texts_of
+from gleaner.llm.common import chunks, texts_of
 
-#: Pieces kept per worker, and the longest piece (bytes) that is encoded together with others.
+#: Pieces kept per worker, and the longest piece that is kept (characters) or encoded together with others (bytes).
 KEPT, SHORT = 300_000, 64
 _NONE = np.int64(2**62)
 
@@ -203,7 +203,7 @@ def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[bytes]:
     vocab = vocabulary(path)
     known = _KNOWN.setdefault((path, pattern), {})
     for a in range(0, len(texts), 64):
-        group, size = [], 0
+        group: list[list[str]] = []
         for t in texts[a : a + 64]:
             if len(t) >= 1_000_000:
                 yield from _encode(group, vocab, known)
@@ -218,12 +218,15 @@ def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[bytes]:
 
 
 def _encode(groups: list[list[str]], vocab: Vocabulary, known: dict[str, bytes]) -> list[bytes]:
-    missing = list(set().union(*groups).difference(known)) if groups else []
+    missing = set().union(*groups).difference(known)
     if len(known) + len(missing) > KEPT:
         known.clear()
-        missing = list(set().union(*groups))
-    known.update(zip(missing, vocab.encode_many([w.encode() for w in missing]), strict=True))
-    return [b"".join(map(known.__getitem__, g)) for g in groups]
+        missing = set().union(*groups)
+    long = {w: np.array(vocab.encode_long(w.encode()), dtype="<u4").tobytes() if w.encode() not in vocab.ranks else vocab.ranks[w.encode()].to_bytes(4, "little") for w in missing if len(w) > SHORT}
+    short = [w for w in missing if len(w) <= SHORT]
+    known.update(zip(short, vocab.encode_many([w.encode() for w in short]), strict=True))
+    at = (lambda w: known.get(w) or long[w]) if long else known.__getitem__
+    return [b"".join(map(at, g)) for g in groups]
 
 
 def _mapper(path: str, pattern: str, with_ids: bool):
@@ -231,9 +234,9 @@ def _mapper(path: str, pattern: str, with_ids: bool):
         vocab = vocabulary(path)
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            for a in range(0, len(texts), 256):
+            for a, b in chunks(texts):
                 n, ids_sha, back_sha, ids, back = [], [], [], [], []
-                for x in encode_texts([t.decode("utf-8", "replace") for t in texts[a : a + 256]], path, pattern):
+                for x in encode_texts([t.decode("utf-8", "replace") for t in texts[a:b]], path, pattern):
                     n.append(len(x) // 4)
                     ids_sha.append(hashlib.sha256(x).hexdigest())
                     decoded = vocab.decode(x)
@@ -241,7 +244,7 @@ def _mapper(path: str, pattern: str, with_ids: bool):
                     if with_ids:
                         ids.append(np.frombuffer(x, "<u4").astype(np.int32))
                         back.append(decoded.decode("utf-8", "replace"))
-                cols = [batch.column("doc_id")[a : a + 256], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())]
+                cols = [batch.column("doc_id")[a:b], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
                     cols, names = [*cols, pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], [*names, "ids", "decoded"]

@@ -79,16 +79,21 @@ def texts_of(col: pa.Array) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.large_binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about limit bytes together."""
+def spans(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of items of about limit together; a larger one is alone."""
     start = total = 0
-    for i, t in enumerate(texts):
-        if total and total + len(t) > limit:
+    for i, n in enumerate(sizes):
+        if total and total + n > limit:
             yield start, i
             start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about limit bytes together."""
+    return spans([len(t) for t in texts], limit)
 
 
 def row_key(text, *seed) -> F.col:

@@ -15,11 +15,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import materialize, texts_of
+from gleaner.llm.common import chunks, materialize, spans, texts_of
 
 
 @lru_cache(maxsize=4)
@@ -48,8 +49,8 @@ def token_ids(text: str, path: str, ranks: str | None, pattern: str) -> np.ndarr
     if ranks:
         try:
             return _fast(path, ranks, pattern).encode_to_numpy(text, allowed_special="all")
-        except Exception:  # noqa: BLE001  its regular expressions give up on very long runs of white space
-            pass
+        except ValueError:
+            pass  # its regular expressions give up on very long runs of white space
     return np.array(_slow(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
@@ -59,16 +60,16 @@ def _tokenize(path: str, ranks: str | None, pattern: str, end_id: int):
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            for a in range(0, len(texts), 256):
+            for a, b in chunks(texts):
                 n, at, ids = [], [], []
-                for t in texts[a : a + 256]:
+                for t in texts[a:b]:
                     x = np.concatenate((token_ids(t.decode("utf-8", "replace"), path, ranks, pattern), end))
                     n.append(len(x))
                     at.append(begin)
                     begin += len(x)
                     # Two bytes an id where they do; the length tells which.
                     ids.append(x.astype("<u2" if x.max() < 65536 else "<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a : a + 256], pa.array([part] * len(n), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "part", "begin", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array([part] * len(n), pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "part", "begin", "n", "ids"])
 
     return run
 
@@ -79,8 +80,9 @@ def _pieces(base: dict[int, int], total: int, length: int, with_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                rows = batch.slice(a, 512)
+            size = pc.binary_length(batch.column("ids")).to_pylist()
+            for a, b in spans(size):
+                rows = batch.slice(a, b - a)
                 owner, start, size, crc, where, ids = [], [], [], [], [], []
                 for i, (part, begin, n, data) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("part", "begin", "n", "ids")), strict=True)):
                     x = np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u2").astype("<u4")

@@ -278,6 +278,39 @@ def test_byte_bpe_against_tiktoken(spark):
     assert byte_bpe.encode_documents(documents(spark, rows).limit(0), path, files.PATTERN).count() == 0
 
 
+def long_texts():
+    rng = random.Random(7)
+    prose = " ".join("".join(rng.choice("abcdeéß漢") for _ in range(rng.randint(1, 9))) for _ in range(180_000))
+    return [prose, " " * 1_000_001 + "x", "\n" * 50_000 + " a", "a" * 60_000, "q" * 200 + " " + "q" * 200, "!?" * 4000]
+
+
+def test_ids_of_very_long_texts(spark):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    assert len(long_texts()[0]) > 1_000_000
+    rows = list(enumerate(long_texts())) + [(9, "q" * 200), (9, "q" * 200)]
+    path = files.path("byte_bpe_50k.json")
+    own = Tokenizer.from_file(path)
+    pieces = packing.pack(documents(spark, rows), path, files.path("byte_bpe_50k.tiktoken"), files.PATTERN, with_ids=True).orderBy("sequence_id", "offset").collect()
+    made, now = [], []
+    for p in pieces:
+        now += p["ids"]
+        if len(now) == p["doc_tokens"]:
+            made.append((p["doc_id"], now))
+            now = []
+    assert sorted(made) == sorted((d, own.encode(t, add_special_tokens=False).ids + [0]) for d, t in rows)
+
+    path = files.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [r for r in rows if not r[1].startswith(" ")]  # the library gives up on that one
+    got = byte_bpe.encode_documents(documents(spark, rows), path, files.PATTERN, with_ids=False).collect()
+    want = [(d, hashlib.sha256(np.array(library.encode_ordinary(t), dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for d, t in rows]
+    assert sorted((r["doc_id"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == sorted(want)
+
+
 def test_segment_tree_paths_agree():
     v = byte_bpe.vocabulary(files.path("byte_bpe_multi_50k.tiktoken"))
     rng = random.Random(3)
