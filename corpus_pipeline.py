@@ -1,6 +1,11 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again.
 
 Stage 1 to 4 return the columns of documents; the last returns the pieces of packed sequences.
+
+Every stage takes rows with null or repeated ids, null, empty and very long texts, and further columns of any name,
+which it drops. Repeated rows are rows of their own until near_duplicates, which keeps one of them. A null text counts
+as one without words: it is graded by the model's thresholds alone, has no lines, duplicates and passages, and is empty
+from the stage repeats on. Empty tables pass through every stage; without labels every document is kept.
 """
 
 from __future__ import annotations
