@@ -768,6 +768,57 @@ def test_pipeline_stages_against_plain_versions(spark):
     assert P.run(spark, sf).count() == len(pieces)
 
 
+def test_pipeline_of_odd_rows_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    passage = prose(80)
+    rows = odd_rows() + [(i, prose(40) + "\nmenu\n" + (passage if i % 12 == 0 else "")) for i in range(100, 160)] + [(200, prose(250_000)), (300, prose(60))]
+    rows += [(301, rows[-1][1]), (None, None), (None, rows[-1][1])]
+    clash = {c: F.lit("clash") for c in ("grade", "keep", "rid", "keeps", "marks", "kept", "k1", "first", "label", "part", "ids", "_c0", "_h", "n", "pages")}
+    docs = documents(spark, rows, extra=False).withColumn("source", F.when(F.col("doc_id") != 300, F.col("source"))).withColumns(clash)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    none.write.parquet(str(tmp_path / "labels.parquet"))
+    stages, now = dict(P.STAGES), docs
+    seen = {}
+    for name in list(stages)[:-1]:
+        now = P.materialize(stages[name](spark, now, str(tmp_path)), f"odd-{name}")
+        assert sorted(now.columns) == sorted(P.COLUMNS)
+        seen[name] = now.collect()
+        now = now.withColumns(clash)
+        assert stages[name](spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert len(seen["quality"]) == len(rows) == len(seen["lines"])
+    assert not any("menu" in (r["text"] or "") for r in seen["lines"] if r["source"]) and sum(r["text"] is None for r in seen["lines"]) == 2
+    kept = seen["near_duplicates"]
+    assert sum(r["text"] == rows[-1][1] for r in kept) == 1 and min(r["doc_id"] for r in kept if r["text"] == rows[-1][1]) == 300
+    assert sum(r["text"] in (None, "", " \n\t ") for r in kept) == 4
+    assert sum(passage[20:400] in r["text"] for r in seen["repeats"]) == 1 and all(r["text"] is not None for r in seen["repeats"])
+    pieces = P.run(spark, str(tmp_path)).collect()
+    assert {p["doc_id"] for p in pieces} == {r["doc_id"] for r in kept} and stages["packing"](spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_stages_reject_and_keep(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    kept = P.quality(spark, docs, sf).select("doc_id").withColumn("k", F.lit(1))
+    rows = labels.join(kept, "doc_id", "left").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.count("k").alias("k")).collect()
+    share = {(r["quality"], r["toxic"]): r["k"] / r["n"] for r in rows}
+    assert share[1, 0] >= 0.95 and all(v <= 0.1 for g, v in share.items() if g != (1, 0))
+
+
+def test_line_dedup_of_long_tied_and_repeated_rows(spark):
+    lines = "\n".join(f"line {i}" for i in range(60_000))
+    rows = [(1, lines + "\ncommon", "a"), (2, "common\n" * 20_000, "a"), (3, "x\ncommon", "a"), (3, "x\ncommon", "a"), (4, "tie", "b"), (5, "tie", "b"), (6, "u", "b"), (7, "v", "b")]
+    docs = documents(spark, rows).withColumns({c: F.lit("clash") for c in ("_h", "_k", "gone", "lines", "h1", "pages", "df")})
+    got = collections.Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"], r["gone"]) for r in line_dedup.drop_boilerplate(docs, max_ratio=0.5, min_pages=2, carry=("gone",)).collect())
+    want = [(1, 60_001, 1, lines), (2, 20_001, 20_000, ""), (3, 2, 1, "x"), (3, 2, 1, "x"), (4, 1, 0, "tie"), (5, 1, 0, "tie"), (6, 1, 0, "u"), (7, 1, 0, "v")]
+    assert got == collections.Counter((*r, "clash") for r in want)
+
+
 def test_registered_queries_equal_their_sql(spark):
     import os
 
