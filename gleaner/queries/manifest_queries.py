@@ -128,15 +128,14 @@ def maven_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _XML.df(spark).select("xml", M.maven_latest(F.col("xml")).alias("latest"))
 
 
-_FACTS = X.Fixture("url string, body string", [("/repos/o/r", '{"full_name": "o/r", "stargazers_count": 12, "subscribers_count": 3, "forks_count": 2, "open_issues_count": 5, "language": "Go", "archived": false, "license": {"spdx_id": "MIT"}, "created_at": "2020-01-02T03:04:05Z", "pushed_at": "2024-01-01T00:00:00Z", "default_branch": "main"}'), ("/search/issues?q=x", '{"total_count": 77}')])
-_FB = "CAST(body AS JSON)"
+_FOUND = X.Fixture("url string, body string", [("/search/issues?q=x", '{"total_count": 77}'), ("/repos/o/r", '{"full_name": "o/r"}')])
 
 
-@query(f"SELECT url, json_extract_string({_FB}, '$.full_name') AS repo, json_extract_string({_FB}, '$.stargazers_count')::BIGINT AS stars, json_extract_string({_FB}, '$.subscribers_count')::BIGINT AS watchers, json_extract_string({_FB}, '$.forks_count')::BIGINT AS forks, json_extract_string({_FB}, '$.license.spdx_id') AS license, json_extract_string({_FB}, '$.total_count')::BIGINT AS found FROM {_FACTS.sql()}")
-def repository_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts in saved answers; watchers are the subscribers."""
-    g = lambda p: F.get_json_object("body", p)
-    return _FACTS.df(spark).select("url", g("$.full_name").alias("repo"), g("$.stargazers_count").cast("long").alias("stars"), g("$.subscribers_count").cast("long").alias("watchers"), g("$.forks_count").cast("long").alias("forks"), g("$.license.spdx_id").alias("license"), g("$.total_count").cast("long").alias("found"))
+@query(f"SELECT url, json_extract_string(body, '$.total_count')::BIGINT AS found FROM {_FOUND.sql()} WHERE json_extract_string(body, '$.total_count') IS NOT NULL")
+def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of saved searches."""
+    found = F.get_json_object("body", "$.total_count").cast("long")
+    return _FOUND.df(spark).select("url", found.alias("found")).where("found IS NOT NULL")
 
 
 _SIGNALS = X.Fixture("file string, signal string, text string", [("package.json", "Electron dependency", ""), ("app/main.js", "renderer sandbox disabled", ""), ("App.xcodeproj/project.pbxproj", "hardened runtime in Xcode project", "ENABLE_HARDENED_RUNTIME = NO"), ("App.xcodeproj/project.pbxproj", "entitlements file in Xcode project", "")])
@@ -175,12 +174,6 @@ def clone_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _CLONES.df(spark).select("repo", F.array_join(F.array_compact(F.array(*parts)), ",").alias("warnings"))
 
 
-@query("SELECT source AS repo, count(*)::BIGINT AS commits, count(DISTINCT lang)::BIGINT AS branches, sum(n_chars)::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source")
-def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and sizes of each source."""
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("repo")).agg(F.count("*").alias("commits"), F.countDistinct("lang").alias("branches"), F.sum("n_chars").alias("chars"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
-
-
 _BLOBS = X.Fixture("ord long, sha string, path string, text string", [(1, "s1", "a.txt", "mail me@corp.test"), (2, "s1", "b.txt", "mail me@corp.test"), (3, "s2", "a.txt", "clean"), (4, "s3", "c.txt", "x@example.com y@dev.test")])
 
 

@@ -1,4 +1,4 @@
-"""Rule engine over whole tables: J01, J02, P20-P25, P27, P30, P40, P43, A22, A24-A26, T05, T12, W11, W12 and the rule tables."""
+"""Rule engine over whole tables: J01, J02, P20-P22, P25, P27, P30, P40, P43, A25, T05, T12, W12 and the rule tables."""
 
 from __future__ import annotations
 
@@ -187,10 +187,3 @@ def hosted_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _SEAM_LINES.df(spark).select("file", "line", F.explode(F.regexp_extract_all("text", F.lit(_SEAM), 0)).alias("name"))
     held = F.exists(F.array(*[F.lit(w) for w in S.SEAM_WORDS]), lambda w: F.concat(F.lit("_"), F.col("name"), F.lit("_")).contains(F.concat(F.lit("_"), w, F.lit("_"))))
     return rows.where(held).groupBy("name").agg(F.countDistinct("file").alias("files"), F.min(F.concat_ws(":", "file", "line")).alias("first"))
-
-
-@query(f"SELECT file, line FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS n FROM {X.SIGNAL_LINES.sql()}) WHERE n <= 2")
-def first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two lines of each file. A top-k report."""
-    w = Window.partitionBy("file").orderBy("line")
-    return X.SIGNAL_LINES.df(spark).withColumn("n", F.row_number().over(w)).where("n <= 2").select("file", "line")

@@ -94,17 +94,6 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _J = "CAST(body AS JSON)"
 
 
-@query(f"""SELECT source, name, CASE WHEN NOT (CASE source WHEN 'crate' THEN regexp_matches(name, '^[\\w-]+$') WHEN 'docker' THEN regexp_matches(name, '^[\\w.-]+/[\\w.-]+$') WHEN 'open_vsx' THEN regexp_matches(name, '^[\\w.-]+/[\\w.-]+$') ELSE true END) THEN 'bad name' ELSE json_extract_string({_J}, '$._error') END AS error,
-coalesce(json_extract_string({_J}, '$.downloads'), json_extract_string({_J}, '$.data.last_day'), json_extract_string({_J}, '$.crate.downloads'), json_extract_string({_J}, '$.pull_count'), json_extract_string({_J}, '$.downloadCount'), json_extract_string({_J}, '$.approximate_member_count'))::BIGINT AS main_count,
-coalesce(json_extract_string({_J}, '$.crate.max_stable_version'), json_extract_string({_J}, '$.crate.newest_version')) AS latest_version FROM {X.COUNTS.sql()}""")
-def public_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main count of saved answers; bad names and error answers give an error."""
-    g = lambda p: F.get_json_object("body", p)
-    fine = F.when(F.col("source") == "crate", F.col("name").rlike(r"^[\w-]+$")).when(F.col("source").isin("docker", "open_vsx"), F.col("name").rlike(r"^[\w.-]+/[\w.-]+$")).otherwise(True)
-    main = F.coalesce(g("$.downloads"), g("$.data.last_day"), g("$.crate.downloads"), g("$.pull_count"), g("$.downloadCount"), g("$.approximate_member_count")).cast("long")
-    return X.COUNTS.df(spark).select("source", "name", F.when(~fine, "bad name").otherwise(g("$._error")).alias("error"), main.alias("main_count"), F.coalesce(g("$.crate.max_stable_version"), g("$.crate.newest_version")).alias("latest_version"))
-
-
 @query(f"""WITH p AS (SELECT name, unnest(['30d', '90d', '365d']) AS period, {_J} AS j FROM {X.COUNTS.sql()} WHERE source = 'brew'), v AS (SELECT name, period, json_extract(j, '$.analytics.install."' || period || '"') AS m FROM p)
 SELECT name, period, coalesce(json_extract_string(m, '$."' || name || '"')::BIGINT, (SELECT sum(x::BIGINT) FROM (SELECT unnest(json_extract_string(m, '$.*')) AS x)))::BIGINT AS installs FROM v""")
 def installs_per_period(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,14 +101,3 @@ def installs_per_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.COUNTS.df(spark).where("source = 'brew'").select("name", F.explode(F.from_json("body", "analytics struct<install: map<string, map<string, long>>>")["analytics"]["install"]).alias("period", "m"))
     total = F.when(F.size("m") > 0, F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x))
     return rows.select("name", "period", F.coalesce(F.try_element_at("m", F.col("name")), total).alias("installs"))
-
-
-_REPOS = X.Fixture("full_name string, name string", [("o/notes", "notes"), ("o/notes-releases", "notes-releases"), ("o/Notes", "Notes"), ("o/note", "note"), ("o/blog", "blog"), ("o/release-tool", "release-tool")])
-
-
-@query(f"WITH f AS (SELECT full_name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS f FROM {_REPOS.sql()}) SELECT full_name FROM f WHERE full_name <> 'o/notes' AND f <> 'notes' AND (contains(f, 'release') OR contains(f, 'notes') OR contains('notes', f))")
-def sibling_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Other repositories of the owner that may hold releases."""
-    f = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
-    rows = _REPOS.df(spark).withColumn("f", f).where("full_name <> 'o/notes' AND f <> 'notes'")
-    return rows.where(F.col("f").contains("release") | F.col("f").contains("notes") | F.lit("notes").contains(F.col("f"))).select("full_name")

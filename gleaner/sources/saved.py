@@ -49,6 +49,28 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", "\0").text(path).where("value <> ''").withColumnRenamed("value", "path")
 
 
+def tree_changes(spark: SparkSession, path: str) -> DataFrame:
+    """(status, old, new) of a saved comparison: a status, then one path, or two for renames, separated by tabs.
+
+    The status is its first letter; new is null for deleted files and old for modified ones. Copies and additions are left out.
+    """
+    f = F.split("value", "\t")
+    rows = spark.read.text(path).where("value <> ''").select(F.substring(f[0], 1, 1).alias("status"), f[1].alias("old"), F.get(f, 2).alias("to"))
+    return rows.where("status IN ('D', 'R', 'M')").select("status", "old", F.when(F.col("status") == "M", F.col("old")).otherwise(F.col("to")).alias("new"))
+
+
+def paged(saved: DataFrame, size: int = 100) -> DataFrame:
+    """(list, page, item) of saved answers (url, body) whose bodies are lists, up to each list's first short page.
+
+    A list is its URL without the number of the page; a page that was saved twice counts once.
+    """
+    number = r"([?&]page=)(\d+)"
+    pages = saved.select(F.regexp_replace("url", number, "$1").alias("list"), F.coalesce(F.nullif(F.regexp_extract("url", number, 2), F.lit("")), F.lit("1")).cast("int").alias("page"), F.from_json("body", "array<string>").alias("items")).where("items IS NOT NULL").dropDuplicates(["list", "page"])
+    last = pages.where(F.size("items") < size).groupBy("list").agg(F.min("page").alias("last"))
+    rows = pages.join(last, "list", "left").where("last IS NULL OR page <= last")
+    return rows.select("list", "page", F.explode("items").alias("item"))
+
+
 def answers(spark: SparkSession, folder: str) -> DataFrame:
     """Saved answers, one JSON document per file, with url, fetched_at and the body as text."""
     rows = spark.read.option("wholetext", "true").text(folder)
