@@ -101,6 +101,21 @@ def row_key(text, *seed) -> F.col:
     return F.xxhash64(F.coalesce(text, F.lit("")), *[F.lit(s) for s in seed])
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, limit: int, most: int = 100_000) -> DataFrame:
+    """rows with the one row of table of the same key; table's column m says how many of rows have it. Rows without one go.
+
+    Keys of more than limit rows are sent to the rows instead of gathering them in a task, if they are at most ``most``;
+    where they are more, no one of them need be large, and all are joined by key. table is read several times.
+    """
+    large = table.where(F.col("m") > limit)
+    count = large.limit(most + 1).count()
+    if not 0 < count <= most:
+        return rows.join(table, key)
+    few = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(table.where(F.col("m") <= limit), key)
+    many = rows.join(F.broadcast(large), key)
+    return few.unionByName(many.select(*few.columns))
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label): the smallest node that links reach, for every node of edges (x, y) of long ids.
 

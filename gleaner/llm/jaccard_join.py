@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import chunks, connected_components, discard, materialize, row_key, texts_of
+from gleaner.llm.common import chunks, connected_components, discard, join_counted, materialize, row_key, texts_of
 from gleaner.llm.shingles import shingle_sets
 
 #: A token of more documents than this counts as frequent. Buckets of rare tokens are small enough to pair off.
@@ -161,16 +161,16 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
     cold = keyed.where("not hot").groupBy("key").agg(F.sort_array(F.collect_list("rid")).alias("m")).where("size(m) > 1")
     cold = cold.select(F.explode(F.expr("flatten(transform(sequence(1, size(m) - 1), i -> transform(slice(m, i + 1, size(m)), y -> struct(m[i - 1] as x, y as y))))")).alias("p")).select("p.x", "p.y")
     hot = keyed.where("hot")
-    centre = hot.groupBy("key").agg(F.min(F.struct("u", "rid", "n")).alias("c"))
+    centre = materialize(hot.groupBy("key").agg(F.min(F.struct("u", "rid", "n")).alias("c"), F.count("*").alias("m")).where("m > 1"), "jaccard-centres")
     allowed = lambda nx, ux, ny, uy: _enough(f"least({nx} - {ux}, {ny} - {uy})", nx, ny, t)
-    star = hot.join(centre, "key").where("rid <> c.rid").where(allowed("n", "u", "c.n", "c.u")).select(F.least("rid", F.col("c.rid")).alias("x"), F.greatest("rid", F.col("c.rid")).alias("y"))
+    star = join_counted(hot, centre, "key", SQUARE).where("rid <> c.rid").where(allowed("n", "u", "c.n", "c.u")).select(F.least("rid", F.col("c.rid")).alias("x"), F.greatest("rid", F.col("c.rid")).alias("y"))
     links = materialize(_verify(pairs.unionByName(cold).unionByName(star).distinct(), sets, t), "jaccard-links")
 
     # What the centres left: pairs of different components in one bucket.
     label = connected_components(links, "jaccard-star")
     named = hot.join(label.withColumnRenamed("node", "rid"), "rid", "left").withColumn("label", F.coalesce("label", "rid"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m")).where("a <> b").select("key", "m")
-    named = materialize(named.join(mixed, "key"), "jaccard-mixed")
+    mixed = materialize(named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m")).where("a <> b").select("key", "m"), "jaccard-mixed-keys")
+    named = materialize(join_counted(named, mixed, "key", SQUARE), "jaccard-mixed")
     # Linked sizes lie in one class or in two that follow each other: a class is as wide as the widest ratio of linked sizes.
     named = named.withColumn("class", F.floor(F.log("n") / F.lit(math.log(100 / t) * (1 + 1e-9) if t < 100 else 1e-9)).cast("long")).withColumn("squares", F.ceil(F.col("m") / SQUARE).cast("int"))
     side = lambda df, s: df.select("key", "class", "square", *[F.col(c).alias(c + s) for c in ("rid", "n", "u", "label", "skip", "prev")])
@@ -186,7 +186,7 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
     further = connected_components(ends, "jaccard-components")
     joined = known.unionByName(further.join(known.select("node"), "node", "left_anti")).join(further.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left")
     label = materialize(joined.select("node", F.coalesce("least", "label").alias("label")), "jaccard-labels")
-    discard(nodes, common, shared, facts, pairs, sets, keyed, named, links, late, found, known, further)
+    discard(nodes, common, shared, facts, pairs, sets, keyed, centre, mixed, named, links, late, found, known, further)
     named = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep", "rid"))
     named = named.withColumn("label", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("rid")))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))

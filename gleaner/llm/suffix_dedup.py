@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import discard, materialize, row_key, texts_of
+from gleaner.llm.common import discard, join_counted, materialize, row_key, texts_of
 from gleaner.llm.shingles import U, mix
 
 GRAM, HOT = 64, 256
@@ -434,13 +434,14 @@ def repeated_starts(docs: DataFrame, window: int = 200, keep: str = "none", gram
         discard(rows)
         marks.append(again.where("not first" if keep == "first" else "twice").select("doc_id", "k1", F.col("lo").cast("long").alias("a"), (F.col("lo") + F.col("more")).cast("long").alias("b")))
         contexts = again.where("first")
-        several = contexts.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1")
-        wanted = contexts.join(several, "kh")
+        several = materialize(contexts.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1"), "suffix-several")
+        wanted = join_counted(contexts, several, "kh", hot)
         if level == 0:
             wanted = _fetch(wanted, docs, window)
         else:
             wanted = wanted.select("doc_id", "k1", "lo", "more", "at", "kh", "m", "bytes")
         contexts = materialize(wanted, "suffix-bytes")
+        discard(several)
         done += [again, contexts]
         few = contexts.where(f"m <= {hot}").repartition("kh").sortWithinPartitions("kh")
         marks.append(few.mapInArrow(_suffix_blocks(window, keep), _STARTS))

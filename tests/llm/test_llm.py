@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import gleaner.llm.jaccard_join as J
 import gleaner.llm.suffix_dedup as S
 from gleaner.llm import byte_bpe, hamming, license_scan, line_dedup, ordinal_quality, packing, preference_format
-from gleaner.llm.common import connected_components
+from gleaner.llm.common import connected_components, join_counted
 from gleaner.llm.shingles import shingle_sets
 
 files = pytest.importorskip("public_tokenizers")
@@ -127,6 +127,14 @@ def test_shingles_of_short_and_long_words():
     assert len(shingle_sets([b"a b c d a b c d a"], 4)[0]) == 4
 
 
+def test_join_of_keys_with_many_rows(spark):
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3), (3, 1), (4, 20)) for i in range(n)], "key long, i long")
+    table = spark.createDataFrame([(1, 50, "a"), (2, 3, "b"), (4, 20, "c"), (9, 0, "d")], "key long, m long, v string")
+    want = sorted(tuple(r) for r in rows.join(table, "key").select("key", "i", "m", "v").collect())
+    for limit, most in ((10, 100), (100, 100), (0, 1), (10, 2)):
+        assert sorted(tuple(r) for r in join_counted(rows, table, "key", limit, most).select("key", "i", "m", "v").collect()) == want
+
+
 def test_connected_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (300, 301), (301, 300)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "x long, y long")).collect()))
