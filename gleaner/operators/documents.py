@@ -1,4 +1,4 @@
-"""Operators on one document at a time that need state: cut points and the best split; Markdown for another editor."""
+"""Operators on one document at a time that need state: cut points and the best split."""
 
 from __future__ import annotations
 
@@ -72,56 +72,3 @@ def split_documents(docs: DataFrame, key: str, text: str, limit: int = 18_000) -
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     return rows.mapInPandas(run, f"k {kind}, part long, start long, chars long, error string").withColumnRenamed("k", key)
-
-
-def _inline(text: str) -> str:
-    return re.sub(r"([~$<>{}^])", r"\\\1", text)
-
-
-def convert_markdown(text: str) -> str:
-    """Markdown for a block editor: headings to three levels, list depth in tabs, tables as tags, callouts from quotes, escapes outside code."""
-    out: list[str] = []
-    rows: list[list[str]] = []
-    code = False
-
-    def flush() -> None:
-        if rows:
-            out.append('<table header-row="true">')
-            for r in rows:
-                out.append("<tr>" + "".join(f"<td>{_inline(c)}</td>" for c in r) + "</tr>")
-            out.append("</table>")
-            rows.clear()
-
-    for line in text.split("\n"):
-        if line.strip().startswith("```"):
-            flush()
-            code = not code
-            out.append(line.strip())
-        elif code:
-            out.append(line)
-        elif line.lstrip().startswith("|"):
-            cells = [c.strip().replace("\\|", "|") for c in re.split(r"(?<!\\)\|", line.strip().strip("|"))]
-            if not all(re.fullmatch(r":?-+:?", c) for c in cells):
-                rows.append(cells)
-        else:
-            flush()
-            if m := re.match(r"^(#{1,6})\s+(.*)$", line):
-                out.append("#" * min(3, len(m[1])) + " " + _inline(m[2]))
-            elif m := re.match(r"^(\s*)([-*+]|\d+\.)\s+(.*)$", line):
-                out.append("\t" * (len(m[1].expandtabs(4)) // 2) + ("- " if m[2] in "-*+" else m[2] + " ") + _inline(m[3]))
-            elif m := re.match(r"^>\s?(.*)$", line):
-                out.append(f"<callout>{_inline(m[1])}</callout>")
-            elif line.strip():
-                out.append("".join(p if i % 2 else _inline(p) for i, p in enumerate(re.split(r"(`[^`]*`)", line))))
-    flush()
-    return "\n".join(out)
-
-
-def convert_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
-    kind = dict(docs.dtypes)[key]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"k": frame["k"], "converted": [convert_markdown(t or "") for t in frame["t"]]})
-
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, converted string").withColumnRenamed("k", key)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import documents as DOC
 from gleaner.operators import lint as L
+from gleaner.operators import markdown as MD
 from gleaner.queries import fixtures as X
 from gleaner.queries.base import query, table
 
@@ -71,5 +72,5 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def converted_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown for a block editor. Not expressible in SQL."""
-    return DOC.convert_documents(X.MARKDOWN.df(spark), "doc", "text")
+    """All documents as Markdown for a block editor. Not expressible in SQL; tests state conversions of every kind of block."""
+    return MD.convert_documents(table(spark, sf_dir, "documents"), "doc_id", "text")

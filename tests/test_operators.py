@@ -10,12 +10,14 @@ from gleaner.functions import text as T
 from gleaner.operators import documents as D
 from gleaner.operators import history as H
 from gleaner.operators import manifests as M
+from gleaner.operators import markdown as MD
 from gleaner.operators import pages as P
 from gleaner.operators import removals as R
 from gleaner.operators import traction as K
 from gleaner.operators.match import candidates, signals
 from gleaner.plans.rules import gate, rules
 from gleaner.queries import fixtures as X
+from gleaner.sources import saved
 
 
 def test_gates_lose_no_hits(spark):
@@ -105,8 +107,48 @@ def test_cut_points_need_closed_blocks():
     assert D.cut_points("x\n## A\n### B\n") == [2, 7]
 
 
-def test_markdown_conversion():
-    assert D.convert_markdown("#### Deep\n- a\n    - b\n| x | y |\n|---|---|\n| 1 | `a\\|b` |\n> note\n```\n<raw>\n```\n1 < 2") == "### Deep\n- a\n\t\t- b\n<table header-row=\"true\">\n<tr><td>x</td><td>y</td></tr>\n<tr><td>1</td><td>`a|b`</td></tr>\n</table>\n<callout>note</callout>\n```\n<raw>\n```\n1 \\< 2"
+def _converted(text, **style):
+    return MD.convert_markdown(text, MD.Style(**{"contents": False} | style))
+
+
+def test_markdown_blocks():
+    text = "# Title\n#### Deep\n- a\n    - b\n      more\n- c\n\ntext\n  loose\n|no|table\n\n| x | y |\n|---|---|\n| 1 | `a|b` |\n> one\n>\n> two\n---\n```\n<raw>\n| 1 |\n```\n```py\n# no title\n```\n1 < 2\n\n\n\nend"
+    want = "### Deep\n- a\n\t- b\n\t\tmore\n- c\n\ntext\n  loose\n\\|no\\|table\n\n<table header-row=\"true\">\n\t<tr>\n\t\t<td>x</td>\n\t\t<td>y</td>\n\t</tr>\n\t<tr>\n\t\t<td>1</td>\n\t\t<td>`a|b`</td>\n\t</tr>\n</table>\n> one<br>two\n---\n```text\n<raw>\n| 1 |\n```\n```py\n# no title\n```\n1 \\< 2\n\nend\n"
+    assert _converted(text) == (want, [])
+    assert _converted("")[0] == "\n" and _converted("a", contents=True)[0] == "<table_of_contents/>\n\na\n"
+    assert _converted("# T\n# U\n##### V", drop_first_title=False, deepest_heading=2)[0] == "# T\n# U\n## V\n"
+
+
+def test_markdown_text_within_lines():
+    inline = MD.inline
+    assert inline("$29 for <you> in `co$de` and src/index.ts:12-14, not @setup.sh") == "\\$29 for \\<you\\> in `co$de` and `src/index.ts:12-14`, not @setup.sh"
+    assert inline("x \\* y \\$ [a^b](https://x.y/c.md) [plain] \U00100000") == "x \\* y \\$ [a\\^b](https://x.y/c.md) \\[plain\\] \U00100000"
+
+
+def test_markdown_mentions():
+    style = MD.Style(pages={"01": "a-a", "A": "bbb"}, files={"Z": "none.md", "A": "more/code.md"}, references=((r"\bdocument (0[1-9])\b", 1, None), (r"\bpart (\d+)", 1, {"7": "ddd"})), literals=(("the old one", "ccc"),), mention_url="https://n/{id}")
+    to = lambda x: f'<mention-page url="https://n/{x}"/>'
+    got = MD.inline("See document 01, document 02, part 7, `more/code.md`, `code.md`, `none.md` and [the old one](https://x.y)", style)
+    assert got == f"See document {to('aa')}, document 02, part {to('ddd')}, {to('bbb')}, {to('bbb')}, `none.md` and [{to('ccc')}](https://x.y)"
+
+
+def test_markdown_callouts_and_warnings(spark):
+    style = MD.Style(callout_markers=("Note",), contents=False)
+    df = spark.createDataFrame([(1, "> **Note.** Read\n> this.\n\n| A |\n|---|\n| **bold** + more |\n"), (2, None)], "id long, t string")
+    got = {r["id"]: (r["converted"], [tuple(w) for w in r["warnings"]]) for r in MD.convert_documents(df, "id", "t", style).collect()}
+    assert got[1][0].startswith('<callout icon="📌" color="gray_bg">\n\t**Note.** Read\n\tthis.\n</callout>\n\n<table') and got[1][1] == [(6, "**bold** + more")]
+    assert got[2] == ("\n", [])
+
+
+def test_saved_comparisons_listings_and_pages(spark, tmp_path):
+    (tmp_path / "changes").write_text("D\ta/x.py\nR090\told/a b.md\tnew/a b.md\nM\tc\nA\td\nC075\te\tf\n")
+    (tmp_path / "list").write_bytes("a/x.py\0b\nc.md\0ü.txt\0".encode())
+    got = saved.tree_changes(spark, str(tmp_path / "changes")).collect()
+    assert sorted(map(tuple, got), key=str) == [("D", "a/x.py", None), ("M", "c", "c"), ("R", "old/a b.md", "new/a b.md")]
+    assert sorted(r[0] for r in saved.listing(spark, str(tmp_path / "list")).collect()) == ["a/x.py", "b\nc.md", "ü.txt"]
+    pages = [("https://h/r?page=1", "[1, 2]"), ("https://h/r?page=2", "[3]"), ("https://h/r?page=2", "[3]"), ("https://h/r?page=3", "[4]"), ("https://h/s", "[9]"), ("https://h/t", "no list"), ("https://h/u", None)]
+    got = saved.paged(spark.createDataFrame(pages, "url string, body string"), size=2).select("page", "item").collect()
+    assert sorted(map(tuple, got)) == [(1, "1"), (1, "2"), (1, "9"), (2, "3")]
 
 
 def test_license_titles_win_over_phrases(spark):
