@@ -2,76 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text handled at once by the vectorised kernels; a longer text is handled alone.
-CHUNK_BYTES = 2_000_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or the one this session set.
-
-    Where neither is set, a folder of the default file system; on a cluster that must not be a machine's own disk.
-    """
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        sc.setCheckpointDir("/tmp/checkpoints")
-        at = sc.getCheckpointDir()
-        if at.startswith("file:") and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, fixes row ids."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    for made in _SCOPES:
-        made.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.__dict__["_stage_path"] = path
-    return out
-
-
-_SCOPES: list[list[str]] = []
+from gleaner.sources.shared import discard, materialize, only_result, shared_dir
 
+__all__ = ["CHUNK_BYTES", "chunks", "connected_components", "discard", "join_counted", "materialize", "only_result", "row_key", "shared_dir", "spans", "texts_of"]
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete stage tables that no later plan reads."""
-    for df in tables:
-        if path := df.__dict__.get("_stage_path"):
-            _delete(df.sparkSession, path)
-
-
-@contextmanager
-def only_result(spark: SparkSession):
-    """Within it every stage table is noted; keep(df) on what it yields names those that stay, the others go at its end.
-
-    For callers that write an operator's result themselves: the tables that result was read from are no longer needed.
-    """
-    made: list[str] = []
-    stay: set[str] = set()
-    _SCOPES.append(made)
-    try:
-        yield lambda df: stay.add(df.__dict__["_stage_path"])
-    finally:
-        _SCOPES.remove(made)
-    for path in made:
-        if path not in stay:
-            _delete(spark, path)
+#: Text handled at once by the vectorised kernels; a longer text is handled alone.
+CHUNK_BYTES = 2_000_000
 
 
 def texts_of(col: pa.Array) -> list[bytes]:
@@ -101,18 +43,22 @@ def row_key(text, *seed) -> F.col:
     return F.xxhash64(F.coalesce(text, F.lit("")), *[F.lit(s) for s in seed])
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, limit: int, most: int = 100_000) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, key: str | list[str], limit: int, most: int = 100_000) -> DataFrame:
     """rows with the one row of table of the same key; table's column m says how many of rows have it. Rows without one go.
 
-    Keys of more than limit rows are sent to the rows instead of gathering them in a task, if they are at most ``most``;
-    where they are more, no one of them need be large, and all are joined by key. table is read several times.
+    Keys of more than limit rows are sent to the rows instead of gathering them in a task. Where these are more than
+    ``most``, limit is raised to a most-th of all counted rows: fewer than ``most`` keys can exceed that, so the heaviest
+    are always sent and what is sent stays bounded. table is read several times.
     """
+    keys = [key] if isinstance(key, str) else list(key)
+    seen = table.agg(F.sum("m").alias("rows"), F.count_if(F.col("m") > limit).alias("large")).head()
+    if not seen["large"]:
+        return rows.join(table, keys)
+    if seen["large"] > most:
+        limit = seen["rows"] // most
     large = table.where(F.col("m") > limit)
-    count = large.limit(most + 1).count()
-    if not 0 < count <= most:
-        return rows.join(table, key)
-    few = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(table.where(F.col("m") <= limit), key)
-    many = rows.join(F.broadcast(large), key)
+    few = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(table.where(F.col("m") <= limit), keys)
+    many = rows.join(F.broadcast(large), keys)
     return few.unionByName(many.select(*few.columns))
 
 

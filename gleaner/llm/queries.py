@@ -5,6 +5,7 @@ from __future__ import annotations
 from gleaner.llm.byte_bpe import op8_byte_level_bpe
 from gleaner.llm.hamming import OP3_SQL, op2_approximate_nearest_neighbours, op3_exact_top_k
 from gleaner.llm.jaccard_join import op10_ngram_jaccard_join
+from gleaner.llm.lexical_search import OP11_SQL, op11_ranked_lexical_search
 from gleaner.llm.license_scan import op7_license_scan
 from gleaner.llm.line_dedup import OP1_SQL, op1_line_dedup
 from gleaner.llm.ordinal_quality import op6_quality_classifier
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_byte_level_bpe": op8_byte_level_bpe,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
 }
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_exact_top_k": OP3_SQL, "op5_chat_formatting": OP5_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_exact_top_k": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op11_ranked_lexical_search": OP11_SQL}
