@@ -34,6 +34,7 @@ def running(df: DataFrame, keys: list[str], order, sums: dict[str, Column] | Non
     sums: the sum of a whole number over this row and those before it. last: the last value that is not null, of this
     row and those before it. before: the value of the row before this one, null for the first. Null keys are a key of
     their own. Ties are broken by all columns that the order names and then by where rows were read. No rows, no rows.
+    The result reads a stage table, which discard() deletes.
     """
     sums, last, before = sums or {}, last or {}, before or {}
     held = df.withColumns({f"_s_{c}": v for c, v in sums.items()} | {f"_l_{c}": v for c, v in last.items()} | {f"_b_{c}": v for c, v in before.items()})
@@ -65,9 +66,11 @@ def running(df: DataFrame, keys: list[str], order, sums: dict[str, Column] | Non
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     out = local.join(F.broadcast(taken), same, "left")
-    return out.select(
+    out = out.select(
         *df.columns,
         *[(F.coalesce(f"_s_{c}", F.lit(0)) + F.coalesce(f"_ts_{c}", F.lit(0))).alias(c) for c in sums],
         *[F.coalesce(f"_l_{c}", f"_tl_{c}").alias(c) for c in last],
         *[F.when(F.col("_seq") == F.col("_first"), F.col(f"_tb_{c}")).otherwise(F.col(f"_b_{c}")).alias(c) for c in before],
     )
+    out.__dict__["_stage_path"] = rows.__dict__["_stage_path"]
+    return out
