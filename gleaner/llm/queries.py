@@ -11,6 +11,7 @@ from gleaner.llm.line_dedup import OP1_SQL, op1_line_dedup
 from gleaner.llm.ordinal_quality import op6_quality_classifier
 from gleaner.llm.packing import op4_packing
 from gleaner.llm.preference_format import OP5_SQL, op5_chat_formatting
+from gleaner.llm.prefix_trie import OP13_SQL, op13_conversation_prefix_trie
 from gleaner.llm.suffix_dedup import op9_suffix_array_dedup
 from gleaner.llm.url_filter import OP12_SQL, op12_url_filters
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_ranked_lexical_search": op11_ranked_lexical_search,
     "op12_url_filters": op12_url_filters,
+    "op13_conversation_prefix_trie": op13_conversation_prefix_trie,
 }
 
-ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_exact_top_k": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op11_ranked_lexical_search": OP11_SQL, "op12_url_filters": OP12_SQL}
+ORACLE_SQL = {"op1_line_dedup": OP1_SQL, "op3_exact_top_k": OP3_SQL, "op5_chat_formatting": OP5_SQL, "op11_ranked_lexical_search": OP11_SQL, "op12_url_filters": OP12_SQL, "op13_conversation_prefix_trie": OP13_SQL}
