@@ -40,7 +40,7 @@ RARE = 16
 LOW, HIGH = 18, 100
 #: Up to this size a node's keys carry the tokens before them, so that a pair is made at its first common key only.
 LISTED = 512
-#: Nodes of one side of a square of a hot bucket.
+#: Nodes of one side of a square of a hot bucket at most; nodes are dealt by hash, to three quarters of that on average.
 SQUARE = 512
 
 _SETS = "rid long, doc_id long, k1 long, n long, s1 long, s2 long, prefix array<long>"
@@ -95,6 +95,22 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(_enough("shared", "nx", "ny", percent)).select("x", "y")
 
 
+def bucket_sides(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a join of every bucket with itself, cut into squares.
+
+    named has m, the rows of its bucket. One side is dealt by hash to rows of squares and goes to each square of its
+    row, the other is dealt to columns; so in a square no side has more than SQUARE nodes. A node of the second side
+    also meets the class below its own, where somewhat smaller sets are.
+    """
+    cuts = F.ceil(F.col("m") * 4 / (SQUARE * 3)).cast("int")
+    own, every = F.pmod(F.xxhash64("rid"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    side = lambda df, s: df.select("key", "class", "across", "down", *[F.col(c).alias(c + s) for c in ("rid", "n", "u", "label", "skip", "prev")])
+    named = named.withColumn("cuts", cuts)
+    a = named.withColumn("down", own).withColumn("across", every)
+    b = named.withColumn("across", own).withColumn("down", every).withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1)))
+    return side(a, "x"), side(b, "y")
+
+
 def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: (doc_id, n_shingles, component_id, keeps) and carried columns.
 
@@ -172,11 +188,9 @@ def link_documents(docs: DataFrame, width: int = 4, percent: int = 85, doc_id: s
     mixed = materialize(named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m")).where("a <> b").select("key", "m"), "jaccard-mixed-keys")
     named = materialize(join_counted(named, mixed, "key", SQUARE), "jaccard-mixed")
     # Linked sizes lie in one class or in two that follow each other: a class is as wide as the widest ratio of linked sizes.
-    named = named.withColumn("class", F.floor(F.log("n") / F.lit(math.log(100 / t) * (1 + 1e-9) if t < 100 else 1e-9)).cast("long")).withColumn("squares", F.ceil(F.col("m") / SQUARE).cast("int"))
-    side = lambda df, s: df.select("key", "class", "square", *[F.col(c).alias(c + s) for c in ("rid", "n", "u", "label", "skip", "prev")])
-    a = side(named.withColumn("square", F.explode(F.sequence(F.lit(0), F.col("squares") - 1))), "x")
-    b = side(named.withColumn("square", F.pmod(F.xxhash64("rid"), F.col("squares")).cast("int")).withColumn("class", F.explode(F.array(F.col("class"), F.col("class") - 1))), "y")
-    cross = a.join(b, ["key", "class", "square"]).where("(nx < ny or (nx = ny and ridx < ridy)) and labelx <> labely").where(_enough("nx", "nx", "ny", t)).where(allowed("nx", "ux", "ny", "uy"))
+    named = named.withColumn("class", F.floor(F.log("n") / F.lit(math.log(100 / t) * (1 + 1e-9) if t < 100 else 1e-9)).cast("long"))
+    a, b = bucket_sides(named)
+    cross = a.join(b, ["key", "class", "across", "down"]).where("(nx < ny or (nx = ny and ridx < ridy)) and labelx <> labely").where(_enough("nx", "nx", "ny", t)).where(allowed("nx", "ux", "ny", "uy"))
     cross = cross.where(f"ny > {LISTED} or (not arrays_overlap(prevx, prevy) and {allowed('nx', 'skipx', 'ny', 'skipy')})")
     late = materialize(_verify(cross.select(F.col("ridx").alias("x"), F.col("ridy").alias("y")).distinct(), sets, t), "jaccard-late")
     # The late links join whole components: only their labels are linked again.
