@@ -10,19 +10,21 @@ have nothing in common, so windows are first dealt into blocks by content:
 * Segments are put in one order by anchor, context and position, by range: a context in very many documents lies in as
   many partitions as its rows need, and no row is joined to another. Looking at its neighbours, each row learns whether
   its anchor and its context occur again and whether it is the context's first; for the ends of partitions the driver
-  compares one key of each with the next. Anchors that occur once go. A context that occurs more than once repeats as a
-  whole.
-* The first rows of the other anchors' contexts are fetched and dealt by anchor into blocks. Each block is one text; its
-  suffixes (at starts of windows, compared up to ``window`` bytes) are put in order by ranks of three times longer
-  strings in each round. From that order and its LCP array follow the previous and next smaller positions, and from
-  these the longest previous factor of each start: at ``window`` it has an earlier copy. A start whose neighbour in the
-  order agrees with it in ``window`` bytes has a copy somewhere.
+  compares one key of each with the next. Anchors that occur once go.
+* The first rows of contexts are fetched and dealt by anchor into blocks. Each block is one text; a context that occurs
+  more than once is in it twice, for its first and for its later copies. The block's suffixes (at starts of windows,
+  compared up to ``window`` bytes) are put in order by ranks of three times longer strings in each round. From that
+  order and its LCP array follow the previous and next smaller positions, and from these the longest previous factor of
+  each start: at ``window`` it has an earlier copy. Its mirror is the longest next factor. Nothing is marked but by these.
+* What a block says of a context's later copies holds for all their rows, which are joined by context. Contexts alone
+  under their anchor need no others in their block: neighbours in a document are one run of text there, without a
+  shuffle. That rows have one context is known by 128-bit digests; later copies' bytes aren't fetched for a comparison.
 * An anchor with more than HOT distinct contexts (a passage in very many documents) isn't gathered in one task. Its
   contexts are split in two by the windows' offset to the anchor, each half under a longer anchor: the bytes that all
   windows of that range of offsets share. Inside a passage halves become equal and count as one, at its ends they
   become unique; what is still too large is split again, down to single windows. Each round at most doubles its rows.
 
-keep="first" removes what the LPF array marks (later copies), keep="none" every copy.
+keep="first" removes what the LPF array marks (later copies), keep="none" what it or its mirror marks (every copy).
 """
 
 from __future__ import annotations
@@ -40,9 +42,10 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import discard, join_counted, materialize, row_key, texts_of
 from gleaner.llm.shingles import U, mix
 
-GRAM, HOT = 64, 256
+#: Bytes of an anchor; contexts of one anchor, and rows of one context, that are handled in one task.
+GRAM, HOT, COPIES = 64, 256, 2_000
 #: Bytes handled at once, and starts and bytes of a block.
-PIECE, BLOCK, BLOCK_BYTES = 1 << 18, 60_000, 1 << 20
+PIECE, BLOCK, BLOCK_BYTES, RUN = 1 << 18, 60_000, 1 << 20, 1 << 17
 
 _RNG = np.random.default_rng(77003)
 _BYTE = _RNG.integers(0, 2**63 - 1, 256, dtype=np.int64).astype(U) * U(2) + _RNG.integers(0, 2, 256).astype(U)
@@ -314,11 +317,14 @@ def marked_starts(contexts: list[bytes], window: int, keep: str) -> tuple[np.nda
     begin = np.cumsum(size) - size
     sa, lcp = suffix_order(np.frombuffer(b"".join(contexts), np.uint8), begin[ctx] + off, window)
     whole = lcp >= window
-    some = whole | np.concatenate((whole[1:], [False]))  # ranks beside an equal window; the others' LPF is below window
+    some = whole | np.concatenate((whole[1:], [False]))  # ranks beside an equal window; the others' factors are below window
     sa, lcp, whole = sa[some], np.where(whole, lcp, 0)[some], whole[some]
-    if keep == "first" and len(sa):
-        longest = int(np.diff(np.flatnonzero(np.concatenate((~whole, [True])))).max())
-        sa = sa[longest_previous_factors(sa, lcp, longest.bit_length()) >= window]
+    if len(sa):
+        reach = int(np.diff(np.flatnonzero(np.concatenate((~whole, [True])))).max()).bit_length()
+        factor = longest_previous_factors(sa, lcp, reach)
+        if keep == "none":
+            factor = np.maximum(factor, longest_previous_factors(sa.max() - sa, lcp, reach))  # the longest next factors
+        sa = sa[factor >= window]
     at = np.searchsorted(begin, sa, side="right") - 1
     return at, sa - begin[at]
 
@@ -326,20 +332,41 @@ def marked_starts(contexts: list[bytes], window: int, keep: str) -> tuple[np.nda
 # Blocks --------------------------------------------------------------------------------------------------------------
 
 
-def _contexts(window: int):
-    """Rows (text, wanted: array of segments) to the segments' bytes."""
+_PART = pa.list_(pa.struct([("lo", pa.int32()), ("more", pa.int32()), ("kh", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())]))
+_BYTES = "doc_id long, k1 long, lo int, more int, at int, kh long, c1 long, c2 long, m long, twice boolean, bytes binary, parts array<struct<lo: int, more: int, kh: long, c1: long, c2: long>>"
+_FIELDS = [("lo", pa.int32()), ("more", pa.int32()), ("at", pa.int32()), ("kh", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("m", pa.int64()), ("twice", pa.bool_())]
+
+
+def _runs(wanted: list[dict]) -> Iterator[list[dict]]:
+    """Segments that follow each other without a gap, at most RUN starts together."""
+    run, size = [], 0
+    for x in sorted(wanted, key=lambda x: x["lo"]):
+        if run and (x["lo"] != run[-1]["lo"] + run[-1]["more"] + 1 or size >= RUN):
+            yield run
+            run, size = [], 0
+        run.append(x)
+        size += x["more"] + 1
+    if run:
+        yield run
+
+
+def _contexts(window: int, hot: int):
+    """Rows (text, wanted: array of segments) to the segments' bytes; runs of repeated contexts as rows with parts and m = 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, 500):
             texts = texts_of(batch.column("text"))
             for i, wanted in enumerate(batch.column("wanted")):
                 wanted = wanted.as_py()
-                for a in range(0, len(wanted), 4096):
-                    part = wanted[a : a + 4096]
+                rows = [x | {"parts": None} for x in wanted if x["m"] > 1]
+                for parts in _runs([x for x in wanted if x["twice"] and (x["m"] == 1 or x["m"] > hot)]):
+                    rows.append(parts[0] | {"more": parts[-1]["lo"] + parts[-1]["more"] - parts[0]["lo"], "m": 0, "parts": parts})
+                for a in range(0, len(rows), 4096):
+                    part = rows[a : a + 4096]
                     same = [pa.array([batch.column(c)[i].as_py()] * len(part), pa.int64()) for c in ("doc_id", "k1")]
-                    own = [pa.array([x[c] for x in part], t) for c, t in (("lo", pa.int32()), ("more", pa.int32()), ("at", pa.int32()), ("kh", pa.int64()), ("m", pa.int64()))]
+                    own = [pa.array([x[c] for x in part], t) for c, t in _FIELDS]
                     data = pa.array([texts[i][x["lo"] : x["lo"] + x["more"] + window] for x in part], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*same, *own, data], ["doc_id", "k1", "lo", "more", "at", "kh", "m", "bytes"])
+                    yield pa.RecordBatch.from_arrays([*same, *own, data, pa.array([x["parts"] for x in part], _PART)], ["doc_id", "k1", *[c for c, _ in _FIELDS], "bytes", "parts"])
 
     return run
 
@@ -352,37 +379,82 @@ def _ranges(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owner[turn], start[turn], start[np.concatenate((turn[1:], [len(start)])) - 1]
 
 
-_STARTS = "doc_id long, k1 long, a long, b long"
+#: Marked starts of a context's first row, or (doc_id to b null) of the later rows of a context, from its begin.
+_MARKS = "doc_id long, k1 long, a long, b long, kh long, c1 long, c2 long, later array<struct<a: long, b: long>>"
+_LATER = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _marks(firsts: list[tuple], laters: list[tuple]) -> pa.RecordBatch:
+    """firsts: (doc_id, k1, a, b); laters: (kh, c1, c2, ranges)."""
+    rows = [(*f, None, None, None, None) for f in firsts] + [(None, None, None, None, *x[:3], [{"a": a, "b": b} for a, b in x[3]]) for x in laters]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 7 else _LATER) for i in range(8)], ["doc_id", "k1", "a", "b", "kh", "c1", "c2", "later"])
 
 
-def _block(rows: list[dict], window: int, keep: str) -> pa.RecordBatch | None:
+def _marked_ranges(texts: list[bytes], window: int, keep: str) -> dict[int, list[tuple[int, int]]]:
+    """By text, the ranges of marked starts."""
+    out: dict[int, list] = {}
+    for o, a, b in zip(*(x.tolist() for x in _ranges(*marked_starts(texts, window, keep))), strict=True):
+        out.setdefault(o, []).append((a, b))
+    return out
+
+
+def _block(rows: list[dict], window: int, keep: str) -> pa.RecordBatch:
+    """Marks of contexts under the same anchors; those that occur again stand a second time behind all others."""
     rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["k1"], r["lo"]))
-    owner, start = marked_starts([r["bytes"] for r in rows], window, keep)
-    if not len(owner):
-        return None
-    owner, a, b = _ranges(owner, start)
-    lo = np.array([r["lo"] for r in rows])
-    take = lambda c: pa.array([rows[i][c] for i in owner], pa.int64())
-    return pa.RecordBatch.from_arrays([take("doc_id"), take("k1"), pa.array(lo[owner] + a), pa.array(lo[owner] + b)], ["doc_id", "k1", "a", "b"])
+    again = [r for r in rows if r["twice"]]
+    found = _marked_ranges([r["bytes"] for r in rows + again], window, keep)
+    firsts = [(r["doc_id"], r["k1"], r["lo"] + a, r["lo"] + b) for i, r in enumerate(rows) for a, b in found.get(i, ())]
+    return _marks(firsts, [(r["kh"], r["c1"], r["c2"], found[i]) for i, r in enumerate(again, len(rows)) if i in found])
+
+
+def _run_block(rows: list[dict], window: int, keep: str) -> pa.RecordBatch:
+    """Marks of runs of repeated contexts, each in the block twice. With keep="first" nothing is said of their first copies."""
+    found = _marked_ranges([r["bytes"] for r in rows] * 2, window, keep)
+    firsts = [(r["doc_id"], r["k1"], r["lo"] + a, r["lo"] + b) for i, r in enumerate(rows) for a, b in found.get(i, ())] if keep == "none" else []
+    laters = []
+    for i, r in enumerate(rows, len(rows)):
+        for p in r["parts"]:
+            lo, hi = p["lo"] - r["lo"], p["lo"] - r["lo"] + p["more"]
+            own = [(max(a, lo) - lo, min(b, hi) - lo) for a, b in found.get(i, ()) if a <= hi and b >= lo]
+            if own:
+                laters.append((p["kh"], p["c1"], p["c2"], own))
+    return _marks(firsts, laters)
 
 
 def _suffix_blocks(window: int, keep: str):
-    """Contexts sorted by anchor to the marked starts; blocks hold whole groups, of at most HOT contexts each."""
+    """Contexts sorted by anchor to their marks; blocks hold whole groups, of at most HOT contexts each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, starts, size, last = [], 0, 0, None
         for batch in _slices(batches, 1000):
             for r in batch.to_pylist():
                 if r["kh"] != last and (starts >= BLOCK or size >= BLOCK_BYTES):
-                    if (out := _block(held, window, keep)) is not None:
-                        yield out
+                    yield _block(held, window, keep)
                     held, starts, size = [], 0, 0
                 held.append(r)
-                size += len(r["bytes"])
-                starts += len(r["bytes"]) - window + 1
+                size += len(r["bytes"]) * (1 + r["twice"])
+                starts += (len(r["bytes"]) - window + 1) * (1 + r["twice"])
                 last = r["kh"]
-        if held and (out := _block(held, window, keep)) is not None:
-            yield out
+        if held:
+            yield _block(held, window, keep)
+
+    return run
+
+
+def _run_blocks(window: int, keep: str):
+    """Rows with parts to their marks, in whatever order they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in _slices(batches, 200):
+            for r in batch.to_pylist():
+                if size >= BLOCK_BYTES // 2:
+                    yield _run_block(held, window, keep)
+                    held, size = [], 0
+                held.append(r)
+                size += len(r["bytes"])
+        if held:
+            yield _run_block(held, window, keep)
 
     return run
 
@@ -412,39 +484,46 @@ def _halves(window: int, shift: int):
     return run
 
 
-def _fetch(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+def _fetch(wanted: DataFrame, docs: DataFrame, window: int, hot: int) -> DataFrame:
     """The contexts' bytes, from their documents."""
-    wanted = wanted.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("kh", "m", "lo", "more", "at")).alias("wanted"))
+    wanted = wanted.groupBy("doc_id", "k1").agg(F.collect_list(F.struct(*[c for c, _ in _FIELDS])).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("d"), F.col("k1").alias("k"), "wanted")
     fetched = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("k"))).select("doc_id", "k1", "text", "wanted")
-    return fetched.mapInArrow(_contexts(window), "doc_id long, k1 long, lo int, more int, at int, kh long, m long, bytes binary")
+    return fetched.mapInArrow(_contexts(window, hot), _BYTES)
 
 
 def repeated_starts(docs: DataFrame, window: int = 200, keep: str = "none", gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, k1, a, b): ranges of starts whose window also starts elsewhere (keep="none") or earlier (keep="first").
 
     docs: doc_id, k1 (row_key of the text), text; no two rows agree in doc_id and k1. Positions are ordered by doc_id
-    (null last), k1 and offset.
+    (null last), k1 and offset. The result reads stage tables, which only_result() deletes.
     """
     docs = docs.select("doc_id", "k1", "text")
     rows = materialize(docs.mapInArrow(_cut(window, gram), _ROW), "suffix-segments")
     marks, bits, level, done = [], (window - gram + 1).bit_length(), 0, []
+    context = ["kh", "c1", "c2"]
     while True:
         again = _ordered(rows)
         discard(rows)
-        marks.append(again.where("not first" if keep == "first" else "twice").select("doc_id", "k1", F.col("lo").cast("long").alias("a"), (F.col("lo") + F.col("more")).cast("long").alias("b")))
-        contexts = again.where("first")
-        several = materialize(contexts.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1"), "suffix-several")
-        wanted = join_counted(contexts, several, "kh", hot)
+        first = again.where("first")
+        counted = materialize(first.groupBy("kh").agg(F.count("*").alias("m")), "suffix-anchors")
+        wanted = join_counted(first, counted, "kh", hot).where("m > 1 or twice")
         if level == 0:
-            wanted = _fetch(wanted, docs, window)
+            wanted = _fetch(wanted, docs, window, hot)
         else:
-            wanted = wanted.select("doc_id", "k1", "lo", "more", "at", "kh", "m", "bytes")
-        contexts = materialize(wanted, "suffix-bytes")
-        discard(several)
-        done += [again, contexts]
-        few = contexts.where(f"m <= {hot}").repartition("kh").sortWithinPartitions("kh")
-        marks.append(few.mapInArrow(_suffix_blocks(window, keep), _STARTS))
+            alone = F.col("twice") & ((F.col("m") == 1) | (F.col("m") > hot))
+            wanted = wanted.withColumn("parts", F.when(alone, F.array(F.struct("lo", "more", *context)))).select("doc_id", "k1", *[c for c, _ in _FIELDS], "bytes", "parts")
+        contexts = materialize(wanted, "suffix-bytes", compression="zstd")
+        discard(counted)
+        few = contexts.where(f"m between 2 and {hot}").drop("parts").repartition("kh").sortWithinPartitions("kh").mapInArrow(_suffix_blocks(window, keep), _MARKS)
+        alone = contexts.where("parts is not null").mapInArrow(_run_blocks(window, keep), _MARKS)
+        found = materialize(few.unionByName(alone), "suffix-found")
+        marks.append(found.where("a is not null").select("doc_id", "k1", "a", "b"))
+        copies = again.where("not first").select("doc_id", "k1", "lo", *context)
+        later = found.where("later is not null").select(*context, "later").join(copies.groupBy(*context).agg(F.count("*").alias("m")), context)
+        later = join_counted(copies, materialize(later, "suffix-later"), context, COPIES).select("doc_id", "k1", "lo", F.explode("later").alias("r"))
+        marks.append(later.select("doc_id", "k1", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b")))
+        done += [again, contexts, found]
         level += 1
         many = contexts.where(f"m > {hot}")
         if level > bits or many.isEmpty():

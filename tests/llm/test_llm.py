@@ -845,3 +845,44 @@ def test_registered_queries_equal_their_sql(spark):
         names = [d[0] for d in cur.description]
         want = sorted(repr([r[names.index(c)] for c in cols]) for r in cur.fetchall())
         assert sorted(repr([r[c] for c in cols]) for r in df.collect()) == want, name
+
+
+# What the operators promise about hot keys -----------------------------------------------------------------------------
+
+
+def test_hot_bucket_is_cut_into_squares(spark):
+    named = spark.range(5000).selectExpr("id as rid", "7L as key", "5000L as m", "100 + id % 3 as n", "0L as u", "id % 2 as label", "0 as skip", "cast(array() as array<long>) as prev", "0L as class")
+    a, b = J.bucket_sides(named)
+    cell = ["key", "class", "across", "down"]
+    assert max(r["count"] for side in (a, b) for r in side.groupBy(*cell).count().collect()) <= J.SQUARE
+    met = a.join(b, cell).where("ridx < ridy").agg(F.count("*").alias("n"), F.countDistinct("ridx", "ridy").alias("d")).head()
+    assert met["n"] == met["d"] == 5000 * 4999 // 2
+
+
+def test_heaviest_keys_are_split_however_many_are_large(spark):
+    rows = spark.range(3000).selectExpr("if(id < 1500, 0, id % 100 + 1) as key", "id as i")
+    table = rows.groupBy("key").agg(F.count("*").alias("m"))
+    out = join_counted(rows, table, "key", limit=2, most=5)
+    assert sorted(map(tuple, out.select("key", "i", "m").collect())) == sorted(map(tuple, rows.join(table, "key").select("key", "i", "m").collect()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and f"> {3000 // 5}" in plan.replace("m#", "").replace("L", "") or "> 600" in plan
+
+
+def test_every_mark_comes_from_a_block(spark, monkeypatch):
+    rows = [(i, "x" * 10 + "same passage of words " * 30 + str(i)) for i in range(6)] + [(9, "y" * 400), (10, "y" * 400)]
+    docs = documents(spark, rows, extra=False).withColumn("k1", F.xxhash64("text"))
+    for keep in ("none", "first"):
+        assert S.repeated_starts(docs, 50, keep, gram=16).count() > 0
+    none = lambda window, keep: lambda batches: iter(())
+    monkeypatch.setattr(S, "_suffix_blocks", none)
+    monkeypatch.setattr(S, "_run_blocks", none)
+    for keep in ("none", "first"):
+        assert S.repeated_starts(docs, 50, keep, gram=16).count() == 0
+
+
+def test_block_marks_by_factors_and_not_by_count():
+    # Both rows claim to occur again under one digest; the order of the block alone says what repeats.
+    rows = [{"doc_id": 1, "k1": 0, "lo": 5, "bytes": b"abcdefgh", "twice": False, "kh": 1, "c1": 1, "c2": 1}, {"doc_id": 2, "k1": 0, "lo": 0, "bytes": b"zzbcdefgy", "twice": False, "kh": 1, "c1": 2, "c2": 2}]
+    assert S._block(rows, 6, "none").to_pydict()["a"] == [6, 2] and S._block(rows, 6, "first").to_pydict()["doc_id"] == [2]
+    twice = S._block([rows[0] | {"twice": True}], 6, "first").to_pylist()
+    assert [(r["doc_id"], r["c1"], r["later"]) for r in twice] == [(None, 1, [{"a": 0, "b": 2}])]
