@@ -56,4 +56,4 @@ def python_name(c: Column) -> Column:
 
 
 def days_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(86_400_000_000.0)
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(86_400_000_000.0)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.classify import FIX_SUBJECT, VERSION_TAG, author_key, is_bot
 from gleaner.functions.numbers import tenths
 from gleaner.functions.text import fold
+from gleaner.operators.running import running
 from gleaner.plans import signatures as S
 
 
@@ -24,7 +25,8 @@ def commits_per_author(commits: DataFrame) -> DataFrame:
 def bus_factor(counts: DataFrame, key: str, value: str) -> DataFrame:
     """One row: the fewest keys, largest first, that hold half of all; 0 for none.
 
-    Keys are first counted by value, so that the ordered pass is over distinct counts and not over all keys.
+    Keys are first counted by value, so that the ordered pass is over distinct counts: with a total of n there are
+    fewer than the square root of 2 n.
     """
     steps = counts.groupBy(value).agg(F.count("*").alias("k"))
     w = Window.orderBy(F.desc(value))
@@ -90,10 +92,10 @@ def fix_share(commits: DataFrame, pattern: str = FIX_SUBJECT) -> DataFrame:
 def release_gaps(tags: DataFrame) -> DataFrame:
     """One row over version tags in the order of time: count, first, last, mean and median gap in hours, gaps under a day.
 
-    The neighbours are found over one row per tag; the gaps' median is exact.
+    The gaps' median is exact.
     """
-    w = Window.orderBy("date", "tag")
-    rows = tags.where(F.col("tag").rlike(VERSION_TAG)).withColumn("gap", F.unix_micros("date") - F.unix_micros(F.lag("date").over(w)))
+    rows = running(tags.where(F.col("tag").rlike(VERSION_TAG)), [], ["date", "tag"], before={"earlier": F.col("date")}, name="tags")
+    rows = rows.withColumn("gap", F.unix_micros("date") - F.unix_micros("earlier"))
     at, hour = F.struct("date", "tag"), 3_600_000_000
     # Whole microseconds are summed, so that the mean does not depend on the order of rows.
     mean = F.sum("gap").cast("double") / (F.count("gap") * hour).cast("double")

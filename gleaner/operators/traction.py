@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.classify import asset_category, asset_platform, versioned_name
 from gleaner.functions.numbers import days_between
+from gleaner.operators.running import running
 
 
 def classified(assets: DataFrame) -> DataFrame:
@@ -34,8 +35,7 @@ def release_windows(rows: DataFrame, now) -> DataFrame:
         F.sum(F.when(F.col("category") == "update-check", F.col("downloads")).otherwise(0)).alias("update_checks"),
         F.count_if(F.col("category") == "update-check").alias("feeds"),
     )
-    w = Window.orderBy("published_at", "tag")
-    per = per.where("feeds > 0").withColumns({"next": F.lead("published_at").over(w), "back": F.row_number().over(Window.orderBy(F.desc("published_at"), F.desc("tag")))})
+    per = running(per.where("feeds > 0"), [], [F.desc("published_at"), F.desc("tag")], sums={"back": F.lit(1)}, before={"next": F.col("published_at")}, name="releases")
     days = F.greatest(days_between(F.col("published_at"), F.coalesce("next", now)), F.lit(1.0) / 24)
     return per.withColumn("days", days).select("tag", "published_at", "days", "installers", "installers_stable_name", "update_checks", (F.col("installers") / F.col("days")).alias("installers_per_day"), (F.col("update_checks") / F.col("days")).alias("update_checks_per_day"), "back")
 
@@ -46,7 +46,7 @@ def running_copies(windows: DataFrame, hours: float) -> DataFrame:
     Days count as rounded to two digits.
     """
     rounded = windows.withColumn("d", F.expr("floor(days * 100 + 0.5) / 100"))
-    closed = rounded.where("back > 1 AND d >= 0.5").withColumn("r", F.row_number().over(Window.orderBy("back"))).where("r <= 5").agg(F.sum("d").alias("cd"), F.sum("update_checks").alias("cc"))
+    closed = rounded.where("back > 1 AND d >= 0.5").orderBy("back").limit(5).agg(F.sum("d").alias("cd"), F.sum("update_checks").alias("cc"))
     every = rounded.where("back <= 5").agg(F.sum("d").alias("ed"), F.sum("update_checks").alias("ec"))
     row = closed.join(F.broadcast(every)).select(F.coalesce("cd", "ed").alias("d"), F.when(F.col("cd").isNull(), F.col("ec")).otherwise(F.col("cc")).alias("c"))
     return row.select((F.col("c") / F.col("d")).alias("checks_per_day"), F.floor(F.col("c") / F.col("d") * hours / 24 + 0.5).alias("copies"))
@@ -54,12 +54,33 @@ def running_copies(windows: DataFrame, hours: float) -> DataFrame:
 
 def star_pace(points: DataFrame) -> DataFrame:
     """Stars per day between consecutive milestones; steps without more stars or time are left out."""
-    w = Window.orderBy("star", "starred_at")
-    rows = points.withColumns({"before": F.lag("star").over(w), "since": F.lag("starred_at").over(w)})
+    rows = running(points, [], ["star", "starred_at"], before={"before": F.col("star"), "since": F.col("starred_at")}, name="stars")
     rows = rows.withColumns({"stars": F.col("star") - F.col("before"), "days": days_between(F.col("since"), F.col("starred_at"))}).where("stars > 0 AND days > 0")
     return rows.select("since", "starred_at", "stars", "days", (F.col("stars") / F.col("days")).alias("stars_per_day"))
 
 
+def milestones(rows: DataFrame, keys: list[str], at: str, tie: str, every: int) -> DataFrame:
+    """(keys, n, at, since, days, per_day) of every every-th row of its key in the order of at and tie.
+
+    since is the instant of the milestone before, of the key's first row for the first; per_day is null where no time
+    has passed. Rows without an instant are left out.
+    """
+    known = rows.where(F.col(at).isNotNull()).select(*keys, at, tie)
+    told = running(known, keys, [at, tie], sums={"n": F.lit(1).cast("long")}, name="milestones").where(f"n = 1 or n % {int(every)} = 0")
+    told = running(told, keys, ["n"], before={"since": F.col(at), "m": F.col("n")}, name="milestones")
+    days = days_between(F.col("since"), F.col(at))
+    told = told.where(f"n % {int(every)} = 0").withColumn("days", F.when(F.col("since").isNull(), 0.0).otherwise(days))
+    pace = F.when(F.col("days") > 0, (F.col("n") - F.col("m")) / F.col("days"))
+    return told.select(*keys, "n", at, F.coalesce("since", at).alias("since"), "days", pace.alias("per_day"))
+
+
+def weighted_median(rows: DataFrame, value: str, weight: str, tie: str) -> DataFrame:
+    """One row: the smallest value up to which half of all weight lies; null without weight. weight is a whole number."""
+    total = rows.agg(F.sum(weight).alias("total"))
+    told = running(rows.where(F.col(value).isNotNull()).select(value, weight, tie), [], [value, tie], sums={"run": F.col(weight)}, name="median")
+    return told.join(F.broadcast(total)).where("2 * run >= total").agg(F.min(value).alias("median"))
+
+
 def sample_pages(total: int, samples: int) -> list[int]:
     """Evenly spaced pages from 1 to total, both included; halves go to the even page."""
     if total <= 0:

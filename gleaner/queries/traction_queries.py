@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import classify as C
 from gleaner.functions.numbers import tenths
 from gleaner.operators import traction as R
+from gleaner.operators.running import running
 from gleaner.plans import signatures as S
 from gleaner.queries import fixtures as X
 from gleaner.queries.base import query, quote, table
@@ -84,11 +85,10 @@ def sampled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT day, n::BIGINT AS events, coalesce(next - day, 1)::BIGINT AS days, n / coalesce(next - day, 1) AS per_day FROM w""")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W04 over events: purchases of a day and the days until the next day that has some."""
-    from pyspark.sql import Window
-
     days = table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("events"))
-    gap = F.coalesce(F.datediff(F.lead("day").over(Window.orderBy("day")), F.col("day")), F.lit(1)).cast("long")
-    return days.withColumn("days", gap).withColumn("per_day", F.col("events") / F.col("days"))
+    days = running(days, [], [F.desc("day")], before={"next": F.col("day")}, name="days")
+    gap = F.coalesce(F.datediff("next", "day"), F.lit(1)).cast("long")
+    return days.withColumn("days", gap).drop("next").withColumn("per_day", F.col("events") / F.col("days"))
 
 
 _J = "CAST(body AS JSON)"
