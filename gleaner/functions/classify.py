@@ -28,6 +28,21 @@ MANIFESTS = ("go.mod", "Gemfile", "Podfile", "Package.swift", "requirements.txt"
 SCAN_LOCKFILES = ("package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lockb", "Cargo.lock", "Gemfile.lock", "poetry.lock", "go.sum", "composer.lock", "Podfile.lock", "Package.resolved", "uv.lock", "Pipfile.lock", "flake.lock")
 SECURITY_LOCKFILES = ("package-lock.json", "npm-shrinkwrap.json", "pnpm-lock.yaml", "yarn.lock", "Cargo.lock", "poetry.lock", "uv.lock", "Package.resolved", "Podfile.lock", "go.sum")
 
+# Patterns and names of the predicates below.
+DOC_NAMES = "^(README|CHANGELOG|CHANGES|HISTORY|RELEASES)"
+TELEMETRY_NAMES = ("package.json", "podfile", "gemfile", "cargo.toml", "go.mod")
+TELEMETRY_LOCKFILES = ("package-lock.json", "pnpm-lock.yaml", "yarn.lock")
+BUILT_FILE = r"(\.min\.js|\.map)$"
+SECURITY_NAMES = ("AndroidManifest.xml", "Info.plist")
+LOOSE_LICENSES = ("source-available", "source available", "license key")
+COPYRIGHT = r"(?i)copyright\s*(\(c\)|©|\d{4})"
+SPDX_HEADER = r"(?m)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+\-() ]+?)[ \t]*(?:\*/|-->|#|$)"
+SECRET_PREFIX = r"^(gh[pousr]_|github_pat_|AKIA|AIza|xox[abprs]-|(sk|rk)_live_|sk-(proj-)?)"
+PLACEHOLDER = r"(?i)example|redact|dummy|fake|placeholder|xxxx|0000|your[_-]?key"
+PLACEHOLDER_KEY = "(?i)example|dummy|fake|test"
+NO_REPLY = r"(?i)^(?:\d+\+)?([^@]+)@users\.noreply\.github\.com$"
+ALLOWED_EMAIL = r"(?i)(?:@example\.(?:com|org|net)|@users\.noreply\.github\.com|^noreply@github\.com)$"
+
 
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
@@ -90,20 +105,20 @@ def removed_kind(path: Column, is_folder: bool = False) -> Column:
 
 
 def doc_priority(path: Column) -> Column:
-    return F.when(F.upper(file_name(path)).rlike("^(README|CHANGELOG|CHANGES|HISTORY|RELEASES)"), 0).when(in_any(folders(path), DOC_FOLDERS), 1).otherwise(2)
+    return F.when(F.upper(file_name(path)).rlike(DOC_NAMES), 0).when(in_any(folders(path), DOC_FOLDERS), 1).otherwise(2)
 
 
 def telemetry_eligible(path: Column, include_tests: bool = False, include_docs: bool = False) -> Column:
     name = F.lower(file_name(path))
-    kinds = suffix(path).isin(*TELEMETRY_SUFFIXES, *(SCAN_DOC_SUFFIXES if include_docs else ())) | name.isin("package.json", "podfile", "gemfile", "cargo.toml", "go.mod")
-    out = kinds & ~name.rlike(r"(\.min\.js|\.map)$") & ~name.isin("package-lock.json", "pnpm-lock.yaml", "yarn.lock")
+    kinds = suffix(path).isin(*TELEMETRY_SUFFIXES, *(SCAN_DOC_SUFFIXES if include_docs else ())) | name.isin(*TELEMETRY_NAMES)
+    out = kinds & ~name.rlike(BUILT_FILE) & ~name.isin(*TELEMETRY_LOCKFILES)
     return out if include_tests else out & ~is_test_path(path)
 
 
 def code_eligible(path: Column, include_tests: bool = False, include_docs: bool = False) -> Column:
     """'scan', 'test' (counted apart) or '' for a file."""
     name, ext = file_name(path), suffix(path)
-    never = name.isin(*SCAN_LOCKFILES) | name.rlike(r"(\.min\.js|\.map)$")
+    never = name.isin(*SCAN_LOCKFILES) | name.rlike(BUILT_FILE)
     doc = ext.isin(*SCAN_DOC_SUFFIXES)
     code = ext.isin(*CODE_SUFFIXES) | name.isin(*MANIFESTS) | name.startswith(".env")
     return F.when(never, "").when(doc & F.lit(not include_docs), "").when(~doc & ~code, "").when(is_test_path(path) & F.lit(not include_tests), "test").otherwise("scan")
@@ -111,7 +126,7 @@ def code_eligible(path: Column, include_tests: bool = False, include_docs: bool
 
 def security_eligible(path: Column, include_tests: bool = False) -> Column:
     name = file_name(path)
-    out = ~is_skipped(path, ("build", "release", "releases")) & ~name.isin(*SECURITY_LOCKFILES) & (suffix(path).isin(*SECURITY_SUFFIXES) | name.isin("AndroidManifest.xml", "Info.plist"))
+    out = ~is_skipped(path, ("build", "release", "releases")) & ~name.isin(*SECURITY_LOCKFILES) & (suffix(path).isin(*SECURITY_SUFFIXES) | name.isin(*SECURITY_NAMES))
     return out if include_tests else out & ~is_test_path(path) & ~path.rlike(EXAMPLE_FOLDER)
 
 
@@ -186,7 +201,7 @@ def _family(low: Column, title: Column) -> Column:
         for p in phrases[1:]:
             cond = cond & low.contains(p)
         out = out.when(cond, family)
-    loose = low.contains("source-available") | low.contains("source available") | low.contains("license key")
+    loose = low.contains(LOOSE_LICENSES[0]) | low.contains(LOOSE_LICENSES[1]) | low.contains(LOOSE_LICENSES[2])
     return out.when(loose, "Proprietary or custom").otherwise("Unrecognized")
 
 
@@ -197,28 +212,27 @@ def gpl_version(text: Column) -> Column:
 
 def copyright_line(text: Column) -> Column:
     head = F.slice(F.split(text, r"\r\n|\n|\r", -1), 1, 60)
-    found = F.get(F.filter(head, lambda x: x.rlike(r"(?i)copyright\s*(\(c\)|©|\d{4})")), 0)
+    found = F.get(F.filter(head, lambda x: x.rlike(COPYRIGHT)), 0)
     return F.substring(F.regexp_replace(F.trim(found), "<[^>]*@[^>]*>", "<email>"), 1, 160)
 
 
 def spdx(text: Column) -> Column:
     """The first identifier in the first 4000 characters; empty without one."""
-    return F.trim(F.regexp_extract(F.substring(text, 1, 4000), r"(?m)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+\-() ]+?)[ \t]*(?:\*/|-->|#|$)", 1))
+    return F.trim(F.regexp_extract(F.substring(text, 1, 4000), SPDX_HEADER, 1))
 
 
 def is_placeholder(value: Column, line: Column) -> Column:
     """Documentation keys, redaction marks and test values."""
-    core = F.regexp_replace(value, r"^(gh[pousr]_|github_pat_|AKIA|AIza|xox[abprs]-|(sk|rk)_live_|sk-(proj-)?)", "")
+    core = F.regexp_replace(value, SECRET_PREFIX, "")
     few = F.size(F.array_distinct(F.split(core, ""))) <= 6
-    words = F.concat_ws(" ", value, line).rlike(r"(?i)example|redact|dummy|fake|placeholder|xxxx|0000|your[_-]?key")
-    return F.when(value.contains("PRIVATE KEY"), line.rlike("(?i)example|dummy|fake|test")).otherwise(few | words)
+    words = F.concat_ws(" ", value, line).rlike(PLACEHOLDER)
+    return F.when(value.contains("PRIVATE KEY"), line.rlike(PLACEHOLDER_KEY)).otherwise(few | words)
 
 
 def author_key(name: Column, email: Column) -> Column:
     """Lower-cased e-mail; the handle of a no-reply address; the name without an e-mail."""
     e = F.lower(F.trim(email))
-    reply = r"(?i)^(?:\d+\+)?([^@]+)@users\.noreply\.github\.com$"
-    return F.when(e.rlike(reply), F.concat(F.lit("github:"), F.regexp_extract(e, reply, 1))).when(e != "", e).otherwise(F.lower(F.trim(name)))
+    return F.when(e.rlike(NO_REPLY), F.concat(F.lit("github:"), F.regexp_extract(e, NO_REPLY, 1))).when(e != "", e).otherwise(F.lower(F.trim(name)))
 
 
 def is_bot(name: Column) -> Column:
@@ -229,4 +243,4 @@ def is_bot(name: Column) -> Column:
 
 
 def allowed_email(address: Column) -> Column:
-    return address.rlike(r"(?i)(?:@example\.(?:com|org|net)|@users\.noreply\.github\.com|^noreply@github\.com)$")
+    return address.rlike(ALLOWED_EMAIL)

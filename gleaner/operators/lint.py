@@ -11,8 +11,7 @@ from gleaner.plans.rules import SUPERLATIVES
 
 # Markers, dates, numbers and what is no claim.
 OFF, ON, IGNORE = "<!-- claims-lint: off -->", "<!-- claims-lint: on -->", "<!-- claims-lint: ignore -->"
-_MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
-DATE = rf"(?i)\b(\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}} {_MONTH}[a-z]* \d{{4}}|{_MONTH}[a-z]* \d{{1,2}},? \d{{4}}|(as of|on) \w+ \d{{4}}|q[1-4] \d{{4}})\b"
+DATE = r"(?i)\b(\d{4}-\d{2}-\d{2}|\d{1,2} (jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{4}|(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* \d{1,2},? \d{4}|(as of|on) \w+ \d{4}|q[1-4] \d{4})\b"
 NUMBER = r"(?i)\b\d[\d,.]*\s?(%|k\b|m\b|x\b|stars|users|downloads|customers)?"
 NO_CLAIM = r"`[^`]*`|\bv?\d+\.\d+(?:\.\d+)+\b|[\w./-]+\.\w+:\d+(?:-\d+)?|\[[^\]]*\]\([^)]*\)|^\s*(?:#+\s*)?\d+[.)]\s"
 COMPARATIVE = r"(?:unlike|better than|faster than|cheaper than|safer than|more \w+ than|worse than|slower than|instead of|vs\.?|versus)"

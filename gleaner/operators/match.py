@@ -42,6 +42,14 @@ def candidates(rules: list[Rule], text: Column) -> Column:
     return F.array_sort(F.array_union(fixed, F.flatten(F.transform(held, lambda w: F.element_at(table, w)))))
 
 
+def _of_number(i: Column, values: list[Column], first: int = 0) -> Column:
+    """The value of number i, found by halving, so that each pattern stays a literal that is compiled once."""
+    if len(values) == 1:
+        return values[0]
+    half = len(values) // 2
+    return F.when(i < first + half, _of_number(i, values[:half], first)).otherwise(_of_number(i, values[half:], first + half))
+
+
 def signals(df: DataFrame, rules: list[Rule], text: Column, keep: list[str], max_line: int = 0, gated: bool = True, path: Column | None = None, first_of_group: bool = False) -> DataFrame:
     """One row per line and rule that fires: keep columns, line (from 1), rule_id, strength, text (the line).
 
@@ -66,15 +74,13 @@ def signals(df: DataFrame, rules: list[Rule], text: Column, keep: list[str], max
             found.append(chain)
         rows = rows.select("*", F.explode_outer(F.array_compact(F.array(*found))).alias("_i")).where("_i IS NOT NULL")
     else:
-        of = lambda values: F.element_at(F.array(*values), F.col("_i") + 1)
-        rows = rows.select("*", F.explode_outer(may).alias("_i")).where("_i IS NOT NULL")
-        if path is not None and any(r.path_pattern for r in rules):
-            rows = rows.where(F.rlike("_path", of(F.lit(r.path_pattern) for r in rules)))
-        here = F.length("_line") <= of(F.lit(r.max_line or 2**31 - 1) for r in rules)
-        if gated:
-            words = of(F.array(*[F.lit(k) for k in r.keywords or ("",)]) for r in rules)
-            here = here & F.exists(words, lambda k: F.lower("_line").contains(k))
-        rows = rows.select("*", lines).drop("_t").where(limit & here & F.rlike("_line", of(F.lit(r.pattern) for r in rules)))
+        # Lines are cut and lowered once a text; beside each stand the text's candidates, of which few are left by then.
+        # A filter on the candidates would find them a second time; texts without any have no lines instead.
+        cut = F.posexplode_outer(F.when(F.size("_may") > 0, F.split("_t", "\n", -1))).alias("_pos", "_line")
+        rows = rows.select("*", may.alias("_may")).select("*", cut).drop("_t").where("_line IS NOT NULL").where(limit).withColumn("_low", F.lower("_line"))
+        at = F.col("_path") if path is not None else None
+        hit = F.filter("_may", lambda i: _of_number(i, [fires(r, F.col("_line"), F.col("_low"), gated, at) for r in rules]))
+        rows = rows.select("*", F.explode_outer(hit).alias("_i")).where("_i IS NOT NULL")
     rule = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_i") + 1)
     return rows.select(*keep, (F.col("_pos") + 1).cast("long").alias("line"), rule(r.rule_id for r in rules).alias("rule_id"), rule(r.strength for r in rules).alias("strength"), F.col("_line").alias("text"))
 

@@ -11,8 +11,8 @@ from gleaner.operators.match import signals
 from gleaner.plans import signatures as S
 from gleaner.plans.rules import Rule, rules
 
-#: Files of more bytes are no source code to scan; of others a telemetry scan reads this many characters.
-MOST_BYTES, READ_CHARS = 1_000_000, 2_000_000
+#: Files of more bytes are no source code to scan; a telemetry scan reads files of any length, whole.
+MOST_BYTES = 1_000_000
 GATES = ("license_gate", "plan_gate", "offer", "lead_capture")
 
 
@@ -31,7 +31,7 @@ def sdk_lines(files: DataFrame, include_tests: bool = False, include_docs: bool
     """
     table = rules("telemetry")
     own = files.where(C.telemetry_eligible(F.col("path"), include_tests, include_docs))
-    found = signals(own.select("path", F.substring("text", 1, READ_CHARS).alias("text")), table, F.col("text"), ["path"])
+    found = signals(own.select("path", "text"), table, F.col("text"), ["path"])
     low = F.lower("text")
     used = (F.col("strength") == "usage") | low.contains("://") | low.contains("<script") | low.contains("src=")
     per = found.withColumn("name", _named(table)).groupBy("name", "path", "line").agg(F.bool_or(used).alias("used"), F.min("text").alias("text"))

@@ -88,23 +88,33 @@ def test_sample_pages():
     assert K.sample_pages(0, 5) == [] and K.sample_pages(7, 1) == [1]
 
 
-def test_best_split_against_every_split():
-    for total, cuts, limit in ((100, [10, 35, 60, 80], 45), (50, [], 60), (90, [30, 60], 30), (90, [40], 45), (70, [5, 10, 40], 35)):
-        best = None
+def test_best_split_against_every_split(spark):
+    cases = [(100, [10, 35, 60, 80], 45), (50, [], 60), (90, [30, 60], 30), (90, [40], 45), (70, [5, 10, 40], 35), (12, [3, 6, 9], 5)]
+    for total, cuts, limit in cases:
+        found = []
         for k in range(len(cuts) + 1):
             for some in itertools.combinations(cuts, k):
                 ends = [*some, total]
                 sizes = [b - a for a, b in zip([0, *ends], ends, strict=False)]
-                if max(sizes) <= limit and (best is None or (len(sizes), max(sizes)) < best[:2]):
-                    best = (len(sizes), max(sizes))
-        got = D.best_split(total, cuts, limit)
-        sizes = [b - a for a, b in zip([0, *got], got, strict=False)] if got else None
-        assert (best is None) == (got is None) and (got is None or (len(sizes), max(sizes)) == best)
-
-
-def test_cut_points_need_closed_blocks():
-    assert D.cut_points("## A\n```\n## no\n") is None
-    assert D.cut_points("x\n## A\n### B\n") == [2, 7]
+                if max(sizes) <= limit:
+                    found.append((len(sizes), max(sizes), ends))
+        text = "".join(("## " if i in cuts else "x") + "y" * (n - a - (4 if i in cuts else 2)) + "\n" for i, (a, n) in ((a, (a, n)) for a, n in zip([0, *cuts], [*cuts, total], strict=True))) if all(b - a > 4 for a, b in zip([0, *cuts], [*cuts, total], strict=True)) else None
+        points = spark.createDataFrame([([0, *cuts, total],)], "p array<long>")
+        best, walk = D.best_ends("p", limit)
+        row = points.withColumn("_best", F.expr(best)).select(F.expr(f"if(_best[0].parts >= {D.NO_WAY}, null, {walk})").alias("e")).head()
+        assert row["e"] == (min(found)[2] if found else None)
+        if text:
+            got = D.split_documents(spark.createDataFrame([(1, text)], "k long, t string"), "k", "t", limit).orderBy("part").collect()
+            assert [r["start"] + r["chars"] for r in got] == (min(found)[2] if found else [total])
+
+
+def test_cut_points_need_closed_blocks(spark):
+    texts = ["## A\n```\n## no\n", "x\n## A\n### B\n", "x\r\n<table>\n## no\n</table>\n## A\u2028## B\r## C", "a\n<callout x\n## no\n", "```\n<table>\n```\n## A", "", None, "</table>\n## A\n```a\n```\n  <table a>\n ## no\n</table>\n## B"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r["k"]: (r["chars"], list(r["cuts"]) if r["balanced"] else None) for r in D.cut_points(df, ["k"], "t").collect()}
+    assert got == {0: (15, None), 1: (13, [2, 7]), 2: (len(texts[2]), [texts[2].index("## A"), texts[2].index("## B"), texts[2].index("## C")]), 3: (19, None), 4: (20, [16]), 5: (0, []), 6: (0, []), 7: (len(texts[7]), [9, texts[7].index("## B")])}
+    again = spark.createDataFrame([(1, "ab"), (1, "ab"), (None, "ab"), (2, None)], "k int, t string")
+    assert sorted(map(tuple, D.split_documents(again, "k", "t", 5).collect()), key=str) == sorted([(1, 0, 0, 2, None), (1, 0, 0, 2, None), (None, 0, 0, 2, None), (2, 0, 0, 0, None)], key=str)
 
 
 def _converted(text, **style):
