@@ -12,7 +12,7 @@ have nothing in common, so windows are first dealt into blocks by content:
   its anchor and its context occur again and whether it is the context's first; for the ends of partitions the driver
   compares one key of each with the next. Anchors that occur once go.
 * The first rows of contexts are fetched and dealt by anchor into blocks. Each block is one text; a context that occurs
-  more than once is in it twice, for its first and for its later copies. The block's suffixes (at starts of windows,
+  more than once counts as two in it, its first and its later copies. The block's suffixes (at starts of windows,
   compared up to ``window`` bytes) are put in order by ranks of three times longer strings in each round. From that
   order and its LCP array follow the previous and next smaller positions, and from these the longest previous factor of
   each start: at ``window`` it has an earlier copy. Its mirror is the longest next factor. Nothing is marked but by these.
@@ -45,7 +45,7 @@ from gleaner.llm.shingles import U, mix
 #: Bytes of an anchor; contexts of one anchor, and rows of one context, that are handled in one task.
 GRAM, HOT, COPIES = 64, 256, 2_000
 #: Bytes handled at once, and starts and bytes of a block.
-PIECE, BLOCK, BLOCK_BYTES, RUN = 1 << 18, 60_000, 1 << 20, 1 << 17
+PIECE, BLOCK, BLOCK_BYTES, RUN = 1 << 18, 20_000, 1 << 17, 1 << 15
 
 _RNG = np.random.default_rng(77003)
 _BYTE = _RNG.integers(0, 2**63 - 1, 256, dtype=np.int64).astype(U) * U(2) + _RNG.integers(0, 2, 256).astype(U)
@@ -275,58 +275,63 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.
     return sa, lcp
 
 
-def _towards_smaller(sa: np.ndarray, lcp: np.ndarray, reach: int) -> np.ndarray:
-    """For each rank the LCP with the nearest rank before it, at most 2 ** reach - 1 away, that has a smaller position; 0 without one."""
-    least, common = [sa], [lcp]
-    for k in range(reach - 1):
-        # The minimum over the 2 ** (k + 1) ranks that end here; at the beginning over those there are.
-        step = 1 << k
-        least.append(np.concatenate((np.full(min(step, len(sa)), -1), np.minimum(least[-1][step:], least[-1][:-step]))))
-        common.append(np.concatenate((np.zeros(min(step, len(sa)), np.int64), np.minimum(common[-1][step:], common[-1][:-step]))))
-    rank, out = np.arange(len(sa)) - 1, lcp.copy()
-    for k in reversed(range(len(least))):
-        at = np.maximum(rank, 0)
-        jump = (rank - (1 << k) >= -1) & (least[k][at] > sa)
-        out = np.where(jump, np.minimum(out, common[k][at]), out)
-        rank = np.where(jump, rank - (1 << k), rank)
-    return np.where((rank >= 0) & (sa[np.maximum(rank, 0)] < sa), out, 0)
-
-
-def longest_previous_factors(sa: np.ndarray, lcp: np.ndarray, reach: int | None = None) -> np.ndarray:
+def _towards_smaller(sa: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each rank the LCP with the nearest rank before it that has a smaller position; 0 without one.
+
+    Every rank looks at the one before it, and from a larger position goes on to where that one looks by now: all
+    positions passed over are larger still. Where nothing is in common any more the search ends.
+    """
+    look, common = np.arange(len(sa)) - 1, lcp.copy()
+    common[:1] = 0
+    on = np.flatnonzero(common)
+    on = on[sa[look[on]] > sa[on]]
+    while len(on):
+        past = look[on]
+        common[on], look[on] = np.minimum(common[on], common[past]), look[past]
+        on = on[common[on] > 0]
+        on = on[sa[look[on]] > sa[on]]
+    return common
+
+
+def longest_previous_factors(sa: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     """For each rank of a suffix array how much of its suffix also starts at a smaller position.
 
     The best earlier match of a suffix is the nearest one in suffix order, before or after it, with a smaller position:
-    LPF is the larger of the two LCPs. reach: no run of suffixes that matters is longer than 2 ** reach - 1.
+    LPF is the larger of the two LCPs.
     """
-    if not len(sa):
-        return lcp
-    reach = reach or len(sa).bit_length()
     back = np.concatenate(([0], lcp[1:][::-1]))
-    return np.maximum(_towards_smaller(sa, lcp, reach), _towards_smaller(sa[::-1], back, reach)[::-1])
+    return np.maximum(_towards_smaller(sa, lcp), _towards_smaller(sa[::-1], back)[::-1])
 
 
-def marked_starts(contexts: list[bytes], window: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
+def marked_starts(contexts: list[bytes], window: int, keep: str, twice: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(context, start) of all starts with a copy elsewhere in the contexts (keep="none") or before them (keep="first").
 
-    The contexts one after the other are the text: positions are ordered by context, then start.
+    The contexts one after the other are the text: positions are ordered by context, then start. Those marked twice
+    follow a second time behind all others, as contexts len(contexts) + i; they are sorted once, their suffixes stand
+    in the order twice.
     """
     size = np.array([len(x) for x in contexts])
     count = size - window + 1
     ctx = np.repeat(np.arange(len(size)), count)
     off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    begin = np.cumsum(size) - size
+    begin, n = np.cumsum(size) - size, int(size.sum())
     sa, lcp = suffix_order(np.frombuffer(b"".join(contexts), np.uint8), begin[ctx] + off, window)
+    if twice is not None and any(twice):
+        times = 1 + np.array(twice, np.int64)[np.searchsorted(begin, sa, side="right") - 1]
+        rank = np.repeat(np.arange(len(sa)), times)
+        second = np.concatenate(([False], rank[1:] == rank[:-1]))
+        sa, lcp = sa[rank] + n * second, np.where(second, window, lcp[rank])
     whole = lcp >= window
     some = whole | np.concatenate((whole[1:], [False]))  # ranks beside an equal window; the others' factors are below window
-    sa, lcp, whole = sa[some], np.where(whole, lcp, 0)[some], whole[some]
+    sa, lcp = sa[some], np.where(whole, lcp, 0)[some]
     if len(sa):
-        reach = int(np.diff(np.flatnonzero(np.concatenate((~whole, [True])))).max()).bit_length()
-        factor = longest_previous_factors(sa, lcp, reach)
+        factor = longest_previous_factors(sa, lcp)
         if keep == "none":
-            factor = np.maximum(factor, longest_previous_factors(sa.max() - sa, lcp, reach))  # the longest next factors
+            factor = np.maximum(factor, longest_previous_factors(sa.max() - sa, lcp))  # the longest next factors
         sa = sa[factor >= window]
+    second, sa = sa >= n, np.where(sa >= n, sa - n, sa)
     at = np.searchsorted(begin, sa, side="right") - 1
-    return at, sa - begin[at]
+    return at + len(contexts) * second, sa - begin[at]
 
 
 # Blocks --------------------------------------------------------------------------------------------------------------
@@ -373,6 +378,8 @@ def _contexts(window: int, hot: int):
 
 def _ranges(owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive starts of one owner: (owner, first, last)."""
+    if not len(owner):
+        return owner, start, start
     o = np.lexsort((start, owner))
     owner, start = owner[o], start[o]
     turn = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))))
@@ -390,26 +397,25 @@ def _marks(firsts: list[tuple], laters: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 7 else _LATER) for i in range(8)], ["doc_id", "k1", "a", "b", "kh", "c1", "c2", "later"])
 
 
-def _marked_ranges(texts: list[bytes], window: int, keep: str) -> dict[int, list[tuple[int, int]]]:
-    """By text, the ranges of marked starts."""
+def _marked_ranges(texts: list[bytes], window: int, keep: str, twice: list[bool]) -> dict[int, list[tuple[int, int]]]:
+    """By text, the ranges of marked starts; of a text's second copy under len(texts) + its number."""
     out: dict[int, list] = {}
-    for o, a, b in zip(*(x.tolist() for x in _ranges(*marked_starts(texts, window, keep))), strict=True):
+    for o, a, b in zip(*(x.tolist() for x in _ranges(*marked_starts(texts, window, keep, twice))), strict=True):
         out.setdefault(o, []).append((a, b))
     return out
 
 
 def _block(rows: list[dict], window: int, keep: str) -> pa.RecordBatch:
-    """Marks of contexts under the same anchors; those that occur again stand a second time behind all others."""
+    """Marks of contexts under the same anchors; one that occurs again counts as two, the second behind all others."""
     rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["k1"], r["lo"]))
-    again = [r for r in rows if r["twice"]]
-    found = _marked_ranges([r["bytes"] for r in rows + again], window, keep)
+    found = _marked_ranges([r["bytes"] for r in rows], window, keep, [r["twice"] for r in rows])
     firsts = [(r["doc_id"], r["k1"], r["lo"] + a, r["lo"] + b) for i, r in enumerate(rows) for a, b in found.get(i, ())]
-    return _marks(firsts, [(r["kh"], r["c1"], r["c2"], found[i]) for i, r in enumerate(again, len(rows)) if i in found])
+    return _marks(firsts, [(r["kh"], r["c1"], r["c2"], found[i]) for i, r in enumerate(rows, len(rows)) if i in found])
 
 
 def _run_block(rows: list[dict], window: int, keep: str) -> pa.RecordBatch:
-    """Marks of runs of repeated contexts, each in the block twice. With keep="first" nothing is said of their first copies."""
-    found = _marked_ranges([r["bytes"] for r in rows] * 2, window, keep)
+    """Marks of runs of repeated contexts, each counting as two. With keep="first" nothing is said of their first copies."""
+    found = _marked_ranges([r["bytes"] for r in rows], window, keep, [True] * len(rows))
     firsts = [(r["doc_id"], r["k1"], r["lo"] + a, r["lo"] + b) for i, r in enumerate(rows) for a, b in found.get(i, ())] if keep == "none" else []
     laters = []
     for i, r in enumerate(rows, len(rows)):
@@ -432,8 +438,8 @@ def _suffix_blocks(window: int, keep: str):
                     yield _block(held, window, keep)
                     held, starts, size = [], 0, 0
                 held.append(r)
-                size += len(r["bytes"]) * (1 + r["twice"])
-                starts += (len(r["bytes"]) - window + 1) * (1 + r["twice"])
+                size += len(r["bytes"])
+                starts += len(r["bytes"]) - window + 1
                 last = r["kh"]
         if held:
             yield _block(held, window, keep)
@@ -448,7 +454,7 @@ def _run_blocks(window: int, keep: str):
         held, size = [], 0
         for batch in _slices(batches, 200):
             for r in batch.to_pylist():
-                if size >= BLOCK_BYTES // 2:
+                if size >= BLOCK_BYTES:
                     yield _run_block(held, window, keep)
                     held, size = [], 0
                 held.append(r)

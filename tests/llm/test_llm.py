@@ -882,6 +882,7 @@ def test_every_mark_comes_from_a_block(spark, monkeypatch):
 
 def test_block_marks_by_factors_and_not_by_count():
     # Both rows claim to occur again under one digest; the order of the block alone says what repeats.
+    assert S._marked_ranges([b"abcdefghi"], 9, "none", [False]) == {}
     rows = [{"doc_id": 1, "k1": 0, "lo": 5, "bytes": b"abcdefgh", "twice": False, "kh": 1, "c1": 1, "c2": 1}, {"doc_id": 2, "k1": 0, "lo": 0, "bytes": b"zzbcdefgy", "twice": False, "kh": 1, "c1": 2, "c2": 2}]
     assert S._block(rows, 6, "none").to_pydict()["a"] == [6, 2] and S._block(rows, 6, "first").to_pydict()["doc_id"] == [2]
     twice = S._block([rows[0] | {"twice": True}], 6, "first").to_pylist()
