@@ -43,13 +43,13 @@ def release_windows(rows: DataFrame, now) -> DataFrame:
 def running_copies(windows: DataFrame, hours: float) -> DataFrame:
     """Checks per day and copies running at once, from the last five closed windows of half a day or more, else the last five of all.
 
-    Days count as rounded to two digits.
+    Days count as rounded to two digits, and are summed as whole hundredths.
     """
-    rounded = windows.withColumn("d", F.expr("floor(days * 100 + 0.5) / 100"))
-    closed = rounded.where("back > 1 AND d >= 0.5").orderBy("back").limit(5).agg(F.sum("d").alias("cd"), F.sum("update_checks").alias("cc"))
+    rounded = windows.withColumn("d", F.expr("floor(days * 100 + 0.5)"))
+    closed = rounded.where("back > 1 AND d >= 50").orderBy("back").limit(5).agg(F.sum("d").alias("cd"), F.sum("update_checks").alias("cc"))
     every = rounded.where("back <= 5").agg(F.sum("d").alias("ed"), F.sum("update_checks").alias("ec"))
     row = closed.join(F.broadcast(every)).select(F.coalesce("cd", "ed").alias("d"), F.when(F.col("cd").isNull(), F.col("ec")).otherwise(F.col("cc")).alias("c"))
-    return row.select((F.col("c") / F.col("d")).alias("checks_per_day"), F.floor(F.col("c") / F.col("d") * hours / 24 + 0.5).alias("copies"))
+    return row.select((F.col("c") / (F.col("d") / 100)).alias("checks_per_day"), F.floor(F.col("c") / (F.col("d") / 100) * hours / 24 + 0.5).alias("copies"))
 
 
 def star_pace(points: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Small literal inputs for operators whose kind of data the driver's tables don't hold, for both engines."""
+"""Inputs for both engines: made of the given tables by one SELECT, or small literal ones."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DUCK = {"string": "VARCHAR", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "array<string>": "VARCHAR[]"}
 
@@ -14,7 +15,7 @@ class Fixture:
         self.columns = [tuple(c.strip().split(" ", 1)) for c in schema.split(", ")]
         self.rows = rows
 
-    def df(self, spark: SparkSession) -> DataFrame:
+    def df(self, spark: SparkSession, sf_dir: str = "") -> DataFrame:
         given = ", ".join(f"{n} {'string' if t == 'timestamp' else t}" for n, t in self.columns)
         out = spark.createDataFrame(self.rows, given)
         return out.select(*[out[n].cast(t).alias(n) for n, t in self.columns])
@@ -35,6 +36,57 @@ class Fixture:
         return f"(SELECT * FROM (VALUES {rows}) AS t({', '.join(n for n, _ in self.columns)}))"
 
 
+class Derived:
+    """Rows that one SELECT, in what both engines' SQL have in common, makes of a table; its name stands in braces."""
+
+    def __init__(self, table: str, select: str):
+        self.table, self.select = table, select
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = spark.sql(self.select, **{self.table: spark.read.parquet(f"{sf_dir}/{self.table}.parquet")})
+        return out.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in out.dtypes])
+
+    def sql(self) -> str:
+        return "(" + self.select.format(**{self.table: self.table}) + ")"
+
+
+_S = "CAST({} AS STRING)".format
+_CUST, _ORDER = _S("o_custkey"), _S("o_orderkey")
+#: Orders as a log of commits: customers are authors under two names and three addresses.
+LOG = Derived(
+    "orders",
+    f"""SELECT {_ORDER} AS sha,
+  CASE WHEN o_custkey % 40 = 0 THEN 'dependabot[bot]' WHEN o_orderkey % 3 = 0 THEN 'Dev ' || {_CUST} ELSE 'dev-' || {_CUST} END AS name,
+  CASE WHEN o_custkey % 40 = 0 THEN 'bot@users.noreply.github.com' WHEN o_orderkey % 5 = 0 THEN {_CUST} || '+handle' || {_CUST} || '@users.noreply.github.com' WHEN o_orderkey % 5 = 1 THEN '' ELSE 'Dev' || {_CUST} || '@corp' || {_S('o_custkey % 12')} || '.test' END AS email,
+  substr({_S('o_orderdate')}, 1, 10) || 'T' || lpad({_S('o_orderkey % 24')}, 2, '0') || ':00:00' || CASE o_custkey % 3 WHEN 0 THEN '+05:30' WHEN 1 THEN '-03:00' ELSE '+00:00' END AS date,
+  o_orderkey % 9 = 0 AS merge,
+  CASE WHEN o_orderkey % 9 = 0 THEN 'Merge branch ' || CASE o_custkey % 4 WHEN 0 THEN 'codex/' WHEN 1 THEN 'claude/' WHEN 2 THEN 'cursor/' ELSE 'feature/' END || o_orderstatus WHEN o_orderkey % 7 = 0 THEN 'fix: crash of ' || o_orderpriority WHEN o_orderkey % 7 = 1 THEN 'Fixes prices' ELSE 'Add ' || o_orderpriority END AS subject,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'why' || chr(10) || 'Co-authored-by: Copilot <x@y.test>' WHEN o_orderkey % 6 = 1 THEN 'Co-Authored-By: Cursor Agent <c@d.test>' || chr(10) || 'co-authored-by : Gemini <g@h.test>' ELSE '' END AS body
+FROM {{orders}} WHERE o_orderdate IS NOT NULL""",
+)
+#: Lines of orders as the paths that commits touch.
+LOG_PATHS = Derived("lineitem", f"SELECT {_S('l_orderkey')} AS sha, 'src/p' || {_S('l_partkey % 300')} || CASE WHEN l_linenumber % 2 = 0 THEN '.py' ELSE '.md' END AS path FROM {{lineitem}}")
+#: Orders as tags, some of which are no versions.
+LOG_TAGS = Derived("orders", f"SELECT CASE WHEN o_custkey % 10 = 0 THEN 'nightly-' || {_ORDER} WHEN o_custkey % 10 = 1 THEN {_S('o_custkey % 5')} || '.' || {_ORDER} ELSE 'v' || {_S('o_custkey % 5')} || '.' || {_ORDER} || '.' || {_S('o_orderkey % 4')} END AS tag, o_orderdate AS date FROM {{orders}} WHERE o_orderdate IS NOT NULL")
+_TAG = _S("CAST(floor(l_orderkey / 500) AS BIGINT)")
+#: Lines of orders as files of releases, 500 orders each; quantities are downloads.
+RELEASE_FILES = Derived(
+    "lineitem",
+    f"""SELECT 'v1.' || {_TAG} || '.0' AS tag, l_shipdate AS published_at, CAST(l_quantity AS BIGINT) AS downloads,
+  CASE l_partkey % 12 WHEN 0 THEN 'latest.yml' WHEN 1 THEN 'latest-mac.yml' WHEN 2 THEN 'Tool-Setup.exe' WHEN 3 THEN 'Tool-1.' || {_TAG} || '.0.dmg' WHEN 4 THEN 'Tool.dmg.blockmap' WHEN 5 THEN 'tool_1.' || {_TAG} || '.0_amd64.deb' WHEN 6 THEN 'SHA256SUMS.txt' WHEN 7 THEN 'tool.apk' WHEN 8 THEN 'tool-mac.zip' WHEN 9 THEN 'tool-linux.tar.gz' WHEN 10 THEN 'tool-1.' || {_TAG} || '.0.whl' ELSE 'readme' || {_S('l_linenumber')} || '.html' END AS name
+FROM {{lineitem}} WHERE l_shipdate IS NOT NULL""",
+)
+#: Every fiftieth event as a star that was given.
+STAR_POINTS = Derived("events", "SELECT event_id AS star, ts AS starred_at FROM {events} WHERE event_id % 50 = 0 AND ts IS NOT NULL")
+_AMOUNT = f"{_S('p_size')} || '.' || lpad({_S('p_partkey % 100')}, 2, '0')"
+#: Parts as lines of their brand's price page.
+PRICE_LINES = Derived(
+    "part",
+    f"""SELECT p_brand AS page, p_partkey AS line,
+  CASE p_partkey % 11 WHEN 0 THEN 'Pro: $' || {_AMOUNT} || ' per month, up to ' || {_S('p_size')} || ' seats' WHEN 1 THEN 'Team US$ ' || {_S('p_partkey')} || ' a year, billed yearly' WHEN 2 THEN '€' || {_AMOUNT} || ' / month' WHEN 3 THEN {_S('p_size')} || ',99 € per user' WHEN 4 THEN '1,' || lpad({_S('p_partkey % 1000')}, 3, '0') || ' credits included' WHEN 5 THEN 'Contact sales about ' || p_name WHEN 6 THEN '+ $' || {_S('p_size')} || ' each extra workspace' WHEN 7 THEN 'USD 1,' || lpad({_S('p_partkey % 1000')}, 3, '0') || '.50 per seat' WHEN 8 THEN {_S('p_size')} || ' GBP per agent' WHEN 9 THEN 'Start free trial of ' || p_type ELSE p_name || ', cancel any time, plus tax' END AS text
+FROM {{part}}""",
+)
+
 PATHS = Fixture(
     "path string, head string",
     [(p, "") for p in ("src/app/main.ts", "src/latest.ts", "tests/test_api.py", "src/app/button.test.tsx", "pkg/store/store_test.go", "ios/AppTests/LoginTests.swift", "spec/models/user_spec.rb", "e2e/login.ts", "src/fixtures/data.json", "docs/guide.md", "README.md", "CHANGELOG.md", "node_modules/x/index.js", "vendor/lib/a.c", "proto/api_pb2.py", "web/app.min.js", "build/out.js", ".env.local", "config/.env.example", "keys/id_rsa", "deploy/service-account.json", "package.json", "yarn.lock", "go.mod", "examples/demo.py", "android/AndroidManifest.xml", "Cargo.toml", "deep/a/b/c/file.rs", "third_party/zlib/LICENSE", "LICENSE", "LICENSE.md", "NOTICE.txt", "COPYING.LESSER", "licence.py", "LICENSING.md", "PATENTS")]

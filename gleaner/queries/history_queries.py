@@ -62,74 +62,78 @@ def first_event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KEY = "CASE WHEN regexp_matches(lower(trim(email)), '^(?:\\d+\\+)?([^@]+)@users\\.noreply\\.github\\.com$') THEN 'github:' || regexp_extract(lower(trim(email)), '^(?:\\d+\\+)?([^@]+)@users\\.noreply\\.github\\.com$', 1) WHEN trim(email) <> '' THEN lower(trim(email)) ELSE lower(trim(name)) END"
 _BOT = "(" + " OR ".join(f"regexp_matches(name, {quote('(?i)' + p)})" for p in S.BOT_AUTHORS) + ")"
-_C = X.COMMITS.sql()
+_C = X.LOG.sql()
 
 
 @query(f"WITH n AS (SELECT {_KEY} AS author_key, name, count(*) AS n FROM {_C} WHERE NOT merge GROUP BY ALL) SELECT author_key, first(name ORDER BY n DESC, name) AS author, sum(n)::BIGINT AS commits FROM n GROUP BY author_key")
 def commits_per_author(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits by author key, with the most frequent name."""
-    return H.commits_per_author(X.COMMITS.df(spark))
+    return H.commits_per_author(X.LOG.df(spark, sf_dir))
 
 
-@query(f"""WITH o AS (SELECT {_KEY} AS k, name FROM {_C} WHERE NOT merge), v AS (SELECT k, name AS v FROM o UNION SELECT k, substr(k, 8) FROM o WHERE starts_with(k, 'github:')),
-f AS (SELECT DISTINCT k, regexp_replace(lower(v), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS f FROM v), s AS (SELECT f FROM f WHERE length(f) >= 4 GROUP BY f HAVING count(*) > 1), w AS (SELECT k, min(f) AS g FROM f JOIN s USING (f) GROUP BY k)
-SELECT o.k AS author_key, coalesce('group:' || max(w.g), o.k) AS owner, count(*)::BIGINT AS commits FROM o LEFT JOIN w ON w.k = o.k GROUP BY o.k""")
+_MERGED = f"""WITH o AS (SELECT {_KEY} AS k, name FROM {_C} WHERE NOT merge), v AS (SELECT k, name AS v FROM o UNION SELECT k, substr(k, 8) FROM o WHERE starts_with(k, 'github:')),
+f AS (SELECT DISTINCT k, regexp_replace(lower(v), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS f FROM v), s AS (SELECT f FROM f WHERE length(f) >= 4 GROUP BY f HAVING count(*) > 1), w AS (SELECT k, min(f) AS g FROM f JOIN s USING (f) GROUP BY k)"""
+_OWNED = "SELECT o.k AS author_key, coalesce('group:' || max(w.g), o.k) AS owner, count(*)::BIGINT AS commits FROM o LEFT JOIN w ON w.k = o.k GROUP BY o.k"
+_OWNERS = _MERGED + ", m AS (" + _OWNED + "), c AS (SELECT owner, sum(commits) AS n FROM m GROUP BY owner)"
+
+
+@query(_MERGED + " " + _OWNED)
 def merged_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that share a folded name or handle, each with the first group that claims it."""
-    return H.merged_identities(X.COMMITS.df(spark))
+    return H.merged_identities(X.LOG.df(spark, sf_dir))
 
 
-@query("SELECT 1::BIGINT AS bus_factor")
+@query(_OWNERS + ", r AS (SELECT row_number() OVER (ORDER BY n DESC, owner) AS r, sum(n) OVER (ORDER BY n DESC, owner ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER () AS t FROM c) SELECT coalesce(min(r), 0)::BIGINT AS bus_factor FROM r WHERE 2 * run >= t")
 def merged_bus_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bus factor of merged identities."""
-    owners = H.merged_identities(X.COMMITS.df(spark)).groupBy("owner").agg(F.sum("commits").alias("n"))
+    owners = H.merged_identities(X.LOG.df(spark, sf_dir)).groupBy("owner").agg(F.sum("commits").alias("n"))
     return H.bus_factor(owners, "owner", "n")
 
 
 @query(f"SELECT CASE WHEN NOT contains(email, '@') THEN '(none)' WHEN ends_with(lower(string_split(email, '@')[-1]), 'users.noreply.github.com') THEN 'users.noreply.github.com' ELSE lower(string_split(email, '@')[-1]) END AS domain, count(*)::BIGINT AS commits FROM {_C} WHERE NOT merge AND NOT {_BOT} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def email_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains of people. A top-k report."""
-    return H.email_domains(X.COMMITS.df(spark))
+    return H.email_domains(X.LOG.df(spark, sf_dir))
 
 
 @query(f"SELECT name, count(*)::BIGINT AS commits FROM {_C} WHERE NOT merge AND {_BOT} GROUP BY name ORDER BY 2 DESC, 1 LIMIT 10")
 def automated_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bots by name. A top-k report."""
-    return H.automated_authors(X.COMMITS.df(spark))
+    return H.automated_authors(X.LOG.df(spark, sf_dir))
 
 
 @query(f"SELECT strftime(substr(date, 1, 19)::TIMESTAMP, '%G') || '-W' || strftime(substr(date, 1, 19)::TIMESTAMP, '%V') AS week, count(*)::BIGINT AS commits, count(*) FILTER (WHERE NOT merge)::BIGINT AS non_merge FROM {_C} GROUP BY 1")
 def weekly_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10: weeks of the authors' own clocks."""
-    return H.weekly(X.COMMITS.df(spark), F.to_timestamp_ntz(F.substring("date", 1, 19)), F.col("merge"))
+    return H.weekly(X.LOG.df(spark, sf_dir), F.to_timestamp_ntz(F.substring("date", 1, 19)), F.col("merge"))
 
 
 @query(f"WITH f AS (SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches(subject, {quote(C.FIX_SUBJECT)})) AS k FROM {_C} WHERE NOT merge) SELECT n::BIGINT AS non_merge, k::BIGINT AS fixes, ((2000 * k + n) // (2 * n))::DOUBLE / 10 AS share_pct FROM f")
 def fix_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of fixes."""
-    return H.fix_share(X.COMMITS.df(spark))
+    return H.fix_share(X.LOG.df(spark, sf_dir))
 
 
-_TAGS = f"(SELECT * FROM {X.TAGS.sql()} WHERE regexp_matches(tag, {quote(C.VERSION_TAG)}))"
+_TAGS = f"(SELECT * FROM {X.LOG_TAGS.sql()} WHERE regexp_matches(tag, {quote(C.VERSION_TAG)}))"
 
 
 @query(f"""WITH g AS (SELECT tag, date, epoch_us(date) - epoch_us(lag(date) OVER (ORDER BY date, tag)) AS gap FROM {_TAGS})
 SELECT count(*)::BIGINT AS version_tags, first(tag ORDER BY date, tag) AS first_tag, last(tag ORDER BY date, tag) AS last_tag, sum(gap)::DOUBLE / (count(gap) * 3600000000)::DOUBLE AS mean_gap_hours, median(gap) / 3600000000::DOUBLE AS median_gap_hours, count(*) FILTER (WHERE gap < 86400000000)::BIGINT AS gaps_under_24h FROM g""")
 def release_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version tags and the gaps between them."""
-    return H.release_gaps(X.TAGS.df(spark))
+    return H.release_gaps(X.LOG_TAGS.df(spark, sf_dir))
 
 
 @query(f"SELECT tag, date FROM {_TAGS} ORDER BY date DESC, tag DESC LIMIT 10")
 def recent_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last ten tags. A top-k report."""
-    return H.recent_tags(X.TAGS.df(spark)).select("tag", F.col("date").cast("timestamp_ntz").alias("date"))
+    return H.recent_tags(X.LOG_TAGS.df(spark, sf_dir)).select("tag", F.col("date").cast("timestamp_ntz").alias("date"))
 
 
-@query(f"SELECT path, count(DISTINCT sha)::BIGINT AS commits FROM {X.COMMIT_PATHS.sql()} GROUP BY path ORDER BY 2 DESC, 1 LIMIT 20")
+@query(f"SELECT path, count(DISTINCT sha)::BIGINT AS commits FROM {X.LOG_PATHS.sql()} GROUP BY path ORDER BY 2 DESC, 1 LIMIT 20")
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits per path, once each. A top-k report."""
-    return H.hotspots(X.COMMIT_PATHS.df(spark), "sha", "path")
+    return H.hotspots(X.LOG_PATHS.df(spark, sf_dir), "sha", "path")
 
 
 _LABELS = " UNION ALL ".join(f"SELECT sha, {quote(n)} AS label FROM v WHERE " + " OR ".join(f"regexp_matches(v, {quote('(?i)' + p)})" for p in ps) for n, ps in S.ASSISTANTS)
@@ -139,21 +143,21 @@ _TRAILERS = f"WITH v AS (SELECT sha, unnest(regexp_extract_all(body, '(?im)^\\s*
 @query(_TRAILERS + " SELECT label, count(*)::BIGINT AS commits FROM l GROUP BY label")
 def assistant_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits per assistant named in a trailer, each label once per commit."""
-    return H.assistants(X.COMMITS.df(spark)).groupBy("label").agg(F.count("*").alias("commits"))
+    return H.assistants(X.LOG.df(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("commits"))
 
 
 @query(_TRAILERS + f", n AS (SELECT count(*) AS n FROM {_C} WHERE NOT merge) SELECT (SELECT count(DISTINCT sha) FROM l)::BIGINT AS with_trailer, ((2000 * (SELECT count(DISTINCT sha) FROM l) + n) // (2 * n))::DOUBLE / 10 AS share_pct FROM n")
 def assistant_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of commits with a trailer."""
-    some = H.assistants(X.COMMITS.df(spark)).agg(F.countDistinct("sha").alias("with_trailer"))
-    every = X.COMMITS.df(spark).where("NOT merge").agg(F.count("*").alias("n"))
+    some = H.assistants(X.LOG.df(spark, sf_dir)).agg(F.countDistinct("sha").alias("with_trailer"))
+    every = X.LOG.df(spark, sf_dir).where("NOT merge").agg(F.count("*").alias("n"))
     return some.join(F.broadcast(every)).select("with_trailer", tenths(F.col("with_trailer"), F.col("n")).alias("share_pct"))
 
 
 @query(f"SELECT p AS prefix, count(*)::BIGINT AS merges FROM (SELECT subject, unnest({string_list(S.BRANCH_PREFIXES)}) AS p FROM {_C} WHERE merge) WHERE contains(subject, p) GROUP BY p")
 def branch_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merges of assistants' branches."""
-    return H.branch_merges(X.COMMITS.df(spark))
+    return H.branch_merges(X.LOG.df(spark, sf_dir))
 
 
 _TREE = X.Fixture("path string", [("AGENTS.md",), ("pkg/CLAUDE.md",), ("pkg/.claude/settings.json",), (".cursor/rules",), ("MYAGENTS.md",), (".kirox/a",)])
@@ -168,7 +172,7 @@ def instruction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT first(date ORDER BY date::TIMESTAMPTZ, sha) AS first, last(date ORDER BY date::TIMESTAMPTZ, sha) AS last FROM {_C}")
 def first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last date as written, by instant."""
-    return H.first_and_last(X.COMMITS.df(spark))
+    return H.first_and_last(X.LOG.df(spark, sf_dir))
 
 
 @query("SELECT event_type, min(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS least, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS most, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY event_type")

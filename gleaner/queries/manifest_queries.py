@@ -228,11 +228,11 @@ def commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saved.commit_records(_LOG.df(spark)).select("sha", "name", "merge", "subject", "body")
 
 
-@query(f"SELECT sha FROM {X.COMMITS.sql()} WHERE date::TIMESTAMPTZ >= TIMESTAMPTZ '2024-01-02 00:00:00+00' AND date::TIMESTAMPTZ < TIMESTAMPTZ '2024-01-09 00:00:00+00'")
+@query(f"SELECT sha FROM {X.LOG.sql()} WHERE date::TIMESTAMPTZ >= TIMESTAMPTZ '1995-01-02 00:00:00+00' AND date::TIMESTAMPTZ < TIMESTAMPTZ '1995-03-09 00:00:00+00'")
 def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits since and until two instants."""
     at = F.to_timestamp("date")
-    return X.COMMITS.df(spark).where((at >= F.lit("2024-01-02T00:00:00Z").cast("timestamp")) & (at < F.lit("2024-01-09T00:00:00Z").cast("timestamp"))).select("sha")
+    return X.LOG.df(spark, sf_dir).where((at >= F.lit("1995-01-02T00:00:00Z").cast("timestamp")) & (at < F.lit("1995-03-09T00:00:00Z").cast("timestamp"))).select("sha")
 
 
 _REVISIONS = X.Fixture("rev string, path string, content string", [("v1", "a.md", "one"), ("v2", "a.md", "two"), ("v1", "gone.md", "x")])

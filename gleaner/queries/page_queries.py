@@ -97,10 +97,10 @@ def _amounts_sql(source: str) -> str:
 FROM (SELECT page, line, unnest(regexp_extract_all(text, '(?:US\\$|\\$|€|£|\\b(?:USD|EUR|GBP)\\s?){_NUMBER}|{_NUMBER}\\s?(?:€|£|\\b(?:USD|EUR|GBP)\\b)')) AS p FROM {source})"""
 
 
-@query(f"SELECT page, currency, min({_TO_NUMBER}) AS min_amount, max({_TO_NUMBER}) AS max_amount, count(*)::BIGINT AS amounts FROM ({_amounts_sql(X.PRICING.sql())}) GROUP BY page, currency")
+@query(f"SELECT page, currency, min({_TO_NUMBER}) AS min_amount, max({_TO_NUMBER}) AS max_amount, count(*)::BIGINT AS amounts FROM ({_amounts_sql(X.PRICE_LINES.sql())}) GROUP BY page, currency")
 def price_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least, greatest and number of amounts per currency."""
-    return P.price_range(X.PRICING.df(spark), "page")
+    return P.price_range(X.PRICE_LINES.df(spark, sf_dir), "page")
 
 
 @query(f"SELECT doc_id AS page, currency, min({_TO_NUMBER}) AS min_amount, max({_TO_NUMBER}) AS max_amount, count(*)::BIGINT AS amounts FROM (SELECT page AS doc_id, currency, m FROM ({_amounts_sql('(SELECT doc_id AS page, 0 AS line, text FROM documents)')})) GROUP BY doc_id, currency")
@@ -111,10 +111,10 @@ def document_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT page, line, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)(?:/\\s?|\\bper\\s|\\ba\\s|\\beach\\s)(month|mo|year|yr|annum|seat|user|person|member|workspace|hour|minute|GB|TB|request|credit|agent|bot|computer|machine|day)s?\\b', 1), lambda x: lower(x)))), ',') AS units
-FROM {X.PRICING.sql()} WHERE regexp_matches(text, '(?:US\\$|\\$|€|£|\\b(?:USD|EUR|GBP)\\s?){_NUMBER}|{_NUMBER}\\s?(?:€|£|\\b(?:USD|EUR|GBP)\\b)')""")
+FROM {X.PRICE_LINES.sql()} WHERE regexp_matches(text, '(?:US\\$|\\$|€|£|\\b(?:USD|EUR|GBP)\\s?){_NUMBER}|{_NUMBER}\\s?(?:€|£|\\b(?:USD|EUR|GBP)\\b)')""")
 def price_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of price lines."""
-    return P.units(X.PRICING.df(spark), "page", "line")
+    return P.units(X.PRICE_LINES.df(spark, sf_dir), "page", "line")
 
 
 def _groups_sql(source: str) -> str:
@@ -122,11 +122,11 @@ def _groups_sql(source: str) -> str:
     return f"WITH s AS (SELECT text FROM {source}) " + " UNION ALL ".join(parts)
 
 
-@query(_groups_sql(X.PRICING.sql()))
+@query(_groups_sql(X.PRICE_LINES.sql()))
 def page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines per group of a pricing page; a line may be in several."""
     table_ = rules("page")
-    found = signals(X.PRICING.df(spark), table_, F.col("text"), ["page"])
+    found = signals(X.PRICE_LINES.df(spark, sf_dir), table_, F.col("text"), ["page"])
     return summary(found, table_, "page").select("rule_id", "label", "lines")
 
 

@@ -13,7 +13,7 @@ from gleaner.plans import signatures as S
 from gleaner.queries import fixtures as X
 from gleaner.queries.base import query, quote, table
 
-_A = X.ASSETS.sql()
+_A = X.RELEASE_FILES.sql()
 _PLATFORM = "CASE " + " ".join(f"WHEN ends_with(lower(name), {quote(e)}) THEN {quote(p)}" for e, p in S.INSTALLERS.items()) + " " + " ".join(f"WHEN regexp_matches(name, {quote(r)}) THEN {quote(p)}" for p, r in S.PLATFORM_HINTS) + " ELSE 'any' END"
 _CATEGORY = f"CASE WHEN regexp_matches(name, {quote(C.UPDATE_CHECK)}) THEN 'update-check' WHEN regexp_matches(name, {quote(C.UPDATE_DELTA)}) THEN 'update-delta' WHEN regexp_matches(name, {quote(C.CHECKSUM)}) THEN 'checksum-or-signature' WHEN " + " OR ".join(f"ends_with(lower(name), {quote(e)})" for e in S.INSTALLERS) + f" THEN 'installer' WHEN regexp_matches(name, {quote(C.PACKAGE)}) THEN 'package' WHEN regexp_matches(name, {quote(C.ARCHIVE)}) THEN CASE WHEN ({_PLATFORM}) = 'macos' THEN 'update-payload-or-archive' ELSE 'archive' END ELSE 'other' END"
 _VERSIONED = f"(regexp_matches(name, {quote(C.VERSION_IN_NAME)}) OR (tag <> '' AND contains(name, ltrim(tag, 'v'))))"
@@ -21,33 +21,33 @@ _CLASSED = f"(SELECT *, {_CATEGORY} AS category, CASE WHEN lower(name) = 'latest
 _SPLIT = f"(SELECT *, CASE WHEN category <> 'installer' THEN category WHEN versioned THEN 'installer-versioned-name' ELSE 'installer-stable-name' END AS kind FROM {_CLASSED})"
 
 
-def _rows(spark: SparkSession) -> DataFrame:
-    return R.classified(X.ASSETS.df(spark))
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.classified(X.RELEASE_FILES.df(spark, sf_dir))
 
 
 @query(f"SELECT name, category, platform, versioned FROM {_CLASSED}")
 def asset_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Category, platform and version of release files."""
-    return _rows(spark).select("name", "category", "platform", "versioned")
+    return _rows(spark, sf_dir).select("name", "category", "platform", "versioned")
 
 
 @query(f"SELECT kind, sum(downloads)::BIGINT AS downloads FROM {_SPLIT} GROUP BY kind")
 def downloads_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Downloads by category."""
-    return R.downloads(_rows(spark), "kind")
+    return R.downloads(_rows(spark, sf_dir), "kind")
 
 
 @query(f"SELECT platform, kind, sum(downloads)::BIGINT AS downloads FROM {_SPLIT} GROUP BY platform, kind")
 def downloads_by_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Downloads by platform and category."""
-    return R.downloads(_rows(spark), "platform", "kind")
+    return R.downloads(_rows(spark, sf_dir), "platform", "kind")
 
 
 @query(f"WITH t AS (SELECT sum(downloads) AS t, sum(downloads) FILTER (WHERE category = 'installer') AS i, sum(downloads) FILTER (WHERE category = 'update-check') AS u FROM {_CLASSED}) SELECT t::BIGINT AS total, ((2000 * i + t) // (2 * t))::DOUBLE / 10 AS installers_share_pct, ((2000 * u + t) // (2 * t))::DOUBLE / 10 AS update_checks_share_pct FROM t")
 def download_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of installers and update checks."""
     s = lambda c: F.sum(F.when(F.col("category") == c, F.col("downloads")).otherwise(0))
-    row = _rows(spark).agg(F.sum("downloads").alias("total"), s("installer").alias("i"), s("update-check").alias("u"))
+    row = _rows(spark, sf_dir).agg(F.sum("downloads").alias("total"), s("installer").alias("i"), s("update-check").alias("u"))
     return row.select("total", tenths(F.col("i"), F.col("total")).alias("installers_share_pct"), tenths(F.col("u"), F.col("total")).alias("update_checks_share_pct"))
 
 
@@ -59,20 +59,20 @@ w AS (SELECT *, greatest((epoch_us(coalesce(lead(published_at) OVER (ORDER BY pu
 @query(f"WITH {_WINDOWS} SELECT tag, days, installers, installers_stable_name, update_checks, installers / days AS installers_per_day, update_checks / days AS update_checks_per_day FROM w")
 def release_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The time each release was the latest, and downloads per day in it."""
-    return R.release_windows(_rows(spark), F.lit(_NOW).cast("timestamp")).drop("published_at", "back")
+    return R.release_windows(_rows(spark, sf_dir), F.lit(_NOW).cast("timestamp")).drop("published_at", "back")
 
 
-@query(f"WITH {_WINDOWS}, d AS (SELECT *, floor(days * 100 + 0.5) / 100 AS d FROM w), c AS (SELECT * FROM d WHERE back > 1 AND d >= 0.5 ORDER BY back LIMIT 5), s AS (SELECT sum(d) AS d, sum(update_checks) AS c FROM c) SELECT c / d AS checks_per_day, floor(c / d * 4 / 24 + 0.5)::BIGINT AS copies FROM s")
+@query(f"WITH {_WINDOWS}, d AS (SELECT *, floor(days * 100 + 0.5)::BIGINT AS d FROM w), c AS (SELECT * FROM d WHERE back > 1 AND d >= 50 ORDER BY back LIMIT 5), s AS (SELECT sum(d) / 100 AS d, sum(update_checks) AS c FROM c) SELECT c / d AS checks_per_day, floor(c / d * 4 / 24 + 0.5)::BIGINT AS copies FROM s")
 def running_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies running at once at a check every four hours."""
-    return R.running_copies(R.release_windows(_rows(spark), F.lit(_NOW).cast("timestamp")), 4.0)
+    return R.running_copies(R.release_windows(_rows(spark, sf_dir), F.lit(_NOW).cast("timestamp")), 4.0)
 
 
-@query(f"""WITH l AS (SELECT *, lag(star) OVER (ORDER BY star, starred_at) AS b, lag(starred_at) OVER (ORDER BY star, starred_at) AS s FROM {X.STARS.sql()})
+@query(f"""WITH l AS (SELECT *, lag(star) OVER (ORDER BY star, starred_at) AS b, lag(starred_at) OVER (ORDER BY star, starred_at) AS s FROM {X.STAR_POINTS.sql()})
 SELECT star - b AS stars, (epoch_us(starred_at) - epoch_us(s)) / 86400000000.0 AS days, (star - b) / ((epoch_us(starred_at) - epoch_us(s)) / 86400000000.0) AS stars_per_day FROM l WHERE star > b AND starred_at > s""")
 def star_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stars a day between milestones."""
-    return R.star_pace(X.STARS.df(spark)).select("stars", "days", "stars_per_day")
+    return R.star_pace(X.STAR_POINTS.df(spark, sf_dir)).select("stars", "days", "stars_per_day")
 
 
 @query("SELECT * FROM (VALUES (41, 5, 1), (41, 5, 11), (41, 5, 21), (41, 5, 31), (41, 5, 41), (3, 9, 1), (3, 9, 2), (3, 9, 3), (1, 4, 1)) t(total, samples, page)")
