@@ -80,11 +80,11 @@ _TEST = f"(regexp_matches(path, {quote(C.TEST_FOLDER)}) OR regexp_matches({_NAME
 CASE WHEN {_has(_PARTS, S.SKIP_DIRS)} THEN 'dependencies_or_build' WHEN {_TEST} THEN 'tests' WHEN {_has(_PARTS, C.DOC_FOLDERS)} OR list_contains({string_list(C.DOC_SUFFIXES)}, {_SUFFIX}) THEN 'docs' ELSE 'source_and_other' END AS removed_kind,
 CASE WHEN regexp_matches(upper({_NAME}), '^(README|CHANGELOG|CHANGES|HISTORY|RELEASES)') THEN 0 WHEN {_has(_PARTS, C.DOC_FOLDERS)} THEN 1 ELSE 2 END AS doc_priority,
 CASE WHEN len(string_split(path, '/')) > 2 THEN array_to_string(string_split(path, '/')[1:2], '/') ELSE '(root)' END AS area2
-FROM {X.PATHS.sql()}""")
+FROM {X.ANY_PATHS.sql()}""")
 def path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What paths are."""
     p = F.col("path")
-    return X.PATHS.df(spark).select("path", C.is_test_path(p).alias("is_test"), C.is_skipped(p).alias("skipped"), C.is_vendored(p).alias("vendored"), C.removed_kind(p).alias("removed_kind"), C.doc_priority(p).alias("doc_priority"), C.area(p, 2).alias("area2"))
+    return X.ANY_PATHS.df(spark, sf_dir).select("path", C.is_test_path(p).alias("is_test"), C.is_skipped(p).alias("skipped"), C.is_vendored(p).alias("vendored"), C.removed_kind(p).alias("removed_kind"), C.doc_priority(p).alias("doc_priority"), C.area(p, 2).alias("area2"))
 
 
 _CODE = f"(list_contains({string_list(C.CODE_SUFFIXES)}, {_SUFFIX}) OR list_contains({string_list(C.MANIFESTS)}, {_NAME}) OR starts_with({_NAME}, '.env'))"
@@ -95,11 +95,11 @@ _DOC = f"list_contains({string_list(C.SCAN_DOC_SUFFIXES)}, {_SUFFIX})"
 (list_contains({string_list(C.TELEMETRY_SUFFIXES)}, {_SUFFIX}) OR lower({_NAME}) IN ('package.json', 'podfile', 'gemfile', 'cargo.toml', 'go.mod')) AND NOT regexp_matches(lower({_NAME}), '(\\.min\\.js|\\.map)$') AND lower({_NAME}) NOT IN ('package-lock.json', 'pnpm-lock.yaml', 'yarn.lock') AND NOT {_TEST} AS telemetry_scan,
 NOT {_has(_PARTS, [n for n in S.SKIP_DIRS if n not in ("build", "release", "releases")])} AND NOT list_contains({string_list(C.SECURITY_LOCKFILES)}, {_NAME}) AND (list_contains({string_list(C.SECURITY_SUFFIXES)}, {_SUFFIX}) OR {_NAME} IN ('AndroidManifest.xml', 'Info.plist')) AND NOT {_TEST} AND NOT regexp_matches(path, '(?i)(^|/)(examples?|samples?|demos?)(/|$)') AS security_scan,
 regexp_matches(path, '(?i)(^|/)([^/]*\\.(pem|key|p12|pfx|keystore|jks)|id_(rsa|ecdsa|ed25519)[^/]*|[^/]*service[-_]?account[^/]*\\.json)$') OR (regexp_matches({_NAME}, '(?i)^\\.env') AND NOT regexp_matches({_NAME}, '(?i)^\\.env(\\.example|\\.sample|\\.template)$')) AS forbidden
-FROM {X.PATHS.sql()}""")
+FROM {X.ANY_PATHS.sql()}""")
 def scan_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which files each scan reads, and files that must not be there."""
     p = F.col("path")
-    return X.PATHS.df(spark).select("path", C.code_eligible(p).alias("code_scan"), C.telemetry_eligible(p).alias("telemetry_scan"), C.security_eligible(p).alias("security_scan"), p.rlike(C.FORBIDDEN_FILE).alias("forbidden"))
+    return X.ANY_PATHS.df(spark, sf_dir).select("path", C.code_eligible(p).alias("code_scan"), C.telemetry_eligible(p).alias("telemetry_scan"), C.security_eligible(p).alias("security_scan"), p.rlike(C.FORBIDDEN_FILE).alias("forbidden"))
 
 
 def _family_sql(text: str) -> str:
@@ -131,7 +131,8 @@ LICENSE_TEXTS = X.Fixture(
         ("bsd/LICENSE", "Redistribution and use in source and binary forms; Neither the name of X"),
     ],
 )
-_LIC = f"(SELECT path, text, {_NAME} AS name, {_family_sql('text')} AS family FROM {LICENSE_TEXTS.sql()} WHERE regexp_matches({_NAME}, {quote(C.LICENSE_NAME)}) AND NOT list_contains({string_list(S.NOT_LICENSE_SUFFIXES)}, {_SUFFIX}))"
+LICENSE_DOCUMENTS = X.Beside(LICENSE_TEXTS, "path")
+_LIC = f"(SELECT path, text, {_NAME} AS name, {_family_sql('text')} AS family FROM {LICENSE_DOCUMENTS.sql()} WHERE regexp_matches({_NAME}, {quote(C.LICENSE_NAME)}) AND NOT list_contains({string_list(S.NOT_LICENSE_SUFFIXES)}, {_SUFFIX}))"
 _TYPE = "CASE WHEN starts_with(lower(name), 'licensing') THEN 'licensing note' WHEN starts_with(lower(name), 'notice') THEN 'notice' WHEN starts_with(lower(name), 'patents') THEN 'patents' ELSE 'license' END"
 _COPYRIGHT = "substr(regexp_replace(trim(list_filter(regexp_split_to_array(text, '\\r\\n|\\n|\\r')[1:60], lambda x: regexp_matches(x, '(?i)copyright\\s*(\\(c\\)|©|\\d{4})'))[1]), '<[^>]*@[^>]*>', '<email>', 'g'), 1, 160)"
 _GPL = "CASE WHEN family = 'GPL' THEN CASE WHEN contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), 'version 3') THEN '3' WHEN contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), 'version 2') THEN '2' END END"
@@ -141,7 +142,7 @@ _KIND = "CASE family " + " ".join(f"WHEN {quote(f)} THEN {quote(k)}" for f, k, _
 @query(f"SELECT path, {_TYPE} AS file_type, family, {_KIND} AS kind, {_GPL} AS version, {_COPYRIGHT} AS copyright FROM {_LIC}")
 def license_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License files with type, family, version and copyright line."""
-    rows = L.families(LICENSE_TEXTS.df(spark).where(C.is_license_file(F.col("path"))))
+    rows = L.families(LICENSE_DOCUMENTS.df(spark, sf_dir).where(C.is_license_file(F.col("path"))))
     return rows.select("path", C.license_file_type(C.file_name(F.col("path"))).alias("file_type"), "family", "kind", C.gpl_version(F.col("text")).alias("version"), C.copyright_line(F.col("text")).alias("copyright"))
 
 
@@ -149,14 +150,15 @@ def license_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT array_to_string(list_sort(list_intersect(f, {string_list(S.COPYLEFT)})), ',') AS copyleft, array_to_string(list_sort(list_intersect(f, {string_list(S.SOURCE_AVAILABLE)})), ',') AS source_available, len(f) > 1 AS more_than_one_family, NOT root AS missing_root_license FROM f""")
 def license_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags over license files."""
-    return L.flags(L.families(LICENSE_TEXTS.df(spark).where(C.is_license_file(F.col("path")))))
+    return L.flags(L.families(LICENSE_DOCUMENTS.df(spark, sf_dir).where(C.is_license_file(F.col("path")))))
 
 
 _SPDX = X.Fixture("path string, text string", [("src/a.c", "/* SPDX-License-Identifier: MIT */\nint x;"), ("src/b.py", "# SPDX-License-Identifier: Apache-2.0 OR MIT\n"), ("lib/c.js", "// SPDX-License-Identifier: MIT"), ("top.sh", "#!/bin/sh\n# none"), ("x.html", "<!-- SPDX-License-Identifier: GPL-3.0-only -->")])
+_SPDX_FILES = X.Beside(_SPDX, "path")
 
 
-@query(f"""WITH s AS (SELECT trim(regexp_extract(substr(text, 1, 4000), '(?m)SPDX-License-Identifier:[ \\t]*([A-Za-z0-9.+\\-() ]+?)[ \\t]*(?:\\*/|-->|#|$)', 1)) AS identifier, CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '(root)' END AS area FROM {_SPDX.sql()})
+@query(f"""WITH s AS (SELECT trim(regexp_extract(substr(text, 1, 4000), '(?m)SPDX-License-Identifier:[ \\t]*([A-Za-z0-9.+\\-() ]+?)[ \\t]*(?:\\*/|-->|#|$)', 1)) AS identifier, CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '(root)' END AS area FROM {_SPDX_FILES.sql()})
 SELECT 'all' AS scope, '' AS name, identifier, count(*)::BIGINT AS files FROM s WHERE identifier <> '' GROUP BY identifier UNION ALL SELECT 'area', area, identifier, count(*) FROM s WHERE identifier <> '' GROUP BY area, identifier""")
 def spdx_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers in headers, by identifier and by top folder."""
-    return L.spdx_headers(_SPDX.df(spark))
+    return L.spdx_headers(_SPDX_FILES.df(spark, sf_dir))

@@ -50,6 +50,29 @@ class Derived:
         return "(" + self.select.format(**{self.table: self.table}) + ")"
 
 
+class Beside:
+    """All documents as files, each with one row of a fixture by its number: its path below the document's own folder, its text before the document's.
+
+    Ids count from 0. Fixtures without a text keep the document's.
+    """
+
+    def __init__(self, fixture: Fixture, path: str = "file", text: str = "text"):
+        at = {n: i for i, (n, _) in enumerate(fixture.columns)}
+        self.path, self.paths, self.texts = path, [r[at[path]] for r in fixture.rows], [r[at[text]] if text in at else "" for r in fixture.rows]
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.pmod("doc_id", F.lit(len(values))).cast("int"))
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        return docs.select(F.concat("source", F.lit("/d"), "doc_id", F.lit("/"), of(self.paths)).alias(self.path), F.concat(of(self.texts), F.lit("\n"), "text").alias("text"))
+
+    def sql(self) -> str:
+        of = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"][1 + doc_id % {len(values)}]"
+        return f"(SELECT source || '/d' || doc_id || '/' || {of(self.paths)} AS {self.path}, {of(self.texts)} || chr(10) || text AS text FROM documents)"
+
+    def lines_sql(self) -> str:
+        return f"(SELECT {self.path}, unnest(t) AS text, generate_subscripts(t, 1)::BIGINT AS line FROM (SELECT {self.path}, string_split(text, chr(10)) AS t FROM {self.sql()}))"
+
+
 _S = "CAST({} AS STRING)".format
 _CUST, _ORDER = _S("o_custkey"), _S("o_orderkey")
 #: Orders as a log of commits: customers are authors under two names and three addresses.
@@ -244,3 +267,7 @@ SIGNAL_LINES = Fixture(
 )
 MARKDOWN = Fixture("doc string, text string", [("m", "# T\nintro\n## A\n" + "a" * 30 + "\n## B\n<table>\n## no cut\n</table>\n### C\n" + "c" * 25 + "\n```\n## no\n```\n## D\nend\n"), ("n", "short"), ("o", "## X\n" + "x" * 100)])
 PAGE_PAIR = Fixture("pair string, side string, line long, text string", [("p", s, i, t) for s, ts in (("old", ["Welcome to the shop", "The plan costs 10 dollars a month", "SUPPORT by phone", "ok", "This sentence goes away entirely", "Welcome to the shop"]), ("new", ["Welcome  to the shop", "The plan costs 12 dollars a month", "support by phone", "A completely fresh line of text"])) for i, t in enumerate(ts, 1)])
+
+#: Documents as source files with one line of code, and as files of all kinds of paths.
+CODE = Beside(SIGNAL_LINES)
+ANY_PATHS = Beside(PATHS, "path", "head")

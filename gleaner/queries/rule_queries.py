@@ -9,6 +9,7 @@ from gleaner.functions import classify as C
 from gleaner.functions import text as T
 from gleaner.operators.match import signals, summary
 from gleaner.operators.pages import page_text
+from gleaner.operators.running import running
 from gleaner.plans import signatures as S
 from gleaner.plans.rules import SUPERLATIVE_LINE, Rule, rules
 from gleaner.queries import fixtures as X
@@ -104,23 +105,23 @@ def superlative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals(table(spark, sf_dir, "documents"), rules("superlative"), F.col("text"), ["doc_id"], gated=False).select("doc_id", "line")
 
 
-@query(_summary_sql("(SELECT file AS unit, text FROM " + X.SIGNAL_LINES.sql() + ")", [r for r in _ALL if not r.path_pattern]))
+@query(_summary_sql("(SELECT file AS unit, text FROM " + X.CODE.sql() + ")", [r for r in _ALL if not r.path_pattern]))
 def signal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A22, A24-A26 on lines of code."""
     table_ = [r for r in _ALL if not r.path_pattern]
-    return summary(signals(X.SIGNAL_LINES.df(spark).withColumnRenamed("file", "unit"), table_, F.col("text"), ["unit"]), table_, "unit")
+    return summary(signals(X.CODE.df(spark, sf_dir).withColumnRenamed("file", "unit"), table_, F.col("text"), ["unit"]), table_, "unit")
 
 
 _TEL = rules("telemetry")
 
 
-@query(f"""WITH l AS (SELECT *, lower(text) AS low FROM {X.SIGNAL_LINES.sql()}),
+@query(f"""WITH l AS (SELECT *, lower(text) AS low FROM {X.CODE.lines_sql()}),
 h AS ({' UNION ALL '.join(f"SELECT file, line, {quote(r.label)} AS name, {quote(r.strength)} AS s, low FROM l WHERE ({' OR '.join(f'contains(low, {quote(k)})' for k in r.keywords)}) AND regexp_matches(text, {quote(r.pattern)})" for r in _TEL)}),
 u AS (SELECT name, file, line, max(CASE WHEN s = 'usage' OR contains(low, '://') OR contains(low, '<script') OR contains(low, 'src=') THEN 1 ELSE 0 END) AS used FROM h GROUP BY ALL)
 SELECT name, count(DISTINCT file)::BIGINT AS files, CASE WHEN max(used) = 1 THEN 'usage' ELSE 'mention only' END AS strength, count(*)::BIGINT AS hits FROM u GROUP BY name""")
 def telemetry_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products with files and strength; a bare domain is a mention unless the line loads it."""
-    found = signals(X.SIGNAL_LINES.df(spark).withColumnRenamed("line", "n"), _TEL, F.col("text"), ["file", "n"])
+    found = signals(X.CODE.df(spark, sf_dir), _TEL, F.col("text"), ["file"]).withColumnRenamed("line", "n")
     names = F.create_map(*[F.lit(x) for r in _TEL for x in (r.rule_id, r.label)])
     low = F.lower("text")
     used = (F.col("strength") == "usage") | low.contains("://") | low.contains("<script") | low.contains("src=")
@@ -128,16 +129,16 @@ def telemetry_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("name").agg(F.countDistinct("file").alias("files"), F.when(F.bool_or("used"), "usage").otherwise("mention only").alias("strength"), F.count("*").alias("hits"))
 
 
-@query(f"""WITH l AS (SELECT *, lower(text) AS low FROM {X.SIGNAL_LINES.sql()}) SELECT file, line, text FROM l
+@query(f"""WITH l AS (SELECT *, lower(text) AS low FROM {X.CODE.lines_sql()}) SELECT file, line, text FROM l
 WHERE ({' OR '.join(f'contains(low, {quote(k.lower())})' for k in S.CONTROL_KEYWORDS)}) AND ({' OR '.join(f"regexp_matches(text, {quote('(?i)' + p)})" for p in S.CONTROLS)}) AND NOT regexp_matches(text, {quote(S.IGNORE_CONTROLS[0])}) ORDER BY file, line LIMIT 6""")
 def control_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consent and telemetry switches, the first 6 x max_hits (1 here) in the order of files and lines. A top-k report."""
-    found = signals(X.SIGNAL_LINES.df(spark).withColumnRenamed("line", "n"), rules("control"), F.col("text"), ["file", "n"]).where(~F.col("text").rlike(S.IGNORE_CONTROLS[0]))
+    found = signals(X.CODE.df(spark, sf_dir), rules("control"), F.col("text"), ["file"]).withColumnRenamed("line", "n").where(~F.col("text").rlike(S.IGNORE_CONTROLS[0]))
     return found.select("file", F.col("n").alias("line"), "text").distinct().orderBy("file", "line").limit(6)
 
 
 def _hardening_sql() -> str:
-    parts = [f"SELECT {quote(r.area)} AS area, {quote(r.label)} AS signal, file, line FROM {X.SIGNAL_LINES.sql()} WHERE regexp_matches(text, {quote(r.pattern)})" + (f" AND regexp_matches(file, {quote(r.path_pattern)})" if r.path_pattern else "") for r in rules("hardening")]
+    parts = [f"SELECT {quote(r.area)} AS area, {quote(r.label)} AS signal, file, line FROM {X.CODE.lines_sql()} WHERE regexp_matches(text, {quote(r.pattern)})" + (f" AND regexp_matches(file, {quote(r.path_pattern)})" if r.path_pattern else "") for r in rules("hardening")]
     return f"SELECT area, signal, file, line FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY file, line, signal) AS n FROM ({' UNION ALL '.join(parts)})) WHERE n <= 200"
 
 
@@ -145,7 +146,7 @@ def _hardening_sql() -> str:
 def hardening_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hardening signals, at most 200 per area; one rule counts in builder configuration only."""
     table_ = rules("hardening")
-    found = signals(X.SIGNAL_LINES.df(spark).withColumnRenamed("line", "n"), table_, F.col("text"), ["file", "n"], path=F.col("file"))
+    found = signals(X.CODE.df(spark, sf_dir), table_, F.col("text"), ["file"], path=F.col("file")).withColumnRenamed("line", "n")
     area, label = (F.create_map(*[F.lit(x) for r in table_ for x in (r.rule_id, getattr(r, k))]) for k in ("area", "label"))
     rows = found.select(area[F.col("rule_id")].alias("area"), label[F.col("rule_id")].alias("signal"), "file", F.col("n").alias("line"))
     w = Window.partitionBy("area").orderBy("file", "line", "signal")
@@ -161,7 +162,7 @@ def _ranked_sql() -> str:
     for g in groups:
         own = [r for r in _GATES if r.group == g]
         cases = lambda f: "CASE " + " ".join(f"WHEN regexp_matches(text, {quote(r.pattern)}) THEN {quote(f(r))}" for r in own) + " END"  # noqa: E731, B023
-        parts.append(f"SELECT {quote(g)} AS rule_group, file, line, {cases(lambda r: r.rule_id)} AS rule_id, {cases(lambda r: r.strength)} AS strength FROM {X.SIGNAL_LINES.sql()}")
+        parts.append(f"SELECT {quote(g)} AS rule_group, file, line, {cases(lambda r: r.rule_id)} AS rule_id, {cases(lambda r: r.strength)} AS strength FROM {X.CODE.lines_sql()}")
     ci = "regexp_matches(file, '(^|/)\\.github/|\\.(ya?ml|sh)$')"
     return f"SELECT rule_group, file, line, rule_id, strength, row_number() OVER (PARTITION BY rule_group ORDER BY strength <> 'strong', {ci}, file, line)::INT AS place FROM ({' UNION ALL '.join(parts)}) WHERE rule_id IS NOT NULL"
 
@@ -169,21 +170,23 @@ def _ranked_sql() -> str:
 @query(_ranked_sql())
 def ranked_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rule of each group on a line; strong before weak, workflow and shell files last."""
-    found = signals(X.SIGNAL_LINES.df(spark).withColumnRenamed("line", "n"), _GATES, F.col("text"), ["file", "n"], first_of_group=True)
+    found = signals(X.CODE.df(spark, sf_dir), _GATES, F.col("text"), ["file"], first_of_group=True).withColumnRenamed("line", "n")
     rows = found.select(F.substring_index("rule_id", ".", 1).alias("rule_group"), "file", F.col("n").alias("line"), "rule_id", "strength")
     ci = F.col("file").rlike(r"(^|/)\.github/|\.(ya?ml|sh)$")
-    w = Window.partitionBy("rule_group").orderBy(F.col("strength") != "strong", ci, "file", "line")
-    return rows.withColumn("place", F.row_number().over(w))
+    order = [F.col("strength") != "strong", ci, "file", "line"]
+    return running(rows, ["rule_group"], order, sums={"place": F.lit(1)}, name="gates").withColumn("place", F.col("place").cast("int"))
 
 
 _SEAM = "\\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*_(?:URL|URI|TOKEN|KEY|ENDPOINT|HOST|BASE_URL)\\b"
 _SEAM_LINES = X.Fixture("file string, line long, text string", [("a.ts", 1, "const a = env.CLOUD_API_URL || RELAY_TOKEN"), ("a.ts", 2, "CLOUDY_URL and MY_MANAGED_BASE_URL"), ("b.ts", 1, "CLOUD_API_URL"), ("b.ts", 2, "PROXY_SERVICE_HOST, X_CONTROL_PLANE_KEY")])
+_SEAMS = X.Beside(_SEAM_LINES)
 
 
-@query(f"""WITH m AS (SELECT file, line, unnest(regexp_extract_all(text, '{_SEAM}')) AS name FROM {_SEAM_LINES.sql()})
+@query(f"""WITH m AS (SELECT file, line, unnest(regexp_extract_all(text, '{_SEAM}')) AS name FROM {_SEAMS.lines_sql()})
 SELECT name, count(DISTINCT file)::BIGINT AS files, min(file || ':' || line) AS first FROM m WHERE list_bool_or(list_transform(['{"', '".join(S.SEAM_WORDS)}'], lambda w: contains('_' || name || '_', '_' || w || '_'))) GROUP BY name""")
 def hosted_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings that name a hosted service, with files and first place."""
-    rows = _SEAM_LINES.df(spark).select("file", "line", F.explode(F.regexp_extract_all("text", F.lit(_SEAM), 0)).alias("name"))
+    lines = _SEAMS.df(spark, sf_dir).select("file", F.posexplode(T.lines(F.col("text"))).alias("pos", "text")).withColumn("line", F.col("pos") + 1)
+    rows = lines.select("file", "line", F.explode(F.regexp_extract_all("text", F.lit(_SEAM), 0)).alias("name"))
     held = F.exists(F.array(*[F.lit(w) for w in S.SEAM_WORDS]), lambda w: F.concat(F.lit("_"), F.col("name"), F.lit("_")).contains(F.concat(F.lit("_"), w, F.lit("_"))))
     return rows.where(held).groupBy("name").agg(F.countDistinct("file").alias("files"), F.min(F.concat_ws(":", "file", "line")).alias("first"))
