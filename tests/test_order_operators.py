@@ -129,3 +129,45 @@ def test_join_counted_splits_the_heaviest(spark):
     table = rows.groupBy("key").agg(F.count("*").alias("m"))
     out = join_counted(rows, table, "key", limit=2, most=5)
     assert out.count() == 3000 and "600" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def plain_reworded(rows, similarity, min_chars):
+    import difflib
+
+    out = []
+    norm = lambda t: " ".join(t.split()).lower()
+    for pair in {r[0] for r in rows}:
+        side = lambda s: [(n, t.strip(), norm(t)) for p, x, n, t in sorted(rows, key=lambda r: (r[2], r[3] or "")) if p == pair and x == s and t and norm(t)]  # noqa: B023, E731
+        old, new = side("old"), side("new")
+        texts = {k: t for _, t, k in new}
+        free = {k for k in texts if len(k) >= min_chars} - {k for _, _, k in old}
+        done = set(texts)
+        for n, t, k in old:
+            if k in done or len(k) < min_chars:
+                continue
+            done.add(k)
+            near = difflib.get_close_matches(k, free, n=1, cutoff=similarity)
+            if near:
+                free.remove(near[0])
+            out.append((pair, n, "reworded" if near else "removed", t, texts[near[0]] if near else None, round(difflib.SequenceMatcher(None, k, near[0]).ratio(), 2) if near else None))
+    return sorted(out, key=str)
+
+
+def test_reworded_equals_plain(spark):
+    from gleaner.operators.removals import reworded
+
+    rng = random.Random(8)
+    words = ["plan", "costs", "the", "dollars", "a", "month", "Support", "phone", "yes", "no", "Été"]
+    rows = []
+    for pair in ("p", "q", "r"):
+        base = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(14)]
+        for i, t in enumerate(base):
+            rows.append((pair, "old", i, t))
+            for j in range(rng.choice([0, 1, 1, 2])):
+                w = t.split()
+                w[rng.randrange(len(w))] = rng.choice(words)
+                rows.append((pair, "new", i * 3 + j, "  ".join(w)))
+    rows += [("p", "old", 50, "aaaaaaaaaaaa bbbb"), ("p", "new", 50, "aaaaaaaaaaab bbbb"), ("p", "new", 51, "aaaaaaaaaaac bbbb"), ("p", "old", 51, "aaaaaaaaaaad bbbb"), ("p", "old", 52, None), ("p", "new", 53, "   "), ("s", "old", 1, "only on the old side"), ("t", "new", 1, "only on the new side")]
+    got = reworded(spark.createDataFrame(rows, "pair string, side string, line int, text string").repartition(3))
+    assert sorted(map(tuple, got.collect()), key=str) == plain_reworded(rows, 0.75, 12)
+    assert reworded(spark.createDataFrame([], "pair string, side string, line int, text string")).count() == 0
