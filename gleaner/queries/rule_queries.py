@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import classify as C
 from gleaner.functions import text as T
+from gleaner.operators.early import first_in_order
 from gleaner.operators.match import signals, summary
 from gleaner.operators.pages import page_text
 from gleaner.operators.running import running
@@ -133,8 +134,12 @@ def telemetry_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE ({' OR '.join(f'contains(low, {quote(k.lower())})' for k in S.CONTROL_KEYWORDS)}) AND ({' OR '.join(f"regexp_matches(text, {quote('(?i)' + p)})" for p in S.CONTROLS)}) AND NOT regexp_matches(text, {quote(S.IGNORE_CONTROLS[0])}) ORDER BY file, line LIMIT 6""")
 def control_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consent and telemetry switches, the first 6 x max_hits (1 here) in the order of files and lines. A top-k report."""
-    found = signals(X.CODE.df(spark, sf_dir), rules("control"), F.col("text"), ["file"]).withColumnRenamed("line", "n").where(~F.col("text").rlike(S.IGNORE_CONTROLS[0]))
-    return found.select("file", F.col("n").alias("line"), "text").distinct().orderBy("file", "line").limit(6)
+
+    def find(files: DataFrame) -> DataFrame:
+        found = signals(files, rules("control"), F.col("text"), ["file"]).where(~F.col("text").rlike(S.IGNORE_CONTROLS[0]))
+        return found.select("file", "line", "text").distinct()
+
+    return first_in_order(X.CODE.df(spark, sf_dir), ["file"], find, 6, ["file", "line"])
 
 
 def _hardening_sql() -> str:

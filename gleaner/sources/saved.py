@@ -86,3 +86,17 @@ def phrases(spark: SparkSession, path: str) -> DataFrame:
 def write_json(df: DataFrame, path: str) -> None:
     """Rows as JSON lines."""
     df.write.json(path)
+
+
+def save_by_key(rows: DataFrame, key: str, path: str) -> None:
+    """Write rows below path, one folder a key; keys that rows hold are replaced, others stay. Doing it again changes nothing.
+
+    Rows of one key are written by as many tasks as they lie in, so that no key is gathered. A null key has a folder too.
+    """
+    rows.withColumn("_key", F.col(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_key").parquet(path)
+
+
+def replay(spark: SparkSession, path: str, keys: list) -> DataFrame:
+    """The saved rows of some keys; only their folders are listed and read."""
+    saved = spark.read.parquet(path)
+    return saved.where(F.col("_key").isin(*keys)).drop("_key")
