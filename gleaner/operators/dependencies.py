@@ -176,6 +176,6 @@ def stable_since(dates: DataFrame, shipped: str, latest: str) -> DataFrame:
     ends = dates.agg(F.min(F.when(F.col("version") == shipped, F.col("published"))).alias("a"), F.min(F.when(F.col("version") == latest, F.col("published"))).alias("b"))
     rows = dates.join(F.broadcast(ends))
     stable = ~F.col("version").rlike("[-+][A-Za-z]") & (F.col("published") > F.col("a")) & (F.col("published") <= F.col("b"))
-    return rows.agg(F.floor((F.unix_micros(F.max("b")) - F.unix_micros(F.max("a"))) / F.lit(86_400_000_000)).cast("long").alias("days_between"), F.count_if(stable).alias("stable_releases_since"))
+    return rows.agg(F.floor((F.unix_micros(F.max("b").cast("timestamp")) - F.unix_micros(F.max("a").cast("timestamp"))) / F.lit(86_400_000_000)).cast("long").alias("days_between"), F.count_if(stable).alias("stable_releases_since"))
 
 

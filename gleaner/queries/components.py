@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.numbers import behind, is_exact, python_name
 from gleaner.operators import dependencies as D
+from gleaner.operators.running import running
 from gleaner.queries import fixtures as X
 from gleaner.queries.base import query, table
 
@@ -18,26 +19,27 @@ def _triple(c: str) -> str:
     return f"CASE WHEN regexp_matches({c}, '\\d') THEN [{part(1)}, {part(2)}, {part(3)}] END"
 
 
-@query(f"""WITH v AS (SELECT resolved, latest, {_triple('resolved')} AS h, {_triple('latest')} AS w FROM {X.VERSIONS.sql()})
+@query(f"""WITH v AS (SELECT resolved, latest, {_triple('resolved')} AS h, {_triple('latest')} AS w FROM {X.PART_VERSIONS.sql()})
 SELECT resolved, latest, CASE WHEN h IS NULL OR w IS NULL THEN 'unknown' WHEN h > w THEN 'ahead' WHEN h[1] < w[1] THEN 'major' WHEN h[2] < w[2] THEN 'minor' WHEN h[3] < w[3] THEN 'patch' ELSE 'current' END AS gap,
 regexp_matches(latest, '^[\\w.\\-]+$') AND NOT ends_with(latest, '+') AND NOT contains(lower(latest), 'latest') AS exact FROM v""")
 def version_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far versions are behind."""
-    return X.VERSIONS.df(spark).select("resolved", "latest", behind(F.col("resolved"), F.col("latest")).alias("gap"), is_exact(F.col("latest")).alias("exact"))
+    return X.PART_VERSIONS.df(spark, sf_dir).select("resolved", "latest", behind(F.col("resolved"), F.col("latest")).alias("gap"), is_exact(F.col("latest")).alias("exact"))
 
 
-_PARSED = """(VALUES
-('svc/go.mod', 'go', 'github.com/a/b', 'v1.2.3', 'prod', 'v1.2.3'), ('svc/go.mod', 'go', 'github.com/c/d', 'v0.1.0', 'indirect', 'v0.1.0'), ('svc/go.mod', 'go', 'github.com/e/f', 'v2.0.0+incompatible', 'prod', 'v2.0.0+incompatible'),
-('api/requirements.txt', 'pypi', 'flask', '==2.0', 'prod', NULL), ('api/requirements.txt', 'pypi', 'requests', '>=2', 'prod', NULL), ('api/requirements.txt', 'pypi', 'Django', '*', 'prod', NULL), ('api/requirements-dev.txt', 'pypi', 'pytest', '*', 'dev', NULL),
-('crate/Cargo.toml', 'crates', 'serde', '1.0', 'prod', NULL), ('crate/Cargo.toml', 'crates', 'tokio', '1.2', 'prod', NULL), ('crate/Cargo.toml', 'crates', 'local', 'path', 'prod', NULL), ('crate/Cargo.toml', 'crates', 'ws', 'workspace', 'prod', NULL), ('crate/Cargo.toml', 'crates', 'criterion', '0.5', 'dev', NULL),
-('ios/Podfile.lock', 'cocoapods', 'Alamofire', '5.6.1', 'prod', '5.6.1'), ('ios/Podfile.lock', 'cocoapods', 'Moya', '15.0.0', 'prod', '15.0.0'),
-('web/package.json', 'npm', '@scope/a', '^1.0.0', 'prod', NULL), ('web/package.json', 'npm', 'left-pad', '^1.3.0', 'prod', NULL), ('web/package.json', 'npm', 'jest', '29', 'dev', NULL), ('package.json', 'npm', 'react', '>=18', 'peer', NULL), ('package.json', 'npm', 'fs', '1', 'optional', NULL)
-) t(manifest, ecosystem, name, declared, kind, resolved)"""
+_V2 = "p_size || '.' || p_partkey % 10"
+_AT = "CAST(floor(p_partkey / 4) AS BIGINT) % 25"
+_PARSED = f"""(SELECT 'svc' || {_AT} || '/go.mod' AS manifest, 'go' AS ecosystem, 'github.com/b' || p_size || '/p' || p_partkey AS name, 'v' || {_V2} || '.0' AS declared, CASE WHEN p_partkey % 3 = 0 THEN 'indirect' ELSE 'prod' END AS kind, 'v' || {_V2} || '.0' AS resolved FROM part WHERE p_partkey % 4 = 0
+UNION ALL SELECT 'api' || {_AT} || CASE WHEN p_size % 5 = 0 THEN '/requirements-dev.txt' ELSE '/requirements.txt' END, 'pypi', 'Pkg_' || p_partkey, CASE p_partkey % 3 WHEN 0 THEN '*' WHEN 1 THEN '==' || {_V2} ELSE '>=' || {_V2} END, CASE WHEN p_size % 5 = 0 THEN 'dev' ELSE 'prod' END, NULL FROM part WHERE p_partkey % 4 = 1
+UNION ALL SELECT 'crate' || {_AT} || '/Cargo.toml', 'crates', 'crate-' || p_partkey, {_V2}, 'prod', NULL FROM part WHERE p_partkey % 4 = 2
+UNION ALL SELECT 'ios' || {_AT} || '/Podfile.lock', 'cocoapods', 'Pod' || p_partkey, {_V2}, 'prod', {_V2} FROM part WHERE p_partkey % 4 = 3
+UNION ALL SELECT 'web' || p_partkey || '/package.json', 'npm', 'n' || p_partkey % 30, '^' || {_V2}, 'prod', NULL FROM part WHERE p_partkey % 8 = 3
+UNION ALL SELECT 'web' || p_partkey || '/package.json', 'npm', 'jest' || p_size, '29', 'dev', NULL FROM part WHERE p_partkey % 8 = 3) t"""
 
 
-def _declared(spark: SparkSession) -> DataFrame:
-    lines = X.MANIFEST_LINES.df(spark)
-    parts = [D.go_rows(lines), D.requirement_rows(lines), D.cargo_rows(lines), D.pod_rows(lines), D.package_json_rows(X.PACKAGE_JSON.df(spark))]
+def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = X.PART_MANIFESTS.df(spark, sf_dir)
+    parts = [D.go_rows(lines), D.requirement_rows(lines), D.cargo_rows(lines), D.pod_rows(lines), D.package_json_rows(X.PART_PACKAGES.df(spark, sf_dir))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -46,41 +48,44 @@ def _declared(spark: SparkSession) -> DataFrame:
 
 @query(f"SELECT * FROM {_PARSED}")
 def declared_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of five kinds of manifests; the SQL states the rows they must give."""
-    return _declared(spark)
+    """Rows of five kinds of manifests, written from parts and read again; the SQL takes them from the parts."""
+    return _declared(spark, sf_dir)
 
 
-@query(f"SELECT manifest, name FROM {_PARSED} WHERE kind NOT IN ('dev', 'indirect') AND regexp_matches(name, '^[a-f].*$')")
+@query(f"SELECT manifest, name FROM {_PARSED} WHERE kind NOT IN ('dev', 'indirect') AND regexp_matches(name, '^[a-n].*$')")
 def chosen_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Production components whose names match the shell pattern [a-f]*."""
-    return _declared(spark).where(~F.col("kind").isin("dev", "indirect") & F.col("name").rlike("^[a-f].*$")).select("manifest", "name")
+    """Production components whose names match the shell pattern [a-n]*."""
+    return _declared(spark, sf_dir).where(~F.col("kind").isin("dev", "indirect") & F.col("name").rlike("^[a-n].*$")).select("manifest", "name")
 
 
-@query("SELECT * FROM (VALUES ('crate/Cargo.lock', 'serde', '1.0.188'), ('crate/Cargo.lock', 'serde', '0.9.0'), ('crate/Cargo.lock', 'criterion', '0.5.1'), ('poetry.lock', 'flask', '2.0.3')) t(lockfile, name, version)")
+_LOCKED = f"""(SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'crate' || {_AT} || '/Cargo.lock' ELSE 'py' || {_AT} || '/poetry.lock' END AS lockfile, 'Pack_' || (CAST(floor(p_partkey / 2) AS BIGINT) % 300) AS name, {_V2} || '.0' AS version FROM part)"""
+
+
+@query(f"SELECT lockfile, name, version FROM {_LOCKED}")
 def locked_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[[package]] blocks."""
-    return D.lock_packages(X.LOCK_LINES.df(spark)).select("lockfile", "name", "version")
+    return D.lock_packages(X.PART_LOCKS.df(spark, sf_dir)).select("lockfile", "name", "version")
 
 
-@query("SELECT * FROM (VALUES ('serde', '0.9.0, 1.0.188'), ('criterion', '0.5.1')) t(name, resolved)")
+@query(f"SELECT name, string_agg(version, ', ' ORDER BY version) AS resolved FROM (SELECT DISTINCT name, version FROM {_LOCKED} WHERE ends_with(lockfile, 'Cargo.lock')) GROUP BY name")
 def crate_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All locked versions of a crate."""
-    return D.crate_versions(D.lock_packages(X.LOCK_LINES.df(spark)).where("lockfile LIKE '%Cargo.lock'"))
+    return D.crate_versions(D.lock_packages(X.PART_LOCKS.df(spark, sf_dir)).where("lockfile LIKE '%Cargo.lock'"))
 
 
-_NAMES = X.Fixture("name string", [("Foo_Bar",), ("a.b--c",), ("plain",)])
+_NAMES = X.PART_NAMES
 
 
 @query(f"SELECT name, lower(regexp_replace(name, '[-_.]+', '-', 'g')) AS key FROM {_NAMES.sql()}")
 def python_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """normal form of package names."""
-    return _NAMES.df(spark).select("name", python_name(F.col("name")).alias("key"))
+    return _NAMES.df(spark, sf_dir).select("name", python_name(F.col("name")).alias("key"))
 
 
-@query("SELECT 'flask' AS name, '2.0.3' AS resolved")
+@query(f"SELECT lower(replace(name, '_', '-')) AS name, first(version ORDER BY lockfile, p_partkey) AS resolved FROM {_LOCKED} WHERE ends_with(lockfile, 'poetry.lock') GROUP BY 1")
 def python_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first locked version of a normal name."""
-    return D.python_versions(D.lock_packages(X.LOCK_LINES.df(spark)).where("lockfile LIKE '%poetry.lock'"))
+    return D.python_versions(D.lock_packages(X.PART_LOCKS.df(spark, sf_dir)).where("lockfile LIKE '%poetry.lock'"))
 
 
 @query("SELECT * FROM (VALUES ('@scope/a', '^1.0.0', '1.1.4'), ('@scope/a', '^1.1.0', '1.1.4'), ('left-pad', '^1.3.0', '1.3.0')) t(name, declared, version)")
@@ -103,13 +108,13 @@ def npm_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.npm_resolution(needs, D.package_lock_rows(X.PACKAGE_LOCK.df(spark)), D.yarn_specs(X.YARN_LINES.df(spark)))
 
 
-@query(f"""SELECT n.folder, n.ecosystem, (SELECT arg_max(l.lock_folder, length(l.lock_folder)) FROM {X.LOCK_FOLDERS.sql()} l WHERE l.ecosystem = n.ecosystem AND (l.lock_folder = '' OR n.folder = l.lock_folder OR starts_with(n.folder, l.lock_folder || '/'))) AS lock_folder FROM {X.NEED_FOLDERS.sql()} n""")
+@query(f"""SELECT n.folder, n.ecosystem, (SELECT arg_max(l.lock_folder, length(l.lock_folder)) FROM {X.PART_LOCK_FOLDERS.sql()} l WHERE l.ecosystem = n.ecosystem AND (l.lock_folder = '' OR n.folder = l.lock_folder OR starts_with(n.folder, l.lock_folder || '/'))) AS lock_folder FROM {X.PART_NEEDS.sql()} n""")
 def nearest_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closest folder above with a lock of the ecosystem."""
-    return D.nearest_lock(X.NEED_FOLDERS.df(spark), X.LOCK_FOLDERS.df(spark))
+    return D.nearest_lock(X.PART_NEEDS.df(spark, sf_dir), X.PART_LOCK_FOLDERS.df(spark, sf_dir))
 
 
-_R = X.COMPONENT_ROWS.sql()
+_R = X.PART_COMPONENTS.sql()
 
 
 def _seen(c: str) -> str:
@@ -119,13 +124,13 @@ def _seen(c: str) -> str:
 @query(f"SELECT ecosystem, name, count(*)::BIGINT AS manifests, min(manifest) AS example_manifest, first(source ORDER BY manifest) FILTER (WHERE source IS NOT NULL) AS source, {_seen('kind')} AS kinds, {_seen('declared')} AS declareds, {_seen('resolved')} AS resolveds FROM {_R} o GROUP BY ecosystem, name")
 def component_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per component."""
-    return D.roll_up(X.COMPONENT_ROWS.df(spark))
+    return D.roll_up(X.PART_COMPONENTS.df(spark, sf_dir))
 
 
 @query(f"SELECT ecosystem, count(DISTINCT name)::BIGINT AS components FROM {_R} GROUP BY ecosystem")
 def components_per_ecosystem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of each ecosystem."""
-    return X.COMPONENT_ROWS.df(spark).groupBy("ecosystem").agg(F.countDistinct("name").alias("components"))
+    return X.PART_COMPONENTS.df(spark, sf_dir).groupBy("ecosystem").agg(F.countDistinct("name").alias("components"))
 
 
 @query("""SELECT p_brand AS ecosystem, p_type AS name, count(*)::BIGINT AS manifests, min(p_partkey) AS first_part, count(DISTINCT l_suppkey)::BIGINT AS suppliers, min(p_size)::INT AS least_size, max(p_size)::INT AS largest_size
@@ -151,24 +156,25 @@ _B = "CAST(body AS JSON)"
 
 
 @query(f"""SELECT ecosystem, name, CASE ecosystem WHEN 'npm' THEN coalesce(json_extract_string({_B}, '$.latest'), json_extract_string({_B}, '$."dist-tags".latest')) WHEN 'pypi' THEN json_extract_string({_B}, '$.info.version') WHEN 'crates' THEN coalesce(json_extract_string({_B}, '$.crate.max_stable_version'), json_extract_string({_B}, '$.crate.newest_version'))
-WHEN 'go' THEN json_extract_string({_B}, '$.Version') WHEN 'maven' THEN json_extract_string({_B}, '$.response.docs[0].latestVersion') WHEN 'swift' THEN ltrim(json_extract_string({_B}, '$.tag_name'), 'v') END AS latest FROM {X.REGISTRY.sql()}""")
+WHEN 'go' THEN json_extract_string({_B}, '$.Version') WHEN 'maven' THEN json_extract_string({_B}, '$.response.docs[0].latestVersion') WHEN 'swift' THEN ltrim(json_extract_string({_B}, '$.tag_name'), 'v') END AS latest FROM {X.PART_ANSWERS.sql()}""")
 def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest version in saved registry answers."""
-    return D.latest_version(X.REGISTRY.df(spark))
+    return D.latest_version(X.PART_ANSWERS.df(spark, sf_dir))
 
 
-_DATES = X.RELEASE_DATES.sql()
+_DATES = X.ORDER_RELEASES.sql()
 
 
-@query(f"""WITH e AS (SELECT (SELECT published FROM {_DATES} WHERE version = '1.0.0') AS a, (SELECT published FROM {_DATES} WHERE version = '1.2.0') AS b)
+@query(f"""WITH e AS (SELECT (SELECT published FROM {_DATES} WHERE version = '1.2.0') AS a, (SELECT published FROM {_DATES} WHERE version = '1.5.0') AS b)
 SELECT (epoch_us(b) - epoch_us(a)) // 86400000000 AS days_between, (SELECT count(*) FROM {_DATES} WHERE NOT regexp_matches(version, '[-+][A-Za-z]') AND published > a AND published <= b)::BIGINT AS stable_releases_since FROM e""")
 def stable_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days and stable releases from the shipped version to the latest."""
-    return D.stable_since(X.RELEASE_DATES.df(spark), "1.0.0", "1.2.0")
+    return D.stable_since(X.ORDER_RELEASES.df(spark, sf_dir), "1.2.0", "1.5.0")
 
 
 @query(f"SELECT ecosystem, name, CASE WHEN row_number() OVER (ORDER BY ecosystem, name) <= 2 THEN 'looked up' ELSE 'over the cap' END AS state FROM (SELECT DISTINCT ecosystem, name FROM {_R})")
 def lookup_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two components are looked up, the others marked."""
-    w = Window.orderBy("ecosystem", "name")
-    return X.COMPONENT_ROWS.df(spark).select("ecosystem", "name").distinct().withColumn("state", F.when(F.row_number().over(w) <= 2, "looked up").otherwise("over the cap"))
+    known = X.PART_COMPONENTS.df(spark, sf_dir).select("ecosystem", "name").distinct()
+    rows = running(known, [], ["ecosystem", "name"], sums={"n": F.lit(1)}, name="lookups")
+    return rows.select("ecosystem", "name", F.when(F.col("n") <= 2, "looked up").otherwise("over the cap").alias("state"))

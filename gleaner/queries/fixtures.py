@@ -110,6 +110,47 @@ PRICE_LINES = Derived(
 FROM {{part}}""",
 )
 
+_KEY = _S("p_partkey")
+_FOLDER = _S("CAST(floor(p_partkey / 4) AS BIGINT) % 25")
+_VERSION = f"{_S('p_size')} || '.' || {_S('p_partkey % 10')}"
+_MANIFEST = f"CASE p_partkey % 4 WHEN 0 THEN 'svc' || {_FOLDER} || '/go.mod' WHEN 1 THEN 'api' || {_FOLDER} || CASE WHEN p_size % 5 = 0 THEN '/requirements-dev.txt' ELSE '/requirements.txt' END WHEN 2 THEN 'crate' || {_FOLDER} || '/Cargo.toml' ELSE 'ios' || {_FOLDER} || '/Podfile.lock' END"
+#: Parts as the entries of manifests of four kinds, with the lines that open them.
+PART_MANIFESTS = Derived(
+    "part",
+    f"""SELECT {_MANIFEST} AS manifest, 10 + p_partkey AS line, CASE p_partkey % 4
+    WHEN 0 THEN chr(9) || 'github.com/b' || {_S('p_size')} || '/p' || {_KEY} || ' v' || {_VERSION} || '.0' || CASE WHEN p_partkey % 3 = 0 THEN ' // indirect' ELSE '' END
+    WHEN 1 THEN 'Pkg_' || {_KEY} || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '==' || {_VERSION} || ' # pinned' ELSE '>=' || {_VERSION} END
+    WHEN 2 THEN 'crate-' || {_KEY} || ' = "' || {_VERSION} || '"' ELSE '  - Pod' || {_KEY} || ' (' || {_VERSION} || ')' END AS text FROM {{part}}
+  UNION ALL SELECT DISTINCT {_MANIFEST}, CAST(1 AS BIGINT), CASE p_partkey % 4 WHEN 0 THEN 'require (' WHEN 1 THEN '# names' WHEN 2 THEN '[dependencies]' ELSE 'PODS:' END FROM {{part}}""",
+)
+#: Parts as package.json files of their own.
+PART_PACKAGES = Derived("part", f"""SELECT 'web' || {_KEY} || '/package.json' AS manifest, '{{{{"dependencies": {{{{"n' || {_S('p_partkey % 30')} || '": "^' || {_VERSION} || '"}}}}, "devDependencies": {{{{"jest' || {_S('p_size')} || '": "29"}}}}}}}}' AS content FROM {{part}} WHERE p_partkey % 8 = 3""")
+_LOCKFILE = f"CASE WHEN p_partkey % 2 = 0 THEN 'crate' || {_FOLDER} || '/Cargo.lock' ELSE 'py' || {_FOLDER} || '/poetry.lock' END"
+_PACKAGE = f"'Pack_' || {_S('CAST(floor(p_partkey / 2) AS BIGINT) % 300')}"
+#: Parts as blocks of lock files.
+PART_LOCKS = Derived("part", " UNION ALL ".join(f"SELECT {_LOCKFILE} AS lockfile, 4 * p_partkey + {i} AS line, {t} AS text FROM {{part}}" for i, t in enumerate(["'[[package]]'", f"'name = \"' || {_PACKAGE} || '\"'", f"'version = \"' || {_VERSION} || '.0\"'"])))
+#: Parts as components that manifests name, with gaps.
+PART_COMPONENTS = Derived(
+    "part",
+    f"""SELECT CASE p_size % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'crates' WHEN 2 THEN 'go' ELSE 'pypi' END AS ecosystem, 'c' || {_S('p_partkey % 150')} AS name, CASE p_partkey % 5 WHEN 0 THEN 'dev' WHEN 1 THEN 'peer' ELSE 'prod' END AS kind, '^' || {_VERSION} AS declared,
+  CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE {_VERSION} || '.1' END AS resolved, CASE WHEN p_partkey % 6 = 0 THEN 'git' || {_S('p_partkey % 7')} END AS source, 'f' || lpad({_KEY}, 12, '0') || '/manifest' AS manifest FROM {{part}}""",
+)
+#: Parts as resolved and latest versions, as registry answers, and as folders with and without locks.
+PART_VERSIONS = Derived("part", f"SELECT CASE WHEN p_partkey % 50 = 0 THEN NULL WHEN p_partkey % 51 = 0 THEN 'workspace' ELSE CASE WHEN p_partkey % 3 = 0 THEN 'v' ELSE '' END || {_S('p_size % 3')} || '.' || {_S('p_partkey % 4')} || '.' || {_S('p_partkey % 7')} END AS resolved, {_S('p_size % 4')} || '.' || {_S('p_partkey % 5')} || CASE WHEN p_partkey % 9 = 0 THEN '.latest' WHEN p_partkey % 10 = 0 THEN '.+' ELSE '' END AS latest FROM {{part}}")
+PART_NAMES = Derived("part", "SELECT p_name AS name FROM {part} UNION SELECT p_type FROM {part} UNION SELECT p_brand || '_.' || p_type FROM {part}")
+PART_ANSWERS = Derived(
+    "part",
+    f"""SELECT CASE p_partkey % 6 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' WHEN 2 THEN 'crates' WHEN 3 THEN 'go' WHEN 4 THEN 'maven' ELSE 'swift' END AS ecosystem, 'p' || {_KEY} AS name,
+  CASE p_partkey % 6 WHEN 0 THEN '{{{{"dist-tags": {{{{"latest": "' || {_VERSION} || '"}}}}}}}}' WHEN 1 THEN '{{{{"info": {{{{"version": "' || {_VERSION} || '"}}}}}}}}' WHEN 2 THEN '{{{{"crate": {{{{"max_stable_version": ' || CASE WHEN p_size % 2 = 0 THEN 'null' ELSE '"' || {_VERSION} || '"' END || ', "newest_version": "' || {_VERSION} || '-rc"}}}}}}}}'
+  WHEN 3 THEN '{{{{"Version": "v' || {_VERSION} || '"}}}}' WHEN 4 THEN '{{{{"response": {{{{"docs": [{{{{"latestVersion": "' || {_VERSION} || '"}}}}]}}}}}}}}' ELSE '{{{{"tag_name": "v' || {_VERSION} || '"}}}}' END AS body FROM {{part}}""",
+)
+_ECOSYSTEM = "CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'crates' ELSE 'pypi' END"
+PART_LOCK_FOLDERS = Derived("part", f"SELECT DISTINCT CASE WHEN p_size % 10 = 0 THEN '' WHEN p_size % 3 = 0 THEN 'a' || {_S('p_size')} ELSE 'a' || {_S('p_size')} || '/b' || {_S('p_partkey % 5')} END AS lock_folder, {_ECOSYSTEM} AS ecosystem FROM {{part}} WHERE p_partkey % 7 = 0")
+PART_NEEDS = Derived("part", f"SELECT CASE WHEN p_partkey % 40 = 0 THEN '' ELSE 'a' || {_S('p_size')} || CASE WHEN p_partkey % 2 = 0 THEN '/b' || {_S('p_partkey % 5')} || '/c' ELSE 'x' END END AS folder, {_ECOSYSTEM} AS ecosystem FROM {{part}}")
+#: Orders as releases, some of them candidates.
+ORDER_RELEASES = Derived("orders", f"SELECT '1.' || {_ORDER} || CASE WHEN o_custkey % 4 = 0 AND o_orderkey > 9 THEN '.0-rc.1' ELSE '.0' END AS version, o_orderdate AS published FROM {{orders}}")
+
+
 PATHS = Fixture(
     "path string, head string",
     [(p, "") for p in ("src/app/main.ts", "src/latest.ts", "tests/test_api.py", "src/app/button.test.tsx", "pkg/store/store_test.go", "ios/AppTests/LoginTests.swift", "spec/models/user_spec.rb", "e2e/login.ts", "src/fixtures/data.json", "docs/guide.md", "README.md", "CHANGELOG.md", "node_modules/x/index.js", "vendor/lib/a.c", "proto/api_pb2.py", "web/app.min.js", "build/out.js", ".env.local", "config/.env.example", "keys/id_rsa", "deploy/service-account.json", "package.json", "yarn.lock", "go.mod", "examples/demo.py", "android/AndroidManifest.xml", "Cargo.toml", "deep/a/b/c/file.rs", "third_party/zlib/LICENSE", "LICENSE", "LICENSE.md", "NOTICE.txt", "COPYING.LESSER", "licence.py", "LICENSING.md", "PATENTS")]
