@@ -151,6 +151,28 @@ PART_NEEDS = Derived("part", f"SELECT CASE WHEN p_partkey % 40 = 0 THEN '' ELSE
 ORDER_RELEASES = Derived("orders", f"SELECT '1.' || {_ORDER} || CASE WHEN o_custkey % 4 = 0 AND o_orderkey > 9 THEN '.0-rc.1' ELSE '.0' END AS version, o_orderdate AS published FROM {{orders}}")
 
 
+_PAGE, _PLACE = _S("page_id"), _S("page_id % 90")
+#: Pages' urls, every sixth of them at a telemetry product.
+PAGE_URLS = Derived("pages", f"SELECT page_id AS id, CASE page_id % 6 WHEN 0 THEN CASE page_id % 5 WHEN 0 THEN 'https://app.posthog.com/x' WHEN 1 THEN 'https://o' || {_PAGE} || '.sentry.io./api' WHEN 2 THEN 'http://sentry.io:8080/' WHEN 3 THEN 'https://api.segment.com' ELSE 'no url' END ELSE url END AS url FROM {{pages}}")
+#: Pages as answers of an archive's index, with the url as query.
+PAGE_CAPTURES = Derived("pages", f"""SELECT url AS query, CASE WHEN page_id % 10 = 0 THEN '[]' ELSE '[["timestamp", "original", "statuscode"], ["2024' || lpad({_S('1 + page_id % 12')}, 2, '0') || lpad({_S('1 + page_id % 28')}, 2, '0') || '030405", "' || url || '", "200"]' || CASE WHEN page_id % 2 = 0 THEN ', ["20230101000000", "http://x.test/' || {_PAGE} || '", "301"]]' ELSE ']' END END AS body FROM {{pages}}""")
+#: Pages as Link headers of a listing.
+PAGE_LINKS = Derived("pages", f"""SELECT CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '<' || url || '&page=1>; rel="prev"' ELSE '<https://a.test/r?page=2>; rel="next", <https://a.test/r?per_page=1&page=' || {_PAGE} || '>; rel="last"' END AS header FROM {{pages}}""")
+#: Pages as offers in files.
+PAGE_OFFERS = Derived("pages", f"SELECT 'f' || {_PLACE} || '.ts' AS file, CASE WHEN page_id % 7 = 0 THEN 'no offer' ELSE 'see ' || url || ' now' END AS text FROM {{pages}}")
+#: Parts as amounts in several spellings.
+PART_AMOUNTS = Derived("part", f"SELECT CASE p_partkey % 5 WHEN 0 THEN {_S('p_size')} WHEN 1 THEN {_S('p_size')} || ',' || lpad({_S('p_partkey % 1000')}, 3, '0') WHEN 2 THEN {_S('p_size')} || '.' || lpad({_S('p_partkey % 100')}, 2, '0') WHEN 3 THEN {_S('p_size')} || '.' || lpad({_S('p_partkey % 1000')}, 3, '0') || ',' || {_S('p_partkey % 10')} ELSE {_S('p_size')} || ',' || lpad({_S('p_partkey % 1000')}, 3, '0') || '.' || lpad({_S('p_partkey % 100')}, 2, '0') END AS text FROM {{part}}")
+#: Lines of orders as releases with their files in JSON.
+ORDER_FILES = Derived("lineitem", f"""SELECT 'v' || {_S('l_orderkey')} || '.' || {_S('l_linenumber')} AS tag, CASE WHEN l_partkey % 20 = 0 THEN '[]' ELSE '[{{{{"name": "a' || {_S('l_partkey')} || '.dmg", "download_count": ' || {_S('CAST(l_quantity AS BIGINT)')} || '}}}}, {{{{"name": "b.exe", "download_count": 4}}}}]' END AS body FROM {{lineitem}}""")
+#: Parts as install counts of a package manager.
+PART_INSTALLS = Derived("part", f"""SELECT 'brew' AS source, 'i' || {_KEY} AS name, '{{{{"analytics": {{{{"install": {{{{"30d": {{{{"i' || {_S('p_partkey - p_partkey % 2')} || '": ' || {_S('p_size')} || ', "i --head": 2}}}}, "90d": {{{{"other": 3, "more": ' || {_KEY} || '}}}}, "365d": {{{{}}}}}}}}}}}}}}}}' AS body FROM {{part}}""")
+_OLD_PATH = f"CASE WHEN p_size % 9 = 0 THEN 'tests/t' || {_S('p_size')} WHEN p_size % 4 = 0 THEN 'src/d' || {_S('p_size')} || '/e' || {_S('p_partkey % 3')} ELSE 'lib' || {_S('p_size')} END || '/f' || {_KEY} || CASE p_partkey % 3 WHEN 0 THEN '.md' ELSE '.py' END"
+_NEW_PATH = f"'new/' || {_OLD_PATH}"
+#: Parts as files at two revisions: those of some sizes are deleted, those of others moved, new ones come.
+PATHS_OLD = Derived("part", f"SELECT {_OLD_PATH} AS path FROM {{part}}")
+PATHS_NEW = Derived("part", f"SELECT CASE WHEN p_size % 7 = 2 THEN {_NEW_PATH} ELSE {_OLD_PATH} END AS path FROM {{part}} WHERE p_size % 6 <> 0 UNION ALL SELECT 'added/g' || {_KEY} FROM {{part}} WHERE p_partkey % 11 = 0")
+PATH_CHANGES = Derived("part", f"SELECT CASE WHEN p_size % 6 = 0 THEN 'D' ELSE 'R' END AS status, {_OLD_PATH} AS old, CASE WHEN p_size % 6 = 0 THEN NULL ELSE {_NEW_PATH} END AS new FROM {{part}} WHERE p_size % 6 = 0 OR p_size % 7 = 2")
+
 PATHS = Fixture(
     "path string, head string",
     [(p, "") for p in ("src/app/main.ts", "src/latest.ts", "tests/test_api.py", "src/app/button.test.tsx", "pkg/store/store_test.go", "ios/AppTests/LoginTests.swift", "spec/models/user_spec.rb", "e2e/login.ts", "src/fixtures/data.json", "docs/guide.md", "README.md", "CHANGELOG.md", "node_modules/x/index.js", "vendor/lib/a.c", "proto/api_pb2.py", "web/app.min.js", "build/out.js", ".env.local", "config/.env.example", "keys/id_rsa", "deploy/service-account.json", "package.json", "yarn.lock", "go.mod", "examples/demo.py", "android/AndroidManifest.xml", "Cargo.toml", "deep/a/b/c/file.rs", "third_party/zlib/LICENSE", "LICENSE", "LICENSE.md", "NOTICE.txt", "COPYING.LESSER", "licence.py", "LICENSING.md", "PATENTS")]

@@ -12,7 +12,7 @@ from gleaner.plans import signatures as S
 from gleaner.queries import fixtures as X
 from gleaner.queries.base import query, quote, string_list, table
 
-_OLD, _NEW, _CH = X.TREE_OLD.sql(), X.TREE_NEW.sql(), X.TREE_CHANGES.sql()
+_OLD, _NEW, _CH = X.PATHS_OLD.sql(), X.PATHS_NEW.sql(), X.PATH_CHANGES.sql()
 
 
 def _folders(t: str) -> str:
@@ -25,20 +25,26 @@ _GONE = f"g AS ({_folders(_OLD)} EXCEPT {_folders(_NEW)}), o AS (SELECT folder F
 @query(f"WITH {_GONE} SELECT folder FROM o")
 def outermost_gone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vanished folders whose parent is still there."""
-    return R.outermost_gone(X.TREE_OLD.df(spark), X.TREE_NEW.df(spark))
+    return R.outermost_gone(X.PATHS_OLD.df(spark, sf_dir), X.PATHS_NEW.df(spark, sf_dir))
 
 
-@query("SELECT folder, files::BIGINT AS files, renamed::BIGINT AS renamed, fate, destination, kind FROM (VALUES ('old', 3, 2, 'moved', 'new', NULL), ('gone', 2, 0, 'removed', NULL, 'source_and_other'), ('tests', 1, 0, 'removed', NULL, 'tests')) t(folder, files, renamed, fate, destination, kind)")
+_KINDS = f"CASE WHEN len(list_intersect(string_split(folder, '/'), {string_list(S.SKIP_DIRS)})) > 0 THEN 'dependencies_or_build' WHEN regexp_matches(folder || '/x', {quote(C.TEST_FOLDER)}) THEN 'tests' WHEN len(list_intersect(string_split(folder, '/'), {string_list(C.DOC_FOLDERS)})) > 0 THEN 'docs' ELSE 'source_and_other' END"
+
+
+@query(f"""WITH {_GONE}, f AS (SELECT folder, count(*) AS files FROM o JOIN {_OLD} p ON starts_with(p.path, o.folder || '/') GROUP BY folder),
+m AS (SELECT folder, CASE WHEN ends_with(new, substr(old, length(folder) + 1)) THEN left(new, length(new) - length(old) + length(folder)) ELSE regexp_replace(new, '/?[^/]*$', '') END AS target FROM o JOIN {_CH} c ON c.status = 'R' AND starts_with(c.old, o.folder || '/')),
+t AS (SELECT folder, first(target ORDER BY n DESC, target) AS target, sum(n) AS renamed FROM (SELECT folder, target, count(*) AS n FROM m GROUP BY ALL) GROUP BY folder)
+SELECT folder, files::BIGINT AS files, coalesce(renamed, 0)::BIGINT AS renamed, CASE WHEN 2 * coalesce(renamed, 0) >= files THEN 'moved' ELSE 'removed' END AS fate, CASE WHEN 2 * coalesce(renamed, 0) >= files THEN target END AS destination, CASE WHEN 2 * coalesce(renamed, 0) < files THEN {_KINDS} END AS kind FROM f LEFT JOIN t USING (folder)""")
 def vanished_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moved or removed; the SQL states the rows."""
-    return R.vanished_folders(X.TREE_OLD.df(spark), X.TREE_NEW.df(spark), X.TREE_CHANGES.df(spark))
+    """Moved or removed."""
+    return R.vanished_folders(X.PATHS_OLD.df(spark, sf_dir), X.PATHS_NEW.df(spark, sf_dir), X.PATH_CHANGES.df(spark, sf_dir))
 
 
 @query(f"""SELECT (SELECT count(*) FROM {_OLD})::BIGINT AS at_old, (SELECT count(*) FROM {_NEW})::BIGINT AS at_new, (SELECT count(*) FROM {_CH} WHERE status = 'D')::BIGINT AS deleted, (SELECT count(*) FROM {_CH} WHERE status = 'R')::BIGINT AS renamed,
 (SELECT count(*) FROM (SELECT path FROM {_NEW} EXCEPT SELECT path FROM {_OLD} EXCEPT SELECT new FROM {_CH} WHERE status = 'R'))::BIGINT AS added""")
 def file_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files at both revisions."""
-    return R.file_totals(X.TREE_OLD.df(spark), X.TREE_NEW.df(spark), X.TREE_CHANGES.df(spark))
+    return R.file_totals(X.PATHS_OLD.df(spark, sf_dir), X.PATHS_NEW.df(spark, sf_dir), X.PATH_CHANGES.df(spark, sf_dir))
 
 
 _PARTS = "string_split(old, '/')[:-2]"
@@ -48,7 +54,7 @@ _PARTS = "string_split(old, '/')[:-2]"
 WHEN len(list_intersect({_PARTS}, {string_list(C.DOC_FOLDERS)})) > 0 OR regexp_matches(lower(old), '\\.(md|mdx|markdown|rst|adoc)$') THEN 'docs' ELSE 'source_and_other' END AS kind, CASE WHEN contains(old, '/') THEN string_split(old, '/')[1] ELSE '(root)' END AS top, count(*)::BIGINT AS files FROM {_CH} WHERE status = 'D' GROUP BY 1, 2""")
 def deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deleted files by kind and top folder."""
-    rows = X.TREE_CHANGES.df(spark).where("status = 'D'")
+    rows = X.PATH_CHANGES.df(spark, sf_dir).where("status = 'D'")
     return rows.groupBy(C.removed_kind(F.col("old")).alias("kind"), C.top_folder(F.col("old")).alias("top")).agg(F.count("*").alias("files"))
 
 

@@ -67,29 +67,28 @@ def pages_per_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count("*").alias("pages"))
 
 
-_URLS = X.Fixture("id long, url string", [(1, "https://app.posthog.com/x"), (2, "https://o1.sentry.io./api"), (3, "http://sentry.io:8080/"), (4, "https://notexample.com/"), (5, "https://cdn.shop.test/a"), (6, "https://cdn.shop.test/b"), (7, "no url"), (8, "https://api.segment.com")])
 
 
-@query(_hosts_sql(_URLS.sql()))
+@query(_hosts_sql(X.PAGE_URLS.sql()))
 def telemetry_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hosts and the telemetry product that owns them, by suffix."""
-    return P.hosts(_URLS.df(spark), "url", "id")
+    return P.hosts(X.PAGE_URLS.df(spark, sf_dir), "url", "id")
 
 
-@query(f"WITH a AS ({_hosts_sql(_URLS.sql())}) SELECT * FROM a WHERE telemetry IS NOT NULL UNION ALL (SELECT * FROM a WHERE telemetry IS NULL ORDER BY pages DESC, host LIMIT 1)")
+@query(f"WITH a AS ({_hosts_sql(X.PAGE_URLS.sql())}) SELECT * FROM a WHERE telemetry IS NOT NULL UNION ALL (SELECT * FROM a WHERE telemetry IS NULL ORDER BY pages DESC, host LIMIT 1)")
 def hosts_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All telemetry hosts, of the others the first by pages. A top-k report."""
-    return P.ordered_hosts(P.hosts(_URLS.df(spark), "url", "id"), cap=1)
+    return P.ordered_hosts(P.hosts(X.PAGE_URLS.df(spark, sf_dir), "url", "id"), cap=1)
 
 
 _NUMBER = "(?:\\d{1,3}(?:[.,]\\d{3})+(?:[.,]\\d{1,2})?|\\d+(?:[.,]\\d{1,2})?)"
 _TO_NUMBER = "CASE WHEN regexp_matches(m, '^\\d{1,3}(?:[.,]\\d{3})+$') THEN regexp_replace(m, '[.,]', '', 'g') WHEN regexp_matches(m, '^(\\d{1,3}(?:[.,]\\d{3})*|\\d+)[.,](\\d{1,2})$') THEN regexp_replace(regexp_extract(m, '^(\\d{1,3}(?:[.,]\\d{3})*|\\d+)[.,](\\d{1,2})$', 1), '[.,]', '', 'g') || '.' || regexp_extract(m, '^(\\d{1,3}(?:[.,]\\d{3})*|\\d+)[.,](\\d{1,2})$', 2) ELSE regexp_replace(m, '[.,]', '', 'g') END::DOUBLE"
 
 
-@query(f"SELECT text, {_TO_NUMBER} AS amount FROM (SELECT text, text AS m FROM {X.MONEY.sql()})")
+@query(f"SELECT text, {_TO_NUMBER} AS amount FROM (SELECT text, text AS m FROM {X.PART_AMOUNTS.sql()})")
 def money_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thousands and decimals of amounts."""
-    return X.MONEY.df(spark).select("text", N.to_number(F.col("text")).alias("amount"))
+    return X.PART_AMOUNTS.df(spark, sf_dir).select("text", N.to_number(F.col("text")).alias("amount"))
 
 
 def _amounts_sql(source: str) -> str:
@@ -130,20 +129,20 @@ def page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(found, table_, "page").select("rule_id", "label", "lines")
 
 
-@query(f"""WITH b AS (SELECT query, CAST(body AS JSON) AS j FROM {X.CAPTURES.sql()}), n AS (SELECT query, j, unnest(range(1, json_array_length(j)::BIGINT)) AS i FROM b WHERE json_array_length(j) > 1)
+@query(f"""WITH b AS (SELECT query, CAST(body AS JSON) AS j FROM {X.PAGE_CAPTURES.sql()}), n AS (SELECT query, j, unnest(range(1, json_array_length(j)::BIGINT)) AS i FROM b WHERE json_array_length(j) > 1)
 SELECT query, (j->(i::INT))->>0 AS timestamp, (j->(i::INT))->>1 AS original, substr((j->(i::INT))->>0, 1, 4) || '-' || substr((j->(i::INT))->>0, 5, 2) || '-' || substr((j->(i::INT))->>0, 7, 2) AS date, 'https://web.archive.org/web/' || ((j->(i::INT))->>0) || '/' || ((j->(i::INT))->>1) AS archive_url FROM n""")
 def capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index answers, the first row is the header."""
-    rows = X.CAPTURES.df(spark).select("query", F.from_json("body", "array<array<string>>").alias("a")).where("size(a) > 1")
+    rows = X.PAGE_CAPTURES.df(spark, sf_dir).select("query", F.from_json("body", "array<array<string>>").alias("a")).where("size(a) > 1")
     rows = rows.select("query", F.element_at("a", 1).alias("h"), F.explode(F.slice("a", 2, 1_000_000)).alias("r")).select("query", F.map_from_arrays("h", "r").alias("m"))
     t, u = F.col("m")["timestamp"], F.col("m")["original"]
     return rows.select("query", t.alias("timestamp"), u.alias("original"), F.concat_ws("-", F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2)).alias("date"), F.concat(F.lit("https://web.archive.org/web/"), t, F.lit("/"), u).alias("archive_url"))
 
 
-@query(f"""SELECT header, nullif(regexp_extract(list_filter(string_split(header, ','), lambda x: contains(x, 'rel="last"'))[1], '[?&]page=(\\d+)', 1), '')::BIGINT AS last FROM {X.LINKS.sql()}""")
+@query(f"""SELECT header, nullif(regexp_extract(list_filter(string_split(header, ','), lambda x: contains(x, 'rel="last"'))[1], '[?&]page=(\\d+)', 1), '')::BIGINT AS last FROM {X.PAGE_LINKS.sql()}""")
 def link_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last page of a Link header."""
-    return X.LINKS.df(spark).select("header", last_page(F.col("header")).alias("last"))
+    return X.PAGE_LINKS.df(spark, sf_dir).select("header", last_page(F.col("header")).alias("last"))
 
 
 @query("""SELECT page_id, substr(regexp_replace(regexp_replace(url, '^.*?://', ''), '[^A-Za-z0-9._-]+', '_', 'g'), 1, 180) || '.json' AS answer_file,
@@ -160,22 +159,20 @@ def document_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
 
 
-_OFFERS = X.Fixture("file string, text string", [("a.ts", "see https://shop.corp.test/pricing now"), ("a.ts", "https://corp.test/upgrade?x=1"), ("b.ts", "https://notcorp.test/pricing"), ("b.ts", "https://other.test/buy "), ("c.ts", "no offer")])
 _OFFER_HOST = "lower(regexp_extract(text, 'https?://([A-Za-z0-9.-]+\\.[A-Za-z]{2,})', 1))"
 
 
-@query(f"SELECT file, {_OFFER_HOST} AS host FROM {_OFFERS.sql()} WHERE {_OFFER_HOST} = 'corp.test' OR ends_with({_OFFER_HOST}, '.corp.test')")
+@query(f"SELECT file, {_OFFER_HOST} AS host FROM {X.PAGE_OFFERS.sql()} WHERE {_OFFER_HOST} = 'example.org' OR ends_with({_OFFER_HOST}, '.example.org')")
 def own_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers that link to an own domain or a subdomain of one."""
     host = T.host_of(F.col("text"))
-    return _OFFERS.df(spark).select("file", host.alias("host")).where(P.on_domains(F.col("host"), ["corp.test"]))
+    return X.PAGE_OFFERS.df(spark, sf_dir).select("file", host.alias("host")).where(P.on_domains(F.col("host"), ["example.org"]))
 
 
-_RELEASES = X.Fixture("tag string, body string", [("v1", '[{"name": "a.dmg", "download_count": 3}, {"name": "b.exe", "download_count": 4}]'), ("v2", "[]")])
 
 
-@query(f"SELECT tag, json_extract_string(a, '$.name') AS name, json_extract_string(a, '$.download_count')::BIGINT AS downloads FROM (SELECT tag, unnest(CAST(body AS JSON[])) AS a FROM {_RELEASES.sql()})")
+@query(f"SELECT tag, json_extract_string(a, '$.name') AS name, json_extract_string(a, '$.download_count')::BIGINT AS downloads FROM (SELECT tag, unnest(CAST(body AS JSON[])) AS a FROM {X.ORDER_FILES.sql()})")
 def release_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested assets of releases as rows."""
-    rows = _RELEASES.df(spark).select("tag", F.explode(F.from_json("body", "array<struct<name: string, download_count: long>>")).alias("a"))
+    rows = X.ORDER_FILES.df(spark, sf_dir).select("tag", F.explode(F.from_json("body", "array<struct<name: string, download_count: long>>")).alias("a"))
     return rows.select("tag", "a.name", F.col("a.download_count").alias("downloads"))

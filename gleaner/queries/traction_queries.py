@@ -94,10 +94,10 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _J = "CAST(body AS JSON)"
 
 
-@query(f"""WITH p AS (SELECT name, unnest(['30d', '90d', '365d']) AS period, {_J} AS j FROM {X.COUNTS.sql()} WHERE source = 'brew'), v AS (SELECT name, period, json_extract(j, '$.analytics.install."' || period || '"') AS m FROM p)
+@query(f"""WITH p AS (SELECT name, unnest(['30d', '90d', '365d']) AS period, {_J} AS j FROM {X.PART_INSTALLS.sql()} WHERE source = 'brew'), v AS (SELECT name, period, json_extract(j, '$.analytics.install."' || period || '"') AS m FROM p)
 SELECT name, period, coalesce(json_extract_string(m, '$."' || name || '"')::BIGINT, (SELECT sum(x::BIGINT) FROM (SELECT unnest(json_extract_string(m, '$.*')) AS x)))::BIGINT AS installs FROM v""")
 def installs_per_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The named entry, else the sum of all, else null."""
-    rows = X.COUNTS.df(spark).where("source = 'brew'").select("name", F.explode(F.from_json("body", "analytics struct<install: map<string, map<string, long>>>")["analytics"]["install"]).alias("period", "m"))
+    rows = X.PART_INSTALLS.df(spark, sf_dir).where("source = 'brew'").select("name", F.explode(F.from_json("body", "analytics struct<install: map<string, map<string, long>>>")["analytics"]["install"]).alias("period", "m"))
     total = F.when(F.size("m") > 0, F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x))
     return rows.select("name", "period", F.coalesce(F.try_element_at("m", F.col("name")), total).alias("installs"))
