@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from gleaner.operators import documents as DOC
 from gleaner.operators import lint as L
 from gleaner.operators import markdown as MD
+from gleaner.plans.rules import SUPERLATIVE_LINE
 from gleaner.queries import fixtures as X
-from gleaner.queries.base import query, table
+from gleaner.queries.base import query, quote, table
 
 _FINDINGS = """(VALUES ('x', 2, 'superlative', 'best'), ('x', 2, 'comparative', 'Unlike Rival'), ('x', 6, 'undated_number', 'Rival has 500 users.'), ('x', 8, 'too_long', '41 words (limit 40)'), ('x', 14, 'forbidden', 'game changer'), ('x', 14, 'comparative', 'faster than Rival'),
 ('x', 14, 'superlative', '100%'), ('x', 14, 'undated_number', 'A game changer, faster than Rival, 100% safe'), ('y', 1, 'superlative', 'Never'), ('y', 1, 'superlative', 'cheapest'), ('y', 1, 'superlative', 'first-ever')) t(doc, line, rule, detail)"""
@@ -94,3 +95,35 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def converted_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as Markdown for a block editor. Not expressible in SQL; tests state conversions of every kind of block."""
     return MD.convert_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_PHRASES, _RIVALS = ["# words we do not use", "game changer", "re:revolution\\w*", "is of", "de la"], ["Than", "Nicht"]
+_SUPERLATIVE = quote(SUPERLATIVE_LINE)
+_MUTED = f"coalesce(last_value(CASE WHEN starts_with(trim(x), '```') THEN NULL WHEN contains(x, {quote(L.ON)}) THEN false WHEN contains(x, {quote(L.OFF)}) THEN true END IGNORE NULLS) OVER (PARTITION BY r ORDER BY line), false)"
+_LIVE = f"""d AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS t FROM documents), l AS (SELECT r, doc_id, unnest(t) AS x, generate_subscripts(t, 1)::BIGINT AS line FROM d),
+w AS (SELECT *, starts_with(trim(x), '```') AS fence, sum(CASE WHEN starts_with(trim(x), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY line) % 2 = 1 AS code, {_MUTED} AS muted FROM l),
+v AS (SELECT doc_id, line, x FROM w WHERE NOT fence AND NOT code AND NOT muted AND NOT contains(x, {quote(L.ON)}) AND NOT contains(x, {quote(L.OFF)}) AND NOT contains(x, {quote(L.IGNORE)}))"""
+_NAMED = "(" + " OR ".join(f"contains(lower(x), {quote(c.lower())})" for c in _RIVALS) + ")"
+_LINES = f"""WITH {_LIVE}, f AS (SELECT doc_id, line, 'forbidden' AS rule FROM v WHERE {" OR ".join(f"regexp_matches(x, {quote(p)})" for _, p in L.phrase_rules(_PHRASES))}
+UNION SELECT doc_id, line, 'too_long' FROM v WHERE starts_with(x, '>') AND len(regexp_extract_all(regexp_replace(x, '^[> ]+', ''), '\\S+')) > 40
+UNION SELECT doc_id, line, 'superlative' FROM v WHERE regexp_matches(x, {_SUPERLATIVE})
+UNION SELECT doc_id, line, 'comparative' FROM v WHERE {" OR ".join(f"regexp_matches(x, {quote('(?i)' + chr(92) + 'b' + L.COMPARATIVE + chr(92) + 's+' + c + chr(92) + 'b')})" for c in _RIVALS)}
+UNION SELECT doc_id, line, 'undated_number' FROM v WHERE {_NAMED} AND regexp_matches(regexp_replace(x, {quote(L.NO_CLAIM)}, ' ', 'g'), {quote(L.NUMBER)}) AND NOT regexp_matches(x, {quote(L.DATE)}))"""
+
+
+def _lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    lines = docs.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), "text")
+    return L.findings(lines, "doc_id", _PHRASES, _RIVALS).select("doc_id", "line", "rule").distinct()
+
+
+@query(_LINES + " SELECT doc_id, line, rule FROM f")
+def lint_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D01, P41-P45, S21, W09 over all documents: lines and the rules that they break."""
+    return _lint(spark, sf_dir)
+
+
+@query(_LINES + " SELECT count(*)::BIGINT AS findings, count(*) FILTER (WHERE rule IN ('forbidden', 'too_long'))::BIGINT AS failing, count(*) FILTER (WHERE rule NOT IN ('forbidden', 'too_long'))::BIGINT AS warnings FROM f")
+def lint_line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A33 over all documents: failing lines and warnings."""
+    return L.totals(_lint(spark, sf_dir))

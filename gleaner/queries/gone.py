@@ -96,3 +96,21 @@ def reworded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J14 over all conversations: first turns as old text, the others as new. Not expressible in SQL."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pair"), F.when(F.col("turn") == 0, "old").otherwise("new").alias("side"), "turn", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
     return R.reworded(rows.select(F.col("pair").cast("string").alias("pair"), "side", (F.col("turn") * 1_000_000 + F.col("pos")).alias("line"), "text"))
+
+
+_KEYED = "regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(title, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_`]', '', 'g'), '\\s+', ' ', 'g'))), '^(?:§\\s*)?\\d+(?:\\.\\d+)*\\.?\\s+', '')"
+_HEADING = "'^ {0,3}(#{1,6})[ \\t]+(.+?)(?:[ \\t]+#+)?[ \\t]*$'"
+
+
+@query(f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents), l AS (SELECT doc_id, unnest(t) AS x, generate_subscripts(t, 1)::BIGINT AS line FROM d),
+b AS (SELECT doc_id, 'old' AS side, line, CASE WHEN line % 3 = 1 THEN '## ' || line || '. ' || x ELSE x END AS x FROM l UNION ALL SELECT doc_id, 'new', line, CASE WHEN line % 3 = 1 THEN '## ' || (line + 1) || '. ' || x ELSE x END FROM l WHERE (line + doc_id) % 4 <> 0),
+w AS (SELECT *, regexp_matches(x, '^ {{0,3}}(```|~~~)') AS fence, sum(CASE WHEN regexp_matches(x, '^ {{0,3}}(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, side ORDER BY line) % 2 AS code FROM b),
+h AS (SELECT doc_id, side, line, length(regexp_extract(x, {_HEADING}, 1))::INT AS level, trim(regexp_extract(x, {_HEADING}, 2)) AS title FROM w WHERE NOT fence AND code = 0 AND regexp_matches(x, {_HEADING})), k AS (SELECT *, {_KEYED} AS key FROM h)
+SELECT doc_id, line, level, title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY line) AS n FROM k WHERE side = 'old' AND key <> '' AND NOT EXISTS (SELECT 1 FROM k o WHERE o.side = 'new' AND o.doc_id = k.doc_id AND o.key = k.key)) WHERE n = 1""")
+def lost_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X08, J13, U08, W09 over all documents, every third line a numbered heading, against versions that lack every fourth line and count on."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).withColumn("line", (F.col("pos") + 1).cast("long"))
+    numbered = lambda n: F.when(F.col("line") % 3 == 1, F.concat(F.lit("## "), F.col("line") + n, F.lit(". "), "text")).otherwise(F.col("text"))
+    old = lines.select("file", F.lit("old").alias("side"), "line", numbered(0).alias("text"))
+    both = old.unionByName(lines.where("(line + file) % 4 <> 0").select("file", F.lit("new").alias("side"), "line", numbered(1).alias("text")))
+    return R.removed_headings(both).withColumnRenamed("file", "doc_id")

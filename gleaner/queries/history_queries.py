@@ -160,13 +160,13 @@ def branch_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.branch_merges(X.LOG.df(spark, sf_dir))
 
 
-_TREE = X.Fixture("path string", [("AGENTS.md",), ("pkg/CLAUDE.md",), ("pkg/.claude/settings.json",), (".cursor/rules",), ("MYAGENTS.md",), (".kirox/a",)])
+_TREE = X.Beside(X.Fixture("path string", [("AGENTS.md",), ("pkg/CLAUDE.md",), ("pkg/.claude/settings.json",), (".cursor/rules",), ("MYAGENTS.md",), (".kirox/a",)]), "path")
 
 
 @query(f"SELECT DISTINCT i AS item FROM (SELECT path, unnest({string_list(S.INSTRUCTION_FILES)}) AS i FROM {_TREE.sql()}) WHERE CASE WHEN ends_with(i, '/') THEN starts_with(path, i) OR contains(path, '/' || i) ELSE path = i OR ends_with(path, '/' || i) END")
 def instruction_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction files in a tree."""
-    return H.instruction_files(_TREE.df(spark))
+    return H.instruction_files(_TREE.df(spark, sf_dir))
 
 
 @query(f"SELECT first(date ORDER BY date::TIMESTAMPTZ, sha) AS first, last(date ORDER BY date::TIMESTAMPTZ, sha) AS last FROM {_C}")

@@ -86,10 +86,14 @@ def _secret_findings(lines: DataFrame) -> DataFrame:
     return rows.where(~C.is_placeholder(F.col("v"), F.col("text"))).select("file", "line", "signal", T.mask(F.col("v")).alias("masked"))
 
 
-@query(_secrets_sql(_secret_lines().sql()))
+_SECRET_FILES = X.Beside(_secret_lines())
+
+
+@query(_secrets_sql(_SECRET_FILES.lines_sql()))
 def secret_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in lines, without placeholders, masked."""
-    return _secret_findings(_secret_lines().df(spark))
+    lines = _SECRET_FILES.df(spark, sf_dir).select("file", F.posexplode(T.lines(F.col("text"))).alias("pos", "text"))
+    return _secret_findings(lines.select("file", (F.col("pos") + 1).cast("long").alias("line"), "text"))
 
 
 @query(_secrets_sql("(SELECT 'd' || doc_id AS file, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line, unnest(string_split(text, chr(10))) AS text FROM documents)"))
