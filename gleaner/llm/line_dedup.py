@@ -1,9 +1,10 @@
 """Line dedup by site-relative frequency, in DataFrame functions only.
 
 A line is boilerplate of its host if more than ``max_ratio`` of the host's pages hold it, and at least ``min_pages``.
-Lines are compared trimmed, by two 64-bit hashes. Pages are counted with partial sums, so a host with a third of all
-pages or a line in all of them is no single task's work. Only line hashes are shuffled by line; texts move once, to
-meet the positions that go.
+Lines are compared trimmed, by two 64-bit hashes. Pages are counted with partial sums. The lines that go are written
+down; those of very many pages are sent to the positions of lines instead of gathering these by line. So a host with a
+third of all pages or a line in all of them is no single task's work. Only line hashes are shuffled by line; texts move
+once, to meet the positions that go.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import row_key
+from gleaner.llm.common import join_counted, materialize, row_key
 
 MAX_RATIO, MIN_PAGES = 0.1, 5
+#: Pages of one line that are joined by the line.
+HOT = 10_000
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, carry: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -21,7 +24,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = M
 
     Every row is a page. Blank lines are never dropped, nor counted. A null host is a host of its own; a null text has
     no lines and stays null; an empty text has one blank line. Where all lines go the text is empty. Repeated rows
-    count as often as they occur. Other columns of docs play no part. An empty table gives no rows.
+    count as often as they occur. Other columns of docs play no part. An empty table gives no rows. The result reads a
+    stage table of the lines that go, which stays behind.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("")).alias("_h"), row_key(F.col(text)).alias("_k"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text).alias("text"))
     line = lambda x: (F.xxhash64(F.lit(1), x).alias("h1"), F.xxhash64(F.lit(2), x).alias("h2"))
@@ -29,9 +33,10 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = M
     pages = own.groupBy("_h").agg(F.count("*").alias("pages"))
     held = lines.select("_h", F.explode(F.array_distinct("lines")).alias("x")).where("x <> ''").select("_h", *line(F.col("x")))
     held = held.groupBy("_h", "h1", "h2").agg(F.count("*").alias("df")).where(F.col("df") >= min_pages)
-    common = held.join(pages, "_h").where(F.col("df") > F.lit(float(max_ratio)) * F.col("pages")).select("_h", "h1", "h2")
+    common = held.join(pages, "_h").where(F.col("df") > F.lit(float(max_ratio)) * F.col("pages"))
+    common = materialize(common.select("_h", "h1", "h2", F.col("df").alias("m")), "common-lines")
     spots = lines.select("doc_id", "_h", "_k", F.posexplode("lines").alias("pos", "x")).where("x <> ''").select("doc_id", "_h", "_k", "pos", *line(F.col("x")))
-    gone = spots.join(common, ["_h", "h1", "h2"]).groupBy("doc_id", "_h", "_k").agg(F.collect_set("pos").alias("gone"))
+    gone = join_counted(spots, common, ["_h", "h1", "h2"], HOT).groupBy("doc_id", "_h", "_k").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("_d2"), F.col("_h").alias("_h2"), F.col("_k").alias("_k2"), "gone")
     out = own.join(gone, own["doc_id"].eqNullSafe(gone["_d2"]) & (own["_k"] == gone["_k2"]) & (own["_h"] == gone["_h2"]), "left")
     cut = F.split("text", "\n", -1)

@@ -887,3 +887,22 @@ def test_block_marks_by_factors_and_not_by_count():
     assert S._block(rows, 6, "none").to_pydict()["a"] == [6, 2] and S._block(rows, 6, "first").to_pydict()["doc_id"] == [2]
     twice = S._block([rows[0] | {"twice": True}], 6, "first").to_pylist()
     assert [(r["doc_id"], r["c1"], r["later"]) for r in twice] == [(None, 1, [{"a": 0, "b": 2}])]
+
+
+@pytest.mark.parametrize("hot", [2, 10**6])
+def test_hot_boilerplate_lines_are_sent_to_positions(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rows = [(i, f"own {i}\nfooter\n footer \nshared {i % 3}", "h") for i in range(30)] + [(40, "footer\nx", None)]
+    got = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in line_dedup.drop_boilerplate(documents(spark, [(i, t, s) if s else (i, t) for i, t, s in rows], extra=False), host="source").collect()}
+    assert got[0] == (3, "own 0") and got[40] == (0, "footer\nx") and len(got) == 31
+
+
+def test_join_of_very_long_texts(spark):
+    """Sets of over two megabytes of text each, linked and not linked."""
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(220_000)]
+    other = words[:110_000] + [f"v{i}" for i in range(110_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-500])), (3, " ".join(other)), (4, "short text of five words")]
+    assert len(rows[0][1]) > 2_000_000
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.link_documents(documents(spark, rows, extra=False), width=4, percent=85).collect()}
+    assert got == {1: (219_997, 1), 2: (219_497, 1), 3: (219_997, 3), 4: (2, 4)}
