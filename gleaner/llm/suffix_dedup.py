@@ -16,7 +16,8 @@ have nothing in common, so windows are first dealt into blocks by content:
   compared up to ``window`` bytes) are put in order by ranks of three times longer strings in each round. From that
   order and its LCP array follow the previous and next smaller positions, and from these the longest previous factor of
   each start: at ``window`` it has an earlier copy. Its mirror is the longest next factor. Nothing is marked but by these.
-* What a block says of a context's later copies holds for all their rows, which are joined by context. Contexts alone
+* What a block says of a context's later copies holds for all their rows: where blocks found every repeated context to
+  repeat as a whole, all later rows do; else rows take their ranges in a join by context. Contexts alone
   under their anchor need no others in their block: neighbours in a document are one run of text there, without a
   shuffle. That rows have one context is known by 128-bit digests; later copies' bytes aren't fetched for a comparison.
 * An anchor with more than HOT distinct contexts (a passage in very many documents) isn't gathered in one task. Its
@@ -525,10 +526,17 @@ def repeated_starts(docs: DataFrame, window: int = 200, keep: str = "none", gram
         alone = contexts.where("parts is not null").mapInArrow(_run_blocks(window, keep), _MARKS)
         found = materialize(few.unionByName(alone), "suffix-found")
         marks.append(found.where("a is not null").select("doc_id", "k1", "a", "b"))
-        copies = again.where("not first").select("doc_id", "k1", "lo", *context)
-        later = found.where("later is not null").select(*context, "later").join(copies.groupBy(*context).agg(F.count("*").alias("m")), context)
-        later = join_counted(copies, materialize(later, "suffix-later"), context, COPIES).select("doc_id", "k1", "lo", F.explode("later").alias("r"))
-        marks.append(later.select("doc_id", "k1", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b")))
+        copies, keys = again.where("not first"), again.where("first and twice").select(*context, "more")
+        whole = found.where("later is not null and size(later) = 1 and later[0].a = 0").select(*context, F.col("later")[0]["b"].cast("int").alias("more"))
+        odd = materialize(keys.join(whole, [*context, "more"], "left_anti").select(*context), "suffix-odd")
+        if odd.isEmpty():
+            # Every repeated context was found to repeat as a whole, and so does each of its later rows.
+            marks.append(copies.select("doc_id", "k1", F.col("lo").cast("long").alias("a"), (F.col("lo") + F.col("more")).cast("long").alias("b")))
+        else:
+            later = found.where("later is not null").select(*context, "later").join(copies.groupBy(*context).agg(F.count("*").alias("m")), context)
+            later = join_counted(copies.select("doc_id", "k1", "lo", *context), materialize(later, "suffix-later"), context, COPIES).select("doc_id", "k1", "lo", F.explode("later").alias("r"))
+            marks.append(later.select("doc_id", "k1", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b")))
+        discard(odd)
         done += [again, contexts, found]
         level += 1
         many = contexts.where(f"m > {hot}")
