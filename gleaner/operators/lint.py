@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.plans.rules import SUPERLATIVES
+from gleaner.plans.rules import SUPERLATIVES, gate
 
 # Markers, dates, numbers and what is no claim.
 OFF, ON, IGNORE = "<!-- claims-lint: off -->", "<!-- claims-lint: on -->", "<!-- claims-lint: ignore -->"
@@ -51,25 +52,58 @@ def live_lines(lines: DataFrame, unit: str) -> DataFrame:
     return rows.where(~F.col("fence") & (F.col("code") == 0) & ~F.col("muted") & ~on & ~F.col("text").contains(IGNORE)).drop("fence", "code", "muted")
 
 
+def live_lines_of(texts: DataFrame, unit: str, text: str = "text") -> DataFrame:
+    """(unit, line, text): live lines of whole texts; only those that hold a fence or a marker have their lines put in order."""
+    c = F.col(text)
+    marked = c.contains("```") | c.contains(OFF)
+    cut = lambda df: df.select(unit, F.posexplode(F.split(c, "\n", -1)).alias("pos", "text")).select(unit, (F.col("pos") + 1).cast("long").alias("line"), "text")
+    plain = cut(texts.where(~marked)).where(~F.col("text").contains(ON) & ~F.col("text").contains(IGNORE))
+    return plain.unionByName(live_lines(cut(texts.where(marked)), unit))
+
+
+def _held(low: Column, pattern: str) -> Column:
+    """Whether a lowered line holds a word that every match of the pattern holds."""
+    try:
+        words = gate(pattern)
+    except re.error:
+        words = ()  # a pattern of Java's own
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words]) if words else F.lit(True)
+
+
 def findings(lines: DataFrame, unit: str, forbidden: list[str], competitors: list[str], max_words: int = 40, superlatives: bool = True) -> DataFrame:
     """(unit, line, rule, detail)."""
-    t = F.col("text")
-    out = []
+    return live_findings(live_lines(lines, unit), unit, forbidden, competitors, max_words, superlatives)
+
+
+def live_findings(lines: DataFrame, unit: str, forbidden: list[str], competitors: list[str], max_words: int = 40, superlatives: bool = True) -> DataFrame:
+    """findings of lines that are live. Details are made for lines that break a rule only; words are looked for before patterns."""
+    t, low = F.col("text"), F.col("_low")
+    out, broken = [], []
     for label, pattern in phrase_rules(forbidden):
-        out.append(F.array(F.when(t.rlike(pattern), F.struct(F.lit("forbidden").alias("rule"), F.lit(label).alias("detail")))))
+        hit = _held(low, label[3:] if label.startswith("re:") else re.escape(label)) & t.rlike(pattern)
+        broken.append(hit)
+        out.append(F.array(F.when(hit, F.struct(F.lit("forbidden").alias("rule"), F.lit(label).alias("detail")))))
     words = F.size(F.regexp_extract_all(F.regexp_replace(t, "^[> ]+", ""), F.lit(r"(\S+)"), 1))
+    broken.append(t.startswith(">") & (words > max_words))
     out.append(F.array(F.when(t.startswith(">") & (words > max_words), F.struct(F.lit("too_long").alias("rule"), F.concat(words.cast("string"), F.lit(f" words (limit {max_words})")).alias("detail")))))
     if superlatives:
-        found = F.regexp_extract_all(t, F.lit(rf"(?i)(?<![\p{{L}}\p{{N}}_])({SUPERLATIVES})(?![\p{{L}}\p{{N}}_])"), 1)
-        out.append(F.transform(found, lambda x: F.struct(F.lit("superlative").alias("rule"), x.alias("detail"))))
+        pattern = rf"(?i)(?<![\p{{L}}\p{{N}}_])({SUPERLATIVES})(?![\p{{L}}\p{{N}}_])"
+        broken.append(_held(low, SUPERLATIVES) & t.rlike(pattern))
+        out.append(F.transform(F.regexp_extract_all(t, F.lit(pattern), 1), lambda x: F.struct(F.lit("superlative").alias("rule"), x.alias("detail"))))
     for c in competitors:
-        hit = F.regexp_extract(t, rf"(?i)\b{COMPARATIVE}\s+{re.escape(c)}\b", 0)
+        pattern = rf"(?i)\b{COMPARATIVE}\s+{re.escape(c)}\b"
+        broken.append(_held(low, re.escape(c)) & t.rlike(pattern))
+        hit = F.regexp_extract(t, pattern, 0)
         out.append(F.array(F.when(hit != "", F.struct(F.lit("comparative").alias("rule"), hit.alias("detail")))))
     if competitors:
-        named = F.exists(F.array(*[F.lit(c.lower()) for c in competitors]), lambda c: F.lower(t).contains(c))
+        named = reduce(lambda a, b: a | b, [low.contains(c.lower()) for c in competitors])
         claim = F.regexp_replace(t, NO_CLAIM, " ").rlike(NUMBER) & ~t.rlike(DATE)
+        broken.append(named & t.rlike(r"\d") & claim)
         out.append(F.array(F.when(named & claim, F.struct(F.lit("undated_number").alias("rule"), F.substring(F.trim(t), 1, 120).alias("detail")))))
-    rows = live_lines(lines, unit).select(unit, "line", F.explode(F.array_compact(F.concat(*out))).alias("f"))
+    # A column of a generator, so that the filter does not lower each line for every word.
+    rows = lines.select(unit, "line", "text", F.explode_outer(F.array(F.lower("text"))).alias("_low")).where(reduce(lambda a, b: a | b, broken))
+    # outer: no filter is made of it that would ask every pattern once more.
+    rows = rows.select(unit, "line", F.explode_outer(F.array_compact(F.concat(*out))).alias("f")).where("f IS NOT NULL")
     return rows.select(unit, "line", "f.rule", "f.detail")
 
 

@@ -112,9 +112,8 @@ UNION SELECT doc_id, line, 'undated_number' FROM v WHERE {_NAMED} AND regexp_mat
 
 
 def _lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
-    lines = docs.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), "text")
-    return L.findings(lines, "doc_id", _PHRASES, _RIVALS).select("doc_id", "line", "rule").distinct()
+    lines = L.live_lines_of(table(spark, sf_dir, "documents"), "doc_id")
+    return L.live_findings(lines, "doc_id", _PHRASES, _RIVALS).select("doc_id", "line", "rule").distinct()
 
 
 @query(_LINES + " SELECT doc_id, line, rule FROM f")

@@ -201,3 +201,18 @@ def test_reworded_in_cells_and_on_little_disk(spark, monkeypatch):
     monkeypatch.setattr(removals, "_OLD_A_CELL", 7)
     monkeypatch.setattr(removals, "_NEW_A_CELL", 11)
     assert sorted(map(tuple, removals.reworded(frame).collect()), key=str) == want
+
+
+def test_lint_lines_leave_plain_texts_in_place(spark, tmp_path):
+    from gleaner.operators import lint as L
+    from gleaner.queries.copy_checks import lint_lines
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(500)]
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(60)) for _ in range(40)]
+    texts += [None, "", "Always the BEST\nfine", "a\n```\nnever\n```\nnever İalways", f"{L.OFF}\nbest\n{L.ON}\nbest", f"best {L.IGNORE}\nbest {L.ON}\nthe first-ever", "faster than  than\nthan 5 users\nnicht v1.2.3", "Game Changer\nRevolutionary\nwe look de la mer", "> " + "w " * 41]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    before = shuffled(spark)
+    got = sorted(map(tuple, lint_lines(spark, str(tmp_path)).collect()))
+    assert shuffled(spark) - before < sum(len(t or "") for t in texts) / 4
+    assert got == [(42, 1, "superlative"), (43, 5, "superlative"), (44, 4, "superlative"), (45, 3, "superlative"), (46, 1, "comparative"), (46, 2, "undated_number"), (47, 1, "forbidden"), (47, 2, "forbidden"), (47, 3, "forbidden"), (48, 1, "too_long")]
