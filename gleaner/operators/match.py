@@ -58,14 +58,13 @@ def signals(df: DataFrame, rules: list[Rule], text: Column, keep: list[str], max
     text has no lines.
     """
     rows = df.select(*keep, text.alias("_t"), *([path.alias("_path")] if path is not None else [])).where("_t IS NOT NULL")
-    may = candidates(rules, F.col("_t")) if gated else F.array(*[F.lit(i) for i in range(len(rules))])
     lines = F.posexplode_outer(F.split("_t", "\n", -1)).alias("_pos", "_line")  # outer: no filter is made of it that would split twice
     limit = F.length("_line") <= max_line if max_line else F.lit(True)
     if first_of_group:
-        # One candidate row a text is enough: every line meets all rules.
-        rows = rows.select("*", F.explode_outer(F.slice(may, 1, 1)).alias("_i")).where("_i IS NOT NULL").drop("_i")
-        rows = rows.select("*", lines).drop("_t").where(limit).withColumn("_low", F.lower("_line"))
+        # Few lines fire at all; which rule it is, is asked of these only. A line is lowered by a generator, as the filter would do it for every word.
+        rows = rows.select("*", lines).drop("_t").where(limit).select("*", F.explode_outer(F.array(F.lower("_line"))).alias("_low"))
         at, found = F.col("_path") if path is not None else None, []
+        rows = rows.where(reduce(lambda a, b: a | b, [fires(r, F.col("_line"), F.col("_low"), gated, at) for r in rules]))
         for g in dict.fromkeys(r.group for r in rules):
             chain = None
             for i, r in ((i, r) for i, r in enumerate(rules) if r.group == g):
@@ -76,6 +75,7 @@ def signals(df: DataFrame, rules: list[Rule], text: Column, keep: list[str], max
     else:
         # Lines are cut and lowered once a text; beside each stand the text's candidates, of which few are left by then.
         # A filter on the candidates would find them a second time; texts without any have no lines instead.
+        may = candidates(rules, F.col("_t")) if gated else F.array(*[F.lit(i) for i in range(len(rules))])
         cut = F.posexplode_outer(F.when(F.size("_may") > 0, F.split("_t", "\n", -1))).alias("_pos", "_line")
         rows = rows.select("*", may.alias("_may")).select("*", cut).drop("_t").where("_line IS NOT NULL").where(limit).withColumn("_low", F.lower("_line"))
         at = F.col("_path") if path is not None else None

@@ -16,6 +16,7 @@ from gleaner.plans.rules import SUPERLATIVE_LINE, Rule, rules
 from gleaner.queries import fixtures as X
 from gleaner.queries.base import query, quote, table
 from gleaner.queries.page_queries import BODY_SQL
+from gleaner.sources.shared import materialize
 
 _TEXTS_SQL = f"(SELECT 'd' || doc_id AS unit, text FROM documents UNION ALL SELECT 'p' || page_id, {BODY_SQL} FROM pages)"
 
@@ -180,7 +181,8 @@ def _ranked_sql() -> str:
 def ranked_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rule of each group on a line; strong before weak, workflow and shell files last."""
     found = signals(X.CODE.df(spark, sf_dir), _GATES, F.col("text"), ["file"], first_of_group=True).withColumnRenamed("line", "n")
-    rows = found.select(F.substring_index("rule_id", ".", 1).alias("rule_group"), "file", F.col("n").alias("line"), "rule_id", "strength")
+    # Written down first: to be put in order, rows are read twice.
+    rows = materialize(found.select(F.substring_index("rule_id", ".", 1).alias("rule_group"), "file", F.col("n").alias("line"), "rule_id", "strength"), "gate-hits")
     ci = F.col("file").rlike(r"(^|/)\.github/|\.(ya?ml|sh)$")
     order = [F.col("strength") != "strong", ci, "file", "line"]
     return running(rows, ["rule_group"], order, sums={"place": F.lit(1)}, name="gates").withColumn("place", F.col("place").cast("int"))

@@ -173,11 +173,16 @@ def test_reworded_equals_plain(spark):
     assert reworded(spark.createDataFrame([], "pair string, side string, line int, text string")).count() == 0
 
 
-def shuffled(spark):
-    """Bytes that all stages so far have written for shuffles."""
+def counted(spark, what):
+    """The sum of one figure over all stages so far."""
     jvm = spark.sparkContext._jvm
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
-    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+    return sum(getattr(stages.apply(i), what)() for i in range(stages.size()))
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    return counted(spark, "shuffleWriteBytes")
 
 
 def test_reworded_in_cells_and_on_little_disk(spark, monkeypatch):
@@ -216,3 +221,17 @@ def test_lint_lines_leave_plain_texts_in_place(spark, tmp_path):
     got = sorted(map(tuple, lint_lines(spark, str(tmp_path)).collect()))
     assert shuffled(spark) - before < sum(len(t or "") for t in texts) / 4
     assert got == [(42, 1, "superlative"), (43, 5, "superlative"), (44, 4, "superlative"), (45, 3, "superlative"), (46, 1, "comparative"), (46, 2, "undated_number"), (47, 1, "forbidden"), (47, 2, "forbidden"), (47, 3, "forbidden"), (48, 1, "too_long")]
+
+
+def test_ranked_gates_read_their_texts_once(spark, tmp_path, monkeypatch):
+    from gleaner.queries import rule_queries
+
+    docs = [(i, "web", "plain\nplan: if (isPro) upgrade for $5") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    monkeypatch.setattr(rule_queries, "running", lambda df, *a, **b: seen.append(df) or running(df, *a, **b))
+    rows = rule_queries.ranked_gates(spark, str(tmp_path)).collect()
+    # What is put in order, and so read twice, are the hits and not the texts.
+    assert not any("documents.parquet" in f for f in seen[0].inputFiles())
+    groups = {r.rule_group for r in rows}
+    assert all(sorted(r.place for r in rows if r.rule_group == g) == list(range(1, 1 + sum(r.rule_group == g for r in rows))) for g in groups) and len(groups) > 1
