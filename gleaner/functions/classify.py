@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -180,39 +182,45 @@ def is_license_file(path: Column) -> Column:
     return file_name(path).rlike(LICENSE_NAME) & ~suffix(path).isin(*S.NOT_LICENSE_SUFFIXES)
 
 
+#: Every phrase that names a license holds one of these, none of which has white space.
+LICENSE_WORDS = ("licens", "commons", "polyform", "source", "permission", "as-is", "unencumbered", "cc0", "reserved")
+
+
 def license_family(text: Column) -> Column:
     """Family by the title line first, else by phrases anywhere; the first of the ordered table wins."""
-    low = F.regexp_replace(F.lower(text), r"\s+", " ")
-    first = F.coalesce(F.get(F.filter(F.split(text, r"\r\n|\n|\r", -1), lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != ""), 0), F.lit(""))
+    # The first line that is not blank: after the last line end of the white space in front.
+    first = F.regexp_extract(text, r"\A(?:\s*[\r\n])?([^\r\n]*)", 1)
     title = F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.trim(first), "^#+", ""))), "^the ", "")
-    # As a variable of a lambda, low and title are made once a text, not once an arm.
-    return F.get(F.transform(F.array(F.struct(low.alias("low"), title.alias("title"))), lambda s: _family(s["low"], s["title"])), 0)
+    held = lambda raw: reduce(lambda a, b: a | b, [raw.contains(w) for w in LICENSE_WORDS])
+    # As a variable of a lambda, a text is lowered and collapsed once, not once an arm; and only where no title tells and a word of a phrase is held.
+    named = lambda raw: F.get(F.transform(F.array(F.regexp_replace(raw, r"\s+", " ")), _family), 0)
+    of_text = lambda raw: F.when(held(raw), named(raw)).otherwise("Unrecognized")
+    return F.coalesce(F.get(F.transform(F.array(title), _titled), 0), F.get(F.transform(F.array(F.lower(text)), of_text), 0))
 
 
-def _family(low: Column, title: Column) -> Column:
+def _titled(title: Column) -> Column:
+    own = [(f, ps[0]) for f, _, ps in S.LICENSES if f not in ("Proprietary or custom", "BSD-2-Clause", "BSD-3-Clause")]
+    return reduce(lambda out, x: out.when(title.startswith(x[1]), x[0]), own[1:], F.when(title.startswith(own[0][1]), own[0][0]))
+
+
+def _family(low: Column) -> Column:
     out = None
     for family, _, phrases in S.LICENSES:
-        if family in ("Proprietary or custom", "BSD-2-Clause", "BSD-3-Clause"):
-            continue
-        cond = title.startswith(phrases[0])
+        cond = reduce(lambda a, b: a & b, [low.contains(p) for p in phrases])
         out = F.when(cond, family) if out is None else out.when(cond, family)
-    for family, _, phrases in S.LICENSES:
-        cond = low.contains(phrases[0])
-        for p in phrases[1:]:
-            cond = cond & low.contains(p)
-        out = out.when(cond, family)
     loose = low.contains(LOOSE_LICENSES[0]) | low.contains(LOOSE_LICENSES[1]) | low.contains(LOOSE_LICENSES[2])
     return out.when(loose, "Proprietary or custom").otherwise("Unrecognized")
 
 
-def gpl_version(text: Column) -> Column:
-    low = F.regexp_replace(F.lower(text), r"\s+", " ")
-    return F.when(license_family(text) == "GPL", F.when(low.contains("version 3"), "3").when(low.contains("version 2"), "2"))
+def gpl_version(text: Column, family: Column | None = None) -> Column:
+    """The version that a text of the GPL names; family: that of the text, where it is known already."""
+    named = lambda v: F.lower(text).rlike(rf"version\s+{v}")
+    return F.when((license_family(text) if family is None else family) == "GPL", F.when(named(3), "3").when(named(2), "2"))
 
 
 def copyright_line(text: Column) -> Column:
-    head = F.slice(F.split(text, r"\r\n|\n|\r", -1), 1, 60)
-    found = F.get(F.filter(head, lambda x: x.rlike(COPYRIGHT)), 0)
+    head = F.slice(F.split(text, r"\r\n|\n|\r", 61), 1, 60)
+    found = F.when(text.rlike("(?i)copyright"), F.get(F.filter(head, lambda x: x.rlike(COPYRIGHT)), 0))
     return F.substring(F.regexp_replace(F.trim(found), "<[^>]*@[^>]*>", "<email>"), 1, 160)
 
 

@@ -143,7 +143,7 @@ _KIND = "CASE family " + " ".join(f"WHEN {quote(f)} THEN {quote(k)}" for f, k, _
 def license_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License files with type, family, version and copyright line."""
     rows = L.families(LICENSE_DOCUMENTS.df(spark, sf_dir).where(C.is_license_file(F.col("path"))))
-    return rows.select("path", C.license_file_type(C.file_name(F.col("path"))).alias("file_type"), "family", "kind", C.gpl_version(F.col("text")).alias("version"), C.copyright_line(F.col("text")).alias("copyright"))
+    return rows.select("path", C.license_file_type(C.file_name(F.col("path"))).alias("file_type"), "family", "kind", C.gpl_version(F.col("text"), F.col("family")).alias("version"), C.copyright_line(F.col("text")).alias("copyright"))
 
 
 @query(f"""WITH l AS (SELECT * FROM {_LIC} WHERE {_TYPE} = 'license'), f AS (SELECT list_distinct(list(family) FILTER (WHERE family <> 'Unrecognized')) AS f, coalesce(bool_or(NOT contains(path, '/')), false) AS root FROM l)

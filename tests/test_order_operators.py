@@ -235,3 +235,19 @@ def test_ranked_gates_read_their_texts_once(spark, tmp_path, monkeypatch):
     assert not any("documents.parquet" in f for f in seen[0].inputFiles())
     groups = {r.rule_group for r in rows}
     assert all(sorted(r.place for r in rows if r.rule_group == g) == list(range(1, 1 + sum(r.rule_group == g for r in rows))) for g in groups) and len(groups) > 1
+
+
+def test_license_words_and_first_lines(spark):
+    from gleaner.functions import classify as C
+    from gleaner.plans import signatures as S
+
+    assert all(any(w in p for w in C.LICENSE_WORDS) for p in [*(ps[0] for _, _, ps in S.LICENSES), *C.LOOSE_LICENSES])
+    texts = [(None, "Unrecognized"), ("", "Unrecognized"), ("  \n\t\n", "Unrecognized"), ("\r\n \n ## The Mozilla Public License\nAll rights reserved", "MPL-2.0"), ("\tElastic License", "Elastic-2.0"), ("x\nGNU \n General\tPublic License, Version\n 3", "GPL"), ("nothing\nknown", "Unrecognized"), ("a license  key", "Proprietary or custom")]
+    df = spark.createDataFrame(texts, "text string, want string").withColumn("family", C.license_family(F.col("text")))
+    assert [r.family for r in df.collect()] == [r[1] for r in texts]
+    out = df.select(C.gpl_version(F.col("text"), F.col("family")).alias("v"))
+    assert [r.v for r in out.collect()] == [None] * 5 + ["3", None, None]
+    # With the family at hand, the text is not searched for it again.
+    assert "affero" not in out._jdf.queryExecution().analyzed().toString().split("Project")[1]
+    many = spark.createDataFrame([("\n".join(["x"] * 59 + ["Copyright (c) 2020 A <a@b.c>"]),), ("\n".join(["x"] * 60 + ["copyright 2020"]),), (None,)], "text string")
+    assert [r[0] for r in many.select(C.copyright_line(F.col("text"))).collect()] == ["Copyright (c) 2020 A <email>", None, None]
