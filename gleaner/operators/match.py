@@ -1,8 +1,9 @@
 """Rule engine: texts to lines to signals.
 
-Gates are plain substrings, asked of whole texts first: one pattern, a tree of all words, finds which of them a text
-holds, and so which rules may fire. Only texts with such a rule go on, once for each, and are cut into lines there; each
-line then meets one gate and one pattern. No rule table is joined, and everything is one stage of the scan.
+Gates are asked of whole texts first. One pattern finds whether a text holds any rule's word between such characters as
+the rule lets stand around it; prose holds many words of rules, but few of them so. Of the texts that pass, a tree of all
+words as plain substrings tells which rules may fire. Only these are cut into lines; each line then meets one gate and
+one pattern of each such rule. No rule table is joined, and everything is one stage of the scan.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.plans.rules import Rule, words_pattern
+from gleaner.plans.rules import Rule, near_pattern, words_pattern
 
 
 def fires(rule: Rule, line: Column, low: Column, gated: bool = True, path: Column | None = None) -> Column:
@@ -57,12 +58,12 @@ def signals(df: DataFrame, rules: list[Rule], text: Column, keep: list[str], max
     only the first that fires counts on a line. gated=False asks no gate, not even one that is part of a rule. A null
     text has no lines.
     """
-    rows = df.select(*keep, text.alias("_t"), *([path.alias("_path")] if path is not None else [])).where("_t IS NOT NULL")
+    rows = df.select(*keep, text.alias("_t"), *([path.alias("_path")] if path is not None else []))
     lines = F.posexplode_outer(F.split("_t", "\n", -1)).alias("_pos", "_line")  # outer: no filter is made of it that would split twice
     limit = F.length("_line") <= max_line if max_line else F.lit(True)
     if first_of_group:
         # Few lines fire at all; which rule it is, is asked of these only. A line is lowered by a generator, as the filter would do it for every word.
-        rows = rows.select("*", lines).drop("_t").where(limit).select("*", F.explode_outer(F.array(F.lower("_line"))).alias("_low"))
+        rows = rows.where("_t IS NOT NULL").select("*", lines).drop("_t").where(limit).select("*", F.explode_outer(F.array(F.lower("_line"))).alias("_low"))
         at, found = F.col("_path") if path is not None else None, []
         rows = rows.where(reduce(lambda a, b: a | b, [fires(r, F.col("_line"), F.col("_low"), gated, at) for r in rules]))
         for g in dict.fromkeys(r.group for r in rules):
@@ -74,8 +75,10 @@ def signals(df: DataFrame, rules: list[Rule], text: Column, keep: list[str], max
         rows = rows.select("*", F.explode_outer(F.array_compact(F.array(*found))).alias("_i")).where("_i IS NOT NULL")
     else:
         # Lines are cut and lowered once a text; beside each stand the text's candidates, of which few are left by then.
-        # A filter on the candidates would find them a second time; texts without any have no lines instead.
+        # A filter on texts or candidates would make these a second time; null texts and those without any have no lines instead.
         may = candidates(rules, F.col("_t")) if gated else F.array(*[F.lit(i) for i in range(len(rules))])
+        if gated and (near := near_pattern(rules)):
+            may = F.when(F.lower("_t").rlike(near), may)
         cut = F.posexplode_outer(F.when(F.size("_may") > 0, F.split("_t", "\n", -1))).alias("_pos", "_line")
         rows = rows.select("*", may.alias("_may")).select("*", cut).drop("_t").where("_line IS NOT NULL").where(limit).withColumn("_low", F.lower("_line"))
         at = F.col("_path") if path is not None else None

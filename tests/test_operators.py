@@ -15,7 +15,7 @@ from gleaner.operators import pages as P
 from gleaner.operators import removals as R
 from gleaner.operators import traction as K
 from gleaner.operators.match import candidates, signals
-from gleaner.plans.rules import gate, rules
+from gleaner.plans.rules import Near, Rule, gate, near, near_pattern, rules
 from gleaner.queries import fixtures as X
 from gleaner.sources import saved
 
@@ -44,6 +44,63 @@ def test_word_tree_finds_every_word_of_a_gate(spark):
         assert r["c"] == (None if r["t"] is None else [i for i, x in enumerate(rules()) if any(k in r["t"].lower() for k in x.keywords)])
 
 
+def _example(parsed, rng, fold):
+    """Some string that the parsed pattern matches."""
+    out = []
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(arg))
+        elif name == "IN":
+            kind, x = arg[0] if str(arg[0][0]) == "NEGATE" else rng.choice(arg)
+            out.append("x" if str(kind) == "NEGATE" else chr(x) if str(kind) == "LITERAL" else chr(rng.randint(*x)) if str(kind) == "RANGE" else {"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": rng.choice(" \t"), "CATEGORY_WORD": rng.choice("aZ_3")}[str(x)])
+        elif name == "ANY":
+            out.append("?")
+        elif name == "SUBPATTERN":
+            out.append(_example(arg[-1], rng, fold))
+        elif name == "BRANCH":
+            out.append(_example(rng.choice(arg[1]), rng, fold))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += [_example(arg[2], rng, fold) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2)))]
+        else:
+            assert name == "AT", name
+    text = "".join(out)
+    return "".join(rng.choice((c.lower(), c.upper())) if c.isascii() else c for c in text) if fold else text
+
+
+def test_words_with_their_surroundings_lose_no_hits(spark):
+    import random
+    import re._parser as parser
+
+    rng, table = random.Random(2), [r for r in rules() if r.group != "superlative"]
+    rows = []
+    for i, r in enumerate(table):
+        p = parser.parse(r.pattern, 0)
+        rows += [(i, before + _example(p, rng, r.pattern.startswith("(?i)")) + behind) for before, behind in (("", ""), ("a\n", "\nb"), ("\n ", " "), ("(", ")"), ("é", "ü"), ("-", ".")) for _ in range(8)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    one = lambda r: F.exists(F.split("t", "\n", -1), lambda x: x.rlike(r.pattern))
+    hit = F.coalesce(*[F.when(F.col("i") == i, one(r)) for i, r in enumerate(table)])
+    own = F.coalesce(*[F.when(F.col("i") == i, F.lower("t").rlike(near_pattern([r]))) for i, r in enumerate(table)])
+    got = df.select("i", "t", hit.alias("hit"), own.alias("own"), F.lower("t").rlike(near_pattern(table)).alias("any")).where("hit").collect()
+    assert [x for x in got if not (x["own"] and x["any"])] == []
+    assert {x["i"] for x in got} == set(range(len(table)))
+
+
+def test_words_elsewhere_in_prose_are_no_candidates(spark):
+    table = [r for r in rules() if r.group not in ("superlative", "email")]
+    prose = [("Football im Quartier, ein Tier; gratis testen: the latest budget in US$, for + only\nforget the seated",), ("7 seats",), ("a\nGet it",), ("forget it",), ("x == 'pro'",), ("tier",), ("",), (None,)]
+    got = spark.createDataFrame(prose, "t string").select(F.lower("t").rlike(near_pattern(table)).alias("x")).collect()
+    assert [r["x"] for r in got] == [False, True, True, False, True, False, False, None]
+    assert near_pattern([*table, Rule("x.00", "x", "x", r"\d+")]) == ""
+
+
+def test_words_with_surroundings():
+    assert near(r"\b\d[\d,.]*\s?(?:GB|seats?)\b") == (Near(r"[,\.\d\s]", "gb", r"\b"), Near(r"[,\.\d\s]", "seat", r"\b"), Near(r"[,\.\d\s]", "seats", r"\b"))
+    assert near(r"(?i)^(get|try)\b") == (Near("^", "get", r"\b"), Near("^", "try", r"\b"))
+    assert near(r"(?:a*b?)+live$") == (Near("", "live", ""),) and near(r"[^x]live.") == (Near("", "live", ""),)
+    assert near(r"\d+|xyz") == () and near(r"\p{L}live") == ()
+
+
 def test_lines_over_the_limit_are_passed_over(spark):
     line = "posthog.init(key) "
     df = spark.createDataFrame([("a", line), ("b", line + "x" * 2000), ("c", "short\n" + line), ("d", None), ("e", "")], "f string, t string")
