@@ -17,7 +17,7 @@ from gleaner.plans.rules import Rule, near_pattern, words_pattern
 
 
 def fires(rule: Rule, line: Column, low: Column, gated: bool = True, path: Column | None = None) -> Column:
-    cond = line.rlike(rule.pattern)
+    cond = line.rlike(rule.scan or rule.pattern)
     if gated and rule.keywords:
         cond = reduce(lambda a, b: a | b, [low.contains(k) for k in rule.keywords]) & cond
     if rule.max_line:

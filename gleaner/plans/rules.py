@@ -21,6 +21,7 @@ class Rule:
     area: str = ""
     path_pattern: str = ""
     max_line: int = 0
+    scan: str = ""
 
 
 #: Signs that may stand alone as a gate.
@@ -268,17 +269,25 @@ PORTABLE = {
     S.OFFERS[0][0]: S.OFFERS[0][0].replace("(?=", "(?:"),
 }
 
+#: The lines of the same pattern, found in time that grows with a line's length: of places from which a match could
+#: begin only the first of a run is tried, as any later one lies in what the first goes over. Only Spark takes these.
+LINEAR = {
+    PORTABLE[S.OFFERS[0][0]]: PORTABLE[S.OFFERS[0][0]].replace("https?://", r"""(?<![^\s"'`)<>])(?>[^\s"'`)<>]*?https?://)"""),
+    S.HARDENING[14][2]: S.HARDENING[14][2].replace(r"\baltool\b.*", r"(?s:^(?>.*?\baltool\b).*)"),
+    S.HARDENING[22][2]: S.HARDENING[22][2].replace(r"(listen|bind|serve|run)\w*\(.*", r"(?s:^(?>.*?(?<!\w)(?>\w*?(listen|bind|serve|run))\w*\().*)"),
+}
+
 # Fixed value: wording that claims too much.
 SUPERLATIVES = r"(?:(?:the|our|its|their) (?:first|only)|first[- ]ever|best|fastest|cheapest|leading|#\s?1|number one|guaranteed?|always|never|100\s?%|unbeatable|unmatched|world'?s|most (?:advanced|powerful|secure)|zero (?:risk|bugs))"
 SUPERLATIVE_LINE = r"(?i)(?:^|[^\p{L}\p{N}_])" + SUPERLATIVES + r"(?:[^\p{L}\p{N}_]|$)"
 
 
-#: Lines longer than this are passed over, by group; other groups read lines of any length.
+#: Lines longer than this are passed over where the limit is asked for, by group; other groups read lines of any length.
 LINE_LIMIT = {"telemetry": 2000, "control": 2000, "billing": 2000, "license_gate": 2000, "plan_gate": 2000, "offer": 2000, "lead_capture": 2000, "scan_secret": 3000, "hardening": 3000}
 
 
-def rules(*groups: str) -> list[Rule]:
-    """All rules of these groups (all groups without a name), in their fixed order."""
+def rules(*groups: str, limited: bool = True) -> list[Rule]:
+    """All rules of these groups (all groups without a name), in their fixed order; limited=False: for lines of any length."""
     out: list[Rule] = []
     out += [_rule("scan_secret", i, n, p) for i, (n, p) in enumerate(S.SCAN_SECRETS)]
     out += [_rule("safety_secret", i, n, p) for i, (n, p) in enumerate(S.SAFETY_SECRETS)]
@@ -300,5 +309,8 @@ def rules(*groups: str) -> list[Rule]:
     out += [_rule("page", i, k, PORTABLE.get(p, p), max_line=60 if k == "ctas" else 0) for i, (k, p) in enumerate(S.PAGE_RULES.items())]
     out.append(Rule("superlative.00", "superlative", "superlative", SUPERLATIVE_LINE, keywords=gate("(?i)" + SUPERLATIVES)))
     out.append(_rule("email", 0, "email address", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", keywords=("@",)))
-    out = [replace(r, max_line=LINE_LIMIT.get(r.group, 0)) if not r.max_line else r for r in out]
+    if limited:
+        out = [replace(r, max_line=LINE_LIMIT.get(r.group, 0)) if not r.max_line else r for r in out]
+    else:
+        out = [replace(r, scan=LINEAR.get(r.pattern, "")) for r in out]
     return [r for r in out if not groups or r.group in groups]

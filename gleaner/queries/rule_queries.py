@@ -118,7 +118,7 @@ def signal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(signals(X.CODE.df(spark, sf_dir).withColumnRenamed("file", "unit"), table_, F.col("text"), ["unit"]), table_, "unit")
 
 
-_TEL = rules("telemetry")
+_TEL = rules("telemetry", limited=False)
 
 
 @query(f"""WITH l AS (SELECT *, lower(text) AS low FROM {X.CODE.lines_sql()}),
@@ -141,7 +141,7 @@ def control_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consent and telemetry switches, the first 6 x max_hits (1 here) in the order of files and lines. A top-k report."""
 
     def find(files: DataFrame) -> DataFrame:
-        found = signals(files, rules("control"), F.col("text"), ["file"]).where(~F.col("text").rlike(S.IGNORE_CONTROLS[0]))
+        found = signals(files, rules("control", limited=False), F.col("text"), ["file"]).where(~F.col("text").rlike(S.IGNORE_CONTROLS[0]))
         return found.select("file", "line", "text").distinct()
 
     return first_in_order(X.CODE.df(spark, sf_dir), ["file"], find, 6, ["file", "line"])
@@ -155,7 +155,7 @@ def _hardening_sql() -> str:
 @query(_hardening_sql())
 def hardening_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hardening signals, at most 200 per area; one rule counts in builder configuration only."""
-    table_ = rules("hardening")
+    table_ = rules("hardening", limited=False)
     found = signals(X.CODE.df(spark, sf_dir), table_, F.col("text"), ["file"], path=F.col("file")).withColumnRenamed("line", "n")
     area, label = (F.create_map(*[F.lit(x) for r in table_ for x in (r.rule_id, getattr(r, k))]) for k in ("area", "label"))
     rows = found.select(area[F.col("rule_id")].alias("area"), label[F.col("rule_id")].alias("signal"), "file", F.col("n").alias("line"))
@@ -163,7 +163,7 @@ def hardening_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(w)).where("r <= 200").drop("r")
 
 
-_GATES = rules("license_gate", "plan_gate", "offer", "lead_capture")
+_GATES = rules("license_gate", "plan_gate", "offer", "lead_capture", limited=False)
 
 
 def _ranked_sql() -> str:
@@ -179,12 +179,12 @@ def _ranked_sql() -> str:
 
 @query(_ranked_sql())
 def ranked_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule of each group on a line; strong before weak, workflow and shell files last."""
+    """The first rule of each group on a line of any length; strong before weak, workflow and shell files last, files without a path behind these."""
     found = signals(X.CODE.df(spark, sf_dir), _GATES, F.col("text"), ["file"], first_of_group=True).withColumnRenamed("line", "n")
     # Written down first: to be put in order, rows are read twice.
     rows = materialize(found.select(F.substring_index("rule_id", ".", 1).alias("rule_group"), "file", F.col("n").alias("line"), "rule_id", "strength"), "gate-hits")
     ci = F.col("file").rlike(r"(^|/)\.github/|\.(ya?ml|sh)$")
-    order = [F.col("strength") != "strong", ci, "file", "line"]
+    order = [F.col("strength") != "strong", ci.asc_nulls_last(), F.asc_nulls_last("file"), "line"]
     return running(rows, ["rule_group"], order, sums={"place": F.lit(1)}, name="gates").withColumn("place", F.col("place").cast("int"))
 
 

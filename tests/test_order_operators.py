@@ -237,6 +237,34 @@ def test_ranked_gates_read_their_texts_once(spark, tmp_path, monkeypatch):
     assert all(sorted(r.place for r in rows if r.rule_group == g) == list(range(1, 1 + sum(r.rule_group == g for r in rows))) for g in groups) and len(groups) > 1
 
 
+def test_lines_of_any_length_are_read_where_the_query_has_no_limit(spark, tmp_path):
+    from gleaner.queries import rule_queries as Q
+
+    pad, at = "x" * 3001 + " ", str(tmp_path)
+    docs = [(0, "b", "\n".join(pad + x for x in ("isPro", "rollbar", "a consent", "nodeIntegration: true"))), (14, None, "isPro")]
+    # The line of addresses takes minutes where each of them is tried to its end.
+    docs.append((1, "a", "plain\n" + "https://a.test/b," * 20_000 + "\n" + "https://a.test/b," * 20_000 + "/pricing\n" + pad + "run(x, '0.0.0.0')"))
+    spark.createDataFrame(docs, "doc_id long, source string, text string").coalesce(1).write.parquet(at + "/documents.parquet")
+    rows = Q.ranked_gates(spark, at).select("rule_group", "file", "line", "rule_id", "strength", "place").collect()
+    assert sorted(map(tuple, rows), key=str) == [("offer", "a/d1/src/main.ts", 4, "offer.00", "strong", 1), ("plan_gate", "b/d0/src/main.ts", 2, "plan_gate.02", "weak", 1), ("plan_gate", None, 2, "plan_gate.02", "weak", 2)]
+    assert {r["name"]: (r["files"], r["hits"]) for r in Q.telemetry_products(spark, at).collect()}["Rollbar"] == (1, 1)
+    assert [(r["file"], r["line"]) for r in Q.control_lines(spark, at).collect()] == [("b/d0/src/main.ts", 4)]
+    assert sorted((r["file"], r["line"]) for r in Q.hardening_signals(spark, at).collect()) == [("a/d1/src/main.ts", 5), ("b/d0/src/main.ts", 5)]
+
+
+def test_linear_patterns_find_the_same_lines(spark):
+    from gleaner.plans.rules import LINEAR, rules
+
+    rng = random.Random(4)
+    pieces = {"offer": ["http://", "https://", "http:/", "a", "/pricing", "/pro", "/plans", "/", "?", "<", ">", '"', "'", ")", " ", "/buy<", ","], "hardening": ["run", "listen", "Bind", "er", "(", "'0.0.0.0'", '"0.0.0.0"', "0.0.0.0", " ", "_", "host", ": ", "altool", "--notarize", "stapler staple", "[::]:8", "é"]}
+    table = [r for r in rules(limited=False) if r.scan]
+    assert len(table) == len(LINEAR) and all(r.scan != r.pattern for r in table)
+    for r in table:
+        lines = ["".join(rng.choice(pieces[r.group]) for _ in range(rng.randrange(14))) for _ in range(3000)]
+        got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", F.col("x").rlike(r.pattern).alias("a"), F.col("x").rlike(r.scan).alias("b")).collect()
+        assert [x for x in got if x["a"] != x["b"]] == [] and 100 < sum(x["a"] for x in got) < 2900
+
+
 def test_license_words_and_first_lines(spark):
     from gleaner.functions import classify as C
     from gleaner.plans import signatures as S
